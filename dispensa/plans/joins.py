@@ -1,0 +1,21 @@
+"""Join helpers: broadcast only behind a proven size bound."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# A narrow dimension projection of one million rows is tens of MB.
+DEFAULT_MAX_ROWS = 1_000_000
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_MAX_ROWS) -> DataFrame:
+    """Mark ``df`` for broadcast when it has at most ``max_rows`` rows.
+
+    The bound is proven with ``limit(max_rows + 1).count()``, which stops
+    reading as soon as the bound is exceeded.  Beyond it the side is returned
+    unchanged and Spark plans a shuffle join (AQE may still convert it at run
+    time from measured sizes).
+    """
+    n = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df
