@@ -24,3 +24,91 @@ FROM penjualan p JOIN penjualan_item i ON i.penjualan_id = p.id JOIN obat o ON o
 WHERE CAST(p.tgl AS DATE) BETWEEN {PERIOD_FROM} AND {PERIOD_TO}
 GROUP BY i.obat_kode, o.nama
 ORDER BY qty DESC, i.obat_kode LIMIT 10""", "penjualan", "penjualan_item", "obat")
+
+_SALE_DAY = "CAST(tgl AS DATE)"
+
+ORACLE["top_sellers_7d"] = with_views(f"""
+SELECT i.obat_kode, o.nama, CAST(sum(i.qty) AS BIGINT) AS qty, {_money('sum(i.qty * i.harga_jual)')} AS omzet
+FROM penjualan p JOIN penjualan_item i ON i.penjualan_id = p.id JOIN obat o ON o.kode = i.obat_kode
+WHERE CAST(p.tgl AS DATE) BETWEEN {AS_OF} - 6 AND {AS_OF}
+GROUP BY i.obat_kode, o.nama
+ORDER BY qty DESC, i.obat_kode LIMIT 5""", "penjualan", "penjualan_item", "obat")
+
+ORACLE["sales_summary"] = with_views(f"""
+SELECT CAST(count(*) AS BIGINT) AS trx, {_money('coalesce(sum(total), 0)')} AS total
+FROM penjualan WHERE {_SALE_DAY} BETWEEN {PERIOD_FROM} AND {PERIOD_TO}""", "penjualan")
+
+ORACLE["sales_by_day"] = with_views(f"""
+SELECT {_SALE_DAY} AS tgl, CAST(count(*) AS BIGINT) AS trx, {_money('sum(total)')} AS total
+FROM penjualan WHERE {_SALE_DAY} BETWEEN {PERIOD_FROM} AND {PERIOD_TO}
+GROUP BY 1 ORDER BY 1""", "penjualan")
+
+ORACLE["sales_by_type"] = with_views(f"""
+SELECT jenis, CAST(count(*) AS BIGINT) AS trx, {_money('sum(total)')} AS total
+FROM penjualan WHERE {_SALE_DAY} BETWEEN {PERIOD_FROM} AND {PERIOD_TO}
+GROUP BY jenis ORDER BY list_position(['OTC', 'Resep', 'Racik'], jenis)""", "penjualan")
+
+ORACLE["sales_7d"] = with_views(f"""
+SELECT {_SALE_DAY} AS d, {_money('sum(total)')} AS total
+FROM penjualan WHERE tgl >= CAST({AS_OF} - 6 AS TIMESTAMP) GROUP BY 1 ORDER BY 1""", "penjualan")
+
+ORACLE["purchases_7d"] = with_views(f"""
+SELECT tgl AS d, {_money('sum(total)')} AS total
+FROM pembelian WHERE tgl >= {AS_OF} - 6 GROUP BY 1 ORDER BY 1""", "pembelian")
+
+ORACLE["day_kpis"] = with_views(f"""
+SELECT s.today_penjualan_count, s.today_penjualan_total, p.today_pembelian_total, l.low_stock_count
+FROM (SELECT CAST(count(*) AS BIGINT) AS today_penjualan_count,
+             {_money('coalesce(sum(total), 0)')} AS today_penjualan_total
+      FROM penjualan WHERE {_SALE_DAY} = {AS_OF}) s,
+     (SELECT {_money('coalesce(sum(total), 0)')} AS today_pembelian_total FROM pembelian WHERE tgl = {AS_OF}) p,
+     (SELECT CAST(count(*) AS BIGINT) AS low_stock_count FROM obat WHERE stok <= 20) l""",
+    "penjualan", "pembelian", "obat")
+
+ORACLE["recent_sales"] = with_views(f"""
+SELECT id, no_nota, {_money('total')} AS total, tgl FROM penjualan ORDER BY id DESC LIMIT 5""", "penjualan")
+
+ORACLE["lowest_stock"] = with_views("""
+SELECT kode, nama, stok FROM obat WHERE stok <= 20 ORDER BY stok, lower(nama), kode LIMIT 5""", "obat")
+
+ORACLE["purchase_list"] = with_views(f"""
+SELECT p.id, p.no_faktur, p.tgl, p.supplier_kode, {_money('p.pajak')} AS pajak, {_money('p.total')} AS total,
+       {_money('coalesce(h.saldo, 0)')} AS saldo,
+       CASE WHEN coalesce(h.saldo, 0) > 0 THEN 'HUTANG' ELSE 'LUNAS' END AS status
+FROM pembelian p LEFT JOIN hutang h ON h.pembelian_id = p.id
+ORDER BY p.id DESC, saldo LIMIT 200 OFFSET 200""", "pembelian", "hutang")
+
+ORACLE["purchase_report"] = with_views(f"""
+SELECT p.id, p.no_faktur, p.tgl, p.supplier_kode, {_money('p.pajak')} AS pajak, {_money('p.total')} AS total,
+       i.id AS item_id, i.obat_kode, i.batch_no, i.qty, {_money('i.harga_beli')} AS harga_beli,
+       {_money('i.qty * i.harga_beli')} AS subtotal
+FROM pembelian p JOIN pembelian_item i ON i.pembelian_id = p.id
+WHERE p.tgl BETWEEN DATE '1995-01-01' AND DATE '2001-12-31'
+ORDER BY p.tgl, p.id, i.id""", "pembelian", "pembelian_item")
+
+ORACLE["purchase_totals"] = with_views(f"""
+SELECT pembelian_id, id AS item_id, CAST(grouping(pembelian_id, id) AS INTEGER) AS level,
+       CAST(count(*) AS BIGINT) AS n_lines, CAST(sum(qty) AS BIGINT) AS qty,
+       {_money('sum(qty * harga_beli)')} AS subtotal
+FROM pembelian_item GROUP BY ROLLUP (pembelian_id, id)""", "pembelian_item")
+
+ORACLE["payables"] = with_views(f"""
+SELECT h.id, h.supplier_kode, p.no_faktur, p.tgl, {_money('p.total + p.pajak')} AS tagihan,
+       {_money('h.saldo')} AS saldo
+FROM hutang h JOIN pembelian p ON p.id = h.pembelian_id WHERE h.saldo > 0
+ORDER BY p.tgl, h.id""", "hutang", "pembelian")
+
+ORACLE["sale_detail"] = with_views(f"""
+SELECT p.id, p.no_nota, CAST(row_number() OVER (PARTITION BY p.id ORDER BY i.id) - 1 AS INTEGER) AS pos,
+       i.id AS item_id, i.obat_kode, o.nama AS obat_nama, i.qty, {_money('i.harga_jual')} AS harga_jual
+FROM penjualan p JOIN penjualan_item i ON i.penjualan_id = p.id JOIN obat o ON o.kode = i.obat_kode""",
+    "penjualan", "penjualan_item", "obat")
+
+ORACLE["expiry_watch"] = with_views(f"""
+SELECT a.id AS item_id, a.obat_kode, a.batch_no, b.nama, a.expired_date,
+       CAST(datediff('day', {AS_OF}, a.expired_date) AS BIGINT) AS sisa_hari,
+       CASE WHEN datediff('day', {AS_OF}, a.expired_date) < 0 THEN 'KADALUARSA'
+            WHEN datediff('day', {AS_OF}, a.expired_date) <= 30 THEN 'HAMPIR KADALUARSA' ELSE 'AMAN' END AS status
+FROM pembelian_item a JOIN obat b ON a.obat_kode = b.kode
+WHERE a.expired_date <= {AS_OF} + 30
+ORDER BY a.expired_date, a.id""", "pembelian_item", "obat")

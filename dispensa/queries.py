@@ -38,3 +38,90 @@ def q_top_sellers(spark: SparkSession, d: str) -> DataFrame:
     """Best sellers of the period, top 10 by quantity."""
     return reports.top_sellers(td.penjualan(spark, d), td.penjualan_item(spark, d), td.obat(spark, d),
                                PERIOD[0], PERIOD[1], AS_OF, n=10)
+
+
+@register("top_sellers_7d")
+def q_top_sellers_7d(spark: SparkSession, d: str) -> DataFrame:
+    """Dashboard best sellers: the seven days up to as_of, top 5."""
+    return reports.top_sellers_7d(td.penjualan(spark, d), td.penjualan_item(spark, d), td.obat(spark, d),
+                                  AS_OF, n=5)
+
+
+@register("sales_summary")
+def q_sales_summary(spark: SparkSession, d: str) -> DataFrame:
+    return reports.sales_summary(td.penjualan(spark, d), PERIOD[0], PERIOD[1], AS_OF)
+
+
+@register("sales_by_day")
+def q_sales_by_day(spark: SparkSession, d: str) -> DataFrame:
+    return reports.sales_by_day(td.penjualan(spark, d), PERIOD[0], PERIOD[1], AS_OF)
+
+
+@register("sales_by_type")
+def q_sales_by_type(spark: SparkSession, d: str) -> DataFrame:
+    return reports.sales_by_type(td.penjualan(spark, d), PERIOD[0], PERIOD[1], AS_OF)
+
+
+@register("sales_7d")
+def q_sales_7d(spark: SparkSession, d: str) -> DataFrame:
+    return reports.sales_7d(td.penjualan(spark, d), AS_OF)
+
+
+@register("purchases_7d")
+def q_purchases_7d(spark: SparkSession, d: str) -> DataFrame:
+    return reports.purchases_7d(td.pembelian(spark, d), AS_OF)
+
+
+@register("day_kpis")
+def q_day_kpis(spark: SparkSession, d: str) -> DataFrame:
+    # low-stock threshold 20 on the mapped drugs (stock is p_size * 20)
+    return reports.day_kpis(td.penjualan(spark, d), td.pembelian(spark, d), td.obat(spark, d), AS_OF,
+                            low_threshold=20)
+
+
+@register("recent_sales")
+def q_recent_sales(spark: SparkSession, d: str) -> DataFrame:
+    return reports.recent_sales(td.penjualan(spark, d), n=5)
+
+
+@register("lowest_stock")
+def q_lowest_stock(spark: SparkSession, d: str) -> DataFrame:
+    return reports.lowest_stock(td.obat(spark, d), threshold=20, n=5)
+
+
+@register("purchase_list")
+def q_purchase_list(spark: SparkSession, d: str) -> DataFrame:
+    """Second page of 200 purchases with payable balance and status."""
+    return reports.purchase_list(td.pembelian(spark, d), td.hutang(spark, d), limit=200, page=2)
+
+
+@register("purchase_report")
+def q_purchase_report(spark: SparkSession, d: str) -> DataFrame:
+    return reports.purchase_report(td.pembelian(spark, d), td.pembelian_item(spark, d),
+                                   dt.date(1995, 1, 1), dt.date(2001, 12, 31), None)
+
+
+@register("purchase_totals")
+def q_purchase_totals(spark: SparkSession, d: str) -> DataFrame:
+    return reports.purchase_totals(td.pembelian_item(spark, d))
+
+
+@register("payables")
+def q_payables(spark: SparkSession, d: str) -> DataFrame:
+    return reports.payables_report(td.hutang(spark, d), td.pembelian(spark, d), None, open_only=True)
+
+
+@register("sale_detail")
+def q_sale_detail(spark: SparkSession, d: str) -> DataFrame:
+    """Every sale with its nested lines, read back as one row per line."""
+    sd = reports.sale_detail(td.penjualan(spark, d), td.penjualan_item(spark, d), td.obat(spark, d))
+    x = sd.select("id", "no_nota", F.posexplode("items").alias("pos", "it"))
+    return x.select("id", "no_nota", "pos", F.col("it.item_id").alias("item_id"),
+                    F.col("it.obat_kode").alias("obat_kode"), F.col("it.obat_nama").alias("obat_nama"),
+                    F.col("it.qty").alias("qty"),
+                    F.round(F.col("it.harga_jual"), 2).cast("double").alias("harga_jual"))
+
+
+@register("expiry_watch")
+def q_expiry_watch(spark: SparkSession, d: str) -> DataFrame:
+    return reports.expiry_watch(td.pembelian_item(spark, d), td.obat(spark, d), AS_OF, days=30)
