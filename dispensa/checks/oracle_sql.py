@@ -112,3 +112,45 @@ SELECT a.id AS item_id, a.obat_kode, a.batch_no, b.nama, a.expired_date,
 FROM pembelian_item a JOIN obat b ON a.obat_kode = b.kode
 WHERE a.expired_date <= {AS_OF} + 30
 ORDER BY a.expired_date, a.id""", "pembelian_item", "obat")
+
+_OBAT_ALL = ("id, kode, nama, produsen, CAST(round(harga, 2) AS DOUBLE) AS harga, stok, expired_date, golongan, "
+             "narkotika_psikotropika")
+
+ORACLE["drug_search"] = with_views(f"""
+SELECT kode, nama, produsen, {_money('harga')} AS harga, golongan, stok, expired_date FROM obat
+WHERE lower(kode) LIKE lower('%Re_%') OR lower(nama) LIKE lower('%Re_%')
+ORDER BY lower(nama), kode LIMIT 200 OFFSET 0""", "obat")
+
+ORACLE["drug_page"] = with_views(f"""
+SELECT {_OBAT_ALL} FROM obat ORDER BY lower(nama), kode LIMIT 200 OFFSET 400""", "obat")
+
+ORACLE["customer_page"] = with_views("""
+SELECT kode, nama, tgl_lahir, jenis_kelamin, no_hp, alamat FROM pelanggan
+ORDER BY lower(nama), kode LIMIT 200 OFFSET 200""", "pelanggan")
+
+ORACLE["sales_list"] = with_views(f"""
+SELECT id, no_nota, tgl, jenis, pelanggan_kode, dokter_sip, narkotika_psikotropika, {_money('total')} AS total
+FROM penjualan WHERE CAST(tgl AS DATE) BETWEEN DATE '1997-01-01' AND DATE '1997-12-31'
+ORDER BY id DESC LIMIT 200 OFFSET 200""", "penjualan")
+
+ORACLE["row_filter"] = with_views("""
+SELECT kode, nama, golongan, stok, expired_date FROM obat
+WHERE contains(lower(concat_ws(' ', coalesce(kode, ''), coalesce(nama, ''), coalesce(golongan, ''),
+                               coalesce(CAST(stok AS VARCHAR), ''), coalesce(CAST(expired_date AS VARCHAR), ''))),
+               'psiko')""", "obat")
+
+ORACLE["lookup_keys"] = with_views("""
+SELECT k.requested, c.kode, c.nama, c.alergi, c.kode IS NOT NULL AS found
+FROM (SELECT DISTINCT pelanggan_kode AS requested FROM penjualan) k
+LEFT JOIN pelanggan c ON c.kode = k.requested""", "penjualan", "pelanggan")
+
+ORACLE["bulk_lookup"] = with_views("""
+SELECT kode, nama, stok, expired_date, golongan FROM obat
+WHERE kode IN (SELECT obat_kode FROM pembelian_item)""", "obat", "pembelian_item")
+
+ORACLE["stock_report"] = with_views("""
+SELECT kode, nama, golongan, stok, expired_date FROM obat ORDER BY lower(nama), kode""", "obat")
+
+ORACLE["customer_report"] = with_views("""
+SELECT kode, nama, tgl_lahir, jenis_kelamin, no_hp, alamat FROM pelanggan ORDER BY lower(nama), kode""",
+    "pelanggan")

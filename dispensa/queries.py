@@ -13,7 +13,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dispensa.operators import reports
+from dispensa.functions.scalars import money_out
+from dispensa.operators import reports, search
 from dispensa.sources import testdata as td
 
 AS_OF = td.AS_OF
@@ -125,3 +126,61 @@ def q_sale_detail(spark: SparkSession, d: str) -> DataFrame:
 @register("expiry_watch")
 def q_expiry_watch(spark: SparkSession, d: str) -> DataFrame:
     return reports.expiry_watch(td.pembelian_item(spark, d), td.obat(spark, d), AS_OF, days=30)
+
+
+# ------------------------------------------------------- listing and search
+@register("drug_search")
+def q_drug_search(spark: SparkSession, d: str) -> DataFrame:
+    """Keyword search with a live ``_`` wildcard, case-insensitive, first page of 200."""
+    r = search.search(td.obat(spark, d), "Re_", limit=200, page=1)
+    return r.withColumn("harga", money_out("harga"))
+
+
+@register("drug_page")
+def q_drug_page(spark: SparkSession, d: str) -> DataFrame:
+    r = search.list_page(td.obat(spark, d), None, search.name_order(), limit=200, page=3)
+    return r.withColumn("harga", money_out("harga"))
+
+
+@register("customer_page")
+def q_customer_page(spark: SparkSession, d: str) -> DataFrame:
+    return search.list_page(td.pelanggan(spark, d),
+                            ["kode", "nama", "tgl_lahir", "jenis_kelamin", "no_hp", "alamat"],
+                            search.name_order(), limit=200, page=2)
+
+
+@register("sales_list")
+def q_sales_list(spark: SparkSession, d: str) -> DataFrame:
+    r = search.sales_list(td.penjualan(spark, d), None, "1997-01-01", "1997-12-31", limit=200, page=2)
+    return r.withColumn("total", money_out("total"))
+
+
+@register("row_filter")
+def q_row_filter(spark: SparkSession, d: str) -> DataFrame:
+    """Stock report rows whose displayed text contains 'psiko'."""
+    rows = search.stock_report(td.obat(spark, d))
+    return search.row_contains(rows, ["kode", "nama", "golongan", "stok", "expired_date"], "Psiko")
+
+
+@register("lookup_keys")
+def q_lookup_keys(spark: SparkSession, d: str) -> DataFrame:
+    """Customer of every sale looked up at once, with a found flag."""
+    cust = td.pelanggan(spark, d).select("kode", "nama", "alergi")
+    return search.lookup(cust, td.penjualan(spark, d), "kode", "pelanggan_kode")
+
+
+@register("bulk_lookup")
+def q_bulk_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """Drugs named by any purchase line (``kode IN (...)``)."""
+    r = search.lookup_in(td.obat(spark, d), td.pembelian_item(spark, d), "kode", "obat_kode")
+    return r.select("kode", "nama", "stok", "expired_date", "golongan")
+
+
+@register("stock_report")
+def q_stock_report(spark: SparkSession, d: str) -> DataFrame:
+    return search.stock_report(td.obat(spark, d))
+
+
+@register("customer_report")
+def q_customer_report(spark: SparkSession, d: str) -> DataFrame:
+    return search.customer_report(td.pelanggan(spark, d))
