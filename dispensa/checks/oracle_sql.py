@@ -154,3 +154,50 @@ SELECT kode, nama, golongan, stok, expired_date FROM obat ORDER BY lower(nama),
 ORACLE["customer_report"] = with_views("""
 SELECT kode, nama, tgl_lahir, jenis_kelamin, no_hp, alamat FROM pelanggan ORDER BY lower(nama), kode""",
     "pelanggan")
+
+_LEDGER_SALDO = ("CAST(sum(CAST(qty_in AS BIGINT) - qty_out) OVER (PARTITION BY obat_kode ORDER BY id "
+                 "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT)")
+
+ORACLE["ledger_balance"] = with_views(f"""
+SELECT id, obat_kode, ref_type, qty_in, qty_out, {_LEDGER_SALDO} AS saldo FROM ledger""", "ledger")
+
+ORACLE["latest_balance"] = with_views(f"""
+SELECT obat_kode, arg_max(saldo, id) AS saldo, max(id) AS last_id
+FROM (SELECT id, obat_kode, {_LEDGER_SALDO} AS saldo FROM ledger) GROUP BY obat_kode""", "ledger")
+
+ORACLE["stock_card"] = with_views(f"""
+SELECT l.obat_kode, o.nama, o.stok AS stok_obat, o.expired_date AS obat_expired_date, l.row_no, l.id, l.ref_type,
+       l.qty_in, l.qty_out, l.saldo
+FROM (SELECT id, obat_kode, ref_type, qty_in, qty_out, {_LEDGER_SALDO} AS saldo,
+             CAST(row_number() OVER (PARTITION BY obat_kode ORDER BY id) AS BIGINT) AS row_no FROM ledger) l
+JOIN obat o ON o.kode = l.obat_kode
+WHERE l.row_no > 20 AND l.row_no <= 40""", "ledger", "obat")
+
+ORACLE["ledger_from_documents"] = with_views("""
+SELECT line_id, ref_type, ref_id, obat_kode, qty_in, qty_out,
+       CAST(sum(CAST(qty_in AS BIGINT) - qty_out) OVER (PARTITION BY obat_kode ORDER BY line_id, ref_type
+            ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS saldo
+FROM (SELECT id AS line_id, 'BELI' AS ref_type, pembelian_id AS ref_id, obat_kode, qty AS qty_in, 0 AS qty_out
+      FROM pembelian_item
+      UNION ALL
+      SELECT id, 'JUAL', penjualan_id, obat_kode, 0, qty FROM penjualan_item)""",
+    "pembelian_item", "penjualan_item")
+
+ORACLE["doc_totals"] = with_views(f"""
+SELECT penjualan_id, {_money('sum(qty * harga_jual)')} AS total, CAST(count(*) AS BIGINT) AS n_lines
+FROM penjualan_item GROUP BY penjualan_id""", "penjualan_item")
+
+ORACLE["stock_apply"] = with_views("""
+SELECT o.kode, CAST(o.stok + coalesce(m.delta, 0) AS INTEGER) AS stok,
+       CASE WHEN e.exp IS NULL THEN o.expired_date WHEN o.expired_date IS NULL THEN e.exp
+            ELSE least(o.expired_date, e.exp) END AS expired_date
+FROM obat o
+LEFT JOIN (SELECT obat_kode, sum(qin) - sum(qout) AS delta FROM (
+             SELECT obat_kode, qty AS qin, 0 AS qout FROM pembelian_item
+             UNION ALL SELECT obat_kode, 0, qty FROM penjualan_item) GROUP BY obat_kode) m ON m.obat_kode = o.kode
+LEFT JOIN (SELECT obat_kode, min(expired_date) AS exp FROM pembelian_item GROUP BY obat_kode) e
+       ON e.obat_kode = o.kode""", "obat", "pembelian_item", "penjualan_item")
+
+ORACLE["controlled_flag"] = with_views("""
+SELECT i.penjualan_id, bool_or(o.golongan IN ('Psikotropika', 'Narkotika')) AS narkotika_psikotropika
+FROM penjualan_item i JOIN obat o ON o.kode = i.obat_kode GROUP BY i.penjualan_id""", "penjualan_item", "obat")

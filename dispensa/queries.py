@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dispensa.functions.scalars import money_out
-from dispensa.operators import reports, search
+from dispensa.operators import ledger, reports, search
 from dispensa.sources import testdata as td
 
 AS_OF = td.AS_OF
@@ -184,3 +184,56 @@ def q_stock_report(spark: SparkSession, d: str) -> DataFrame:
 @register("customer_report")
 def q_customer_report(spark: SparkSession, d: str) -> DataFrame:
     return search.customer_report(td.pelanggan(spark, d))
+
+
+# ------------------------------------------------------------------ ledger
+def _ledger(spark: SparkSession, d: str) -> DataFrame:
+    return ledger.ledger_balance(td.ledger_movements(spark, d), order=["id"])
+
+
+@register("ledger_balance")
+def q_ledger_balance(spark: SparkSession, d: str) -> DataFrame:
+    """Running stock balance of every ledger row (per drug, id order, from 0)."""
+    return _ledger(spark, d).select("id", "obat_kode", "ref_type", "qty_in", "qty_out", "saldo")
+
+
+@register("latest_balance")
+def q_latest_balance(spark: SparkSession, d: str) -> DataFrame:
+    return ledger.latest_balance(_ledger(spark, d))
+
+
+@register("stock_card")
+def q_stock_card(spark: SparkSession, d: str) -> DataFrame:
+    """Second page (20 rows) of every drug's stock card."""
+    cards = ledger.stock_cards(td.obat(spark, d), _ledger(spark, d), None, limit=20, page=2)
+    return cards.select("obat_kode", "nama", "stok_obat", "obat_expired_date", "row_no", "id", "ref_type",
+                        "qty_in", "qty_out", "saldo")
+
+
+@register("ledger_from_documents")
+def q_ledger_from_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Purchase (in) and sale (out) lines as one movement table with balances."""
+    mov = ledger.movement_union(ledger.purchase_movements(td.pembelian_item(spark, d)),
+                                ledger.sale_movements(td.penjualan_item(spark, d)))
+    out = ledger.ledger_balance(mov, order=["line_id", "ref_type"])
+    return out.select("line_id", "ref_type", "ref_id", "obat_kode", "qty_in", "qty_out", "saldo")
+
+
+@register("doc_totals")
+def q_doc_totals(spark: SparkSession, d: str) -> DataFrame:
+    t = ledger.doc_totals(td.penjualan_item(spark, d), "penjualan_id")
+    return t.select("penjualan_id", money_out("total").alias("total"), "n_lines")
+
+
+@register("stock_apply")
+def q_stock_apply(spark: SparkSession, d: str) -> DataFrame:
+    """Drug snapshot after all purchase and sale lines: stock and earliest expiry."""
+    buys = td.pembelian_item(spark, d)
+    mov = ledger.movement_union(ledger.purchase_movements(buys), ledger.sale_movements(td.penjualan_item(spark, d)))
+    out = ledger.apply_stock(td.obat(spark, d), mov, buys.select("obat_kode", "expired_date"))
+    return out.select("kode", "stok", "expired_date")
+
+
+@register("controlled_flag")
+def q_controlled_flag(spark: SparkSession, d: str) -> DataFrame:
+    return ledger.controlled_flag(td.penjualan_item(spark, d), td.obat(spark, d))
