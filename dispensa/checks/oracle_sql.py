@@ -201,3 +201,120 @@ LEFT JOIN (SELECT obat_kode, min(expired_date) AS exp FROM pembelian_item GROUP
 ORACLE["controlled_flag"] = with_views("""
 SELECT i.penjualan_id, bool_or(o.golongan IN ('Psikotropika', 'Narkotika')) AS narkotika_psikotropika
 FROM penjualan_item i JOIN obat o ON o.kode = i.obat_kode GROUP BY i.penjualan_id""", "penjualan_item", "obat")
+
+ORACLE["interaction_hits"] = with_views("""
+SELECT DISTINCT a.penjualan_id, x.obat1_kode, x.obat2_kode, x.tingkat
+FROM penjualan_item a JOIN penjualan_item b ON a.penjualan_id = b.penjualan_id AND a.obat_kode < b.obat_kode
+JOIN interaksi x ON x.obat1_kode = a.obat_kode AND x.obat2_kode = b.obat_kode
+WHERE x.tingkat IN ('major', 'contraindicated')""", "penjualan_item", "interaksi")
+
+ORACLE["allergy_hits"] = with_views("""
+SELECT i.penjualan_id, i.id AS line_id, i.obat_kode, p.pelanggan_kode, c.alergi
+FROM penjualan_item i JOIN penjualan p ON p.id = i.penjualan_id JOIN pelanggan c ON c.kode = p.pelanggan_kode
+JOIN obat o ON o.kode = i.obat_kode
+WHERE c.alergi IS NOT NULL AND c.alergi <> '' AND c.alergi <> '0'
+  AND (contains(lower(c.alergi), lower(i.obat_kode)) OR contains(lower(c.alergi), lower(o.nama)))""",
+    "penjualan_item", "penjualan", "pelanggan", "obat")
+
+ORACLE["resolve_codes"] = with_views("""
+SELECT t.id, t.obat_input,
+       CASE WHEN t.t <> '' AND c.uk IS NOT NULL THEN t.t WHEN t.t <> '' AND n.k IS NOT NULL THEN n.k END AS resolved,
+       (CASE WHEN t.t <> '' AND c.uk IS NOT NULL THEN t.t WHEN t.t <> '' AND n.k IS NOT NULL THEN n.k END)
+         IS NOT NULL AS valid
+FROM (SELECT id, obat_input,
+             CASE WHEN contains(trim(obat_input), ' - ') THEN trim(split_part(trim(obat_input), ' - ', 1))
+                  ELSE trim(obat_input) END AS t FROM typed_inputs) t
+LEFT JOIN (SELECT DISTINCT upper(kode) AS uk FROM obat) c ON upper(t.t) = c.uk
+LEFT JOIN (SELECT lower(nama) AS ln, max(kode) AS k FROM obat WHERE nama IS NOT NULL GROUP BY 1) n
+       ON lower(t.t) = n.ln""", "typed_inputs", "obat")
+
+ORACLE["missing_refs"] = with_views("""
+SELECT id, obat_input FROM typed_inputs
+WHERE obat_input IS NOT NULL AND obat_input NOT IN (SELECT kode FROM obat)""", "typed_inputs", "obat")
+
+_NUMERIC_RE = "'\\s*[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?\\s*'"
+
+ORACLE["validate_rows"] = with_views(f"""
+SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY fo, ro) - 1 AS INTEGER) AS pos, field, msg FROM (
+  SELECT id, 1 AS fo, 1 AS ro, 'kode' AS field, 'kode maksimal 50 karakter' AS msg FROM drug_requests
+   WHERE kode <> '' AND length(kode) > 50
+  UNION ALL SELECT id, 2, 1, 'nama', 'nama wajib diisi' FROM drug_requests WHERE nama IS NULL OR nama = ''
+  UNION ALL SELECT id, 2, 2, 'nama', 'nama maksimal 255 karakter' FROM drug_requests
+   WHERE nama <> '' AND length(nama) > 255
+  UNION ALL SELECT id, 3, 1, 'produsen', 'produsen maksimal 255 karakter' FROM drug_requests
+   WHERE produsen <> '' AND length(produsen) > 255
+  UNION ALL SELECT id, 4, 1, 'harga', 'harga wajib diisi' FROM drug_requests WHERE harga IS NULL OR harga = ''
+  UNION ALL SELECT id, 4, 2, 'harga', 'harga harus numerik' FROM drug_requests
+   WHERE harga <> '' AND NOT regexp_full_match(harga, {_NUMERIC_RE})
+  UNION ALL SELECT id, 4, 3, 'harga', 'harga minimal 0' FROM drug_requests
+   WHERE harga <> '' AND regexp_full_match(harga, {_NUMERIC_RE}) AND TRY_CAST(trim(harga) AS DOUBLE) < 0
+  UNION ALL SELECT id, 5, 1, 'stok', 'stok wajib diisi' FROM drug_requests WHERE stok IS NULL OR stok = ''
+  UNION ALL SELECT id, 5, 2, 'stok', 'stok harus integer' FROM drug_requests
+   WHERE stok <> '' AND NOT regexp_full_match(stok, '[0-9]+')
+  UNION ALL SELECT id, 5, 3, 'stok', 'stok minimal 0' FROM drug_requests
+   WHERE stok <> '' AND regexp_full_match(stok, {_NUMERIC_RE}) AND TRY_CAST(trim(stok) AS DOUBLE) < 0
+  UNION ALL SELECT id, 6, 1, 'expired_date', 'expired_date harus tanggal (YYYY-MM-DD)' FROM drug_requests
+   WHERE expired_date <> ''
+     AND coalesce(strftime(try_strptime(expired_date, '%Y-%m-%d'), '%Y-%m-%d') <> expired_date, true)
+  UNION ALL SELECT id, 7, 1, 'golongan', 'golongan wajib diisi' FROM drug_requests
+   WHERE golongan IS NULL OR golongan = ''
+  UNION ALL SELECT id, 7, 2, 'golongan', 'golongan harus salah satu dari: NONE,OTC,OBT,OK,Psikotropika,Narkotika'
+   FROM drug_requests WHERE golongan <> ''
+     AND golongan NOT IN ('NONE', 'OTC', 'OBT', 'OK', 'Psikotropika', 'Narkotika')
+)""", "drug_requests")
+
+ORACLE["admit_interactions"] = with_views("""
+SELECT id, p1, p2, tingkat, err IS NULL AS accepted, coalesce(err, '') AS error FROM (
+  SELECT id, p1, p2, tingkat,
+         CASE WHEN base_err IS NOT NULL THEN base_err
+              WHEN id <> min(CASE WHEN base_err IS NULL THEN id END) OVER (PARTITION BY p1, p2)
+                THEN 'Pasangan sudah ada' END AS err
+  FROM (SELECT id, least(obat1_kode, obat2_kode) AS p1, greatest(obat1_kode, obat2_kode) AS p2, tingkat,
+               CASE WHEN obat1_kode IS NULL OR obat1_kode = '' THEN 'obat1_kode wajib diisi'
+                    WHEN obat2_kode IS NULL OR obat2_kode = '' THEN 'obat2_kode wajib diisi'
+                    WHEN tingkat IS NULL OR tingkat = '' THEN 'tingkat wajib diisi'
+                    WHEN tingkat NOT IN ('minor', 'moderate', 'major', 'contraindicated')
+                      THEN 'tingkat harus salah satu dari: minor,moderate,major,contraindicated'
+                    WHEN obat1_kode = obat2_kode THEN 'Obat tidak boleh sama' END AS base_err
+        FROM interaction_requests))""", "interaction_requests")
+
+ORACLE["duplicates"] = with_views("""
+SELECT pembelian_id, batch_no, CAST(count(*) AS BIGINT) AS n FROM pembelian_item
+GROUP BY 1, 2 HAVING count(*) > 1""", "pembelian_item")
+
+
+def _orphan(name: str, child: str, fk: str, parent: str, key: str) -> str:
+    return (f"SELECT '{name}' AS fk, CAST(count(*) AS BIGINT) AS n_orphans FROM {child} "
+            f"WHERE {fk} IS NOT NULL AND {fk} NOT IN (SELECT {key} FROM {parent})")
+
+
+ORACLE["orphans"] = with_views("\nUNION ALL\n".join([
+    _orphan("penjualan_item.obat_kode", "penjualan_item", "obat_kode", "obat", "kode"),
+    _orphan("penjualan_item.penjualan_id", "penjualan_item", "penjualan_id", "penjualan", "id"),
+    _orphan("penjualan.pelanggan_kode", "penjualan", "pelanggan_kode", "pelanggan", "kode"),
+    _orphan("pembelian_item.obat_kode", "pembelian_item", "obat_kode", "obat", "kode"),
+    _orphan("pembelian_item.pembelian_id", "pembelian_item", "pembelian_id", "pembelian", "id"),
+    _orphan("pembelian.supplier_kode", "pembelian", "supplier_kode", "supp", "kode"),
+    _orphan("interaksi_obat.obat1_kode", "interaksi", "obat1_kode", "obat", "kode"),
+    _orphan("interaksi_obat.obat2_kode", "interaksi", "obat2_kode", "obat", "kode"),
+    _orphan("stok_kartu.obat_kode", "ledger", "obat_kode", "obat", "kode"),
+    _orphan("hutang_supplier_bayar.hutang_id", "bayar", "hutang_id", "hutang", "id"),
+]), "penjualan_item", "obat", "penjualan", "pelanggan", "pembelian_item", "pembelian", "supp", "interaksi",
+    "ledger", "bayar", "hutang")
+
+
+def _domain(name: str, table: str, col: str, dom: list[str]) -> str:
+    vals = ", ".join(f"'{v}'" for v in dom)
+    return (f"SELECT '{name}' AS check, CAST(count(*) AS BIGINT) AS n_bad FROM {table} "
+            f"WHERE {col} IS NOT NULL AND {col} NOT IN ({vals})")
+
+
+from dispensa import model as _m  # noqa: E402
+
+ORACLE["out_of_domain"] = with_views("\nUNION ALL\n".join([
+    _domain("m_obat.golongan", "obat", "golongan", _m.GOLONGAN),
+    _domain("request.golongan", "drug_requests", "golongan", _m.GOLONGAN),
+    _domain("penjualan.jenis", "penjualan", "jenis", _m.JENIS),
+    _domain("interaksi_obat.tingkat", "interaksi", "tingkat", _m.TINGKAT),
+    _domain("stok_kartu.ref_type", "ledger", "ref_type", _m.REF_TYPE),
+]), "obat", "drug_requests", "penjualan", "interaksi", "ledger")

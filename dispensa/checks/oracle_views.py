@@ -100,6 +100,29 @@ VIEWS: dict[str, tuple[list[str], str]] = {
                CAST(generate_subscripts(string_split(text, chr(10)), 1) - 1 AS INTEGER) AS line_no,
                unnest(string_split(text, chr(10))) AS text
         FROM documents"""),
+    "typed_inputs": (["pembelian_item", "obat"], """
+        SELECT i.id, CASE i.id % 4 WHEN 0 THEN concat_ws(' - ', i.obat_kode, o.nama)
+                                   WHEN 1 THEN ' ' || i.obat_kode || ' '
+                                   WHEN 2 THEN upper(o.nama) ELSE 'X' || i.obat_kode END AS obat_input
+        FROM pembelian_item i LEFT JOIN obat o ON o.kode = i.obat_kode"""),
+    "drug_requests": ([], f"""
+        SELECT CAST(p_partkey AS BIGINT) AS id,
+               CASE WHEN p_partkey % 19 = 0 THEN repeat(p_name, 6) ELSE CAST(p_partkey AS VARCHAR) END AS kode,
+               CASE WHEN p_partkey % 17 = 0 THEN '' ELSE p_name END AS nama,
+               p_brand AS produsen, CAST(p_retailprice AS VARCHAR) AS harga,
+               CASE WHEN p_partkey % 11 = 0 THEN '-' || CAST(p_size AS VARCHAR) ELSE CAST(p_size AS VARCHAR) END AS stok,
+               CASE WHEN p_partkey % 13 = 0
+                    THEN strftime({AS_OF} + CAST((p_partkey * 37) % 400 - 40 AS INTEGER), '%Y-%-m-%-d')
+                    ELSE strftime({AS_OF} + CAST((p_partkey * 37) % 400 - 40 AS INTEGER), '%Y-%m-%d') END
+                 AS expired_date,
+               CASE WHEN p_partkey % 7 = 0 THEN p_type ELSE {_GOLONGAN} END AS golongan
+        FROM part"""),
+    "interaction_requests": ([], """
+        SELECT CAST(p_partkey * 5 + k AS BIGINT) AS id, CAST(p_partkey AS VARCHAR) AS obat1_kode,
+               CAST((p_partkey * 7 + k * 13 + 1) % n AS VARCHAR) AS obat2_kode,
+               CASE (p_partkey + k) % 4 WHEN 0 THEN 'contraindicated' WHEN 1 THEN 'major' WHEN 2 THEN 'moderate'
+                    ELSE 'minor' END AS tingkat
+        FROM part, range(5) t(k), (SELECT count(*) AS n FROM part) c"""),
 }
 
 

@@ -72,7 +72,7 @@ def plus_one_year(d: str | Column) -> Column:
 def strict_date(s: str | Column) -> Column:
     """The text is a real date written exactly as yyyy-MM-dd."""
     c = col_(s)
-    parsed = F.try_to_date(c, F.lit("yyyy-MM-dd"))
+    parsed = F.try_to_date(c, "yyyy-MM-dd")
     return parsed.isNotNull() & (F.date_format(parsed, "yyyy-MM-dd") == c)
 
 

@@ -53,16 +53,16 @@ def date_between(c: str | Column, d_from: Day | None, d_to: Day | None) -> Colum
 def day_kpis(sales: DataFrame, purchases: DataFrame, drugs: DataFrame, as_of: Day,
              low_threshold: int = model.LOW_STOCK) -> DataFrame:
     """today's sale count and total, today's purchase total, number of
-    low-stock drugs.  Each is a global aggregate (exactly one row), so the
-    cross joins below pair single rows."""
+    low-stock drugs.  One pass per table; the purchase total and low-stock
+    count enter as scalar subqueries (global aggregates, one value each)."""
     day = _d(as_of)
     s = sales.filter(ts_on_days("tgl", day, day)).agg(
         F.count(F.lit(1)).alias("today_penjualan_count"),
         money_out(F.coalesce(F.sum("total"), F.lit(0))).alias("today_penjualan_total"))
     p = purchases.filter(F.col("tgl") == F.lit(day)).agg(
-        money_out(F.coalesce(F.sum("total"), F.lit(0))).alias("today_pembelian_total"))
-    low = drugs.filter(F.col("stok") <= low_threshold).agg(F.count(F.lit(1)).alias("low_stock_count"))
-    return s.crossJoin(p).crossJoin(low)
+        money_out(F.coalesce(F.sum("total"), F.lit(0)))).scalar()
+    low = drugs.filter(F.col("stok") <= low_threshold).agg(F.count(F.lit(1))).scalar()
+    return s.select("*", p.alias("today_pembelian_total"), low.alias("low_stock_count"))
 
 
 def sales_7d(sales: DataFrame, as_of: Day) -> DataFrame:

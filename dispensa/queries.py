@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dispensa.functions.scalars import money_out
-from dispensa.operators import ledger, reports, search
+from dispensa.operators import ledger, quality, reports, screening, search
 from dispensa.sources import testdata as td
 
 AS_OF = td.AS_OF
@@ -237,3 +237,78 @@ def q_stock_apply(spark: SparkSession, d: str) -> DataFrame:
 @register("controlled_flag")
 def q_controlled_flag(spark: SparkSession, d: str) -> DataFrame:
     return ledger.controlled_flag(td.penjualan_item(spark, d), td.obat(spark, d))
+
+
+# ---------------------------------------------------------------- screening
+@register("interaction_hits")
+def q_interaction_hits(spark: SparkSession, d: str) -> DataFrame:
+    """Major and contraindicated drug pairs inside each sale."""
+    return screening.interaction_hits(td.penjualan_item(spark, d), td.interaksi(spark, d))
+
+
+@register("allergy_hits")
+def q_allergy_hits(spark: SparkSession, d: str) -> DataFrame:
+    return screening.allergy_hits(td.penjualan(spark, d), td.penjualan_item(spark, d),
+                                  td.pelanggan(spark, d), td.obat(spark, d))
+
+
+@register("resolve_codes")
+def q_resolve_codes(spark: SparkSession, d: str) -> DataFrame:
+    return screening.resolve(td.typed_drug_inputs(spark, d), "obat_input", td.obat(spark, d))
+
+
+@register("missing_refs")
+def q_missing_refs(spark: SparkSession, d: str) -> DataFrame:
+    """Typed drug inputs that name no drug code as typed."""
+    return screening.missing_refs(td.typed_drug_inputs(spark, d), "obat_input", td.obat(spark, d), "kode")
+
+
+@register("validate_rows")
+def q_validate_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Drug insert requests checked with the drug rule set, one row per error."""
+    v = quality.validate(td.drug_requests(spark, d), quality.RULES_DRUG)
+    x = v.select("id", F.posexplode("errors").alias("pos", "e"))
+    return x.select("id", "pos", F.col("e.field").alias("field"), F.col("e.msg").alias("msg"))
+
+
+@register("admit_interactions")
+def q_admit_interactions(spark: SparkSession, d: str) -> DataFrame:
+    a = quality.admit_interactions(td.interaction_requests(spark, d))
+    return a.select("id", "p1", "p2", "tingkat", "accepted",
+                    F.coalesce(F.try_element_at("errors", F.lit(1))["msg"], F.lit("")).alias("error"))
+
+
+@register("duplicates")
+def q_duplicates(spark: SparkSession, d: str) -> DataFrame:
+    """Batch numbers repeated inside one purchase invoice."""
+    return quality.duplicates(td.pembelian_item(spark, d), ["pembelian_id", "batch_no"])
+
+
+@register("orphans")
+def q_orphans(spark: SparkSession, d: str) -> DataFrame:
+    drugs, sales, buys = td.obat(spark, d), td.penjualan(spark, d), td.pembelian(spark, d)
+    pay = td.hutang(spark, d)
+    return quality.orphan_report({
+        "penjualan_item.obat_kode": (td.penjualan_item(spark, d), "obat_kode", drugs, "kode"),
+        "penjualan_item.penjualan_id": (td.penjualan_item(spark, d), "penjualan_id", sales, "id"),
+        "penjualan.pelanggan_kode": (sales, "pelanggan_kode", td.pelanggan(spark, d), "kode"),
+        "pembelian_item.obat_kode": (td.pembelian_item(spark, d), "obat_kode", drugs, "kode"),
+        "pembelian_item.pembelian_id": (td.pembelian_item(spark, d), "pembelian_id", buys, "id"),
+        "pembelian.supplier_kode": (buys, "supplier_kode", td.supplier(spark, d), "kode"),
+        "interaksi_obat.obat1_kode": (td.interaksi(spark, d), "obat1_kode", drugs, "kode"),
+        "interaksi_obat.obat2_kode": (td.interaksi(spark, d), "obat2_kode", drugs, "kode"),
+        "stok_kartu.obat_kode": (td.ledger_movements(spark, d), "obat_kode", drugs, "kode"),
+        "hutang_supplier_bayar.hutang_id": (td.hutang_bayar(spark, d, pay), "hutang_id", pay, "id"),
+    })
+
+
+@register("out_of_domain")
+def q_out_of_domain(spark: SparkSession, d: str) -> DataFrame:
+    from dispensa import model
+    return quality.domain_report({
+        "m_obat.golongan": (td.obat(spark, d), "golongan", model.GOLONGAN),
+        "request.golongan": (td.drug_requests(spark, d), "golongan", model.GOLONGAN),
+        "penjualan.jenis": (td.penjualan(spark, d), "jenis", model.JENIS),
+        "interaksi_obat.tingkat": (td.interaksi(spark, d), "tingkat", model.TINGKAT),
+        "stok_kartu.ref_type": (td.ledger_movements(spark, d), "ref_type", model.REF_TYPE),
+    })

@@ -164,10 +164,9 @@ def pembelian_item(spark: SparkSession, d: str) -> DataFrame:
 
 def interaksi(spark: SparkSession, d: str) -> DataFrame:
     p = raw(spark, d, "part").select("p_partkey")
-    n = p.agg(F.count(F.lit(1)).alias("__n"))          # exactly one row
-    ks = spark.range(5).withColumnRenamed("id", "k")    # five fixed offsets
-    x = p.crossJoin(F.broadcast(ks)).crossJoin(F.broadcast(n))
-    x = x.withColumn("other", F.pmod(F.col("p_partkey") * 7 + F.col("k") * 13 + 1, F.col("__n")))
+    n = p.agg(F.count(F.lit(1))).scalar()               # scalar subquery: number of parts
+    x = p.select("p_partkey", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("k"))
+    x = x.withColumn("other", F.pmod(F.col("p_partkey") * 7 + F.col("k") * 13 + 1, n))
     x = x.filter(F.col("other") != F.col("p_partkey"))
     a = F.col("p_partkey").cast("string")
     b = F.col("other").cast("string")
@@ -216,11 +215,10 @@ def hutang(spark: SparkSession, d: str) -> DataFrame:
 def hutang_bayar(spark: SparkSession, d: str, payables: DataFrame) -> DataFrame:
     """Payment requests: purchase events spread over the open payables."""
     e = raw(spark, d, "events").filter(F.col("event_type") == "purchase")
-    n = payables.agg(F.floor(F.count(F.lit(1)) / 50).alias("__m"))   # one row
-    x = e.crossJoin(F.broadcast(n))
-    return x.select(
+    m = payables.agg(F.floor(F.count(F.lit(1)) / 50)).scalar()   # scalar subquery
+    return e.select(
         F.col("event_id").cast("long").alias("id"),
-        F.pmod(F.col("event_id"), F.greatest(F.col("__m"), F.lit(1))).cast("long").alias("hutang_id"),
+        F.pmod(F.col("event_id"), F.greatest(m, F.lit(1))).cast("long").alias("hutang_id"),
         F.to_date("ts").alias("tgl"),
         F.round(F.col("value") * 400, 2).cast(MONEY).alias("nominal"),
         F.lit(None).cast("string").alias("metode"),
@@ -251,3 +249,54 @@ def formula(spark: SparkSession, d: str) -> DataFrame:
         F.concat(F.lit("Formula "), F.col("l_orderkey").cast("string")).alias("nama"),
         F.to_json(F.transform("c", lambda x: x["v"])).alias("komposisi"),
     )
+
+
+def drug_requests(spark: SparkSession, d: str) -> DataFrame:
+    """Drug insert requests as raw text fields (all strings, as a JSON body
+    of strings would arrive), made from ``part``; some fields are written in
+    shapes the rules refuse (long code, blank name, signed stock, unpadded
+    date, class outside the list)."""
+    p = raw(spark, d, "part")
+    k = F.col("p_partkey")
+    exp = F.date_add(F.lit(AS_OF), (F.pmod(k * 37, F.lit(400)) - 40).cast("int"))
+    return p.select(
+        k.cast("long").alias("id"),
+        F.when(F.pmod(k, F.lit(19)) == 0, F.repeat(F.col("p_name"), 6)).otherwise(k.cast("string")).alias("kode"),
+        F.when(F.pmod(k, F.lit(17)) == 0, F.lit("")).otherwise(F.col("p_name")).alias("nama"),
+        F.col("p_brand").alias("produsen"),
+        F.col("p_retailprice").cast("string").alias("harga"),
+        F.when(F.pmod(k, F.lit(11)) == 0, F.concat(F.lit("-"), F.col("p_size").cast("string")))
+         .otherwise(F.col("p_size").cast("string")).alias("stok"),
+        F.when(F.pmod(k, F.lit(13)) == 0, F.date_format(exp, "yyyy-M-d"))
+         .otherwise(F.date_format(exp, "yyyy-MM-dd")).alias("expired_date"),
+        F.when(F.pmod(k, F.lit(7)) == 0, F.col("p_type")).otherwise(_golongan(F.col("p_type"))).alias("golongan"),
+    )
+
+
+def interaction_requests(spark: SparkSession, d: str) -> DataFrame:
+    """Interaction insert requests: part × five offsets, unsorted, self
+    pairs and repeated pairs included."""
+    p = raw(spark, d, "part").select("p_partkey")
+    n = p.agg(F.count(F.lit(1))).scalar()
+    x = p.select("p_partkey", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("k"))
+    other = F.pmod(F.col("p_partkey") * 7 + F.col("k") * 13 + 1, n)
+    lvl = F.element_at(F.array(*[F.lit(t) for t in ("contraindicated", "major", "moderate", "minor")]),
+                       (F.pmod(F.col("p_partkey") + F.col("k"), F.lit(4)) + 1).cast("int"))
+    return x.select((F.col("p_partkey") * 5 + F.col("k")).cast("long").alias("id"),
+                    F.col("p_partkey").cast("string").alias("obat1_kode"),
+                    other.cast("string").alias("obat2_kode"), lvl.alias("tingkat"),
+                    F.lit(None).cast("string").alias("keterangan"))
+
+
+def typed_drug_inputs(spark: SparkSession, d: str) -> DataFrame:
+    """Drug fields as typed in a purchase form, one per purchase line:
+    "CODE - NAME", a bare code, a bare name (in capitals), or unknown text."""
+    li = pembelian_item(spark, d).select("id", "obat_kode")
+    o = obat(spark, d).select(F.col("kode").alias("obat_kode"), "nama")
+    j = li.join(o, "obat_kode", "left")
+    form = F.pmod(F.col("id"), F.lit(4))
+    text = (F.when(form == 0, F.concat_ws(" - ", "obat_kode", "nama"))
+             .when(form == 1, F.concat(F.lit(" "), F.col("obat_kode"), F.lit(" ")))
+             .when(form == 2, F.upper("nama"))
+             .otherwise(F.concat(F.lit("X"), F.col("obat_kode"))))
+    return j.select("id", text.alias("obat_input"))
