@@ -318,3 +318,61 @@ ORACLE["out_of_domain"] = with_views("\nUNION ALL\n".join([
     _domain("interaksi_obat.tingkat", "interaksi", "tingkat", _m.TINGKAT),
     _domain("stok_kartu.ref_type", "ledger", "ref_type", _m.REF_TYPE),
 ]), "obat", "drug_requests", "penjualan", "interaksi", "ledger")
+
+ORACLE["admit_purchases"] = with_views("""
+SELECT p.id AS req_id, err_msg IS NULL AS accepted, CAST(CASE WHEN err_msg IS NULL THEN 0 ELSE 1 END AS BIGINT)
+       AS n_errors, err_field AS error_field, err_msg AS error_msg
+FROM (SELECT p.id,
+        CASE WHEN n.n IS NULL THEN 'items' WHEN s.kode IS NULL THEN 'supplier_kode'
+             WHEN m.first_missing IS NOT NULL THEN 'items.' || CAST(m.first_missing AS VARCHAR) END AS err_field,
+        CASE WHEN n.n IS NULL THEN 'items wajib diisi' WHEN s.kode IS NULL THEN 'Supplier tidak ditemukan'
+             WHEN m.first_missing IS NOT NULL THEN 'Obat tidak ditemukan' END AS err_msg
+      FROM pembelian p
+      LEFT JOIN (SELECT pembelian_id, count(*) AS n FROM pembelian_item GROUP BY 1) n ON n.pembelian_id = p.id
+      LEFT JOIN supp s ON s.kode = p.supplier_kode
+      LEFT JOIN (SELECT i.pembelian_id, min(CAST(i.id - i.pembelian_id * 100 - 1 AS INTEGER)) AS first_missing
+                 FROM pembelian_item i LEFT JOIN obat o ON o.kode = i.obat_kode WHERE o.kode IS NULL GROUP BY 1) m
+             ON m.pembelian_id = p.id) p""", "pembelian", "pembelian_item", "supp", "obat")
+
+ORACLE["default_expiry"] = with_views("""
+SELECT i.pembelian_id AS req_id, CAST(i.id - i.pembelian_id * 100 - 1 AS INTEGER) AS pos, i.obat_kode,
+       CASE WHEN i.id - i.pembelian_id * 100 - 1 = 1 THEN
+              CASE WHEN month(p.tgl) = 2 AND day(p.tgl) = 29 THEN make_date(year(p.tgl) + 1, 3, 1)
+                   ELSE CAST(p.tgl + INTERVAL 1 YEAR AS DATE) END
+            ELSE i.expired_date END AS expired_date
+FROM pembelian_item i JOIN pembelian p ON p.id = i.pembelian_id""", "pembelian_item", "pembelian")
+
+ORACLE["admit_sales_snapshot"] = with_views(f"""
+SELECT h.req_id,
+       (NOT stage1 AND coalesce(le.n_static, 0) = 0 AND coalesce(pi.n_inter, 0) = 0
+        AND coalesce(le.n_stock, 0) = 0) AS accepted,
+       stage1 AS stage1_refused,
+       CAST(CASE WHEN stage1 THEN 0 ELSE coalesce(le.n_static, 0) END AS BIGINT) AS n_line_errors,
+       CAST(CASE WHEN stage1 THEN 0 ELSE coalesce(pi.n_inter, 0) END AS BIGINT) AS n_interaction_errors,
+       CAST(CASE WHEN stage1 THEN 0 ELSE coalesce(le.n_stock, 0) END AS BIGINT) AS n_stock_errors,
+       coalesce(le.narko, false) AS narkotika_psikotropika
+FROM (SELECT p.id AS req_id,
+             (n.n IS NULL OR (p.jenis IN ('Resep', 'Racik') AND (p.dokter_sip IS NULL OR p.dokter_sip = '')))
+               AS stage1
+      FROM penjualan p LEFT JOIN (SELECT penjualan_id, count(*) AS n FROM penjualan_item GROUP BY 1) n
+           ON n.penjualan_id = p.id) h
+LEFT JOIN (
+  SELECT i.penjualan_id AS req_id,
+         sum(CASE WHEN i.obat_kode IS NULL OR i.obat_kode = '' OR i.qty <= 0 THEN 1
+                  WHEN o.kode IS NULL THEN 1
+                  ELSE (CASE WHEN o.expired_date < {AS_OF} THEN 1 ELSE 0 END)
+                     + (CASE WHEN c.alergi IS NOT NULL AND c.alergi <> '' AND c.alergi <> '0'
+                              AND (contains(lower(c.alergi), lower(i.obat_kode))
+                                   OR contains(lower(c.alergi), lower(o.nama))) THEN 1 ELSE 0 END) END) AS n_static,
+         sum(CASE WHEN i.obat_kode <> '' AND i.qty > 0 AND o.kode IS NOT NULL AND o.stok < i.qty THEN 1 ELSE 0 END)
+           AS n_stock,
+         bool_or(coalesce(o.golongan IN ('Psikotropika', 'Narkotika'), false)) AS narko
+  FROM penjualan_item i JOIN penjualan p ON p.id = i.penjualan_id
+  LEFT JOIN pelanggan c ON c.kode = p.pelanggan_kode LEFT JOIN obat o ON o.kode = i.obat_kode
+  GROUP BY 1) le ON le.req_id = h.req_id
+LEFT JOIN (
+  SELECT a.penjualan_id AS req_id, count(*) AS n_inter
+  FROM penjualan_item a JOIN penjualan_item b ON a.penjualan_id = b.penjualan_id AND a.id < b.id
+  JOIN interaksi x ON x.obat1_kode = least(a.obat_kode, b.obat_kode) AND x.obat2_kode = greatest(a.obat_kode, b.obat_kode)
+  WHERE x.tingkat IN ('major', 'contraindicated') GROUP BY 1) pi ON pi.req_id = h.req_id""",
+    "penjualan", "penjualan_item", "pelanggan", "obat", "interaksi")

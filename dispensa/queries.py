@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dispensa.functions.scalars import money_out
-from dispensa.operators import ledger, quality, reports, screening, search
+from dispensa.operators import admission, ledger, quality, reports, screening, search
 from dispensa.sources import testdata as td
 
 AS_OF = td.AS_OF
@@ -312,3 +312,40 @@ def q_out_of_domain(spark: SparkSession, d: str) -> DataFrame:
         "interaksi_obat.tingkat": (td.interaksi(spark, d), "tingkat", model.TINGKAT),
         "stok_kartu.ref_type": (td.ledger_movements(spark, d), "ref_type", model.REF_TYPE),
     })
+
+
+# ---------------------------------------------------------------- admission
+@register("admit_purchases")
+def q_admit_purchases(spark: SparkSession, d: str) -> DataFrame:
+    """Purchase requests judged; first error per refused request."""
+    hdr, lines = td.purchase_requests(spark, d)
+    v, _ = admission.admit_purchases(hdr, lines, td.supplier(spark, d), td.obat(spark, d), AS_OF)
+    first = F.try_element_at("errors", F.lit(1))
+    return v.select("req_id", "accepted", F.size("errors").cast("long").alias("n_errors"),
+                    first["field"].alias("error_field"), first["msg"].alias("error_msg"))
+
+
+@register("default_expiry")
+def q_default_expiry(spark: SparkSession, d: str) -> DataFrame:
+    """Purchase lines after defaults: blank expiry is the purchase date + 1 year."""
+    hdr, lines = td.purchase_requests(spark, d)
+    _, out = admission.admit_purchases(hdr, lines, td.supplier(spark, d), td.obat(spark, d), AS_OF)
+    return out.select("req_id", "pos", "obat_kode", "expired_date")
+
+
+def _sales_verdicts(spark: SparkSession, d: str, mode: str) -> DataFrame:
+    hdr, lines = td.sale_requests(spark, d)
+    return admission.admit_sales(hdr, lines, td.obat(spark, d), td.pelanggan(spark, d), td.interaksi(spark, d),
+                                 AS_OF, mode=mode)
+
+
+@register("admit_sales_snapshot")
+def q_admit_sales_snapshot(spark: SparkSession, d: str) -> DataFrame:
+    """Every sale judged against opening stock: all checks, error counts per kind."""
+    return _sales_verdicts(spark, d, "snapshot").drop("rounds")
+
+
+@register("admit_sales_sequential")
+def q_admit_sales_sequential(spark: SparkSession, d: str) -> DataFrame:
+    """Sales judged one after another in id order (refused sales use no stock)."""
+    return _sales_verdicts(spark, d, "sequential").drop("rounds")

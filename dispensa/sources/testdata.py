@@ -300,3 +300,31 @@ def typed_drug_inputs(spark: SparkSession, d: str) -> DataFrame:
              .when(form == 2, F.upper("nama"))
              .otherwise(F.concat(F.lit("X"), F.col("obat_kode"))))
     return j.select("id", text.alias("obat_input"))
+
+
+def purchase_requests(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Purchase requests (headers, lines) from the mapped purchases: header
+    fields as text; the second line of each invoice comes with a blank expiry."""
+    h = pembelian(spark, d, with_bayar=True)
+    headers = h.select(F.col("id").alias("req_id"), "no_faktur", F.date_format("tgl", "yyyy-MM-dd").alias("tgl"),
+                       "supplier_kode", F.col("pajak").cast("string").alias("pajak"), "bayar")
+    li = pembelian_item(spark, d)
+    pos = (F.col("id") - F.col("pembelian_id") * 100 - 1).cast("int")
+    lines = li.select(F.col("pembelian_id").alias("req_id"), pos.alias("pos"), "obat_kode", "batch_no",
+                      F.when(pos == 1, F.lit("")).otherwise(F.date_format("expired_date", "yyyy-MM-dd"))
+                       .alias("expired_date"),
+                      "qty", "harga_beli", "cold_chain", "suhu_min", "suhu_max")
+    return headers, lines
+
+
+def sale_requests(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Sale requests (headers, lines) from the mapped sales."""
+    s = penjualan(spark, d)
+    headers = s.select(F.col("id").alias("req_id"), "no_nota",
+                       F.date_format("tgl", "yyyy-MM-dd HH:mm:ss").alias("tgl"), "jenis", "pelanggan_kode",
+                       "dokter_sip")
+    li = penjualan_item(spark, d)
+    pos = (F.col("id") - F.col("penjualan_id") * 100 - 1).cast("int")
+    lines = li.select(F.col("penjualan_id").alias("req_id"), pos.alias("pos"), F.col("id").alias("line_id"),
+                      "obat_kode", "qty", "harga_jual", "batch_no", "dosis", "etiket")
+    return headers, lines
