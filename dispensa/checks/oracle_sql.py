@@ -376,3 +376,41 @@ LEFT JOIN (
   JOIN interaksi x ON x.obat1_kode = least(a.obat_kode, b.obat_kode) AND x.obat2_kode = greatest(a.obat_kode, b.obat_kode)
   WHERE x.tingkat IN ('major', 'contraindicated') GROUP BY 1) pi ON pi.req_id = h.req_id""",
     "penjualan", "penjualan_item", "pelanggan", "obat", "interaksi")
+
+_PAY_CTES = {
+    "pay": """SELECT b.id, b.hutang_id, b.nominal,
+               row_number() OVER (PARTITION BY b.hutang_id ORDER BY b.id) AS k
+        FROM bayar b JOIN hutang h ON h.id = b.hutang_id""",
+    "run": """
+  SELECT hutang_id, k, id, nominal, saldo_after, accepted FROM (
+    SELECT h.id AS hutang_id, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS id,
+           CAST(NULL AS DECIMAL(15,2)) AS nominal, CAST(h.saldo AS DECIMAL(15,2)) AS saldo_after,
+           CAST(NULL AS BOOLEAN) AS accepted FROM hutang h)
+  UNION ALL
+  SELECT r.hutang_id, p.k, p.id, p.nominal,
+         CAST(CASE WHEN p.nominal > 0 AND p.nominal <= r.saldo_after THEN r.saldo_after - p.nominal
+                   ELSE r.saldo_after END AS DECIMAL(15,2)),
+         p.nominal > 0 AND p.nominal <= r.saldo_after
+  FROM run r JOIN pay p ON p.hutang_id = r.hutang_id AND p.k = r.k + 1""",
+}
+
+
+def _with_recursive(body: str, *views: str) -> str:
+    sql = with_views(body, *views, extra=_PAY_CTES)
+    return "WITH RECURSIVE " + sql[len("WITH "):]
+
+
+ORACLE["post_payments"] = _with_recursive(f"""
+SELECT id, hutang_id, {_money('nominal')} AS nominal, accepted,
+       CASE WHEN NOT (nominal > 0) THEN 'Harus > 0' WHEN NOT accepted THEN 'Lebih besar dari saldo hutang' ELSE '' END
+         AS error, {_money('saldo_after')} AS saldo_after
+FROM run WHERE k > 0
+UNION ALL
+SELECT b.id, b.hutang_id, {_money('b.nominal')}, false,
+       CASE WHEN NOT (b.nominal > 0) THEN 'Harus > 0' ELSE 'Not found' END, NULL
+FROM bayar b WHERE b.hutang_id NOT IN (SELECT id FROM hutang)""", "hutang", "bayar")
+
+ORACLE["payable_balances"] = _with_recursive(f"""
+SELECT h.id, h.pembelian_id, {_money('r.saldo_after')} AS saldo
+FROM hutang h JOIN (SELECT hutang_id, arg_max(saldo_after, k) AS saldo_after FROM run GROUP BY 1) r
+  ON r.hutang_id = h.id""", "hutang", "bayar")

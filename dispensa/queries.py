@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dispensa.functions.scalars import money_out
-from dispensa.operators import admission, ledger, quality, reports, screening, search
+from dispensa.operators import admission, ledger, payments, quality, reports, screening, search
 from dispensa.sources import testdata as td
 
 AS_OF = td.AS_OF
@@ -349,3 +349,23 @@ def q_admit_sales_snapshot(spark: SparkSession, d: str) -> DataFrame:
 def q_admit_sales_sequential(spark: SparkSession, d: str) -> DataFrame:
     """Sales judged one after another in id order (refused sales use no stock)."""
     return _sales_verdicts(spark, d, "sequential").drop("rounds")
+
+
+# ----------------------------------------------------------------- payments
+def _payments(spark: SparkSession, d: str):
+    h = td.hutang(spark, d)
+    return payments.post_payments(h, td.hutang_bayar(spark, d, h))
+
+
+@register("post_payments")
+def q_post_payments(spark: SparkSession, d: str) -> DataFrame:
+    """Payments applied in id order per payable; refused ones change nothing."""
+    out, _ = _payments(spark, d)
+    return out.select("id", "hutang_id", money_out("nominal").alias("nominal"), "accepted",
+                      F.coalesce("error", F.lit("")).alias("error"), money_out("saldo_after").alias("saldo_after"))
+
+
+@register("payable_balances")
+def q_payable_balances(spark: SparkSession, d: str) -> DataFrame:
+    _, h = _payments(spark, d)
+    return h.select("id", "pembelian_id", money_out("saldo").alias("saldo"))
