@@ -414,3 +414,68 @@ ORACLE["payable_balances"] = _with_recursive(f"""
 SELECT h.id, h.pembelian_id, {_money('r.saldo_after')} AS saldo
 FROM hutang h JOIN (SELECT hutang_id, arg_max(saldo_after, k) AS saldo_after FROM run GROUP BY 1) r
   ON r.hutang_id = h.id""", "hutang", "bayar")
+
+# purchases admitted (every line valid here; supplier known, drugs known, at least one line)
+_OK_PURCHASES = """
+SELECT p.* FROM pembelian p
+WHERE EXISTS (SELECT 1 FROM pembelian_item i WHERE i.pembelian_id = p.id)
+  AND p.supplier_kode IN (SELECT kode FROM supp)
+  AND NOT EXISTS (SELECT 1 FROM pembelian_item i WHERE i.pembelian_id = p.id
+                  AND i.obat_kode NOT IN (SELECT kode FROM obat))"""
+
+ORACLE["post_purchases"] = with_views(f"""
+SELECT m.id, m.obat_kode, 'BELI' AS ref_type, m.ref_id, m.qty_in, 0 AS qty_out,
+       CAST(coalesce(o.opening, 0) + sum(CAST(m.qty_in AS BIGINT)) OVER (PARTITION BY m.obat_kode ORDER BY m.id
+            ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS saldo
+FROM (SELECT CAST((SELECT max(id) FROM ledger) + row_number() OVER (ORDER BY i.id) AS BIGINT) AS id,
+             i.obat_kode, i.pembelian_id AS ref_id, i.qty AS qty_in
+      FROM pembelian_item i WHERE i.pembelian_id IN (SELECT id FROM okp)) m
+LEFT JOIN (SELECT obat_kode, sum(CAST(qty_in AS BIGINT) - qty_out) AS opening FROM ledger GROUP BY 1) o
+       ON o.obat_kode = m.obat_kode""",
+    "ledger", "pembelian", "pembelian_item", "supp", "obat", extra={"okp": _OK_PURCHASES})
+
+ORACLE["purchase_payables"] = with_views(f"""
+SELECT CAST((SELECT max(id) FROM hutang) + row_number() OVER (ORDER BY x.id) AS BIGINT) AS id,
+       x.id AS pembelian_id, x.supplier_kode, {_money('x.saldo')} AS saldo
+FROM (SELECT p.id, p.supplier_kode,
+             greatest(0, CAST(t.total AS DECIMAL(15,2)) + p.pajak - p.bayar) AS saldo
+      FROM okp p JOIN (SELECT pembelian_id, sum(qty * harga_beli) AS total FROM pembelian_item GROUP BY 1) t
+        ON t.pembelian_id = p.id) x
+WHERE x.saldo > 0""", "hutang", "pembelian", "pembelian_item", "supp", "obat", extra={"okp": _OK_PURCHASES})
+
+ORACLE["audit_rows"] = with_views("""
+SELECT 'CREATE' AS action, 'pembelian' AS entity, CAST(id AS VARCHAR) AS entity_id,
+       CAST(json_object('no_faktur', no_faktur, 'tgl', strftime(tgl, '%Y-%m-%d'), 'supplier_kode', supplier_kode,
+                        'pajak', CAST(pajak AS VARCHAR)) AS VARCHAR) AS detail
+FROM okp""", "pembelian", "pembelian_item", "supp", "obat", extra={"okp": _OK_PURCHASES})
+
+ORACLE["reverse_purchases"] = with_views("""
+SELECT p.id AS pembelian_id, CAST(coalesce(c.n_lines, 0) AS BIGINT) AS n_lines,
+       CAST(coalesce(c.n_short, 0) AS BIGINT) AS n_short, c.first_short_drug,
+       coalesce(c.n_lines, 0) > 0 AND coalesce(c.n_short, 0) = 0 AS accepted,
+       CASE WHEN coalesce(c.n_lines, 0) = 0 THEN 'Not found'
+            WHEN c.n_short > 0 THEN 'Tidak bisa hapus: stok sudah terpakai' ELSE '' END AS error
+FROM pembelian p LEFT JOIN (
+  SELECT i.pembelian_id, count(*) AS n_lines,
+         sum(CASE WHEN coalesce(o.stok, 0) < i.qty THEN 1 ELSE 0 END) AS n_short,
+         arg_min(i.obat_kode, i.id) FILTER (WHERE coalesce(o.stok, 0) < i.qty) AS first_short_drug
+  FROM pembelian_item i LEFT JOIN obat o ON o.kode = i.obat_kode GROUP BY 1) c ON c.pembelian_id = p.id""",
+    "pembelian", "pembelian_item", "obat")
+
+ORACLE["assign_codes"] = with_views("""
+SELECT c.id AS req_id, g.code AS kode FROM pelanggan c LEFT JOIN got g ON g.req_id = c.id""", "pelanggan", extra={
+    "cand": """SELECT c.id AS req_id, k,
+                 'PL' || upper(substr(md5(CAST(c.id AS VARCHAR) || ':' || CAST(k AS VARCHAR)), 1, 6)) AS code
+               FROM pelanggan c, range(6) t(k)""",
+    "free": "SELECT * FROM cand WHERE code NOT IN (SELECT kode FROM pelanggan)",
+    "first1": "SELECT req_id, arg_min(code, k) AS code, min(k) AS k FROM free GROUP BY 1",
+    "own1": "SELECT code, min(req_id) AS owner FROM first1 GROUP BY 1",
+    "won": "SELECT f.req_id, f.code FROM first1 f JOIN own1 o ON o.code = f.code AND o.owner = f.req_id",
+    "lost": "SELECT f.req_id, f.k AS k0 FROM first1 f JOIN own1 o ON o.code = f.code AND o.owner <> f.req_id",
+    "retry": """SELECT fr.req_id, fr.k, fr.code FROM free fr JOIN lost l ON l.req_id = fr.req_id
+                WHERE fr.k > l.k0 AND fr.code NOT IN (SELECT code FROM won)""",
+    "second2": "SELECT req_id, arg_min(code, k) AS code FROM retry GROUP BY 1",
+    "own2": "SELECT code, min(req_id) AS owner FROM second2 GROUP BY 1",
+    "got": """SELECT req_id, code FROM won UNION ALL
+              SELECT s.req_id, s.code FROM second2 s JOIN own2 o ON o.code = s.code AND o.owner = s.req_id""",
+})

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dispensa.functions.scalars import money_out
-from dispensa.operators import admission, ledger, payments, quality, reports, screening, search
+from dispensa.operators import admission, ledger, payments, posting, quality, reports, screening, search
 from dispensa.sources import testdata as td
 
 AS_OF = td.AS_OF
@@ -369,3 +369,62 @@ def q_post_payments(spark: SparkSession, d: str) -> DataFrame:
 def q_payable_balances(spark: SparkSession, d: str) -> DataFrame:
     _, h = _payments(spark, d)
     return h.select("id", "pembelian_id", money_out("saldo").alias("saldo"))
+
+
+# ------------------------------------------------------------------ posting
+def _posted_purchases(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    hdr, lines = td.purchase_requests(spark, d)
+    drugs = td.obat(spark, d)
+    v, lines2 = admission.admit_purchases(hdr, lines, td.supplier(spark, d), drugs, AS_OF)
+    return posting.post_purchases(v, hdr, lines2, drugs, _ledger(spark, d), td.hutang(spark, d), AS_OF)
+
+
+@register("post_purchases")
+def q_post_purchases(spark: SparkSession, d: str) -> DataFrame:
+    """Admitted purchases posted: their BELI ledger rows, balances continuing the ledger."""
+    led = _posted_purchases(spark, d)["stok_kartu"]
+    return led.select("id", "obat_kode", "ref_type", "ref_id", "qty_in", "qty_out", "saldo")
+
+
+@register("purchase_payables")
+def q_purchase_payables(spark: SparkSession, d: str) -> DataFrame:
+    """Payables created by posting the admitted purchases (unpaid part of total + tax)."""
+    h = _posted_purchases(spark, d)["hutang_supplier"]
+    return h.select("id", "pembelian_id", "supplier_kode", money_out("saldo").alias("saldo"))
+
+
+@register("audit_rows")
+def q_audit_rows(spark: SparkSession, d: str) -> DataFrame:
+    a = _posted_purchases(spark, d)["audit_log"]
+    return a.select("action", "entity", "entity_id", "detail")
+
+
+@register("post_sales")
+def q_post_sales(spark: SparkSession, d: str) -> DataFrame:
+    """Sales admitted one after another, posted: drug stock afterwards."""
+    hdr, lines = td.sale_requests(spark, d)
+    drugs = td.obat(spark, d)
+    v = admission.admit_sales(hdr, lines, drugs, td.pelanggan(spark, d), td.interaksi(spark, d), AS_OF,
+                              mode="sequential")
+    out = posting.post_sales(v, hdr, lines, drugs, _ledger(spark, d), AS_OF)
+    return out["m_obat"].select("kode", "stok")
+
+
+@register("reverse_purchases")
+def q_reverse_purchases(spark: SparkSession, d: str) -> DataFrame:
+    """Reversal of every purchase: refused where a line's drug has less stock than the line."""
+    h = td.hutang(spark, d)
+    reqs = td.pembelian(spark, d).select(F.col("id").alias("pembelian_id"))
+    out = posting.reverse_purchases(reqs, td.pembelian(spark, d), td.pembelian_item(spark, d), td.obat(spark, d),
+                                    _ledger(spark, d), h, td.hutang_bayar(spark, d, h), AS_OF)
+    return out["verdicts"].select("pembelian_id", "n_lines", "n_short", "first_short_drug", "accepted",
+                                  F.coalesce("error", F.lit("")).alias("error"))
+
+
+@register("assign_codes")
+def q_assign_codes(spark: SparkSession, d: str) -> DataFrame:
+    """Every customer re-entered without a code: repeatable PL + 6 hex codes."""
+    cust = td.pelanggan(spark, d)
+    req = cust.select(F.col("id").alias("req_id"), F.lit(None).cast("string").alias("kode"))
+    out = posting.assign_codes(req, "kode", cust, "kode", "PL")
+    return out.select("req_id", "kode")
