@@ -479,3 +479,55 @@ SELECT c.id AS req_id, g.code AS kode FROM pelanggan c LEFT JOIN got g ON g.req_
     "got": """SELECT req_id, code FROM won UNION ALL
               SELECT s.req_id, s.code FROM second2 s JOIN own2 o ON o.code = s.code AND o.owner = s.req_id""",
 })
+
+# change feed, written as the fold's closed form: last delete, first accepted
+# insert after it, then the latest present value of each field
+_CF_FIELDS = ["nama", "produsen", "harga", "stok", "golongan"]
+
+
+def _cf_field(f: str) -> str:
+    typ = {"harga": "DECIMAL(15,2)", "stok": "INTEGER"}.get(f, "VARCHAR")
+    return (f"CASE WHEN u.h_{f} THEN CAST(u.v_{f} AS {typ}) "
+            f"WHEN r.reset_is_ins THEN CAST(json_extract_string(r.ins_payload, '$.{f}') AS {typ}) "
+            f"ELSE b.{f} END AS {f}")
+
+
+ORACLE["change_feed"] = with_views(f"""
+SELECT kode, nama, produsen, {_money('harga')} AS harga, stok, golongan FROM (
+  SELECT coalesce(b.kode, r.kode) AS kode, {", ".join(_cf_field(f) for f in _CF_FIELDS)},
+         CASE WHEN r.reset IS NULL THEN b.kode IS NOT NULL ELSE r.reset_is_ins END AS keep
+  FROM obat b
+  FULL OUTER JOIN rs r ON r.kode = b.kode
+  LEFT JOIN upd u ON u.kode = coalesce(b.kode, r.kode)) WHERE keep""", "obat", "drug_changes", extra={
+    "dl": "SELECT kode, max(CASE WHEN op = 'delete' THEN seq END) AS last_del FROM drug_changes GROUP BY 1",
+    "ins": """SELECT c.kode, d.last_del, min(c.seq) AS ins_seq, arg_min(c.payload, c.seq) AS ins_payload
+              FROM drug_changes c JOIN dl d ON d.kode = c.kode
+              WHERE c.op = 'insert' AND (d.last_del IS NULL OR c.seq > d.last_del) GROUP BY 1, 2""",
+    "rs": """SELECT d.kode, d.last_del,
+                    CASE WHEN d.last_del IS NOT NULL OR d.kode NOT IN (SELECT kode FROM obat) THEN i.ins_seq END
+                      AS ins_seq,
+                    i.ins_payload,
+                    greatest(d.last_del, CASE WHEN d.last_del IS NOT NULL OR d.kode NOT IN (SELECT kode FROM obat)
+                                              THEN i.ins_seq END) AS reset,
+                    coalesce(CASE WHEN d.last_del IS NOT NULL OR d.kode NOT IN (SELECT kode FROM obat)
+                                  THEN i.ins_seq END = greatest(d.last_del, CASE WHEN d.last_del IS NOT NULL
+                                  OR d.kode NOT IN (SELECT kode FROM obat) THEN i.ins_seq END), false) AS reset_is_ins
+             FROM dl d LEFT JOIN ins i ON i.kode = d.kode""",
+    "upd": "SELECT c.kode, " + ", ".join(
+        f"arg_max(json_extract_string(c.payload, '$.{f}'), c.seq) FILTER (WHERE list_contains(json_keys(c.payload), '{f}')) AS v_{f}, "
+        f"coalesce(bool_or(list_contains(json_keys(c.payload), '{f}')), false) AS h_{f}" for f in _CF_FIELDS) + """
+              FROM drug_changes c JOIN rs r ON r.kode = c.kode
+              WHERE c.op = 'update' AND (r.reset IS NULL OR c.seq > r.reset) GROUP BY 1""",
+})
+
+ORACLE["cascade_delete"] = with_views("""
+SELECT r.kode, o.kode IS NOT NULL AS found,
+       CAST(coalesce(s.n, 0) AS BIGINT) AS n_sale_lines, CAST(coalesce(pi.n, 0) AS BIGINT) AS n_purchase_lines,
+       CAST(coalesce(l.n, 0) AS BIGINT) AS n_ledger_rows,
+       o.kode IS NOT NULL AND coalesce(pi.n, 0) = 0 AND coalesce(l.n, 0) = 0 AS deleted
+FROM (SELECT DISTINCT kode FROM drug_changes WHERE op = 'delete') r
+LEFT JOIN obat o ON o.kode = r.kode
+LEFT JOIN (SELECT obat_kode, count(*) AS n FROM penjualan_item GROUP BY 1) s ON s.obat_kode = r.kode
+LEFT JOIN (SELECT obat_kode, count(*) AS n FROM pembelian_item GROUP BY 1) pi ON pi.obat_kode = r.kode
+LEFT JOIN (SELECT obat_kode, count(*) AS n FROM ledger GROUP BY 1) l ON l.obat_kode = r.kode""",
+    "drug_changes", "obat", "penjualan_item", "pembelian_item", "ledger")

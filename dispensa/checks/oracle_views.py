@@ -123,6 +123,23 @@ VIEWS: dict[str, tuple[list[str], str]] = {
                CASE (p_partkey + k) % 4 WHEN 0 THEN 'contraindicated' WHEN 1 THEN 'major' WHEN 2 THEN 'moderate'
                     ELSE 'minor' END AS tingkat
         FROM part, range(5) t(k), (SELECT count(*) AS n FROM part) c"""),
+    "drug_changes": ([], f"""
+        SELECT CASE WHEN p_partkey % 5 = 3 THEN CAST(p_partkey + (SELECT count(*) FROM part) AS VARCHAR)
+                    ELSE CAST(p_partkey AS VARCHAR) END AS kode,
+               CASE WHEN p_partkey % 5 <= 1 THEN 'update' WHEN p_partkey % 5 = 2 THEN 'delete' ELSE 'insert' END AS op,
+               CAST(1 AS BIGINT) AS seq,
+               CASE p_partkey % 5 WHEN 0 THEN json_object('nama', upper(p_name))::VARCHAR
+                    WHEN 1 THEN '{{"produsen":null}}' WHEN 2 THEN '{{}}'
+                    ELSE json_object('nama', p_name, 'harga', CAST(p_retailprice AS VARCHAR),
+                                     'stok', CAST(p_size AS VARCHAR), 'golongan', {_GOLONGAN})::VARCHAR END AS payload
+        FROM part WHERE p_partkey % 5 <> 4
+        UNION ALL
+        SELECT CAST(p_partkey AS VARCHAR), CASE WHEN p_partkey % 15 = 0 THEN 'update' ELSE 'insert' END,
+               CAST(2 AS BIGINT),
+               CASE WHEN p_partkey % 15 = 0 THEN '{{"harga":"1.00"}}'
+                    ELSE json_object('nama', p_name, 'harga', CAST(p_retailprice AS VARCHAR),
+                                     'stok', CAST(p_size AS VARCHAR), 'golongan', {_GOLONGAN})::VARCHAR END
+        FROM part WHERE p_partkey % 15 IN (0, 2)"""),
 }
 
 

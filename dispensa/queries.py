@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dispensa.functions.scalars import money_out
-from dispensa.operators import admission, ledger, payments, posting, quality, reports, screening, search
+from dispensa.operators import (admission, changes, ledger, payments, posting, quality, reports, screening,
+                                search)
 from dispensa.sources import testdata as td
 
 AS_OF = td.AS_OF
@@ -428,3 +429,22 @@ def q_assign_codes(spark: SparkSession, d: str) -> DataFrame:
     req = cust.select(F.col("id").alias("req_id"), F.lit(None).cast("string").alias("kode"))
     out = posting.assign_codes(req, "kode", cust, "kode", "PL")
     return out.select("req_id", "kode")
+
+
+# -------------------------------------------------------------- dimensions
+@register("change_feed")
+def q_change_feed(spark: SparkSession, d: str) -> DataFrame:
+    """Drug table after a change feed of updates (absent kept, null written), deletes and inserts."""
+    fields = ["nama", "produsen", "harga", "stok", "golongan"]
+    out = changes.apply_changes(td.obat(spark, d), td.drug_changes(spark, d), "kode", fields)
+    return out.select("kode", "nama", "produsen", money_out("harga").alias("harga"), "stok", "golongan")
+
+
+@register("cascade_delete")
+def q_cascade_delete(spark: SparkSession, d: str) -> DataFrame:
+    """Deletes of the change feed's drugs: refused while referenced, else interactions go too."""
+    dels = td.drug_changes(spark, d).filter(F.col("op") == "delete").select("kode")
+    out = changes.cascade_delete_drugs(dels, td.obat(spark, d), td.interaksi(spark, d), td.penjualan_item(spark, d),
+                                       td.pembelian_item(spark, d), td.ledger_movements(spark, d),
+                                       cascade_sale_lines=True)
+    return out["verdicts"].select("kode", "found", "n_sale_lines", "n_purchase_lines", "n_ledger_rows", "deleted")

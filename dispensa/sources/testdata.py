@@ -328,3 +328,31 @@ def sale_requests(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     lines = li.select(F.col("penjualan_id").alias("req_id"), pos.alias("pos"), F.col("id").alias("line_id"),
                       "obat_kode", "qty", "harga_jual", "batch_no", "dosis", "etiket")
     return headers, lines
+
+
+def drug_changes(spark: SparkSession, d: str) -> DataFrame:
+    """Change feed on drugs (kode, op, seq, payload JSON) made from ``part``:
+    by key mod 5 — update of the name, update setting the maker to null,
+    delete, insert of a new key (key + number of parts), none; keys mod 15 = 0
+    get a second update (price), keys mod 15 = 2 are re-inserted after the
+    delete."""
+    p = raw(spark, d, "part")
+    k = F.col("p_partkey")
+    n = p.agg(F.count(F.lit(1))).scalar()
+    r = F.pmod(k, F.lit(5))
+    gol = _golongan(F.col("p_type"))
+    full = F.to_json(F.struct(F.col("p_name").alias("nama"), F.col("p_retailprice").cast("string").alias("harga"),
+                              F.col("p_size").cast("string").alias("stok"), gol.alias("golongan")))
+    first = p.filter(r != 4).select(
+        F.when(r == 3, (k + n).cast("string")).otherwise(k.cast("string")).alias("kode"),
+        F.when(r <= 1, F.lit("update")).when(r == 2, F.lit("delete")).otherwise(F.lit("insert")).alias("op"),
+        F.lit(1).cast("long").alias("seq"),
+        F.when(r == 0, F.to_json(F.struct(F.upper("p_name").alias("nama"))))
+         .when(r == 1, F.lit('{"produsen":null}'))
+         .when(r == 2, F.lit("{}")).otherwise(full).alias("payload"))
+    second = p.filter(F.pmod(k, F.lit(15)).isin(0, 2)).select(
+        k.cast("string").alias("kode"),
+        F.when(F.pmod(k, F.lit(15)) == 0, F.lit("update")).otherwise(F.lit("insert")).alias("op"),
+        F.lit(2).cast("long").alias("seq"),
+        F.when(F.pmod(k, F.lit(15)) == 0, F.lit('{"harga":"1.00"}')).otherwise(full).alias("payload"))
+    return first.unionByName(second)
