@@ -531,3 +531,48 @@ LEFT JOIN (SELECT obat_kode, count(*) AS n FROM penjualan_item GROUP BY 1) s ON
 LEFT JOIN (SELECT obat_kode, count(*) AS n FROM pembelian_item GROUP BY 1) pi ON pi.obat_kode = r.kode
 LEFT JOIN (SELECT obat_kode, count(*) AS n FROM ledger GROUP BY 1) l ON l.obat_kode = r.kode""",
     "drug_changes", "obat", "penjualan_item", "pembelian_item", "ledger")
+
+ORACLE["json_fields"] = "SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events"
+
+ORACLE["formula_lines"] = """
+SELECT 'FR' || CAST(l_orderkey AS VARCHAR) AS kode,
+       CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity,
+            l_extendedprice, l_shipdate) - 1 AS INTEGER) AS pos,
+       CAST(l_partkey AS VARCHAR) AS obat_kode, l_quantity AS qty, 'tab' AS satuan
+FROM lineitem"""
+
+ORACLE["request_reader"] = with_views(f"""
+SELECT penjualan_id AS req_id, CAST(id - penjualan_id * 100 - 1 AS INTEGER) AS pos, obat_kode, qty,
+       {_money('harga_jual')} AS harga_jual FROM penjualan_item""", "penjualan_item")
+
+ORACLE["unit_price"] = with_views("""
+SELECT id, qty, CAST(round(harga_beli, 2) AS DOUBLE) AS total,
+       CASE WHEN qty > 0 AND harga_beli >= 0 THEN
+         ((2 * CAST(harga_beli * 100 AS BIGINT) + qty) // (2 * qty)) / 100.0 END AS unit_price
+FROM pembelian_item""", "pembelian_item")
+
+ORACLE["display_number"] = with_views("""
+SELECT kode, replace(format('{:,}', CAST(round(stok * harga, 0) AS BIGINT)), ',', '.') AS nilai FROM obat""",
+    "obat")
+
+ORACLE["csv_export"] = with_views("""
+SELECT strftime(CAST(tgl AS DATE), '%Y-%m-%d') AS Tanggal, CAST(count(*) AS VARCHAR) AS Transaksi,
+       replace(format('{:,}', CAST(round(sum(total), 0) AS BIGINT)), ',', '.') AS Total
+FROM penjualan GROUP BY CAST(tgl AS DATE)""", "penjualan")
+
+_WS = ("[\\t\\n\\x{0B}\\f\\r\\x{1C}-\\x{1F} \\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}"
+       "\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]")
+
+_PAGES = f"""
+SELECT CAST(row_number() OVER (ORDER BY name) AS BIGINT) AS page_no, name,
+       regexp_replace(coalesce(t, ''), '^{_WS}+|{_WS}+$', '', 'g') AS text
+FROM (SELECT name, string_agg(CASE WHEN text <> '' THEN text END, chr(10) ORDER BY line_no) AS t
+      FROM page_lines WHERE lower(regexp_extract(name, '\\.([^.]*)$', 1)) IN ('jpg', 'jpeg', 'png', 'bmp')
+      GROUP BY name)"""
+
+ORACLE["page_text"] = with_views(f"""
+SELECT page_no, name, text, CAST(length(text) AS BIGINT) AS n_chars FROM ({_PAGES})""", "page_lines")
+
+ORACLE["page_total"] = with_views(f"""
+SELECT CAST(coalesce(sum(length(text)), 0) AS BIGINT) AS total_chars, CAST(count(*) AS BIGINT) AS n_pages
+FROM ({_PAGES})""", "page_lines")

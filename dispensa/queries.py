@@ -13,9 +13,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dispensa.functions.scalars import money_out
-from dispensa.operators import (admission, changes, ledger, payments, posting, quality, reports, screening,
-                                search)
+from dispensa.functions.scalars import display_number, money_out, unit_price
+from dispensa.operators import (admission, changes, ledger, pages, payments, posting, quality, reports,
+                                screening, search)
+from dispensa.sources import requests as rq
+from dispensa.sources import sinks
 from dispensa.sources import testdata as td
 
 AS_OF = td.AS_OF
@@ -448,3 +450,65 @@ def q_cascade_delete(spark: SparkSession, d: str) -> DataFrame:
                                        td.pembelian_item(spark, d), td.ledger_movements(spark, d),
                                        cascade_sale_lines=True)
     return out["verdicts"].select("kode", "found", "n_sale_lines", "n_purchase_lines", "n_ledger_rows", "deleted")
+
+
+# --------------------------------------------------------- functions and io
+@register("json_fields")
+def q_json_fields(spark: SparkSession, d: str) -> DataFrame:
+    """JSON decode of the events' property documents."""
+    e = td.raw(spark, d, "events").select("event_id", "props")
+    return e.select("event_id", F.from_json("props", "k int")["k"].alias("k"))
+
+
+@register("formula_lines")
+def q_formula_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Every formula's composition JSON as ingredient rows."""
+    return rq.formula_lines(td.formula(spark, d))
+
+
+@register("request_reader")
+def q_request_reader(spark: SparkSession, d: str) -> DataFrame:
+    """Sale request bodies parsed into typed lines with their item index."""
+    _, lines = rq.read_requests(td.sale_request_bodies(spark, d), rq.SALE_REQUEST)
+    return lines.select("req_id", "pos", "obat_kode", "qty", money_out("harga_jual").alias("harga_jual"))
+
+
+@register("unit_price")
+def q_unit_price(spark: SparkSession, d: str) -> DataFrame:
+    """Unit price of every purchase line from its line total and quantity."""
+    li = td.pembelian_item(spark, d)
+    return li.select("id", "qty", money_out("harga_beli").alias("total"),
+                     unit_price("harga_beli", "qty").cast("double").alias("unit_price"))
+
+
+@register("display_number")
+def q_display_number(spark: SparkSession, d: str) -> DataFrame:
+    """Stock value of every drug written with '.' thousands separators."""
+    o = td.obat(spark, d)
+    return o.select("kode", display_number(F.round(F.col("stok") * F.col("harga"), 0)).alias("nilai"))
+
+
+@register("csv_export")
+def q_csv_export(spark: SparkSession, d: str) -> DataFrame:
+    """Daily sales report written as quoted CRLF CSV, read back as text."""
+    import uuid
+    from dispensa.session import scratch_dir
+    rep = reports.sales_by_day(td.penjualan(spark, d), dt.date(1990, 1, 1), dt.date(2030, 12, 31), AS_OF)
+    sums = td.penjualan(spark, d).groupBy(F.to_date("tgl").alias("tgl")).agg(F.sum("total").alias("__t"))
+    shown = rep.join(sums, "tgl").select(F.date_format("tgl", "yyyy-MM-dd").alias("Tanggal"),
+                                         F.col("trx").alias("Transaksi"),
+                                         display_number(F.round("__t", 0)).alias("Total"))
+    path = scratch_dir(spark, f"csv-{uuid.uuid4().hex}")
+    sinks.export_csv(shown, path, ["Tanggal", "Transaksi", "Total"])
+    return sinks.read_csv_export(spark, path)
+
+
+@register("page_text")
+def q_page_text(spark: SparkSession, d: str) -> DataFrame:
+    """Page texts of the image files among the recognised documents."""
+    return pages.page_text(td.page_lines(spark, d))
+
+
+@register("page_total")
+def q_page_total(spark: SparkSession, d: str) -> DataFrame:
+    return pages.page_total(pages.page_text(td.page_lines(spark, d)))

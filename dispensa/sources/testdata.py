@@ -356,3 +356,15 @@ def drug_changes(spark: SparkSession, d: str) -> DataFrame:
         F.lit(2).cast("long").alias("seq"),
         F.when(F.pmod(k, F.lit(15)) == 0, F.lit('{"harga":"1.00"}')).otherwise(full).alias("payload"))
     return first.unionByName(second)
+
+
+def sale_request_bodies(spark: SparkSession, d: str) -> DataFrame:
+    """Sale requests as JSON bodies (header fields + ``items`` list), one per
+    sale with lines."""
+    hdr, lines = sale_requests(spark, d)
+    it = F.struct(F.col("pos"), F.struct("obat_kode", "qty", "harga_jual", "batch_no", "dosis", "etiket").alias("v"))
+    items = lines.groupBy("req_id").agg(F.sort_array(F.collect_list(it)).alias("__it")) \
+                 .select("req_id", F.transform("__it", lambda x: x["v"]).alias("items"))
+    j = hdr.join(items, "req_id")
+    return j.select("req_id", F.to_json(F.struct("no_nota", "tgl", "jenis", "pelanggan_kode", "dokter_sip",
+                                                 "items")).alias("body"))
