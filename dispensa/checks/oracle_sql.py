@@ -576,3 +576,9 @@ SELECT page_no, name, text, CAST(length(text) AS BIGINT) AS n_chars FROM ({_PAGE
 ORACLE["page_total"] = with_views(f"""
 SELECT CAST(coalesce(sum(length(text)), 0) AS BIGINT) AS total_chars, CAST(count(*) AS BIGINT) AS n_pages
 FROM ({_PAGES})""", "page_lines")
+
+ORACLE["stream_ledger"] = ORACLE["ledger_balance"]
+
+ORACLE["stream_daily_sales"] = with_views(f"""
+SELECT CAST(tgl AS DATE) AS tgl, CAST(count(*) AS BIGINT) AS trx, {_money('sum(total)')} AS total
+FROM penjualan GROUP BY 1""", "penjualan")

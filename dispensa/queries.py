@@ -512,3 +512,42 @@ def q_page_text(spark: SparkSession, d: str) -> DataFrame:
 @register("page_total")
 def q_page_total(spark: SparkSession, d: str) -> DataFrame:
     return pages.page_total(pages.page_text(td.page_lines(spark, d)))
+
+
+# ---------------------------------------------------------------- streaming
+def _orders_to_sales(df: DataFrame) -> DataFrame:
+    return df.select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("tgl"),
+                     F.col("o_totalprice").cast("decimal(15,2)").alias("total"))
+
+
+def _events_to_movements(df: DataFrame) -> DataFrame:
+    rt = (F.when(F.col("event_type").isin("signup", "purchase"), "BELI")
+           .when(F.col("event_type") == "error", "KOREKSI").otherwise("JUAL"))
+    q = F.floor("value").cast("int")
+    return df.select(F.col("event_id").cast("long").alias("id"), F.col("user_id").cast("string").alias("obat_kode"),
+                     rt.alias("ref_type"), F.when(rt == "BELI", q).otherwise(0).alias("qty_in"),
+                     F.when(rt != "BELI", q).otherwise(0).alias("qty_out"))
+
+
+@register("stream_ledger")
+def q_stream_ledger(spark: SparkSession, d: str) -> DataFrame:
+    """Ledger balances computed by a Structured Streaming query over the events source."""
+    from dispensa.streaming import streams
+    # a glob names the one file as a file-stream source (a deployment points
+    # the stream at the directory where new files land)
+    src = f"{d.rstrip('/')}/events[.]parquet"
+    q, out = streams.ledger_stream(spark, src, td.raw(spark, d, "events").schema, _events_to_movements)
+    q.awaitTermination()
+    rows = streams.ledger_stream_rows(spark, out)
+    return rows.select("id", "obat_kode", "ref_type", "qty_in", "qty_out", "saldo")
+
+
+@register("stream_daily_sales")
+def q_stream_daily_sales(spark: SparkSession, d: str) -> DataFrame:
+    """Daily sale count and total from a watermarked, windowed streaming aggregate."""
+    from dispensa.streaming import streams
+    src = f"{d.rstrip('/')}/orders[.]parquet"
+    q, out = streams.daily_sales_stream(spark, src, td.raw(spark, d, "orders").schema, _orders_to_sales)
+    q.awaitTermination()
+    r = streams.daily_sales_result(spark, out)
+    return r.select("tgl", F.col("trx").cast("long").alias("trx"), money_out("total").alias("total"))
