@@ -582,3 +582,6 @@ ORACLE["stream_ledger"] = ORACLE["ledger_balance"]
 ORACLE["stream_daily_sales"] = with_views(f"""
 SELECT CAST(tgl AS DATE) AS tgl, CAST(count(*) AS BIGINT) AS trx, {_money('sum(total)')} AS total
 FROM penjualan GROUP BY 1""", "penjualan")
+
+ORACLE["typed_scan"] = with_views(f"""SELECT {_OBAT_ALL} FROM obat""", "obat")
+ORACLE["json_export"] = ORACLE["top_sellers"]

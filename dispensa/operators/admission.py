@@ -15,7 +15,7 @@ Sale admission has two modes:
   plus undecided sales (upper bound) — decide every line that is safe or
   failing under both bounds.  The earliest undecided sale always has equal
   bounds, so each round decides at least one sale; rounds repeat until none
-  is undecided (no cap), with a reliable checkpoint between rounds.
+  is undecided (no cap); each round's verdicts are a written table (lineage cut).
 """
 
 from __future__ import annotations
@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 from dispensa import model
 from dispensa.functions.scalars import plus_one_year
 from dispensa.operators.quality import ERROR_TYPE, RULES_PURCHASE, RULES_SALE, validate
-from dispensa.plans.prefix import running_sums
+from dispensa.plans.prefix import max_key_rows, running_sums
+from dispensa.plans.lineage import materialize
 from dispensa.session import ensure_checkpoint_dir
 
 
@@ -168,6 +169,10 @@ def admit_sales(headers: DataFrame, lines: DataFrame, drugs: DataFrame, customer
     lines of one drug can jointly oversell, as the reference); ``"sum"``
     checks the sale's total per drug.
     """
+    if mode == "sequential":
+        # the request lines feed several plans of every round: written once
+        ensure_checkpoint_dir(lines.sparkSession)
+        lines = materialize(lines, "admission-request-lines")
     h, li = _sale_static(headers, lines, drugs, customers, inter, as_of)
     qty = F.col("qty").cast("long")
     if stock_rule == "sum":
@@ -209,14 +214,19 @@ def _sequential(h: DataFrame, li: DataFrame) -> DataFrame:
     """Bound-tightening fixpoint over sales in ``req_id`` order."""
     spark = h.sparkSession
     ensure_checkpoint_dir(spark)
-    # per (drug, sale): quantity the sale takes from the drug; the order-free
-    # verdict of each sale; lines keep their own need for the check
-    use = li.filter(F.col("__checkable")).groupBy("obat_kode", "req_id").agg(
-        F.sum(F.col("qty").cast("long")).alias("__take"), F.first("__stok").cast("long").alias("__open"))
-    use = use.checkpoint()
-    need = li.filter(F.col("__checkable")).select("req_id", "obat_kode", "__need").checkpoint()
+    # the order-free results are computed once and written
+    h = materialize(h, "admission-headers")
+    lines = materialize(li.filter(F.col("__checkable")).select("req_id", "obat_kode", "qty", "__need", "__stok"),
+                        "admission-lines")
+    # per (drug, sale): quantity the sale takes from the drug
+    use = materialize(lines.groupBy("obat_kode", "req_id").agg(
+        F.sum(F.col("qty").cast("long")).alias("__take"), F.first("__stok").cast("long").alias("__open")),
+        "admission-use")
+    need = lines.select("req_id", "obat_kode", "__need")
+    # sales per drug: proven once, it picks the running-sum plan of every round
+    bound = max_key_rows(use, ["obat_kode"])
     # status: 1 accepted, 0 refused, null undecided
-    status = h.select("req_id", F.when(~F.col("__static_ok"), F.lit(0)).alias("st")).checkpoint()
+    status = materialize(h.select("req_id", F.when(~F.col("__static_ok"), F.lit(0)).alias("st")), "admission-status")
 
     rounds = 0
     while True:
@@ -225,11 +235,12 @@ def _sequential(h: DataFrame, li: DataFrame) -> DataFrame:
         acc = F.when(F.col("st") == 1, F.col("__take")).otherwise(F.lit(0))
         upper = F.when(F.col("st").isNull() | (F.col("st") == 1), F.col("__take")).otherwise(F.lit(0))
         sums = running_sums(s, ["obat_kode"], ["req_id"], {"__used_min": acc, "__used_max": upper},
-                            inclusive=False)
-        avail = sums.select("req_id", "obat_kode", (F.col("__open") - F.col("__used_min")).alias("__hi"),
-                            (F.col("__open") - F.col("__used_max")).alias("__lo"), "st")
+                            inclusive=False, key_rows_bound=bound)
+        avail = sums.filter(F.col("st").isNull()).select(
+            "req_id", "obat_kode", (F.col("__open") - F.col("__used_min")).alias("__hi"),
+            (F.col("__open") - F.col("__used_max")).alias("__lo"))
         chk = need.join(avail, ["req_id", "obat_kode"])
-        per = chk.filter(F.col("st").isNull()).groupBy("req_id").agg(
+        per = chk.groupBy("req_id").agg(
             F.bool_or(F.col("__hi") < F.col("__need")).alias("__fails"),
             F.bool_and(F.col("__lo") >= F.col("__need")).alias("__safe"))
         new = status.join(per, "req_id", "left").select(
@@ -237,14 +248,14 @@ def _sequential(h: DataFrame, li: DataFrame) -> DataFrame:
             F.when(F.col("st").isNotNull(), F.col("st"))
              .when(F.col("__fails"), F.lit(0))
              .when(F.coalesce(F.col("__safe"), F.lit(True)), F.lit(1)).alias("st"))
-        status = new.checkpoint()
+        status = materialize(new, "admission-status")
         if status.filter(F.col("st").isNull()).limit(1).count() == 0:
             break
 
     # stock errors of the final verdicts: lines short under accepted-earlier use
     s = use.join(status, "req_id")
     acc = F.when(F.col("st") == 1, F.col("__take")).otherwise(F.lit(0))
-    sums = running_sums(s, ["obat_kode"], ["req_id"], {"__used": acc}, inclusive=False)
+    sums = running_sums(s, ["obat_kode"], ["req_id"], {"__used": acc}, inclusive=False, key_rows_bound=bound)
     chk = need.join(sums.select("req_id", "obat_kode", (F.col("__open") - F.col("__used")).alias("__avail")),
                     ["req_id", "obat_kode"])
     n_stock = chk.filter(F.col("__avail") < F.col("__need")).groupBy("req_id").agg(

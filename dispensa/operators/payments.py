@@ -8,8 +8,8 @@ accepted only (the balance can be no higher than ``S0 - used_min``) and
 accepted plus undecided (no lower than ``S0 - used_max``) — decide every
 payment that fits under the low balance or exceeds the high one.  The first
 undecided payment of each payable has equal bounds, so every round decides
-at least one per payable.  Rounds repeat until nothing is undecided, with a
-reliable checkpoint per round.  No payable's payments are gathered into one
+at least one per payable.  Rounds repeat until nothing is undecided, with the
+verdicts written as a table per round.  No payable's payments are gathered into one
 task or one array: a payable with a third of all payments is still spread
 over blocks by the prefix sums.
 """
@@ -20,7 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dispensa import model
-from dispensa.plans.prefix import running_sums
+from dispensa.plans.prefix import max_key_rows, running_sums
+from dispensa.plans.lineage import materialize
 from dispensa.session import ensure_checkpoint_dir
 
 
@@ -32,27 +33,30 @@ def post_payments(payables: DataFrame, pays: DataFrame) -> tuple[DataFrame, Data
     p = pays.join(h, "hutang_id", "left")
     static_err = (F.when(~(F.col("nominal") > 0), F.lit(model.MSG_PAY_POSITIVE))
                    .when(F.col("__s0").isNull(), F.lit(model.MSG_PAY_NOT_FOUND)))
-    p = p.withColumn("__static", static_err).checkpoint()
-    status = p.select("id", F.when(F.col("__static").isNotNull(), F.lit(0)).alias("st")).checkpoint()
-    live = p.filter(F.col("__static").isNull()).select("id", "hutang_id", "nominal", "__s0").checkpoint()
+    p = materialize(p.withColumn("__static", static_err), "payments-input")
+    status = materialize(p.select("id", F.when(F.col("__static").isNotNull(), F.lit(0)).alias("st")), "payments-status")
+    live = p.filter(F.col("__static").isNull()).select("id", "hutang_id", "nominal", "__s0")
+    # payments per payable: proven once, it picks the running-sum plan of every round
+    bound = max_key_rows(live, ["hutang_id"])
 
     while True:
         s = live.join(status, "id")
         acc = F.when(F.col("st") == 1, F.col("nominal")).otherwise(F.lit(0))
         upper = F.when(F.col("st").isNull() | (F.col("st") == 1), F.col("nominal")).otherwise(F.lit(0))
-        sums = running_sums(s, ["hutang_id"], ["id"], {"__min": acc, "__max": upper}, inclusive=False)
+        sums = running_sums(s, ["hutang_id"], ["id"], {"__min": acc, "__max": upper}, inclusive=False,
+                            key_rows_bound=bound)
         dec = sums.filter(F.col("st").isNull()).select(
             "id",
             F.when(F.col("nominal") <= F.col("__s0") - F.col("__max"), F.lit(1))
              .when(F.col("nominal") > F.col("__s0") - F.col("__min"), F.lit(0)).alias("__new"))
         new = status.join(dec, "id", "left").select("id", F.coalesce(F.col("st"), F.col("__new")).alias("st"))
-        status = new.checkpoint()
+        status = materialize(new, "payments-status")
         if status.filter(F.col("st").isNull()).limit(1).count() == 0:
             break
 
     s = live.join(status, "id")
     acc = F.when(F.col("st") == 1, F.col("nominal")).otherwise(F.lit(0))
-    after = running_sums(s, ["hutang_id"], ["id"], {"__paid": acc}) \
+    after = running_sums(s, ["hutang_id"], ["id"], {"__paid": acc}, key_rows_bound=bound) \
         .select("id", (F.col("__s0") - F.col("__paid")).cast(model.MONEY).alias("saldo_after"))
     out = p.join(status, "id").join(after, "id", "left").select(
         "id", "hutang_id", "tgl", "nominal",

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from dispensa import model
 from dispensa.operators import ledger as L
 from dispensa.plans.prefix import number_rows
+from dispensa.plans.lineage import materialize
 from dispensa.session import ensure_checkpoint_dir
 
 
@@ -89,7 +90,8 @@ def _append_ledger(existing: DataFrame, mov: DataFrame, order: list[str]) -> Dat
     """New ledger rows: ids after the current maximum in ``order``; balances
     continue from each drug's last balance."""
     # the current ledger reduced to one opening balance per drug, materialised
-    opening = L.latest_balance(existing).select("obat_kode", F.col("saldo").alias("opening")).checkpoint()
+    opening = materialize(L.latest_balance(existing).select("obat_kode", F.col("saldo").alias("opening")),
+                          "ledger-opening")
     max_id = existing.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
     numbered = number_rows(mov, order, name="__n")
     numbered = numbered.withColumn("id", (F.col("__n") + max_id).cast("long")).drop("__n")
@@ -116,13 +118,13 @@ def post_purchases(verdicts: DataFrame, headers: DataFrame, lines: DataFrame, dr
     drug stock and expiry, BELI ledger rows, payables, audit rows."""
     ensure_checkpoint_dir(verdicts.sparkSession)
     # stage boundary: admitted requests and their lines are written once
-    ok = verdicts.filter("accepted").select("req_id", "tgl_eff").checkpoint()
-    li = lines.join(ok.select("req_id"), "req_id", "left_semi").checkpoint()
+    ok = materialize(verdicts.filter("accepted").select("req_id", "tgl_eff"), "purchases-ok")
+    li = materialize(lines.join(ok.select("req_id"), "req_id", "left_semi"), "purchases-lines")
     totals = li.groupBy("req_id").agg(F.sum(F.col("qty") * F.col("harga_beli")).cast(model.MONEY).alias("total"))
     hdr = headers.join(ok, "req_id").join(totals, "req_id")
-    hdr = assign_codes(hdr.withColumn("__ts", F.col("tgl_eff").cast("timestamp_ntz")), "no_faktur",
-                       headers.select("no_faktur"), "no_faktur", model.PREFIX_PURCHASE, "YmdHis",
-                       "__ts").checkpoint()
+    hdr = materialize(assign_codes(hdr.withColumn("__ts", F.col("tgl_eff").cast("timestamp_ntz")), "no_faktur",
+                                   headers.select("no_faktur"), "no_faktur", model.PREFIX_PURCHASE, "YmdHis",
+                                   "__ts"), "purchases-headers")
     new_headers = hdr.select(F.col("req_id").alias("id"), "no_faktur", F.col("tgl_eff").alias("tgl"),
                              "supplier_kode", F.coalesce(F.col("pajak").try_cast(model.MONEY), F.lit(0))
                              .cast(model.MONEY).alias("pajak"), "total", "bayar")
@@ -146,8 +148,8 @@ def post_sales(verdicts: DataFrame, headers: DataFrame, lines: DataFrame, drugs:
     lines), lines (missing price is 0 as in the reference, or the catalog
     price with ``price_from_catalog``), drug stock, JUAL ledger rows, audit."""
     ensure_checkpoint_dir(verdicts.sparkSession)
-    ok = verdicts.filter("accepted").select("req_id", "narkotika_psikotropika").checkpoint()
-    li = lines.join(ok.select("req_id"), "req_id", "left_semi").checkpoint()
+    ok = materialize(verdicts.filter("accepted").select("req_id", "narkotika_psikotropika"), "sales-ok")
+    li = materialize(lines.join(ok.select("req_id"), "req_id", "left_semi"), "sales-lines")
     if price_from_catalog:
         cat = drugs.select(F.col("kode").alias("obat_kode"), F.col("harga").alias("__h"))
         li = li.join(cat, "obat_kode", "left").withColumn("harga_jual", F.coalesce("harga_jual", "__h")).drop("__h")
@@ -192,7 +194,7 @@ def reverse_purchases(requests: DataFrame, purchases: DataFrame, lines: DataFram
         .withColumn("error", F.when(F.col("n_lines") == 0, F.lit("Not found"))
                     .when(F.col("n_short") > 0, F.lit(model.MSG_REVERSAL_STOCK)))
     ensure_checkpoint_dir(requests.sparkSession)
-    verdict = verdict.checkpoint()
+    verdict = materialize(verdict, "reversal-verdicts")
     ok = verdict.filter("accepted").select("pembelian_id")
     gone = li.join(ok, "pembelian_id", "left_semi")
     mov = L.reversal_movements(gone)

@@ -30,17 +30,36 @@ def _block_col(order_col: str, block: int) -> Column:
     return F.expr(f"`{order_col}` div {int(block)}")
 
 
+def max_key_rows(df: DataFrame, keys: Sequence[str]) -> int:
+    """Largest number of rows of one key (one aggregate job, partial/final)."""
+    if not keys:
+        return int(df.count())
+    m = df.groupBy(*keys).count().agg(F.max("count")).first()[0]
+    return int(m or 0)
+
+
 def running_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str],
                  values: dict[str, Column], *, inclusive: bool = True,
-                 block: int = DEFAULT_BLOCK) -> DataFrame:
+                 block: int = DEFAULT_BLOCK, key_rows_bound: int | None = None) -> DataFrame:
     """Add one running-sum column per entry of ``values``.
 
     ``order[0]`` must be integral; ``order`` as a whole must be unique within
     a key.  ``inclusive=False`` gives the sum over strictly earlier rows.
     Null values count as 0.
+
+    ``key_rows_bound``: a proven upper bound on the rows of any one key (see
+    ``max_key_rows``).  When it is within ``block`` a single window per key
+    is as bounded as one block, and the block decomposition is skipped.
     """
     keys = list(keys)
     order = list(order)
+    upper = 0 if inclusive else -1
+    if key_rows_bound is not None and keys and key_rows_bound <= block:
+        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, upper)
+        out = df
+        for name, expr in values.items():
+            out = out.withColumn(name, F.coalesce(F.sum(F.coalesce(expr, F.lit(0))).over(w), F.lit(0)))
+        return out
     blk = "__blk"
     tmp = {name: f"__v_{name}" for name in values}
     base = df.withColumn(blk, _block_col(order[0], block))
@@ -54,7 +73,6 @@ def running_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str],
         *[F.coalesce(F.sum(f"__t_{n}").over(w_blocks), F.lit(0)).alias(f"__o_{n}") for n in values])
 
     joined = base.join(offsets, on=[*keys, blk], how="inner")
-    upper = 0 if inclusive else -1
     w_rows = Window.partitionBy(*keys, blk).orderBy(*order).rowsBetween(Window.unboundedPreceding, upper)
     out = joined
     for n in values:

@@ -551,3 +551,28 @@ def q_stream_daily_sales(spark: SparkSession, d: str) -> DataFrame:
     q.awaitTermination()
     r = streams.daily_sales_result(spark, out)
     return r.select("tgl", F.col("trx").cast("long").alias("trx"), money_out("total").alias("total"))
+
+
+
+# ------------------------------------------------------- typed scan, json sink
+@register("typed_scan")
+def q_typed_scan(spark: SparkSession, d: str) -> DataFrame:
+    """The drug table written in its declared schema and read back by the typed scan."""
+    import uuid
+    from dispensa.session import scratch_dir
+    from dispensa.sources.tables import conform, load
+    base = scratch_dir(spark, f"tables-{uuid.uuid4().hex}")
+    conform(td.obat(spark, d), "m_obat").write.parquet(f"{base}/m_obat")
+    r = load(spark, base, "m_obat")
+    return r.select("id", "kode", "nama", "produsen", money_out("harga").alias("harga"), "stok", "expired_date",
+                    "golongan", "narkotika_psikotropika")
+
+
+@register("json_export")
+def q_json_export(spark: SparkSession, d: str) -> DataFrame:
+    """Best sellers of the period written as JSON lines and read back."""
+    import uuid
+    from dispensa.session import scratch_dir
+    path = scratch_dir(spark, f"json-{uuid.uuid4().hex}")
+    sinks.export_json(q_top_sellers(spark, d), path)
+    return spark.read.schema("obat_kode string, nama string, qty long, omzet double").json(path)
