@@ -87,7 +87,8 @@ def main(argv):
     from dispensa.checks.oracle_sql import ORACLE
     sf_dir = argv[0] if argv else "/root/testdata/sf0.01"
     names = argv[1:] or list(REGISTRY)
-    spark = build_session("local[8]", 8)
+    extra = {"spark.sql.session.timeZone": os.environ["DISPENSA_TZ"]} if os.environ.get("DISPENSA_TZ") else None
+    spark = build_session("local[8]", 8, extra=extra)
     ensure_checkpoint_dir(spark)
     con = duck(sf_dir)
     bad = 0
