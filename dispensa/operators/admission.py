@@ -92,6 +92,9 @@ def admit_purchases(headers: DataFrame, lines: DataFrame, suppliers: DataFrame,
     tgl = F.when(_blank(F.col("tgl")), F.lit(as_of)).otherwise(F.to_date(F.col("tgl").cast("string")))
     verdict = h.select("req_id", tgl.alias("tgl_eff"), errors.cast(ERROR_TYPE).alias("errors")) \
                .withColumn("accepted", F.size("errors") == 0)
+    # verdicts are read by the defaulted lines and by every posting stage
+    ensure_checkpoint_dir(headers.sparkSession)
+    verdict = materialize(verdict, "purchase-verdicts")
 
     exp_given = F.when(~_blank(F.trim(F.col("expired_date").cast("string"))),
                        F.col("expired_date").cast("date"))
@@ -218,10 +221,12 @@ def _sequential(h: DataFrame, li: DataFrame) -> DataFrame:
     h = materialize(h, "admission-headers")
     lines = materialize(li.filter(F.col("__checkable")).select("req_id", "obat_kode", "qty", "__need", "__stok"),
                         "admission-lines")
-    # per (drug, sale): quantity the sale takes from the drug
+    # per (drug, sale): quantity the sale takes from the drug, and the largest
+    # single need of its lines (a line passes when stock covers its need, so
+    # the largest one decides the pair)
     use = materialize(lines.groupBy("obat_kode", "req_id").agg(
-        F.sum(F.col("qty").cast("long")).alias("__take"), F.first("__stok").cast("long").alias("__open")),
-        "admission-use")
+        F.sum(F.col("qty").cast("long")).alias("__take"), F.max("__need").alias("__need_max"),
+        F.first("__stok").cast("long").alias("__open")), "admission-use")
     need = lines.select("req_id", "obat_kode", "__need")
     # sales per drug: proven once, it picks the running-sum plan of every round
     bound = max_key_rows(use, ["obat_kode"])
@@ -236,13 +241,10 @@ def _sequential(h: DataFrame, li: DataFrame) -> DataFrame:
         upper = F.when(F.col("st").isNull() | (F.col("st") == 1), F.col("__take")).otherwise(F.lit(0))
         sums = running_sums(s, ["obat_kode"], ["req_id"], {"__used_min": acc, "__used_max": upper},
                             inclusive=False, key_rows_bound=bound)
-        avail = sums.filter(F.col("st").isNull()).select(
-            "req_id", "obat_kode", (F.col("__open") - F.col("__used_min")).alias("__hi"),
-            (F.col("__open") - F.col("__used_max")).alias("__lo"))
-        chk = need.join(avail, ["req_id", "obat_kode"])
+        chk = sums.filter(F.col("st").isNull())
         per = chk.groupBy("req_id").agg(
-            F.bool_or(F.col("__hi") < F.col("__need")).alias("__fails"),
-            F.bool_and(F.col("__lo") >= F.col("__need")).alias("__safe"))
+            F.bool_or(F.col("__open") - F.col("__used_min") < F.col("__need_max")).alias("__fails"),
+            F.bool_and(F.col("__open") - F.col("__used_max") >= F.col("__need_max")).alias("__safe"))
         new = status.join(per, "req_id", "left").select(
             "req_id",
             F.when(F.col("st").isNotNull(), F.col("st"))
