@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from dispensa import model
 from dispensa.functions.scalars import plus_one_year
 from dispensa.operators.quality import ERROR_TYPE, RULES_PURCHASE, RULES_SALE, validate
-from dispensa.plans.prefix import max_key_rows, running_sums
+from dispensa.plans.prefix import max_key_rows, running_mins, running_sums
 from dispensa.plans.lineage import materialize
 from dispensa.session import ensure_checkpoint_dir
 
@@ -106,7 +106,8 @@ def admit_purchases(headers: DataFrame, lines: DataFrame, suppliers: DataFrame,
 
 # ---------------------------------------------------------------------- I3
 def _sale_static(headers: DataFrame, lines: DataFrame, drugs: DataFrame, customers: DataFrame,
-                 inter: DataFrame, as_of: dt.date) -> tuple[DataFrame, DataFrame]:
+                 inter: DataFrame, as_of: dt.date,
+                 earlier_expiry: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Order-free part of sale admission.
 
     Returns (header verdict table, line table with ``__line_errs`` and the
@@ -127,6 +128,10 @@ def _sale_static(headers: DataFrame, lines: DataFrame, drugs: DataFrame, custome
     allergy = customers.select(F.col("kode").alias("pelanggan_kode"), F.col("alergi").alias("__alergi"))
     hs = h.select("req_id", "pelanggan_kode").join(allergy, "pelanggan_kode", "left")
     li = lines.join(hs.select("req_id", "__alergi"), "req_id", "left").join(d, "obat_kode", "left")
+    if earlier_expiry is not None:
+        # a purchase earlier in the batch can bring the drug's expiry forward
+        li = li.join(earlier_expiry, ["req_id", "obat_kode"], "left") \
+               .withColumn("__exp", F.least(F.col("__exp"), F.col("__pexp"))).drop("__pexp")
     field = F.concat(F.lit("items."), F.col("pos").cast("string"))
     invalid = _blank(F.col("obat_kode")) | F.coalesce(F.col("qty").cast("int") <= 0, F.lit(True))
     missing = F.col("__nama").isNull() & F.col("__stok").isNull()
@@ -163,7 +168,7 @@ def _sale_static(headers: DataFrame, lines: DataFrame, drugs: DataFrame, custome
 
 def admit_sales(headers: DataFrame, lines: DataFrame, drugs: DataFrame, customers: DataFrame,
                 inter: DataFrame, as_of: dt.date, mode: str = "snapshot",
-                stock_rule: str = "line") -> DataFrame:
+                stock_rule: str = "line", purchases: DataFrame | None = None) -> DataFrame:
     """Sale requests → one verdict row per request.
 
     Columns: ``req_id, accepted, stage1_refused, n_line_errors,
@@ -171,12 +176,25 @@ def admit_sales(headers: DataFrame, lines: DataFrame, drugs: DataFrame, customer
     ``stock_rule="line"`` checks each line against the stock reading (two
     lines of one drug can jointly oversell, as the reference); ``"sum"``
     checks the sale's total per drug.
+
+    ``purchases`` (sequential mode only): admitted purchase lines
+    ``(req_id, obat_kode, qty, expired_date)`` interleaved with the sales by
+    ``req_id`` — the purchase at position k arrives just before the sale at k.
+    They add stock at their position and bring a drug's expiry forward for
+    the sales after them (a purchase never changes an earlier verdict).
     """
+    earlier = None
     if mode == "sequential":
         # the request lines feed several plans of every round: written once
         ensure_checkpoint_dir(lines.sparkSession)
         lines = materialize(lines, "admission-request-lines")
-    h, li = _sale_static(headers, lines, drugs, customers, inter, as_of)
+        if purchases is not None:
+            purchases = materialize(purchases.select("req_id", "obat_kode", "qty", "expired_date"),
+                                    "admission-purchases")
+            earlier = _earlier_purchase_expiry(lines, purchases)
+    elif purchases is not None:
+        raise ValueError("purchases interleave only in sequential mode")
+    h, li = _sale_static(headers, lines, drugs, customers, inter, as_of, earlier)
     qty = F.col("qty").cast("long")
     if stock_rule == "sum":
         li = li.withColumn("__need", F.sum(qty).over(__win_req_drug()))
@@ -191,7 +209,7 @@ def admit_sales(headers: DataFrame, lines: DataFrame, drugs: DataFrame, customer
         v = h.join(stock_fail, "req_id", "left").withColumn("__n_stock", F.coalesce("__n_stock", F.lit(0)))
         v = v.withColumn("rounds", F.lit(1))
     elif mode == "sequential":
-        v = _sequential(h, li)
+        v = _sequential(h, li, purchases)
     else:
         raise ValueError(mode)
 
@@ -213,7 +231,19 @@ def __win_req_drug():
     return Window.partitionBy("req_id", "obat_kode")
 
 
-def _sequential(h: DataFrame, li: DataFrame) -> DataFrame:
+def _earlier_purchase_expiry(lines: DataFrame, purchases: DataFrame) -> DataFrame:
+    """Per (sale, drug): the earliest expiry among purchases of the drug that
+    arrive before the sale (a running minimum over the interleaved order)."""
+    p = purchases.groupBy("obat_kode", (F.col("req_id") * 2).alias("__seq")) \
+                 .agg(F.min("expired_date").alias("__e"))
+    s = lines.select("obat_kode", (F.col("req_id") * 2 + 1).alias("__seq")).distinct() \
+             .withColumn("__e", F.lit(None).cast("date"))
+    r = running_mins(p.unionByName(s), ["obat_kode"], ["__seq"], {"__pexp": F.col("__e")}, inclusive=False)
+    return r.filter(F.col("__seq") % 2 == 1).select(((F.col("__seq") - 1) / 2).cast("long").alias("req_id"),
+                                                    "obat_kode", "__pexp")
+
+
+def _sequential(h: DataFrame, li: DataFrame, purchases: DataFrame | None = None) -> DataFrame:
     """Bound-tightening fixpoint over sales in ``req_id`` order."""
     spark = h.sparkSession
     ensure_checkpoint_dir(spark)
@@ -223,23 +253,38 @@ def _sequential(h: DataFrame, li: DataFrame) -> DataFrame:
                         "admission-lines")
     # per (drug, sale): quantity the sale takes from the drug, and the largest
     # single need of its lines (a line passes when stock covers its need, so
-    # the largest one decides the pair)
+    # the largest one decides the pair); sales sit at odd positions 2k+1
     use = materialize(lines.groupBy("obat_kode", "req_id").agg(
         F.sum(F.col("qty").cast("long")).alias("__take"), F.max("__need").alias("__need_max"),
-        F.first("__stok").cast("long").alias("__open")), "admission-use")
+        F.first("__stok").cast("long").alias("__open")).withColumn("__seq", F.col("req_id") * 2 + 1),
+        "admission-use")
+    # purchases: always-accepted stock-in rows at even positions 2k
+    if purchases is not None:
+        stock_in = materialize(purchases.groupBy("obat_kode", "req_id").agg(
+            (-F.sum(F.col("qty").cast("long"))).alias("__take")).select(
+            "obat_kode", "req_id", "__take", F.lit(None).cast("long").alias("__need_max"),
+            F.lit(None).cast("long").alias("__open"), (F.col("req_id") * 2).alias("__seq"),
+            F.lit(1).alias("st")), "admission-stock-in")
+    else:
+        stock_in = None
     need = lines.select("req_id", "obat_kode", "__need")
-    # sales per drug: proven once, it picks the running-sum plan of every round
-    bound = max_key_rows(use, ["obat_kode"])
+    # rows per drug: proven once, it picks the running-sum plan of every round
+    bound = max_key_rows(use if stock_in is None else use.select("obat_kode").unionByName(
+        stock_in.select("obat_kode")), ["obat_kode"])
     # status: 1 accepted, 0 refused, null undecided
     status = materialize(h.select("req_id", F.when(~F.col("__static_ok"), F.lit(0)).alias("st")), "admission-status")
 
+    def with_status(st_df: DataFrame) -> DataFrame:
+        s_ = use.join(st_df, "req_id")
+        return s_ if stock_in is None else s_.unionByName(stock_in)
+
     rounds = 0
     while True:
         rounds += 1
-        s = use.join(status, "req_id")
+        s = with_status(status)
         acc = F.when(F.col("st") == 1, F.col("__take")).otherwise(F.lit(0))
         upper = F.when(F.col("st").isNull() | (F.col("st") == 1), F.col("__take")).otherwise(F.lit(0))
-        sums = running_sums(s, ["obat_kode"], ["req_id"], {"__used_min": acc, "__used_max": upper},
+        sums = running_sums(s, ["obat_kode"], ["__seq"], {"__used_min": acc, "__used_max": upper},
                             inclusive=False, key_rows_bound=bound)
         chk = sums.filter(F.col("st").isNull())
         per = chk.groupBy("req_id").agg(
@@ -255,9 +300,10 @@ def _sequential(h: DataFrame, li: DataFrame) -> DataFrame:
             break
 
     # stock errors of the final verdicts: lines short under accepted-earlier use
-    s = use.join(status, "req_id")
+    s = with_status(status)
     acc = F.when(F.col("st") == 1, F.col("__take")).otherwise(F.lit(0))
-    sums = running_sums(s, ["obat_kode"], ["req_id"], {"__used": acc}, inclusive=False, key_rows_bound=bound)
+    sums = running_sums(s, ["obat_kode"], ["__seq"], {"__used": acc}, inclusive=False, key_rows_bound=bound)
+    sums = sums.filter(F.col("__seq") % 2 == 1)
     chk = need.join(sums.select("req_id", "obat_kode", (F.col("__open") - F.col("__used")).alias("__avail")),
                     ["req_id", "obat_kode"])
     n_stock = chk.filter(F.col("__avail") < F.col("__need")).groupBy("req_id").agg(

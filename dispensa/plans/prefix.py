@@ -92,3 +92,26 @@ def number_rows(df: DataFrame, order: Sequence[str], name: str = "rn", *,
     if start != 1:
         out = out.withColumn(name, F.col(name) + F.lit(start - 1))
     return out
+
+
+def running_mins(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: dict[str, Column], *,
+                 inclusive: bool = True, block: int = DEFAULT_BLOCK) -> DataFrame:
+    """Running minimum per key in ``order`` (nulls ignored; null when no
+    earlier value), with the same block plan as ``running_sums``."""
+    keys = list(keys)
+    order = list(order)
+    blk = "__blk"
+    tmp = {name: f"__v_{name}" for name in values}
+    base = df.withColumn(blk, _block_col(order[0], block))
+    for name, expr in values.items():
+        base = base.withColumn(tmp[name], expr)
+    mins = base.groupBy(*keys, blk).agg(*[F.min(tmp[n]).alias(f"__t_{n}") for n in values])
+    w_blocks = Window.partitionBy(*keys).orderBy(blk).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = mins.select(*keys, blk, *[F.min(f"__t_{n}").over(w_blocks).alias(f"__o_{n}") for n in values])
+    joined = base.join(offsets, on=[*keys, blk], how="inner")
+    upper = 0 if inclusive else -1
+    w_rows = Window.partitionBy(*keys, blk).orderBy(*order).rowsBetween(Window.unboundedPreceding, upper)
+    out = joined
+    for n in values:
+        out = out.withColumn(n, F.least(F.col(f"__o_{n}"), F.min(tmp[n]).over(w_rows)))
+    return out.drop(blk, *tmp.values(), *[f"__o_{n}" for n in values])

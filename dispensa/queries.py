@@ -348,6 +348,22 @@ def q_admit_sales_snapshot(spark: SparkSession, d: str) -> DataFrame:
     return _sales_verdicts(spark, d, "snapshot").drop("rounds")
 
 
+def _admitted_purchase_lines(spark: SparkSession, d: str) -> DataFrame:
+    hdr, lines = td.purchase_requests(spark, d)
+    v, lines2 = admission.admit_purchases(hdr, lines, td.supplier(spark, d), td.obat(spark, d), AS_OF)
+    return lines2.join(v.filter("accepted").select("req_id"), "req_id", "left_semi")
+
+
+@register("admit_mixed_sequential")
+def q_admit_mixed_sequential(spark: SparkSession, d: str) -> DataFrame:
+    """Sales and admitted purchases in one arrival order (purchase k before sale k):
+    purchases add stock and can bring expiry forward for later sales."""
+    hdr, lines = td.sale_requests(spark, d)
+    v = admission.admit_sales(hdr, lines, td.obat(spark, d), td.pelanggan(spark, d), td.interaksi(spark, d),
+                              AS_OF, mode="sequential", purchases=_admitted_purchase_lines(spark, d))
+    return v.drop("rounds")
+
+
 @register("admit_sales_sequential")
 def q_admit_sales_sequential(spark: SparkSession, d: str) -> DataFrame:
     """Sales judged one after another in id order (refused sales use no stock)."""

@@ -51,3 +51,55 @@ def test_purchase_default_expiry_leap_day(spark):
     v, out = admission.admit_purchases(hdr, lines, sup, td.obat(spark, SF_SMALL), td.AS_OF)
     assert v.collect()[0].accepted
     assert out.collect()[0].expired_date == dt.date(2025, 3, 1)
+
+
+def test_mixed_sequential_equals_replay(spark):
+    from dispensa.queries import _admitted_purchase_lines
+    d = SF_SMALL
+    hdr, lines = td.sale_requests(spark, d)
+    drugs, cust, inter = td.obat(spark, d), td.pelanggan(spark, d), td.interaksi(spark, d)
+    buys = _admitted_purchase_lines(spark, d)
+    snap = admission.admit_sales(hdr, lines, drugs, cust, inter, td.AS_OF, mode="snapshot")
+    mixed = admission.admit_sales(hdr, lines, drugs, cust, inter, td.AS_OF, mode="sequential", purchases=buys)
+
+    pre = {r.req_id: r.stage1_refused or r.n_interaction_errors > 0 for r in snap.collect()}
+    dr = {r.kode: r for r in drugs.collect()}
+    stock = {k: r.stok for k, r in dr.items()}
+    exp = {k: r.expired_date for k, r in dr.items()}
+    allergy = {r.kode: r.alergi for r in cust.collect()}
+    who = {r.req_id: r.pelanggan_kode for r in hdr.collect()}
+    sale_lines = defaultdict(list)
+    for r in lines.select("req_id", "obat_kode", "qty").collect():
+        sale_lines[r.req_id].append((r.obat_kode, r.qty))
+    buy_lines = defaultdict(list)
+    for r in buys.select("req_id", "obat_kode", "qty", "expired_date").collect():
+        buy_lines[r.req_id].append((r.obat_kode, r.qty, r.expired_date))
+
+    events = sorted([(2 * k, k) for k in buy_lines] + [(2 * k + 1, k) for k in pre])
+    expected = {}
+    for seq, k in events:
+        if seq % 2 == 0:
+            for code, q, e in buy_lines[k]:
+                stock[code] += q
+                exp[code] = e if exp[code] is None or exp[code] > e else exp[code]
+            continue
+        a = allergy.get(who[k])
+        errors = pre[k]
+        for code, q in sale_lines[k]:
+            if not code or q is None or q <= 0 or code not in dr:
+                errors = True
+                continue
+            if stock[code] < q or (exp[code] is not None and exp[code] < td.AS_OF):
+                errors = True
+            if a and a != "0" and (code.lower() in a.lower() or dr[code].nama.lower() in a.lower()):
+                errors = True
+        expected[k] = not errors
+        if not errors:
+            for code, q in sale_lines[k]:
+                stock[code] -= q
+    got = {r.req_id: r.accepted for r in mixed.collect()}
+    assert got == expected
+    # the interleaving matters: some verdicts differ from sales-only admission
+    alone = {r.req_id: r.accepted for r in admission.admit_sales(hdr, lines, drugs, cust, inter, td.AS_OF,
+                                                                 mode="sequential").collect()}
+    assert alone != got
