@@ -197,7 +197,9 @@ def admit_sales(headers: DataFrame, lines: DataFrame, drugs: DataFrame, customer
     h, li = _sale_static(headers, lines, drugs, customers, inter, as_of, earlier)
     qty = F.col("qty").cast("long")
     if stock_rule == "sum":
-        li = li.withColumn("__need", F.sum(qty).over(__win_req_drug()))
+        # the sale's total per drug: an aggregate (combined map-side) joined back
+        tot = li.groupBy("req_id", "obat_kode").agg(F.sum(qty).alias("__need"))
+        li = li.join(tot, ["req_id", "obat_kode"], "left")
     else:
         li = li.withColumn("__need", qty)
     h = h.withColumn("__static_ok", F.col("__stage1").isNull() & (F.col("__n_static") == 0)
@@ -226,11 +228,6 @@ def admit_sales(headers: DataFrame, lines: DataFrame, drugs: DataFrame, customer
         F.col("rounds").cast("int").alias("rounds"))
 
 
-def __win_req_drug():
-    from pyspark.sql import Window
-    return Window.partitionBy("req_id", "obat_kode")
-
-
 def _earlier_purchase_expiry(lines: DataFrame, purchases: DataFrame) -> DataFrame:
     """Per (sale, drug): the earliest expiry among purchases of the drug that
     arrive before the sale (a running minimum over the interleaved order)."""
