@@ -183,6 +183,35 @@ def admit_sales(headers: DataFrame, lines: DataFrame, drugs: DataFrame, customer
     They add stock at their position and bring a drug's expiry forward for
     the sales after them (a purchase never changes an earlier verdict).
     """
+    return admit_batch(headers, lines, drugs, customers, inter, as_of, mode, stock_rule, purchases)["sales"]
+
+
+# position of a document in the interleaved order: purchase k, sale k, reversal k
+SLOT_PURCHASE, SLOT_SALE, SLOT_REVERSAL = 0, 1, 2
+
+
+def _pos(req: Column, slot: int) -> Column:
+    return req.cast("long") * 3 + slot
+
+
+def _req_of(seq: Column, slot: int) -> Column:
+    return ((seq - slot) / 3).cast("long")
+
+
+def admit_batch(headers: DataFrame, lines: DataFrame, drugs: DataFrame, customers: DataFrame,
+                inter: DataFrame, as_of: dt.date, mode: str = "snapshot", stock_rule: str = "line",
+                purchases: DataFrame | None = None,
+                reversals: DataFrame | None = None) -> dict[str, DataFrame | None]:
+    """Sales, admitted purchases and purchase reversals in one arrival order.
+
+    ``reversals`` (sequential mode only): lines ``(req_id, obat_kode, qty)``
+    of the purchases to reverse, the reversal at position k arriving just
+    after the sale at k.  A reversal passes when every line's drug still has
+    at least the line's quantity (all lines or none, as J3); an accepted one
+    takes that stock away from everything after it, so its verdict and the
+    sales' verdicts are decided together.  Returns ``{"sales": verdicts,
+    "reversals": verdicts or None}``.
+    """
     earlier = None
     if mode == "sequential":
         # the request lines feed several plans of every round: written once
@@ -192,8 +221,8 @@ def admit_sales(headers: DataFrame, lines: DataFrame, drugs: DataFrame, customer
             purchases = materialize(purchases.select("req_id", "obat_kode", "qty", "expired_date"),
                                     "admission-purchases")
             earlier = _earlier_purchase_expiry(lines, purchases)
-    elif purchases is not None:
-        raise ValueError("purchases interleave only in sequential mode")
+    elif purchases is not None or reversals is not None:
+        raise ValueError("purchases and reversals interleave only in sequential mode")
     h, li = _sale_static(headers, lines, drugs, customers, inter, as_of, earlier)
     qty = F.col("qty").cast("long")
     if stock_rule == "sum":
@@ -205,18 +234,19 @@ def admit_sales(headers: DataFrame, lines: DataFrame, drugs: DataFrame, customer
     h = h.withColumn("__static_ok", F.col("__stage1").isNull() & (F.col("__n_static") == 0)
                      & (F.col("__n_inter") == 0))
 
+    rev = None
     if mode == "snapshot":
         stock_fail = li.filter(F.col("__checkable") & (F.col("__stok").cast("long") < F.col("__need"))) \
                        .groupBy("req_id").agg(F.count(F.lit(1)).alias("__n_stock"))
         v = h.join(stock_fail, "req_id", "left").withColumn("__n_stock", F.coalesce("__n_stock", F.lit(0)))
         v = v.withColumn("rounds", F.lit(1))
     elif mode == "sequential":
-        v = _sequential(h, li, purchases)
+        v, rev = _sequential(h, li, purchases, reversals, drugs)
     else:
         raise ValueError(mode)
 
     refused1 = F.col("__stage1").isNotNull()
-    return v.select(
+    sales = v.select(
         "req_id",
         (~refused1 & (F.col("__n_static") == 0) & (F.col("__n_inter") == 0) & (F.col("__n_stock") == 0))
         .alias("accepted"),
@@ -226,53 +256,74 @@ def admit_sales(headers: DataFrame, lines: DataFrame, drugs: DataFrame, customer
         F.when(refused1, 0).otherwise(F.col("__n_stock")).cast("long").alias("n_stock_errors"),
         F.coalesce(F.col("narkotika_psikotropika"), F.lit(False)).alias("narkotika_psikotropika"),
         F.col("rounds").cast("int").alias("rounds"))
+    return {"sales": sales, "reversals": rev}
 
 
 def _earlier_purchase_expiry(lines: DataFrame, purchases: DataFrame) -> DataFrame:
     """Per (sale, drug): the earliest expiry among purchases of the drug that
     arrive before the sale (a running minimum over the interleaved order)."""
-    p = purchases.groupBy("obat_kode", (F.col("req_id") * 2).alias("__seq")) \
+    p = purchases.groupBy("obat_kode", _pos(F.col("req_id"), SLOT_PURCHASE).alias("__seq")) \
                  .agg(F.min("expired_date").alias("__e"))
-    s = lines.select("obat_kode", (F.col("req_id") * 2 + 1).alias("__seq")).distinct() \
+    s = lines.select("obat_kode", _pos(F.col("req_id"), SLOT_SALE).alias("__seq")).distinct() \
              .withColumn("__e", F.lit(None).cast("date"))
     r = running_mins(p.unionByName(s), ["obat_kode"], ["__seq"], {"__pexp": F.col("__e")}, inclusive=False)
-    return r.filter(F.col("__seq") % 2 == 1).select(((F.col("__seq") - 1) / 2).cast("long").alias("req_id"),
-                                                    "obat_kode", "__pexp")
+    return r.filter(F.col("__seq") % 3 == SLOT_SALE).select(
+        _req_of(F.col("__seq"), SLOT_SALE).alias("req_id"), "obat_kode", "__pexp")
 
 
-def _sequential(h: DataFrame, li: DataFrame, purchases: DataFrame | None = None) -> DataFrame:
-    """Bound-tightening fixpoint over sales in ``req_id`` order."""
+def _sequential(h: DataFrame, li: DataFrame, purchases: DataFrame | None = None,
+                reversals: DataFrame | None = None,
+                drugs: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """Bound-tightening fixpoint over the documents in position order."""
     spark = h.sparkSession
     ensure_checkpoint_dir(spark)
     # the order-free results are computed once and written
     h = materialize(h, "admission-headers")
     lines = materialize(li.filter(F.col("__checkable")).select("req_id", "obat_kode", "qty", "__need", "__stok"),
                         "admission-lines")
-    # per (drug, sale): quantity the sale takes from the drug, and the largest
-    # single need of its lines (a line passes when stock covers its need, so
-    # the largest one decides the pair); sales sit at odd positions 2k+1
-    use = materialize(lines.groupBy("obat_kode", "req_id").agg(
+    # per (drug, document): quantity the document takes from the drug, and the
+    # largest single need of its lines (a line passes when stock covers its
+    # need, so the largest one decides the pair)
+    parts = [lines.groupBy("obat_kode", "req_id").agg(
         F.sum(F.col("qty").cast("long")).alias("__take"), F.max("__need").alias("__need_max"),
-        F.first("__stok").cast("long").alias("__open")).withColumn("__seq", F.col("req_id") * 2 + 1),
-        "admission-use")
-    # purchases: always-accepted stock-in rows at even positions 2k
+        F.first("__stok").cast("long").alias("__open")).withColumn("__seq", _pos(F.col("req_id"), SLOT_SALE))]
+    # status: 1 accepted, 0 refused, null undecided
+    st_parts = [h.select(_pos(F.col("req_id"), SLOT_SALE).alias("__seq"),
+                         F.when(~F.col("__static_ok"), F.lit(0)).alias("st"))]
+    rev_lines = None
+    if reversals is not None:
+        rev_lines = materialize(reversals.select("req_id", "obat_kode", F.col("qty").cast("long").alias("qty")),
+                                "admission-reversal-lines")
+        stok = drugs.select(F.col("kode").alias("obat_kode"), F.col("stok").cast("long").alias("__open"))
+        parts.append(rev_lines.groupBy("obat_kode", "req_id").agg(
+            F.sum("qty").alias("__take"), F.max("qty").alias("__need_max"))
+            .join(stok, "obat_kode", "left").withColumn("__open", F.coalesce(F.col("__open"), F.lit(0)))
+            .withColumn("__seq", _pos(F.col("req_id"), SLOT_REVERSAL)))
+        st_parts.append(rev_lines.select(_pos(F.col("req_id"), SLOT_REVERSAL).alias("__seq")).distinct()
+                        .withColumn("st", F.lit(None).cast("int")))
+    use = parts[0]
+    for part in parts[1:]:
+        use = use.unionByName(part)
+    use = materialize(use, "admission-use")
+    status = st_parts[0]
+    for part in st_parts[1:]:
+        status = status.unionByName(part)
+    status = materialize(status, "admission-status")
+    # purchases: always-accepted stock-in rows
+    stock_in = None
     if purchases is not None:
         stock_in = materialize(purchases.groupBy("obat_kode", "req_id").agg(
             (-F.sum(F.col("qty").cast("long"))).alias("__take")).select(
             "obat_kode", "req_id", "__take", F.lit(None).cast("long").alias("__need_max"),
-            F.lit(None).cast("long").alias("__open"), (F.col("req_id") * 2).alias("__seq"),
+            F.lit(None).cast("long").alias("__open"), _pos(F.col("req_id"), SLOT_PURCHASE).alias("__seq"),
             F.lit(1).alias("st")), "admission-stock-in")
-    else:
-        stock_in = None
     need = lines.select("req_id", "obat_kode", "__need")
     # rows per drug: proven once, it picks the running-sum plan of every round
     bound = max_key_rows(use if stock_in is None else use.select("obat_kode").unionByName(
         stock_in.select("obat_kode")), ["obat_kode"])
-    # status: 1 accepted, 0 refused, null undecided
-    status = materialize(h.select("req_id", F.when(~F.col("__static_ok"), F.lit(0)).alias("st")), "admission-status")
 
     def with_status(st_df: DataFrame) -> DataFrame:
-        s_ = use.join(st_df, "req_id")
+        s_ = use.join(st_df, "__seq")
         return s_ if stock_in is None else s_.unionByName(stock_in)
 
     rounds = 0
@@ -284,11 +335,11 @@ def _sequential(h: DataFrame, li: DataFrame, purchases: DataFrame | None = None)
         sums = running_sums(s, ["obat_kode"], ["__seq"], {"__used_min": acc, "__used_max": upper},
                             inclusive=False, key_rows_bound=bound)
         chk = sums.filter(F.col("st").isNull())
-        per = chk.groupBy("req_id").agg(
+        per = chk.groupBy("__seq").agg(
             F.bool_or(F.col("__open") - F.col("__used_min") < F.col("__need_max")).alias("__fails"),
             F.bool_and(F.col("__open") - F.col("__used_max") >= F.col("__need_max")).alias("__safe"))
-        new = status.join(per, "req_id", "left").select(
-            "req_id",
+        new = status.join(per, "__seq", "left").select(
+            "__seq",
             F.when(F.col("st").isNotNull(), F.col("st"))
              .when(F.col("__fails"), F.lit(0))
              .when(F.coalesce(F.col("__safe"), F.lit(True)), F.lit(1)).alias("st"))
@@ -300,10 +351,22 @@ def _sequential(h: DataFrame, li: DataFrame, purchases: DataFrame | None = None)
     s = with_status(status)
     acc = F.when(F.col("st") == 1, F.col("__take")).otherwise(F.lit(0))
     sums = running_sums(s, ["obat_kode"], ["__seq"], {"__used": acc}, inclusive=False, key_rows_bound=bound)
-    sums = sums.filter(F.col("__seq") % 2 == 1)
-    chk = need.join(sums.select("req_id", "obat_kode", (F.col("__open") - F.col("__used")).alias("__avail")),
-                    ["req_id", "obat_kode"])
+    avail = sums.select("__seq", "obat_kode", (F.col("__open") - F.col("__used")).alias("__avail"))
+    sale_avail = avail.filter(F.col("__seq") % 3 == SLOT_SALE) \
+                      .select(_req_of(F.col("__seq"), SLOT_SALE).alias("req_id"), "obat_kode", "__avail")
+    chk = need.join(sale_avail, ["req_id", "obat_kode"])
     n_stock = chk.filter(F.col("__avail") < F.col("__need")).groupBy("req_id").agg(
         F.count(F.lit(1)).alias("__n_stock"))
     v = h.join(n_stock, "req_id", "left").withColumn("__n_stock", F.coalesce("__n_stock", F.lit(0)))
-    return v.withColumn("rounds", F.lit(rounds))
+    v = v.withColumn("rounds", F.lit(rounds))
+
+    rev = None
+    if rev_lines is not None:
+        rev_avail = avail.filter(F.col("__seq") % 3 == SLOT_REVERSAL) \
+                         .select(_req_of(F.col("__seq"), SLOT_REVERSAL).alias("req_id"), "obat_kode", "__avail")
+        short = rev_lines.join(rev_avail, ["req_id", "obat_kode"]) \
+                         .groupBy("req_id").agg(F.sum((F.col("__avail") < F.col("qty")).cast("long")).alias("n_short"))
+        verdict = status.filter(F.col("__seq") % 3 == SLOT_REVERSAL).select(
+            _req_of(F.col("__seq"), SLOT_REVERSAL).alias("req_id"), (F.col("st") == 1).alias("accepted"))
+        rev = verdict.join(short, "req_id", "left").withColumn("n_short", F.coalesce("n_short", F.lit(0)))
+    return v, rev

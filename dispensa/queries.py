@@ -364,6 +364,25 @@ def q_admit_mixed_sequential(spark: SparkSession, d: str) -> DataFrame:
     return v.drop("rounds")
 
 
+@register("admit_batch_sequential")
+def q_admit_batch_sequential(spark: SparkSession, d: str) -> DataFrame:
+    """Purchases, sales and reversals of every admitted purchase in one arrival order
+    (purchase k and sale k at position k; the reversal of purchase k half the key
+    range later): verdicts of sales and reversals."""
+    hdr, lines = td.sale_requests(spark, d)
+    buys = _admitted_purchase_lines(spark, d)
+    # each reversal arrives half the order-key range after its purchase
+    shift = td.raw(spark, d, "orders").agg(F.floor((F.max("o_orderkey") + 1) / 2)).scalar()
+    revs = buys.select((F.col("req_id") + shift).alias("req_id"), "obat_kode", "qty")
+    out = admission.admit_batch(hdr, lines, td.obat(spark, d), td.pelanggan(spark, d), td.interaksi(spark, d),
+                                AS_OF, mode="sequential", purchases=buys, reversals=revs)
+    sales = out["sales"].select(F.lit("sale").alias("kind"), "req_id", "accepted",
+                                F.col("n_stock_errors").alias("n_short"))
+    revs = out["reversals"].select(F.lit("reversal").alias("kind"), "req_id", "accepted",
+                                   F.col("n_short").cast("long").alias("n_short"))
+    return sales.unionByName(revs)
+
+
 @register("admit_sales_sequential")
 def q_admit_sales_sequential(spark: SparkSession, d: str) -> DataFrame:
     """Sales judged one after another in id order (refused sales use no stock)."""

@@ -2,6 +2,8 @@
 
 from collections import defaultdict
 
+from pyspark.sql import functions as F
+
 from dispensa.operators import admission
 from dispensa.sources import testdata as td
 
@@ -103,3 +105,62 @@ def test_mixed_sequential_equals_replay(spark):
     alone = {r.req_id: r.accepted for r in admission.admit_sales(hdr, lines, drugs, cust, inter, td.AS_OF,
                                                                  mode="sequential").collect()}
     assert alone != got
+
+
+def test_batch_with_reversals_equals_replay(spark):
+    from dispensa.queries import _admitted_purchase_lines
+    d = SF_SMALL
+    hdr, lines = td.sale_requests(spark, d)
+    drugs, cust, inter = td.obat(spark, d), td.pelanggan(spark, d), td.interaksi(spark, d)
+    buys = _admitted_purchase_lines(spark, d)
+    shift = 500   # reversal of purchase k arrives at position k + 500
+    out = admission.admit_batch(hdr, lines, drugs, cust, inter, td.AS_OF, mode="sequential", purchases=buys,
+                                reversals=buys.select((F.col("req_id") + shift).alias("req_id"), "obat_kode", "qty"))
+    snap = admission.admit_sales(hdr, lines, drugs, cust, inter, td.AS_OF, mode="snapshot")
+
+    pre = {r.req_id: r.stage1_refused or r.n_interaction_errors > 0 for r in snap.collect()}
+    dr = {r.kode: r for r in drugs.collect()}
+    stock = {k: r.stok for k, r in dr.items()}
+    exp = {k: r.expired_date for k, r in dr.items()}
+    allergy = {r.kode: r.alergi for r in cust.collect()}
+    who = {r.req_id: r.pelanggan_kode for r in hdr.collect()}
+    sale_lines = defaultdict(list)
+    for r in lines.select("req_id", "obat_kode", "qty").collect():
+        sale_lines[r.req_id].append((r.obat_kode, r.qty))
+    buy_lines = defaultdict(list)
+    for r in buys.select("req_id", "obat_kode", "qty", "expired_date").collect():
+        buy_lines[r.req_id].append((r.obat_kode, r.qty, r.expired_date))
+
+    events = sorted([(3 * k, k) for k in buy_lines] + [(3 * k + 1, k) for k in pre]
+                    + [(3 * (k + shift) + 2, k) for k in buy_lines])
+    want_sales, want_rev = {}, {}
+    for seq, k in events:
+        if seq % 3 == 0:
+            for code, q, e in buy_lines[k]:
+                stock[code] += q
+                exp[code] = e if exp[code] is None or exp[code] > e else exp[code]
+        elif seq % 3 == 2:
+            ok = all(stock[code] >= q for code, q, _ in buy_lines[k])
+            want_rev[k + shift] = ok
+            if ok:
+                for code, q, _ in buy_lines[k]:
+                    stock[code] -= q
+        else:
+            a = allergy.get(who[k])
+            errors = pre[k]
+            for code, q in sale_lines[k]:
+                if not code or q is None or q <= 0 or code not in dr:
+                    errors = True
+                    continue
+                if stock[code] < q or (exp[code] is not None and exp[code] < td.AS_OF):
+                    errors = True
+                if a and a != "0" and (code.lower() in a.lower() or dr[code].nama.lower() in a.lower()):
+                    errors = True
+            want_sales[k] = not errors
+            if not errors:
+                for code, q in sale_lines[k]:
+                    stock[code] -= q
+    assert {r.req_id: r.accepted for r in out["sales"].collect()} == want_sales
+    got_rev = {r.req_id: r.accepted for r in out["reversals"].collect()}
+    assert got_rev == want_rev
+    assert 0 < sum(want_rev.values()) < len(want_rev)
