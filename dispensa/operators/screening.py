@@ -34,10 +34,7 @@ def interaction_hits(lines: DataFrame, inter: DataFrame, doc: str = "penjualan_i
     """
     b = basket(lines, doc)
     sev = inter.filter(F.col("tingkat").isin(*levels)).select("obat1_kode", "obat2_kode", "tingkat")
-    # only drugs that occur in a reported interaction can hit
-    involved = sev.select(F.col("obat1_kode").alias("obat_kode")) \
-                  .unionByName(sev.select(F.col("obat2_kode").alias("obat_kode")))
-    b = b.join(involved, "obat_kode", "left_semi")
+    # the equi-join keeps only basket drugs that head a reported interaction
     cand = b.join(sev, b["obat_kode"] == sev["obat1_kode"]).select(doc, "obat1_kode", "obat2_kode", "tingkat")
     partner = b.select(F.col(doc).alias("__d"), F.col("obat_kode").alias("__p"))
     return cand.join(partner, (cand[doc] == partner["__d"]) & (cand["obat2_kode"] == partner["__p"]),
