@@ -58,7 +58,8 @@ def main(argv):
     from dispensa.queries import REGISTRY
     from dispensa.session import build_session, ensure_checkpoint_dir
     sf_dir = argv[0] if argv else "/root/testdata/sf0.1"
-    spark = build_session("local[8]", 8)
+    # keep scan metadata (pushed filters, read schema) whole in plan strings
+    spark = build_session("local[8]", 8, extra={"spark.sql.maxMetadataStringLength": "2000"})
     ensure_checkpoint_dir(spark)
     out = ["# Plans of headline queries", "",
            f"Executed plans (after AQE) at `{sf_dir}` on local[8], written by "

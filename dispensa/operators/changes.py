@@ -27,6 +27,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from dispensa.plans.lineage import materialize
+from dispensa.session import ensure_checkpoint_dir
+
 MAP = T.MapType(T.StringType(), T.StringType())
 
 # fields a change may set, per entity (fixed values of the reference)
@@ -44,7 +47,10 @@ def apply_changes(base: DataFrame, changes: DataFrame, key: str, fields: Sequenc
     """New snapshot of ``base`` (columns ``key`` + ``fields``) after the
     change feed.  Values are cast to the base column types."""
     types = {f: base.schema[f].dataType for f in fields}
-    ch = changes.select(F.col(key), "op", "seq", F.from_json("payload", MAP).alias("m"))
+    # the parsed feed is read by three aggregations: written once
+    ensure_checkpoint_dir(changes.sparkSession)
+    ch = materialize(changes.select(F.col(key), "op", "seq", F.from_json("payload", MAP).alias("m")),
+                     "change-feed")
 
     dels = ch.groupBy(key).agg(F.max(F.when(F.col("op") == "delete", F.col("seq"))).alias("__last_del"))
     exists0 = base.select(F.col(key)).distinct().withColumn("__exists0", F.lit(True))
