@@ -49,11 +49,13 @@ def assign_codes(req: DataFrame, code_col: str, taken: DataFrame, taken_col: str
         if not ts_col else need.select(id_col, ts_col, F.explode(F.sequence(F.lit(0), F.lit(attempts - 1))).alias("__k"))
     cand = cand.withColumn("__code", code_candidates(F.col(id_col), F.col("__k"), prefix, kind, ts))
     t = taken.select(F.col(taken_col).alias("__code")).distinct()
-    free = cand.join(t, "__code", "left_anti")
+    ensure_checkpoint_dir(req.sparkSession)
+    # candidates not taken, read by both passes: written once
+    free = materialize(cand.join(t, "__code", "left_anti"), "codes-free")
     # pass 1: each request's first free candidate; lowest request id wins a clash
     first = free.groupBy(id_col).agg(F.min_by("__code", "__k").alias("__code"), F.min("__k").alias("__k"))
     owner = first.groupBy("__code").agg(F.min(id_col).alias("__owner"))
-    first = first.join(owner, "__code")
+    first = materialize(first.join(owner, "__code"), "codes-first")
     won = first.filter(F.col(id_col) == F.col("__owner")).select(id_col, "__code")
     lost = first.filter(F.col(id_col) != F.col("__owner")).select(id_col, F.col("__k").alias("__k0"))
     # pass 2: losers take their next free candidate not won in pass 1
