@@ -1,9 +1,11 @@
 """Views of the driver's test tables in the pharmacy schema.
 
 The driver ships TPC-H-like tables (``part``, ``customer``, ``orders``,
-``lineitem``, ``events``, ``documents``...).  These functions only rename and
-cast their columns into the shapes of ``dispensa.model`` (see FIXTURES.md §3);
-they compute nothing that an operator computes.  The same mapping is written
+``lineitem``, ``events``, ``documents``...).  These functions rename, cast
+and shape their columns into the tables of ``dispensa.model`` as FIXTURES.md
+§3 prescribes.  The one rule they apply is the choice of open payables in
+``hutang`` (unpaid part of total + tax > 0), which makes the payments' input
+table; request batches are shaped from rows by fixed key rules.  The same mapping is written
 in DuckDB SQL in ``dispensa.checks.oracle_views`` for the correctness oracle.
 """
 

@@ -5,7 +5,8 @@ Both read a growing Parquet source with ``readStream`` and write through
 same DataFrame operators as the batch jobs and nothing is held in the
 driver.  Outputs and the per-drug balance state live under the session's
 checkpoint folder (shared storage on a cluster), with a streaming checkpoint
-for exactly-once progress.
+for progress; each micro-batch writes its own epoch folder with
+overwrite, so a replayed batch replaces its output instead of adding to it.
 
 Event time: the tables carry wall-clock ``timestamp_ntz``; watermarks need a
 zoned ``timestamp``.  ``wall_clock_event_time`` maps the wall clock to the
@@ -75,7 +76,7 @@ def daily_sales_stream(spark: SparkSession, source: str, schema: T.StructType, t
     """Per-day sale count and total as sales arrive.  Event-time
     one-day windows with a watermark (late rows within the delay still
     count; state of older days is dropped); update mode, each batch's
-    changed days appended with their epoch.  Returns (query, out_dir)."""
+    changed days written under their epoch.  Returns (query, out_dir)."""
     out = out_dir or scratch_dir(spark, f"daily-stream-{uuid.uuid4().hex}")
     src = spark.readStream.schema(schema).parquet(source)
     sales = to_sales(src).withColumn("__ev", wall_clock_event_time("tgl"))
@@ -84,9 +85,9 @@ def daily_sales_stream(spark: SparkSession, source: str, schema: T.StructType, t
            .agg(F.count(F.lit(1)).alias("trx"), F.sum("total").alias("total")))
 
     def step(batch: DataFrame, epoch: int) -> None:
-        batch.select(_day_of_window(F.col("window.start")).alias("tgl"), "trx", "total",
-                     F.lit(epoch).cast("long").alias("epoch")) \
-             .write.mode("append").parquet(f"{out}/updates")
+        # one folder per epoch, overwritten when a batch is replayed
+        batch.select(_day_of_window(F.col("window.start")).alias("tgl"), "trx", "total") \
+             .write.mode("overwrite").parquet(f"{out}/updates/epoch={epoch}")
 
     q = (agg.writeStream.outputMode("update").foreachBatch(step)
          .option("checkpointLocation", f"{out}/_checkpoint").trigger(availableNow=True).start())
