@@ -29,7 +29,7 @@ from dispensa import model
 from dispensa.functions.scalars import plus_one_year
 from dispensa.operators.quality import ERROR_TYPE, RULES_PURCHASE, RULES_SALE, validate
 from dispensa.plans.prefix import max_key_rows, running_mins, running_sums
-from dispensa.plans.lineage import materialize
+from dispensa.plans.lineage import materialize, materialize_observed
 from dispensa.session import ensure_checkpoint_dir
 
 
@@ -343,8 +343,10 @@ def _sequential(h: DataFrame, li: DataFrame, purchases: DataFrame | None = None,
             F.when(F.col("st").isNotNull(), F.col("st"))
              .when(F.col("__fails"), F.lit(0))
              .when(F.coalesce(F.col("__safe"), F.lit(True)), F.lit(1)).alias("st"))
-        status = materialize(new, "admission-status")
-        if status.filter(F.col("st").isNull()).limit(1).count() == 0:
+        # the undecided count is a metric of the write job (no extra job)
+        undecided = F.count(F.when(F.col("st").isNull(), 1))
+        status, m = materialize_observed(new, "admission-status", {"undecided": undecided})
+        if m["undecided"] == 0:
             break
 
     # stock errors of the final verdicts: lines short under accepted-earlier use

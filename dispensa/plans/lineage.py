@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 
 from dispensa.session import scratch_dir
 
@@ -22,3 +22,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = scratch_dir(spark, f"{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return spark.read.parquet(path)
+
+
+def materialize_observed(df: DataFrame, name: str, metrics: dict) -> tuple[DataFrame, dict]:
+    """``materialize`` that also returns aggregate metrics of the written rows
+    (``{name: Column}``), gathered by the write job itself through
+    ``DataFrame.observe`` instead of a second job."""
+    spark = df.sparkSession
+    obs = Observation(f"{name}-{uuid.uuid4().hex}")
+    observed = df.observe(obs, *[c.alias(k) for k, c in metrics.items()])
+    path = scratch_dir(spark, f"{name}-{uuid.uuid4().hex}")
+    observed.write.parquet(path)
+    return spark.read.parquet(path), dict(obs.get)
