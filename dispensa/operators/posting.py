@@ -44,6 +44,10 @@ def assign_codes(req: DataFrame, code_col: str, taken: DataFrame, taken_col: str
     null and ``code_error`` set."""
     blank = F.col(code_col).isNull() | (F.trim(F.col(code_col)) == "")
     need = req.filter(blank).select(id_col, *([ts_col] if ts_col else []))
+    if need.limit(1).count() == 0:
+        # every request brings its own code: nothing to generate
+        return req.withColumn(code_col, F.trim(F.col(code_col))) \
+                  .withColumn("code_error", F.lit(None).cast("string"))
     ts = F.col(ts_col) if ts_col else None
     cand = need.select(id_col, F.explode(F.sequence(F.lit(0), F.lit(attempts - 1))).alias("__k")) \
         if not ts_col else need.select(id_col, ts_col, F.explode(F.sequence(F.lit(0), F.lit(attempts - 1))).alias("__k"))
