@@ -585,3 +585,16 @@ FROM penjualan GROUP BY 1""", "penjualan")
 
 ORACLE["typed_scan"] = with_views(f"""SELECT {_OBAT_ALL} FROM obat""", "obat")
 ORACLE["json_export"] = ORACLE["top_sellers"]
+
+ORACLE["customer_change_feed"] = with_views("""
+SELECT c.kode,
+       CASE WHEN u.h_nama THEN u.v_nama ELSE c.nama END AS nama,
+       CASE WHEN u.h_alergi THEN u.v_alergi ELSE c.alergi END AS alergi,
+       CASE WHEN u.h_alamat THEN u.v_alamat ELSE c.alamat END AS alamat
+FROM pelanggan c LEFT JOIN (
+  SELECT kode, """ + ", ".join(
+      f"arg_max(json_extract_string(payload, '$.{f}'), seq) FILTER (WHERE list_contains(json_keys(payload), '{f}'))"
+      f" AS v_{f}, coalesce(bool_or(list_contains(json_keys(payload), '{f}')), false) AS h_{f}"
+      for f in ("nama", "alergi", "alamat")) + """
+  FROM customer_changes WHERE op = 'update' GROUP BY kode) u ON u.kode = c.kode""",
+    "pelanggan", "customer_changes")

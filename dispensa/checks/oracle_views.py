@@ -123,6 +123,11 @@ VIEWS: dict[str, tuple[list[str], str]] = {
                CASE (p_partkey + k) % 4 WHEN 0 THEN 'contraindicated' WHEN 1 THEN 'major' WHEN 2 THEN 'moderate'
                     ELSE 'minor' END AS tingkat
         FROM part, range(5) t(k), (SELECT count(*) AS n FROM part) c"""),
+    "customer_changes": ([], """
+        SELECT CAST(c_custkey AS VARCHAR) AS kode, 'update' AS op, CAST(1 AS BIGINT) AS seq,
+               CASE c_custkey % 4 WHEN 0 THEN '{"alergi":"PARACETAMOL"}' WHEN 1 THEN '{"alergi":null}'
+                    ELSE json_object('nama', upper(c_name))::VARCHAR END AS payload
+        FROM customer WHERE c_custkey % 4 <> 3"""),
     "drug_changes": ([], f"""
         SELECT CASE WHEN p_partkey % 5 = 3 THEN CAST(p_partkey + (SELECT count(*) FROM part) AS VARCHAR)
                     ELSE CAST(p_partkey AS VARCHAR) END AS kode,

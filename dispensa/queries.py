@@ -477,6 +477,14 @@ def q_change_feed(spark: SparkSession, d: str) -> DataFrame:
     return out.select("kode", "nama", "produsen", money_out("harga").alias("harga"), "stok", "golongan")
 
 
+@register("customer_change_feed")
+def q_customer_change_feed(spark: SparkSession, d: str) -> DataFrame:
+    """Customers after updates that set, clear (explicit null) or leave out the allergy."""
+    out = changes.apply_changes(td.pelanggan(spark, d), td.customer_changes(spark, d), "kode",
+                                ["nama", "alergi", "alamat"])
+    return out.select("kode", "nama", "alergi", "alamat")
+
+
 @register("cascade_delete")
 def q_cascade_delete(spark: SparkSession, d: str) -> DataFrame:
     """Deletes of the change feed's drugs: refused while referenced, else interactions go too."""

@@ -370,3 +370,17 @@ def sale_request_bodies(spark: SparkSession, d: str) -> DataFrame:
     j = hdr.join(items, "req_id")
     return j.select("req_id", F.to_json(F.struct("no_nota", "tgl", "jenis", "pelanggan_kode", "dokter_sip",
                                                  "items")).alias("body"))
+
+
+def customer_changes(spark: SparkSession, d: str) -> DataFrame:
+    """Change feed on customers (kode, op, seq, payload JSON), all updates, by
+    key mod 4: set an allergy, clear it with an explicit null, rename (allergy
+    absent from the body), none."""
+    c = raw(spark, d, "customer").select("c_custkey", "c_name")
+    r = F.pmod(F.col("c_custkey"), F.lit(4))
+    return c.filter(r != 3).select(
+        F.col("c_custkey").cast("string").alias("kode"), F.lit("update").alias("op"),
+        F.lit(1).cast("long").alias("seq"),
+        F.when(r == 0, F.lit('{"alergi":"PARACETAMOL"}'))
+         .when(r == 1, F.lit('{"alergi":null}'))
+         .otherwise(F.to_json(F.struct(F.upper("c_name").alias("nama")))).alias("payload"))
