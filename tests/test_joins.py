@@ -1,0 +1,20 @@
+"""Broadcast hint only behind a proven row bound."""
+
+from dispensa.plans.joins import broadcast_if_small
+
+
+def _plan_of_join(spark, small, max_rows):
+    big = spark.range(1000).withColumnRenamed("id", "k")
+    side = broadcast_if_small(small, max_rows=max_rows)
+    return big.join(side, "k")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_hint_only_within_bound(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")   # no automatic broadcast
+        small = spark.range(10).withColumnRenamed("id", "k")
+        assert "BroadcastHashJoin" in _plan_of_join(spark, small, max_rows=100)
+        assert "BroadcastHashJoin" not in _plan_of_join(spark, small, max_rows=5)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
