@@ -212,7 +212,7 @@ ORACLE["allergy_hits"] = with_views("""
 SELECT i.penjualan_id, i.id AS line_id, i.obat_kode, p.pelanggan_kode, c.alergi
 FROM penjualan_item i JOIN penjualan p ON p.id = i.penjualan_id JOIN pelanggan c ON c.kode = p.pelanggan_kode
 JOIN obat o ON o.kode = i.obat_kode
-WHERE c.alergi IS NOT NULL AND c.alergi <> '' AND c.alergi <> '0'
+WHERE c.kode <> '0' AND c.alergi IS NOT NULL AND c.alergi <> '' AND c.alergi <> '0'
   AND (contains(lower(c.alergi), lower(i.obat_kode)) OR contains(lower(c.alergi), lower(o.nama)))""",
     "penjualan_item", "penjualan", "pelanggan", "obat")
 
@@ -352,23 +352,23 @@ SELECT h.req_id,
        CAST(CASE WHEN stage1 THEN 0 ELSE coalesce(le.n_stock, 0) END AS BIGINT) AS n_stock_errors,
        coalesce(le.narko, false) AS narkotika_psikotropika
 FROM (SELECT p.id AS req_id,
-             (n.n IS NULL OR (p.jenis IN ('Resep', 'Racik') AND (p.dokter_sip IS NULL OR p.dokter_sip = '')))
+             (n.n IS NULL OR (p.jenis IN ('Resep', 'Racik') AND (p.dokter_sip IS NULL OR p.dokter_sip IN ('', '0'))))
                AS stage1
       FROM penjualan p LEFT JOIN (SELECT penjualan_id, count(*) AS n FROM penjualan_item GROUP BY 1) n
            ON n.penjualan_id = p.id) h
 LEFT JOIN (
   SELECT i.penjualan_id AS req_id,
-         sum(CASE WHEN i.obat_kode IS NULL OR i.obat_kode = '' OR i.qty <= 0 THEN 1
+         sum(CASE WHEN i.obat_kode IS NULL OR i.obat_kode IN ('', '0') OR i.qty <= 0 THEN 1
                   WHEN o.kode IS NULL THEN 1
                   ELSE (CASE WHEN o.expired_date < {AS_OF} THEN 1 ELSE 0 END)
                      + (CASE WHEN c.alergi IS NOT NULL AND c.alergi <> '' AND c.alergi <> '0'
                               AND (contains(lower(c.alergi), lower(i.obat_kode))
                                    OR contains(lower(c.alergi), lower(o.nama))) THEN 1 ELSE 0 END) END) AS n_static,
-         sum(CASE WHEN i.obat_kode <> '' AND i.qty > 0 AND o.kode IS NOT NULL AND o.stok < i.qty THEN 1 ELSE 0 END)
+         sum(CASE WHEN i.obat_kode NOT IN ('', '0') AND i.qty > 0 AND o.kode IS NOT NULL AND o.stok < i.qty THEN 1 ELSE 0 END)
            AS n_stock,
          bool_or(coalesce(o.golongan IN ('Psikotropika', 'Narkotika'), false)) AS narko
   FROM penjualan_item i JOIN penjualan p ON p.id = i.penjualan_id
-  LEFT JOIN pelanggan c ON c.kode = p.pelanggan_kode LEFT JOIN obat o ON o.kode = i.obat_kode
+  LEFT JOIN pelanggan c ON c.kode = p.pelanggan_kode AND c.kode <> '0' LEFT JOIN obat o ON o.kode = i.obat_kode
   GROUP BY 1) le ON le.req_id = h.req_id
 LEFT JOIN (
   SELECT a.penjualan_id AS req_id, count(*) AS n_inter

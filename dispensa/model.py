@@ -67,6 +67,8 @@ MSG_PAY_POSITIVE = "Harus > 0"
 MSG_PAY_NOT_FOUND = "Not found"
 MSG_PAY_OVER = "Lebih besar dari saldo hutang"
 MSG_REVERSAL_STOCK = "Tidak bisa hapus: stok sudah terpakai"
+MSG_NUMBER_TAKEN = "no_faktur sudah dipakai"  # own wording: a unique-key violation
+MSG_DATE = "Format tanggal tidak valid"  # own wording: a value that is no date
 MSG_PAIR_SAME = "Obat tidak boleh sama"
 
 MONEY = T.DecimalType(15, 2)

@@ -43,6 +43,16 @@ def _blank(c: Column) -> Column:
     return c.isNull() | (c.cast("string") == "")
 
 
+def _empty(c: Column) -> Column:
+    """The reference's empty test on codes: null, '' and '0'."""
+    return c.isNull() | c.cast("string").isin("", "0")
+
+
+def _whole(c: Column) -> Column:
+    """A count sent as number or text: its whole part; not a number: 0."""
+    return F.coalesce(F.floor(c.cast("string").try_cast("double")).try_cast("int"), F.lit(0))
+
+
 def _with_item_count(headers: DataFrame, lines: DataFrame) -> DataFrame:
     n = lines.groupBy("req_id").agg(F.count(F.lit(1)).alias("__n_items"))
     h = headers.join(n, "req_id", "left").withColumn("__n_items", F.coalesce(F.col("__n_items"), F.lit(0)))
@@ -69,8 +79,11 @@ def admit_purchases(headers: DataFrame, lines: DataFrame, suppliers: DataFrame,
     checks = []
     for f in ("obat_kode", "batch_no", "qty", "harga_beli"):
         checks.append(F.when(_blank(F.col(f)), F.lit(f"{f} wajib")))
-    checks.append(F.when(F.col("qty").cast("int") <= 0, F.lit(model.MSG_QTY_MIN)))
-    checks.append(F.when(F.col("harga_beli").cast("double") < 0, F.lit(model.MSG_PRICE_NEG)))
+    checks.append(F.when(_whole(F.col("qty")) <= 0, F.lit(model.MSG_QTY_MIN)))
+    price = F.coalesce(F.col("harga_beli").cast("string").try_cast("double"), F.lit(0.0))
+    checks.append(F.when(price < 0, F.lit(model.MSG_PRICE_NEG)))
+    expiry = F.trim(F.col("expired_date").cast("string"))
+    checks.append(F.when(~_blank(expiry) & expiry.try_cast("date").isNull(), F.lit(model.MSG_DATE)))
     li = li.withColumn("__line_msg", F.coalesce(*checks))
     known = drugs.select(F.col("kode").alias("obat_kode")).distinct().withColumn("__drug_ok", F.lit(True))
     li = li.join(known, "obat_kode", "left")
@@ -81,7 +94,9 @@ def admit_purchases(headers: DataFrame, lines: DataFrame, suppliers: DataFrame,
     h = h.join(per_req, "req_id", "left")
 
     item_field = lambda pos: F.concat(F.lit("items."), pos.cast("string"))
-    later = (F.when(F.col("__n_items") == 0, _err("items", model.MSG_MIN_ITEM))
+    bad_date = ~_blank(F.col("tgl")) & F.col("tgl").cast("string").try_cast("date").isNull()
+    later = (F.when(bad_date, _err("tgl", model.MSG_DATE))
+              .when(F.col("__n_items") == 0, _err("items", model.MSG_MIN_ITEM))
               .when(F.col("__sup_ok").isNull(), _err("supplier_kode", model.MSG_SUPPLIER_MISSING))
               .when(F.col("__first_line.__line_msg").isNotNull(),
                     _err(item_field(F.col("__first_line.pos")), F.col("__first_line.__line_msg")))
@@ -89,7 +104,7 @@ def admit_purchases(headers: DataFrame, lines: DataFrame, suppliers: DataFrame,
                     _err(item_field(F.col("__first_missing")), model.MSG_DRUG_MISSING)))
     errors = F.when(F.size("__hdr_err") > 0, F.col("__hdr_err")) \
               .otherwise(F.when(later.isNotNull(), F.array(later)).otherwise(F.array().cast(ERROR_TYPE)))
-    tgl = F.when(_blank(F.col("tgl")), F.lit(as_of)).otherwise(F.to_date(F.col("tgl").cast("string")))
+    tgl = F.when(_blank(F.col("tgl")), F.lit(as_of)).otherwise(F.col("tgl").cast("string").try_cast("date"))
     verdict = h.select("req_id", tgl.alias("tgl_eff"), errors.cast(ERROR_TYPE).alias("errors")) \
                .withColumn("accepted", F.size("errors") == 0)
     # verdicts are read by the defaulted lines and by every posting stage
@@ -97,9 +112,12 @@ def admit_purchases(headers: DataFrame, lines: DataFrame, suppliers: DataFrame,
     verdict = materialize(verdict, "purchase-verdicts")
 
     exp_given = F.when(~_blank(F.trim(F.col("expired_date").cast("string"))),
-                       F.col("expired_date").cast("date"))
+                       F.trim(F.col("expired_date").cast("string")).try_cast("date"))
     out_lines = lines.join(verdict.select("req_id", "tgl_eff"), "req_id") \
                      .withColumn("expired_date", F.coalesce(exp_given, plus_one_year(F.col("tgl_eff")))) \
+                     .withColumn("qty", _whole(F.col("qty"))) \
+                     .withColumn("harga_beli", F.coalesce(
+                         F.col("harga_beli").cast("string").try_cast(model.MONEY), F.lit(0).cast(model.MONEY))) \
                      .drop("tgl_eff")
     return verdict, out_lines
 
@@ -116,7 +134,7 @@ def _sale_static(headers: DataFrame, lines: DataFrame, drugs: DataFrame, custome
     final too.
     """
     h = validate(_with_item_count(headers, lines), RULES_SALE, out="__hdr_err")
-    needs_doc = F.col("jenis").isin("Resep", "Racik") & _blank(F.col("dokter_sip"))
+    needs_doc = F.col("jenis").isin("Resep", "Racik") & _empty(F.col("dokter_sip"))
     stage1 = (F.when(F.size("__hdr_err") > 0, F.col("__hdr_err"))
                .when(F.col("__n_items") == 0, F.array(_err("items", model.MSG_MIN_ITEM)))
                .when(needs_doc, F.array(_err("dokter_sip", model.MSG_DOCTOR))))
@@ -125,7 +143,8 @@ def _sale_static(headers: DataFrame, lines: DataFrame, drugs: DataFrame, custome
     d = drugs.select(F.col("kode").alias("obat_kode"), F.col("nama").alias("__nama"),
                      F.col("stok").alias("__stok"), F.col("expired_date").alias("__exp"),
                      F.col("golongan").isin(*model.CONTROLLED).alias("__ctl"))
-    allergy = customers.select(F.col("kode").alias("pelanggan_kode"), F.col("alergi").alias("__alergi"))
+    allergy = customers.filter(~_empty(F.col("kode"))) \
+                       .select(F.col("kode").alias("pelanggan_kode"), F.col("alergi").alias("__alergi"))
     hs = h.select("req_id", "pelanggan_kode").join(allergy, "pelanggan_kode", "left")
     li = lines.join(hs.select("req_id", "__alergi"), "req_id", "left").join(d, "obat_kode", "left")
     if earlier_expiry is not None:
@@ -133,7 +152,7 @@ def _sale_static(headers: DataFrame, lines: DataFrame, drugs: DataFrame, custome
         li = li.join(earlier_expiry, ["req_id", "obat_kode"], "left") \
                .withColumn("__exp", F.least(F.col("__exp"), F.col("__pexp"))).drop("__pexp")
     field = F.concat(F.lit("items."), F.col("pos").cast("string"))
-    invalid = _blank(F.col("obat_kode")) | F.coalesce(F.col("qty").cast("int") <= 0, F.lit(True))
+    invalid = _empty(F.col("obat_kode")) | (_whole(F.col("qty")) <= 0)
     missing = F.col("__nama").isNull() & F.col("__stok").isNull()
     a = F.col("__alergi")
     has_allergy = a.isNotNull() & (a != "") & (a != "0")
@@ -195,7 +214,8 @@ def _pos(req: Column, slot: int) -> Column:
 
 
 def _req_of(seq: Column, slot: int) -> Column:
-    return ((seq - slot) / 3).cast("long")
+    # seq - slot is a multiple of 3: whole division, exact for any long
+    return F.call_function("div", seq - slot, F.lit(3))
 
 
 def admit_batch(headers: DataFrame, lines: DataFrame, drugs: DataFrame, customers: DataFrame,

@@ -45,7 +45,8 @@ ALLOWED_UPDATE = {
 
 def apply_changes(base: DataFrame, changes: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
     """New snapshot of ``base`` (columns ``key`` + ``fields``) after the
-    change feed.  Values are cast to the base column types."""
+    change feed.  Values are cast to the base column types; one that is
+    no value of its type becomes null and ends nothing else."""
     types = {f: base.schema[f].dataType for f in fields}
     # the parsed feed is read by three aggregations: written once
     ensure_checkpoint_dir(changes.sparkSession)
@@ -84,9 +85,9 @@ def apply_changes(base: DataFrame, changes: DataFrame, key: str, fields: Sequenc
                      .otherwise(F.col("__reset_is_ins")))
     cols = [F.col(key)]
     for f in fields:
-        from_ins = F.col("__ins_m")[f].cast(types[f])
+        from_ins = F.col("__ins_m")[f].try_cast(types[f])
         start = F.when(F.col("__reset_is_ins"), from_ins).otherwise(F.col(f))
-        val = F.when(F.coalesce(F.col(f"__h_{f}"), F.lit(False)), F.col(f"__u_{f}").cast(types[f])).otherwise(start)
+        val = F.when(F.coalesce(F.col(f"__h_{f}"), F.lit(False)), F.col(f"__u_{f}").try_cast(types[f])).otherwise(start)
         cols.append(val.alias(f))
     return j.filter(exists_after).select(*cols)
 

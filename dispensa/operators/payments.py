@@ -25,11 +25,18 @@ from dispensa.plans.lineage import materialize, materialize_observed
 from dispensa.session import ensure_checkpoint_dir
 
 
-def post_payments(payables: DataFrame, pays: DataFrame) -> tuple[DataFrame, DataFrame]:
+def post_payments(payables: DataFrame, pays: DataFrame,
+                  purchases: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Returns (payments with ``accepted``, ``error``, ``saldo_after``;
-    payables with the new ``saldo``).  Payments apply in ``id`` order."""
+    payables with the new ``saldo``).  Payments apply in ``id`` order; columns
+    such as ``metode`` and ``keterangan`` are kept.  With ``purchases``, a
+    payable whose purchase is gone is not found (as the reference's join)."""
     ensure_checkpoint_dir(pays.sparkSession)
-    h = payables.select(F.col("id").alias("hutang_id"), F.col("saldo").alias("__s0"))
+    live_payables = payables
+    if purchases is not None:
+        live_payables = payables.join(purchases.select(F.col("id").alias("pembelian_id")), "pembelian_id", "left_semi")
+    h = live_payables.select(F.col("id").alias("hutang_id"), F.col("saldo").alias("__s0"))
+    more = [c for c in pays.columns if c not in ("id", "hutang_id", "tgl", "nominal")]
     p = pays.join(h, "hutang_id", "left")
     static_err = (F.when(~(F.col("nominal") > 0), F.lit(model.MSG_PAY_POSITIVE))
                    .when(F.col("__s0").isNull(), F.lit(model.MSG_PAY_NOT_FOUND)))
@@ -61,7 +68,7 @@ def post_payments(payables: DataFrame, pays: DataFrame) -> tuple[DataFrame, Data
     after = running_sums(s, ["hutang_id"], ["id"], {"__paid": acc}, key_rows_bound=bound) \
         .select("id", (F.col("__s0") - F.col("__paid")).cast(model.MONEY).alias("saldo_after"))
     out = p.join(status, "id").join(after, "id", "left").select(
-        "id", "hutang_id", "tgl", "nominal",
+        "id", "hutang_id", "tgl", "nominal", *more,
         (F.col("st") == 1).alias("accepted"),
         F.coalesce(F.col("__static"), F.when(F.col("st") == 0, F.lit(model.MSG_PAY_OVER))).alias("error"),
         "saldo_after")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from dispensa import model
 from dispensa.operators import ledger as L
 from dispensa.plans.prefix import number_rows
-from dispensa.plans.lineage import materialize
+from dispensa.plans.lineage import materialize, materialize_observed
 from dispensa.session import ensure_checkpoint_dir
 
 
@@ -38,38 +38,49 @@ def assign_codes(req: DataFrame, code_col: str, taken: DataFrame, taken_col: str
                  kind: str = "hex", ts_col: str | None = None, id_col: str = "req_id",
                  attempts: int = 6) -> DataFrame:
     """A blank code gets the first of ``attempts`` candidates that is not
-    already taken and not claimed by an earlier request of the batch
-    (duplicate claims go to the lowest request id; the others retry once on
-    their next free candidate).  Requests left without a code get ``code``
-    null and ``code_error`` set."""
+    taken, by a stored row, a code the batch brings along, or an earlier
+    request (by id) of the batch.  Requests whose candidates are all taken get
+    ``code`` null and ``code_error`` set.
+
+    The one-by-one result is found in rounds: every open request claims its
+    next candidate, a code goes to the lowest id that claims it, and who is
+    refused or displaced claims the next.  Only open requests make candidates;
+    a round is a written table, the open count its metric."""
     blank = F.col(code_col).isNull() | (F.trim(F.col(code_col)) == "")
-    need = req.filter(blank).select(id_col, *([ts_col] if ts_col else []))
-    if need.limit(1).count() == 0:
-        # every request brings its own code: nothing to generate
-        return req.withColumn(code_col, F.trim(F.col(code_col))) \
-                  .withColumn("code_error", F.lit(None).cast("string"))
     ts = F.col(ts_col) if ts_col else None
-    cand = need.select(id_col, F.explode(F.sequence(F.lit(0), F.lit(attempts - 1))).alias("__k")) \
-        if not ts_col else need.select(id_col, ts_col, F.explode(F.sequence(F.lit(0), F.lit(attempts - 1))).alias("__k"))
-    cand = cand.withColumn("__code", code_candidates(F.col(id_col), F.col("__k"), prefix, kind, ts))
-    t = taken.select(F.col(taken_col).alias("__code")).distinct()
+    carry = [id_col, *([ts_col] if ts_col else [])]
     ensure_checkpoint_dir(req.sparkSession)
-    # candidates not taken, read by both passes: written once
-    free = materialize(cand.join(t, "__code", "left_anti"), "codes-free")
-    # pass 1: each request's first free candidate; lowest request id wins a clash
-    first = free.groupBy(id_col).agg(F.min_by("__code", "__k").alias("__code"), F.min("__k").alias("__k"))
-    owner = first.groupBy("__code").agg(F.min(id_col).alias("__owner"))
-    first = materialize(first.join(owner, "__code"), "codes-first")
-    won = first.filter(F.col(id_col) == F.col("__owner")).select(id_col, "__code")
-    lost = first.filter(F.col(id_col) != F.col("__owner")).select(id_col, F.col("__k").alias("__k0"))
-    # pass 2: losers take their next free candidate not won in pass 1
-    retry = free.join(lost, id_col).filter(F.col("__k") > F.col("__k0")) \
-                .join(won.select("__code"), "__code", "left_anti")
-    second = retry.groupBy(id_col).agg(F.min_by("__code", "__k").alias("__code"))
-    owner2 = second.groupBy("__code").agg(F.min(id_col).alias("__owner"))
-    second = second.join(owner2, "__code").filter(F.col(id_col) == F.col("__owner")).select(id_col, "__code")
-    got = won.unionByName(second)
-    out = req.join(got, id_col, "left")
+    used = taken.select(F.trim(F.col(taken_col)).alias("__code")) \
+        .unionByName(req.filter(~blank).select(F.trim(F.col(code_col)).alias("__code"))).distinct() \
+        .withColumn("__used", F.lit(True))
+    open_ = {"open": F.count(F.when(F.col("__open"), 1))}
+
+    def claim(rows: DataFrame) -> DataFrame:
+        """Each request's state after its claim; open ones made a new candidate."""
+        rows = rows.withColumn("__code", F.when(F.col("__open"), code_candidates(
+            F.col(id_col), F.col("__k"), prefix, kind, ts)).otherwise(F.col("__code")))
+        rows = rows.join(used, "__code", "left")
+        owner = rows.filter(~(F.col("__open") & F.col("__used").isNotNull())) \
+            .groupBy("__code").agg(F.min(id_col).alias("__owner"))
+        rows = rows.join(owner, "__code", "left")
+        lost = (F.col("__open") & F.col("__used").isNotNull()) | (F.col("__owner") != F.col(id_col))
+        k = F.when(lost, F.col("__k") + 1).otherwise(F.col("__k"))
+        return rows.select(*carry, "__code", k.alias("__k"), lost.alias("__open"))
+
+    def settle(rows: DataFrame) -> DataFrame:
+        """Requests without a candidate left are closed without a code."""
+        out = F.col("__open") & (F.col("__k") >= attempts)
+        return rows.withColumn("__code", F.when(~out, F.col("__code"))).withColumn("__open", F.col("__open") & ~out)
+
+    state = req.filter(blank).select(*carry, F.lit(None).cast("string").alias("__code"), F.lit(0).alias("__k"),
+                                     F.lit(True).alias("__open"))
+    while True:
+        done = state.filter(F.col("__k") >= attempts)
+        state, m = materialize_observed(settle(claim(state.filter(F.col("__k") < attempts))).unionByName(done),
+                                        "codes", open_)
+        if not m["open"]:
+            break
+    out = req.join(state.select(id_col, "__code"), id_col, "left")
     code = F.when(blank, F.col("__code")).otherwise(F.trim(F.col(code_col)))
     return out.withColumn(code_col, code) \
               .withColumn("code_error", F.when(F.col(code_col).isNull(), F.lit("Gagal generate kode"))) \
@@ -119,24 +130,41 @@ def payables_for(purchases: DataFrame, existing: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------------- J1
 def post_purchases(verdicts: DataFrame, headers: DataFrame, lines: DataFrame, drugs: DataFrame,
-                   ledger_rows: DataFrame, payables: DataFrame, as_of) -> dict[str, DataFrame]:
+                   ledger_rows: DataFrame, payables: DataFrame, as_of, purchases: DataFrame | None = None,
+                   purchase_lines: DataFrame | None = None) -> dict[str, DataFrame]:
     """Admitted purchase requests → headers (total from lines), lines,
-    drug stock and expiry, BELI ledger rows, payables, audit rows."""
+    drug stock and expiry, BELI ledger rows, payables, audit rows.
+
+    ``purchases`` and ``purchase_lines`` are the stored tables: an invoice
+    number they hold is taken, and new line ids follow their highest id.  A
+    request whose number is taken (by a stored purchase or an earlier request)
+    or that gets none is in ``refused`` and posts nothing."""
     ensure_checkpoint_dir(verdicts.sparkSession)
     # stage boundary: admitted requests and their lines are written once
     ok = materialize(verdicts.filter("accepted").select("req_id", "tgl_eff"), "purchases-ok")
-    li = materialize(lines.join(ok.select("req_id"), "req_id", "left_semi"), "purchases-lines")
+    asked = headers.join(ok, "req_id").withColumn("__ts", F.col("tgl_eff").cast("timestamp_ntz"))
+    stored = (purchases if purchases is not None else headers.limit(0)).select("no_faktur")
+    coded = assign_codes(asked, "no_faktur", stored, "no_faktur", model.PREFIX_PURCHASE, "YmdHis", "__ts")
+    first = coded.groupBy("no_faktur").agg(F.min("req_id").alias("__first"))
+    known = stored.select(F.trim(F.col("no_faktur")).alias("no_faktur")).distinct().withColumn("__stored", F.lit(True))
+    coded = coded.join(first, "no_faktur", "left").join(known, "no_faktur", "left")
+    clash = F.col("__stored").isNotNull() | (F.col("__first") != F.col("req_id"))
+    coded = materialize(coded.withColumn("error", F.coalesce(
+        "code_error", F.when(clash, F.lit(model.MSG_NUMBER_TAKEN)))).drop("__first", "__stored"), "purchases-coded")
+    refused = coded.filter(F.col("error").isNotNull()).select("req_id", "no_faktur", "error")
+    coded = coded.filter(F.col("error").isNull()).drop("error")
+
+    li = materialize(lines.join(coded.select("req_id"), "req_id", "left_semi"), "purchases-lines")
     totals = li.groupBy("req_id").agg(F.sum(F.col("qty") * F.col("harga_beli")).cast(model.MONEY).alias("total"))
-    hdr = headers.join(ok, "req_id").join(totals, "req_id")
-    hdr = materialize(assign_codes(hdr.withColumn("__ts", F.col("tgl_eff").cast("timestamp_ntz")), "no_faktur",
-                                   headers.select("no_faktur"), "no_faktur", model.PREFIX_PURCHASE, "YmdHis",
-                                   "__ts"), "purchases-headers")
+    hdr = materialize(coded.join(totals, "req_id"), "purchases-headers")
     new_headers = hdr.select(F.col("req_id").alias("id"), "no_faktur", F.col("tgl_eff").alias("tgl"),
                              "supplier_kode", F.coalesce(F.col("pajak").try_cast(model.MONEY), F.lit(0))
                              .cast(model.MONEY).alias("pajak"), "total", "bayar")
-    new_lines = li.select((F.col("req_id") * 100 + F.col("pos") + 1).cast("long").alias("id"),
-                          F.col("req_id").alias("pembelian_id"), "obat_kode", "batch_no", "expired_date",
-                          "qty", F.col("harga_beli").cast(model.MONEY).alias("harga_beli"))
+    last = 0 if purchase_lines is None else purchase_lines.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    numbered = number_rows(li, ["req_id", "pos"], name="__n")
+    new_lines = numbered.select((F.col("__n") + F.lit(last)).cast("long").alias("id"),
+                                F.col("req_id").alias("pembelian_id"), "obat_kode", "batch_no", "expired_date",
+                                "qty", F.col("harga_beli").cast(model.MONEY).alias("harga_beli"))
     mov = L.purchase_movements(new_lines).withColumn("tgl", F.lit(None).cast("timestamp_ntz"))
     new_ledger = _append_ledger(ledger_rows, mov, ["line_id"])
     new_drugs = L.apply_stock(drugs, mov, new_lines.select("obat_kode", "expired_date"))
@@ -144,7 +172,7 @@ def post_purchases(verdicts: DataFrame, headers: DataFrame, lines: DataFrame, dr
     audit = audit_rows(hdr, "CREATE", "pembelian", F.col("req_id"),
                        ["no_faktur", "tgl", "supplier_kode", "pajak"], F.lit(str(as_of)))
     return {"pembelian": new_headers.drop("bayar"), "pembelian_item": new_lines, "m_obat": new_drugs,
-            "stok_kartu": new_ledger, "hutang_supplier": new_payables, "audit_log": audit}
+            "stok_kartu": new_ledger, "hutang_supplier": new_payables, "audit_log": audit, "refused": refused}
 
 
 # ---------------------------------------------------------------------- J2

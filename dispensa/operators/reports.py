@@ -174,6 +174,8 @@ def purchase_list(purchases: DataFrame, payables: DataFrame, limit: int, page) -
     """Purchases with their payable balance (left join; several payables
     of one purchase repeat it), newest first, one page."""
     h = payables.select(F.col("pembelian_id"), F.col("saldo").alias("h_saldo"))
+    # every purchase gives a row at least: only the newest ones can be on the page
+    purchases = purchases.orderBy(F.desc("id")).limit(page_offset(limit, page) + limit)
     j = purchases.join(h, purchases.id == h.pembelian_id, "left")
     saldo = F.coalesce(F.col("h_saldo"), F.lit(0))
     out = j.select("id", "no_faktur", "tgl", "supplier_kode", money_out("pajak").alias("pajak"),
@@ -201,15 +203,21 @@ def purchase_report(purchases: DataFrame, items: DataFrame, d_from: Day | None =
 
 
 def purchase_totals(items: DataFrame) -> DataFrame:
-    """Line subtotals, invoice totals and the report total in one pass
-    (``rollup``; ``level`` 0 = line, 1 = invoice, 3 = whole report)."""
-    g = items.rollup("pembelian_id", "id").agg(
-        F.grouping_id().alias("level"),
-        F.count(F.lit(1)).alias("n_lines"),
-        F.sum("qty").cast("long").alias("qty"),
-        F.sum(F.col("qty") * F.col("harga_beli")).alias("subtotal"))
-    return g.select("pembelian_id", F.col("id").alias("item_id"), F.col("level").cast("int").alias("level"),
-                    "n_lines", "qty", money_out("subtotal").alias("subtotal"))
+    """Line subtotals (``level`` 0), invoice totals (1) and the report
+    total (3).  A line's subtotal is a projection; invoices add up lines, the
+    report adds up invoices."""
+    line = items.select("pembelian_id", F.col("id").alias("item_id"), F.lit(0).alias("level"),
+                        F.lit(1).cast("long").alias("n_lines"), F.col("qty").cast("long").alias("qty"),
+                        (F.col("qty") * F.col("harga_beli")).alias("subtotal"))
+    add = [F.sum(c).alias(c) for c in ("n_lines", "qty", "subtotal")]
+    none = F.lit(None).cast(line.schema["item_id"].dataType)
+    invoice = line.groupBy("pembelian_id").agg(*add)
+    whole = invoice.agg(*add)
+    cols = ["pembelian_id", "item_id", "level", "n_lines", "qty", money_out("subtotal").alias("subtotal")]
+    return line.select(*cols) \
+        .unionByName(invoice.withColumn("item_id", none).withColumn("level", F.lit(1)).select(*cols)) \
+        .unionByName(whole.withColumn("pembelian_id", F.lit(None).cast(line.schema["pembelian_id"].dataType))
+                     .withColumn("item_id", none).withColumn("level", F.lit(3)).select(*cols))
 
 
 def payables_report(payables: DataFrame, purchases: DataFrame, supplier: str | None = None,

@@ -44,9 +44,10 @@ def interaction_hits(lines: DataFrame, inter: DataFrame, doc: str = "penjualan_i
 def allergy_hits(sales: DataFrame, lines: DataFrame, customers: DataFrame, drugs: DataFrame,
                  doc: str = "penjualan_id") -> DataFrame:
     """Sale lines whose drug code or drug name occurs (case-insensitive)
-    in the patient's allergy text; empty text and "0" are no allergy."""
+    in the patient's allergy text; empty text and "0" are no allergy, and a
+    customer code "0" is no customer."""
     cust = customers.select(F.col("kode").alias("pelanggan_kode"), "alergi") \
-                    .filter(F.col("alergi").isNotNull() & (F.col("alergi") != "") & (F.col("alergi") != "0"))
+                    .filter((F.col("kode") != "0") & F.col("alergi").isNotNull() & (F.col("alergi") != "") & (F.col("alergi") != "0"))
     s = sales.select(F.col("id").alias(doc), "pelanggan_kode").join(cust, "pelanggan_kode")
     li = lines.select(F.col("id").alias("line_id"), doc, "obat_kode").join(s, doc)
     d = drugs.select(F.col("kode").alias("obat_kode"), F.col("nama").alias("__nama"))

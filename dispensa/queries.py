@@ -392,7 +392,7 @@ def q_admit_sales_sequential(spark: SparkSession, d: str) -> DataFrame:
 # ----------------------------------------------------------------- payments
 def _payments(spark: SparkSession, d: str):
     h = td.hutang(spark, d)
-    return payments.post_payments(h, td.hutang_bayar(spark, d, h))
+    return payments.post_payments(h, td.hutang_bayar(spark, d, h), td.pembelian(spark, d))
 
 
 @register("post_payments")
@@ -587,7 +587,7 @@ def q_stream_ledger(spark: SparkSession, d: str) -> DataFrame:
 
 @register("stream_daily_sales")
 def q_stream_daily_sales(spark: SparkSession, d: str) -> DataFrame:
-    """Daily sale count and total from a watermarked, windowed streaming aggregate."""
+    """Daily sale count and total added up from the batches of a streaming query."""
     from dispensa.streaming import streams
     src = f"{d.rstrip('/')}/orders[.]parquet"
     q, out = streams.daily_sales_stream(spark, src, td.raw(spark, d, "orders").schema, _orders_to_sales)

@@ -30,5 +30,6 @@ def read_csv_export(spark, path: str) -> DataFrame:
 
 
 def export_json(df: DataFrame, path: str) -> None:
-    """A4: result rows as JSON lines, non-ASCII text left unescaped."""
-    df.write.mode("error").json(path)
+    """A4: result rows as JSON lines, non-ASCII text left unescaped; null
+    fields are written."""
+    df.write.mode("error").option("ignoreNullFields", False).json(path)

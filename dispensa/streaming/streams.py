@@ -7,18 +7,13 @@ driver.  Outputs and the per-drug balance state live under the session's
 checkpoint folder (shared storage on a cluster), with a streaming checkpoint
 for progress; each micro-batch writes its own epoch folder with
 overwrite, so a replayed batch replaces its output instead of adding to it.
-
-Event time: the tables carry wall-clock ``timestamp_ntz``; watermarks need a
-zoned ``timestamp``.  ``wall_clock_event_time`` maps the wall clock to the
-instant with the same reading in UTC (zone-free arithmetic), so one-day
-windows are calendar days whatever the session time zone.
 """
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,17 +21,6 @@ from dispensa.operators import ledger as L
 from dispensa.session import scratch_dir
 
 
-def wall_clock_event_time(c: str) -> Column:
-    col = F.col(c)
-    secs = (F.datediff(F.to_date(col), F.lit("1970-01-01").cast("date")).cast("long") * 86400
-            + F.hour(col) * 3600 + F.minute(col) * 60 + F.second(col))
-    return F.timestamp_seconds(secs)
-
-
-def _day_of_window(start: Column) -> Column:
-    return F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.unix_seconds(start) / 86400).cast("int"))
-
-
 # ---------------------------------------------------------------------- S1
 def ledger_stream(spark: SparkSession, source: str, schema: T.StructType, to_movements,
                   out_dir: str | None = None, max_files_per_trigger: int = 1):
@@ -72,29 +56,27 @@ def ledger_stream_rows(spark: SparkSession, out_dir: str) -> DataFrame:
 
 # ---------------------------------------------------------------------- S2
 def daily_sales_stream(spark: SparkSession, source: str, schema: T.StructType, to_sales,
-                       out_dir: str | None = None, watermark: str = "2 days"):
-    """Per-day sale count and total as sales arrive.  Event-time
-    one-day windows with a watermark (late rows within the delay still
-    count; state of older days is dropped); update mode, each batch's
-    changed days written under their epoch.  Returns (query, out_dir)."""
+                       out_dir: str | None = None):
+    """Per-day sale count and total as sales arrive.  Each batch writes
+    the counts and sums of its own sales per day under its epoch; the result
+    adds them up on reading.  No state is kept between batches and no sale is
+    late: a file with an older day counts whenever it comes.  Returns (query,
+    out_dir)."""
     out = out_dir or scratch_dir(spark, f"daily-stream-{uuid.uuid4().hex}")
-    src = spark.readStream.schema(schema).parquet(source)
-    sales = to_sales(src).withColumn("__ev", wall_clock_event_time("tgl"))
-    agg = (sales.withWatermark("__ev", watermark)
-           .groupBy(F.window("__ev", "1 day"))
-           .agg(F.count(F.lit(1)).alias("trx"), F.sum("total").alias("total")))
+    sales = to_sales(spark.readStream.schema(schema).parquet(source))
 
     def step(batch: DataFrame, epoch: int) -> None:
         # one folder per epoch, overwritten when a batch is replayed
-        batch.select(_day_of_window(F.col("window.start")).alias("tgl"), "trx", "total") \
+        batch.groupBy(F.to_date("tgl").alias("tgl")) \
+             .agg(F.count(F.lit(1)).alias("trx"), F.sum("total").alias("total")) \
              .write.mode("overwrite").parquet(f"{out}/updates/epoch={epoch}")
 
-    q = (agg.writeStream.outputMode("update").foreachBatch(step)
+    q = (sales.writeStream.foreachBatch(step)
          .option("checkpointLocation", f"{out}/_checkpoint").trigger(availableNow=True).start())
     return q, out
 
 
 def daily_sales_result(spark: SparkSession, out_dir: str) -> DataFrame:
-    """Latest value of each day over all update batches."""
+    """Count and total of each day over all batches."""
     u = spark.read.parquet(f"{out_dir}/updates")
-    return u.groupBy("tgl").agg(F.max_by("trx", "epoch").alias("trx"), F.max_by("total", "epoch").alias("total"))
+    return u.groupBy("tgl").agg(F.sum("trx").alias("trx"), F.sum("total").alias("total"))
