@@ -101,12 +101,13 @@ def digest(examples: DataFrame) -> DataFrame:
         F.max_by("formatted", "example").alias("whole"),
         F.sort_array(F.collect_list(F.struct("example", "trained"))).alias("targets"),
         F.sum(F.length("formatted").cast("long")).alias("formatted_chars"))
-    turns = parse_turns(F.col("whole"))
-    said = F.array_join(F.transform(turns, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    trained = F.array_join(F.transform("targets", lambda x: x["trained"]), "")
+    # columns of their own: each is used twice
+    convs = convs.withColumn("turns", parse_turns(F.col("whole"))) \
+        .withColumn("trained", F.array_join(F.transform("targets", lambda x: x["trained"]), ""))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return convs.select(
-        "conv_id", F.size(turns).cast("long").alias("n_turns"),
+        "conv_id", F.size("turns").cast("long").alias("n_turns"),
         F.sha2(said.cast("binary"), 256).alias("turns_sha256"),
-        F.length(trained).cast("long").alias("loss_chars"),
-        F.sha2(trained.cast("binary"), 256).alias("loss_sha256"),
+        F.length("trained").cast("long").alias("loss_chars"),
+        F.sha2(F.col("trained").cast("binary"), 256).alias("loss_sha256"),
         "formatted_chars", F.size("targets").cast("long").alias("n_examples"))
