@@ -21,13 +21,6 @@ WS = (r"[\t\n\x{0B}\f\r\x{1C}-\x{1F} \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{202
       r"\x{202F}\x{205F}\x{3000}]")
 
 
-def _name_order_key(name: str) -> F.Column:
-    # first 7 bytes of the name as a non-negative long: non-decreasing in the
-    # byte order of the full name (shorter names pad with zero bytes)
-    hx = F.rpad(F.hex(F.substring(F.encode(F.col(name), "UTF-8"), 1, 7)), 14, "0")
-    return F.conv(hx, 16, 10).cast("long")
-
-
 def page_text(lines: DataFrame) -> DataFrame:
     ext = F.lower(F.regexp_extract(F.col("name"), r"\.([^.]*)$", 1))
     li = lines.filter(ext.isin(*IMAGE_EXT)).filter(F.col("text").isNotNull() & (F.col("text") != ""))
@@ -35,9 +28,8 @@ def page_text(lines: DataFrame) -> DataFrame:
     joined = li.groupBy("name").agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "text"))),
                                  lambda x: x["text"]), "\n").alias("__t"))
-    p = pages.join(joined, "name", "left").withColumn("__k", _name_order_key("name"))
-    # a block holds the names sharing their first 5 bytes
-    p = number_rows(p, ["__k", "name"], name="page_no", block=1 << 16)
+    p = pages.join(joined, "name", "left")
+    p = number_rows(p, ["name"], name="page_no")
     text = F.regexp_replace(F.coalesce(F.col("__t"), F.lit("")), f"^{WS}+|{WS}+$", "")
     return p.select("page_no", "name", text.alias("text"), F.char_length(text).cast("long").alias("n_chars"))
 

@@ -97,9 +97,9 @@ def test_running_sums_equal_python_on_skewed_keys(spark):
         acc[k] += v
         want[o] = acc[k]
     for block in (4, 64, 1 << 18):
-        got = running_sums(df, ["k"], ["o"], {"s": F.col("v")}, block=block).collect()
+        got = running_sums(df, ["k"], ["o"], {"s": F.col("v")}, blocks=block).collect()
         assert {r.o: r.s for r in got} == want
-    ex = running_sums(df, ["k"], ["o"], {"s": F.col("v")}, inclusive=False, block=16).collect()
+    ex = running_sums(df, ["k"], ["o"], {"s": F.col("v")}, inclusive=False, blocks=16).collect()
     assert all(r.s == want[r.o] - r.v for r in ex)
 
 

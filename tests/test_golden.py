@@ -68,7 +68,7 @@ def test_running_balance_small_blocks(spark):
     # blocks of 2 ids force several blocks per drug; result must not change
     from dispensa.plans.prefix import running_sums
     mov = _ledger(spark).drop("saldo")
-    out = running_sums(mov, ["obat_kode"], ["id"], {"saldo": -F.col("qty_out").cast("long")}, block=2)
+    out = running_sums(mov, ["obat_kode"], ["id"], {"saldo": -F.col("qty_out").cast("long")}, blocks=2)
     assert {r.id: r.saldo for r in out.collect()} == {i: s for i, _, _, s in LEDGER}
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from dispensa import model
 from dispensa.operators import admission, changes, payments, posting, screening
+from dispensa.plans.prefix import _blocked, number_rows, running_sums
 from dispensa.session import scratch_dir
 from dispensa.streaming import streams
 
@@ -136,3 +137,20 @@ def test_a_late_file_counts(spark):
     run()
     got = {r.tgl.day: (r.trx, int(r.total)) for r in streams.daily_sales_result(spark, out).collect()}
     assert got == {20: (1, 5), 21: (1, 6), 22: (2, 8), 2: (1, 8)}
+
+
+def test_numbers_spread_over_tasks_whatever_the_values(spark):
+    """Names that share eight bytes and ids a million apart are cut alike."""
+    names = spark.range(5000).select(F.format_string("page_scan_%08d.jpg", "id").alias("name"), (F.col("id") * 1_000_000).alias("id"))
+    for order in ("name", "id"):
+        blocked = _blocked(names, [], [order], 6, "b")
+        sizes = [r["count"] for r in blocked.groupBy("b").count().collect()]
+        assert len(sizes) == 6 and max(sizes) < 0.4 * 5000
+        got = number_rows(names, [order], blocks=6).orderBy("id").collect()
+        assert [r.rn for r in got] == list(range(1, 5001))
+
+
+def test_null_keys_are_a_key(spark):
+    df = spark.createDataFrame([(None, 1, 5), (None, 2, 6), ("a", 1, 7)], "k string, o long, v long")
+    got = {(r.k, r.o): r.s for r in running_sums(df, ["k"], ["o"], {"s": F.col("v")}, blocks=3).collect()}
+    assert got == {(None, 1): 5, (None, 2): 11, ("a", 1): 7}
