@@ -1,14 +1,16 @@
 """Posting pipelines: purchases, sales, purchase reversal, payables, code
 assignment, audit rows (J1–J4, J7, A5).
 
-Each pipeline is a pure function from input tables to a dict of new tables
-(snapshot in, snapshot out).  Ledger rows of a batch take ids after the
+Each pipeline is a function from input tables to named new tables (snapshot
+in, snapshot out), each planned when it is read.  Ledger rows of a batch take ids after the
 current maximum, in document order, and balances continue from each drug's
 last balance (E2 as opening of E1).
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +21,26 @@ from dispensa.plans.lineage import materialize, materialize_observed
 from dispensa.session import ensure_checkpoint_dir
 
 
+class Tables(Mapping):
+    """Named result tables, each planned when it is first read: a caller that
+    reads one does not pay for the others."""
+
+    def __init__(self, **makers: Callable[[], DataFrame]):
+        self._makers = makers
+        self._made: dict[str, DataFrame] = {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._made:
+            self._made[name] = self._makers[name]()
+        return self._made[name]
+
+    def __iter__(self):
+        return iter(self._makers)
+
+    def __len__(self) -> int:
+        return len(self._makers)
+
+
 # ---------------------------------------------------------------------- J7
 def code_candidates(req_id: Column, attempt: Column, prefix: str, kind: str = "hex",
                     ts: Column | None = None) -> Column:
@@ -131,7 +153,7 @@ def payables_for(purchases: DataFrame, existing: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------- J1
 def post_purchases(verdicts: DataFrame, headers: DataFrame, lines: DataFrame, drugs: DataFrame,
                    ledger_rows: DataFrame, payables: DataFrame, as_of, purchases: DataFrame | None = None,
-                   purchase_lines: DataFrame | None = None) -> dict[str, DataFrame]:
+                   purchase_lines: DataFrame | None = None) -> Tables:
     """Admitted purchase requests → headers (total from lines), lines,
     drug stock and expiry, BELI ledger rows, payables, audit rows.
 
@@ -160,24 +182,34 @@ def post_purchases(verdicts: DataFrame, headers: DataFrame, lines: DataFrame, dr
     new_headers = hdr.select(F.col("req_id").alias("id"), "no_faktur", F.col("tgl_eff").alias("tgl"),
                              "supplier_kode", F.coalesce(F.col("pajak").try_cast(model.MONEY), F.lit(0))
                              .cast(model.MONEY).alias("pajak"), "total", "bayar")
-    last = 0 if purchase_lines is None else purchase_lines.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-    numbered = number_rows(li, ["req_id", "pos"], name="__n")
-    new_lines = numbered.select((F.col("__n") + F.lit(last)).cast("long").alias("id"),
-                                F.col("req_id").alias("pembelian_id"), "obat_kode", "batch_no", "expired_date",
-                                "qty", F.col("harga_beli").cast(model.MONEY).alias("harga_beli"))
-    mov = L.purchase_movements(new_lines).withColumn("tgl", F.lit(None).cast("timestamp_ntz"))
-    new_ledger = _append_ledger(ledger_rows, mov, ["line_id"])
-    new_drugs = L.apply_stock(drugs, mov, new_lines.select("obat_kode", "expired_date"))
-    new_payables = payables_for(new_headers, payables)
-    audit = audit_rows(hdr, "CREATE", "pembelian", F.col("req_id"),
-                       ["no_faktur", "tgl", "supplier_kode", "pajak"], F.lit(str(as_of)))
-    return {"pembelian": new_headers.drop("bayar"), "pembelian_item": new_lines, "m_obat": new_drugs,
-            "stok_kartu": new_ledger, "hutang_supplier": new_payables, "audit_log": audit, "refused": refused}
+
+    def new_lines() -> DataFrame:
+        last = 0 if purchase_lines is None else purchase_lines.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+        numbered = number_rows(li, ["req_id", "pos"], name="__n")
+        return numbered.select((F.col("__n") + F.lit(last)).cast("long").alias("id"),
+                               F.col("req_id").alias("pembelian_id"), "obat_kode", "batch_no", "expired_date",
+                               "qty", F.col("harga_beli").cast(model.MONEY).alias("harga_beli"))
+
+    def movements(rows: DataFrame) -> DataFrame:
+        return L.purchase_movements(rows).withColumn("tgl", F.lit(None).cast("timestamp_ntz"))
+
+    # stock needs quantities and expiry only, no line ids
+    unnumbered = li.select(F.lit(None).cast("long").alias("id"), F.col("req_id").alias("pembelian_id"), "obat_kode",
+                           "batch_no", "expired_date", "qty", "harga_beli")
+    out = Tables(
+        pembelian=lambda: new_headers.drop("bayar"), pembelian_item=new_lines,
+        m_obat=lambda: L.apply_stock(drugs, movements(unnumbered), li.select("obat_kode", "expired_date")),
+        stok_kartu=lambda: _append_ledger(ledger_rows, movements(out["pembelian_item"]), ["line_id"]),
+        hutang_supplier=lambda: payables_for(new_headers, payables),
+        audit_log=lambda: audit_rows(hdr, "CREATE", "pembelian", F.col("req_id"),
+                                     ["no_faktur", "tgl", "supplier_kode", "pajak"], F.lit(str(as_of))),
+        refused=lambda: refused)
+    return out
 
 
 # ---------------------------------------------------------------------- J2
 def post_sales(verdicts: DataFrame, headers: DataFrame, lines: DataFrame, drugs: DataFrame,
-               ledger_rows: DataFrame, as_of, price_from_catalog: bool = False) -> dict[str, DataFrame]:
+               ledger_rows: DataFrame, as_of, price_from_catalog: bool = False) -> Tables:
     """Admitted sale requests → headers (controlled flag, total from
     lines), lines (missing price is 0 as in the reference, or the catalog
     price with ``price_from_catalog``), drug stock, JUAL ledger rows, audit."""
@@ -197,17 +229,16 @@ def post_sales(verdicts: DataFrame, headers: DataFrame, lines: DataFrame, drugs:
                           "batch_no", "qty", F.col("harga_jual").cast(model.MONEY).alias("harga_jual"), "dosis",
                           "etiket")
     mov = L.sale_movements(new_lines)
-    new_ledger = _append_ledger(ledger_rows, mov, ["line_id"])
-    new_drugs = L.apply_stock(drugs, mov)
-    audit = audit_rows(new_headers, "CREATE", "penjualan", F.col("id"),
-                       ["no_nota", "tgl", "jenis", "pelanggan_kode", "dokter_sip"], F.lit(str(as_of)))
-    return {"penjualan": new_headers, "penjualan_item": new_lines, "m_obat": new_drugs, "stok_kartu": new_ledger,
-            "audit_log": audit}
+    return Tables(
+        penjualan=lambda: new_headers, penjualan_item=lambda: new_lines, m_obat=lambda: L.apply_stock(drugs, mov),
+        stok_kartu=lambda: _append_ledger(ledger_rows, mov, ["line_id"]),
+        audit_log=lambda: audit_rows(new_headers, "CREATE", "penjualan", F.col("id"),
+                                     ["no_nota", "tgl", "jenis", "pelanggan_kode", "dokter_sip"], F.lit(str(as_of))))
 
 
 # ---------------------------------------------------------------------- J3
 def reverse_purchases(requests: DataFrame, purchases: DataFrame, lines: DataFrame, drugs: DataFrame,
-                      ledger_rows: DataFrame, payables: DataFrame, pays: DataFrame, as_of) -> dict[str, DataFrame]:
+                      ledger_rows: DataFrame, payables: DataFrame, pays: DataFrame, as_of) -> Tables:
     """Reverse whole purchases.  A purchase without lines is not found;
     one whose any line's drug has less stock than the line's quantity is
     refused (all or nothing).  Otherwise: stock down, BATAL_BELI ledger rows,
@@ -232,13 +263,13 @@ def reverse_purchases(requests: DataFrame, purchases: DataFrame, lines: DataFram
     ok = verdict.filter("accepted").select("pembelian_id")
     gone = li.join(ok, "pembelian_id", "left_semi")
     mov = L.reversal_movements(gone)
-    new_ledger = _append_ledger(ledger_rows, mov, ["line_id"])
-    new_drugs = L.apply_stock(drugs, mov)
     gone_h = payables.join(ok, "pembelian_id", "left_semi").select(F.col("id").alias("hutang_id"))
-    audit = audit_rows(ok, "DELETE", "pembelian", F.col("pembelian_id"), [], F.lit(str(as_of)))
-    return {"verdicts": verdict,
-            "pembelian": purchases.join(ok.withColumnRenamed("pembelian_id", "id"), "id", "left_anti"),
-            "pembelian_item": lines.join(ok, "pembelian_id", "left_anti"),
-            "hutang_supplier": payables.join(ok, "pembelian_id", "left_anti"),
-            "hutang_supplier_bayar": pays.join(gone_h, "hutang_id", "left_anti"),
-            "m_obat": new_drugs, "stok_kartu": new_ledger, "audit_log": audit}
+    return Tables(
+        verdicts=lambda: verdict,
+        pembelian=lambda: purchases.join(ok.withColumnRenamed("pembelian_id", "id"), "id", "left_anti"),
+        pembelian_item=lambda: lines.join(ok, "pembelian_id", "left_anti"),
+        hutang_supplier=lambda: payables.join(ok, "pembelian_id", "left_anti"),
+        hutang_supplier_bayar=lambda: pays.join(gone_h, "hutang_id", "left_anti"),
+        m_obat=lambda: L.apply_stock(drugs, mov),
+        stok_kartu=lambda: _append_ledger(ledger_rows, mov, ["line_id"]),
+        audit_log=lambda: audit_rows(ok, "DELETE", "pembelian", F.col("pembelian_id"), [], F.lit(str(as_of))))

@@ -410,7 +410,7 @@ def q_payable_balances(spark: SparkSession, d: str) -> DataFrame:
 
 
 # ------------------------------------------------------------------ posting
-def _posted_purchases(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+def _posted_purchases(spark: SparkSession, d: str) -> posting.Tables:
     hdr, lines = td.purchase_requests(spark, d)
     drugs = td.obat(spark, d)
     v, lines2 = admission.admit_purchases(hdr, lines, td.supplier(spark, d), drugs, AS_OF)
