@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from dispensa.plans.lineage import materialize
 
-from .common import bounded_sample, held_out, trainable
+from .common import bounded_sample, held_out, slices, trainable
 
 NO_WORD = r"[^\pL]+"
 ORDERS = (5, 4, 3, 2, 1)
@@ -75,10 +75,12 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names=["lang", "n", "key", "count"])
 
     for b in batches:
-        for lang, found in zip(b.column(0).to_pylist(), split_words(b.column(1))):
-            by.setdefault(lang, Counter()).update(w for w in found.as_py() if w)
-            if sum(map(len, by.values())) > 40_000:
-                yield flush()
+        for start, length in slices(b.column(1)):
+            langs = b.column(0).slice(start, length).to_pylist()
+            for lang, found in zip(langs, split_words(b.column(1).slice(start, length))):
+                by.setdefault(lang, Counter()).update(w for w in found.as_py() if w)
+                if sum(map(len, by.values())) > 40_000:
+                    yield flush()
     if by:
         yield flush()
 
@@ -198,10 +200,12 @@ def _predict(model_b):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_b.value
         for b in batches:
-            got = model.predict(b.column(2))
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array([x[0] for x in got], pa.string()),
-                 pa.array([x[1] for x in got], pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
+            for start, length in slices(b.column(2)):
+                got = model.predict(b.column(2).slice(start, length))
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).slice(start, length), b.column(1).slice(start, length),
+                     pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64())],
+                    names=["doc_id", "held_out", "lang_pred", "score"])
     return run
 
 
