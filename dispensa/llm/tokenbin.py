@@ -15,13 +15,14 @@ holds whole documents, about ``SEGMENT_IDS`` ids (a longer document is one
 segment), its range partition and its place there.
 
 Encoding: the byte-level tokenizer splits a text before a space that stands
-alone and into words, numbers, signs and white space, and encodes each piece
-alone.  So the different units between spaces are found for a batch of texts
-at a time, split, and their new pieces encoded once by the tokenizers library
-and remembered in a bounded table; the ids are those of the whole text.  Texts
-with other white space beside a space, or characters that Python's classes may
-file differently (numbers other than digits, separators, beyond the basic
-plane), are encoded as a whole.
+alone, and encodes what lies between such places alone.  So the different
+units between spaces are found for a batch of texts at a time; those not yet
+known are encoded by the tokenizers library, thousands in one text, which is
+cut again at the ids that begin with a space.  Known units are held in a
+bounded Arrow table and looked up as columns; the ids are those of the whole
+text.  Texts with other white space beside a space, or with characters that
+libraries may file differently (numbers other than digits, separators, beyond
+the basic plane), are encoded as a whole.
 
 Defined results: null text is empty (only the end id); documents with one
 doc_id are ordered by their ids' hash; a null doc_id comes first; special
@@ -31,7 +32,6 @@ gives no segments.
 
 from __future__ import annotations
 
-import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -47,16 +47,15 @@ from tokenizers import Tokenizer
 
 from dispensa.plans.lineage import materialize
 
-from .common import Memo, slices, space_units
+from .common import slices
 
 MAGIC = b"DTK1"
 SEGMENT_IDS = 1 << 20
 END_ID = 2
-MEMO = 300_000
-# Fixed value: how the byte-level tokenizer splits text, in Python's classes
-# (checked against its file in tests).
-PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
-SPACED = re.compile(r" [^\W\d_]+")
+# known units held at most between batches, and the longest of them
+MEMO, LONGEST = 300_000, 40
+UNITS_AT_ONCE = 4096
+SPACE = "\u0120"  # fixed value: a space in the byte-level vocabulary
 WHITE = r"[\s\pZ\x{0b}\x{85}]"
 ODD = rf"^ | $|{WHITE} | {WHITE}|[\x{{1c}}-\x{{1f}}\x{{10000}}-\x{{10ffff}}\p{{Nl}}\p{{No}}]|^$"
 
@@ -103,77 +102,85 @@ class Encoder:
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.kind = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.memo = Memo(MEMO)
-
-    def _bytes(self, ids) -> bytes:
-        return np.array(ids, dtype=self.kind).tobytes()
-
-    def _encode_pieces(self, pieces: list[str]) -> dict[str, bytes]:
-        """Ids of different pieces.  Words with a space in front are encoded
-        as one text, which the tokenizer splits at exactly these places."""
-        out: dict[str, bytes] = {}
-        spaced = [p for p in pieces if SPACED.fullmatch(p)]
-        for i in range(0, len(spaced), 2048):
-            part = spaced[i:i + 2048]
-            e = self.tokenizer.encode("".join(part), add_special_tokens=False)
-            word = np.array(e.word_ids, dtype=np.int64)
-            ids = np.array(e.ids, dtype=self.kind)
-            ends = np.searchsorted(word, np.arange(len(part)), side="right")
-            if word[-1] + 1 != len(part):
-                raise ValueError("the tokenizer splits words in another way")
-            out.update(zip(part, (x.tobytes() for x in np.split(ids, ends[:-1]))))
-        rest = [p for p in pieces if p not in out]
-        for i in range(0, len(rest), 2048):
-            part = rest[i:i + 2048]
-            for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                out[p] = self._bytes(e.ids)
-        return out
-
-    def units(self, keys: list[str]) -> list[bytes]:
-        """Ids of different units, each with its space in front."""
-        split = [PIECE.findall(k) for k in keys]
-        memo = self.memo
-        new = memo.missing({p for s in split for p in s})
-        memo.update(self._encode_pieces(new))
-        out = [b"".join(map(memo.__getitem__, s)) for s in split]
-        memo.settle(new)
-        return out
+        vocabulary = self.tokenizer.get_vocab()
+        self.kind = np.dtype("<u2") if len(vocabulary) <= 1 << 16 else np.dtype("<u4")
+        self.opens = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.opens[[i for t, i in vocabulary.items() if t.startswith(SPACE)]] = True
+        self._forget()
+
+    def _forget(self) -> None:
+        self.names = pa.array([], pa.large_string())
+        self.ids, self.size = np.empty(0, self.kind), np.empty(0, np.int64)
+
+    def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of whole texts in a row, and the number of each."""
+        # one text at a time: the library's results take some hundred bytes an id
+        out = [np.array(self.tokenizer.encode_batch_fast([t], add_special_tokens=False)[0].ids, dtype=self.kind)
+               for t in texts]
+        return np.concatenate([np.empty(0, self.kind), *out]), np.array([len(x) for x in out], dtype=np.int64)
+
+    def _units(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of units, each with a space in front, and the number of each."""
+        texts = [" " + " ".join(units.slice(i, UNITS_AT_ONCE).to_pylist()) for i in range(0, len(units), UNITS_AT_ONCE)]
+        ids, _ = self._whole(texts)
+        starts = np.flatnonzero(self.opens[ids])
+        if len(starts) != len(units):
+            raise ValueError("the tokenizer does not split texts before spaces")
+        return ids, np.diff(starts, append=len(ids))
+
+    def _table(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, and the start and number of those of each of different units."""
+        at = pc.fill_null(pc.index_in(units, value_set=self.names), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        fresh = np.flatnonzero(at < 0)
+        new = units.take(pa.array(fresh))
+        ids, size = self._units(new)
+        at[fresh] = len(self.names) + np.arange(len(fresh))
+        ids, size = np.concatenate([self.ids, ids]), np.concatenate([self.size, size])
+        start = np.cumsum(size) - size
+        # what stays known: not the long ones; the last batch's alone once they are many
+        keep = np.concatenate([np.ones(len(self.names), bool), pc.utf8_length(new).to_numpy(zero_copy_only=False) <= LONGEST])
+        if keep.sum() > MEMO:
+            seen = np.zeros(len(keep), dtype=bool)
+            seen[at] = True
+            keep &= seen & (keep.cumsum() <= MEMO)
+        self.names = pa.concat_arrays([self.names, new]).filter(pa.array(keep))
+        self.ids, self.size = ids[np.repeat(keep, size)], size[keep]
+        return ids, start[at], size[at]
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, each with the end id, and the number
         of ids of each."""
-        texts = pc.fill_null(texts, "")
+        texts = pc.fill_null(texts, "").cast(pa.large_string())
         odd = pc.match_substring_regex(texts, ODD).to_numpy(zero_copy_only=False)
         plain, others = np.flatnonzero(~odd), np.flatnonzero(odd)
-        blobs: list[bytes] = []
-        codes, bounds = np.empty(0, np.int64), np.zeros(1, np.int64)
-        if len(plain):
-            names, codes, bounds = space_units(texts.take(pa.array(plain)))
-            # a text's first unit has no space in front: a unit of its own
-            first = [names[c] for c in codes[bounds[:-1]]]
-            codes[bounds[:-1]] = len(names) + np.arange(len(first))
-            used = np.bincount(codes, minlength=len(names) + len(first)) > 0
-            keys = [" " + u if k else None for u, k in zip(names, used)] + first
-            wanted = list(dict.fromkeys(k for k in keys if k is not None))
-            found = dict(zip(wanted, self.units(wanted)))
-            blobs = [found[k] if k is not None else b"" for k in keys]
-        whole = self.tokenizer.encode_batch_fast(texts.take(pa.array(others)).to_pylist(), add_special_tokens=False)
-        blobs += [self._bytes(e.ids) for e in whole] + [self._bytes([end_id])]
-        # one list of unit codes per text, in the order of the texts, closed by the end id
+        parts = pc.split_pattern(texts.take(pa.array(plain)), " ")
+        bounds = parts.offsets.to_numpy().astype(np.int64)
+        flat = parts.values.slice(bounds[0], bounds[-1] - bounds[0])
+        bounds = bounds - bounds[0]
+        # a text's first unit has no space in front; the end of its text closes it
+        firsts = flat.take(pa.array(bounds[:-1]))
+        inner = np.ones(len(flat), dtype=bool)
+        inner[bounds[:-1]] = False
+        coded = flat.filter(pa.array(inner)).dictionary_encode()
+        ids, start, size = self._table(coded.dictionary)
+        whole, n_whole = self._whole(firsts.to_pylist() + texts.take(pa.array(others)).to_pylist())
+        ids = np.concatenate([ids, whole, np.array([end_id], self.kind)])
+        start = np.concatenate([start, len(ids) - 1 - len(whole) + np.cumsum(n_whole) - n_whole, [len(ids) - 1]])
+        size = np.concatenate([size, n_whole, [1]])
+        # the units of each text in the order of the texts, closed by the end id
         per = np.ones(len(texts), dtype=np.int64)
         per[plain] = np.diff(bounds)
         stops = np.cumsum(per + 1)
-        row = np.full(int(stops[-1]) if len(stops) else 0, len(blobs) - 1, dtype=np.int64)
         at = stops - per - 1
+        row = np.full(int(stops[-1]) if len(stops) else 0, len(size) - 1, dtype=np.int64)
+        codes = np.empty(len(flat), dtype=np.int64)
+        codes[inner] = coded.indices.to_numpy(zero_copy_only=False)
+        codes[bounds[:-1]] = len(coded.dictionary) + np.arange(len(plain))
         row[np.repeat(at[plain] - bounds[:-1], per[plain]) + np.arange(len(codes))] = codes
-        row[at[others]] = len(blobs) - 1 - len(others) + np.arange(len(others))
-        size = np.array([len(x) for x in blobs], dtype=np.int64) // self.kind.itemsize
-        start = np.cumsum(size) - size
-        flat = np.frombuffer(b"".join(blobs), dtype=self.kind)
+        row[at[others]] = len(coded.dictionary) + len(plain) + np.arange(len(others))
         n = size[row]
-        ids = flat[np.repeat(start[row] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-        return ids, np.add.reduceat(n, at) if len(at) else per
+        out = ids[np.repeat(start[row] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        return out, np.add.reduceat(n, at) if len(at) else per
 
 
 @lru_cache(2)
@@ -184,9 +191,9 @@ def encoder(path: str) -> Encoder:
 def _encode(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
     enc = encoder(path)
     for b in batches:
-        for start, length in slices(b.column(1)):
+        for start, length in slices(b.column(1), 4 << 20):
             ids, n = enc.encode(b.column(1).slice(start, length), end_id)
-            raw, stops = ids.tobytes(), np.cumsum(n) * enc.kind.itemsize
+            raw, stops = memoryview(ids.tobytes()), np.cumsum(n) * enc.kind.itemsize
             each = [raw[s:e] for s, e in zip([0, *stops.tolist()], stops.tolist())]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0).slice(start, length), pa.array(n), pa.array([zlib.crc32(x) for x in each], pa.int64()),
@@ -196,8 +203,16 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterat
 def _histogram(batches: Iterator[pa.RecordBatch], kind: str, vocabulary: int) -> Iterator[pa.RecordBatch]:
     total = np.zeros(vocabulary, dtype=np.int64)
     for b in batches:
+        # parts of some 2 M ids, so that a count costs more than the table it is added to
+        held, n = [], 0
         for x in b.column(0):
-            total += np.bincount(np.frombuffer(x.as_buffer(), dtype=kind), minlength=vocabulary)
+            held.append(np.frombuffer(x.as_buffer(), dtype=kind))
+            n += len(held[-1])
+            if n > 1 << 21:
+                total += np.bincount(np.concatenate(held), minlength=vocabulary)
+                held, n = [], 0
+        if held:
+            total += np.bincount(np.concatenate(held), minlength=vocabulary)
     k = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(total[k])], names=["id", "n"])
 

@@ -122,6 +122,19 @@ def test_encoder_equals_whole_texts(library):
         assert ids[s:e].tolist() == library(t), repr(t)
 
 
+def test_encoder_with_a_full_table_and_long_units(library, monkeypatch):
+    """The table of known units turns over; units over its longest are not kept."""
+    monkeypatch.setattr(tokenbin, "MEMO", 12)
+    enc = tokenbin.Encoder(tokenizer_path(BYTES))
+    rng = random.Random(2)
+    for _ in range(30):
+        texts = [" ".join("".join(rng.choice("abc'.\n") for _ in range(rng.choice((1, 2, 60)))).strip() or "x"
+                          for _ in range(rng.randrange(1, 9))) for _ in range(6)]
+        ids, n = enc.encode(pa.array(texts, pa.string()), 2)
+        assert [ids[e - k:e].tolist() for k, e in zip(n, np.cumsum(n))] == [library(t) for t in texts]
+        assert len(enc.names) <= 12 and all(len(u) <= tokenbin.LONGEST for u in enc.names.to_pylist())
+
+
 def check_rows(got, rows, library):
     """Ascending ids (null first), gapless starts, the library's ids."""
     import zlib
