@@ -50,10 +50,10 @@ from dispensa.plans.lineage import materialize
 from .common import slices
 
 MAGIC = b"DTK1"
-SEGMENT_IDS = 1 << 20
+SEGMENT_IDS = 1 << 18
 END_ID = 2
 # known units held at most between batches, and the longest of them
-MEMO, LONGEST = 300_000, 40
+MEMO, LONGEST = 200_000, 40
 UNITS_AT_ONCE = 4096
 SPACE = "\u0120"  # fixed value: a space in the byte-level vocabulary
 WHITE = r"[\s\pZ\x{0b}\x{85}]"
@@ -110,7 +110,7 @@ class Encoder:
 
     def _forget(self) -> None:
         self.names = pa.array([], pa.large_string())
-        self.ids, self.size = np.empty(0, self.kind), np.empty(0, np.int64)
+        self.ids, self.size, self.used = np.empty(0, self.kind), np.empty(0, np.int64), np.empty(0, bool)
 
     def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of whole texts in a row, and the number of each."""
@@ -131,20 +131,24 @@ class Encoder:
     def _table(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids, and the start and number of those of each of different units."""
         at = pc.fill_null(pc.index_in(units, value_set=self.names), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        self.used[at[at >= 0]] = True
         fresh = np.flatnonzero(at < 0)
         new = units.take(pa.array(fresh))
         ids, size = self._units(new)
         at[fresh] = len(self.names) + np.arange(len(fresh))
         ids, size = np.concatenate([self.ids, ids]), np.concatenate([self.size, size])
         start = np.cumsum(size) - size
-        # what stays known: not the long ones; the last batch's alone once they are many
-        keep = np.concatenate([np.ones(len(self.names), bool), pc.utf8_length(new).to_numpy(zero_copy_only=False) <= LONGEST])
+        # what stays known: not the long ones; once they are many, those met again since the last time, and the new
+        new_ones = pc.utf8_length(new).to_numpy(zero_copy_only=False) <= LONGEST
+        keep, used = np.concatenate([np.ones(len(self.names), bool), new_ones]), np.concatenate([self.used, new_ones])
         if keep.sum() > MEMO:
-            seen = np.zeros(len(keep), dtype=bool)
-            seen[at] = True
-            keep &= seen & (keep.cumsum() <= MEMO)
+            keep &= used
+            keep &= keep.cumsum() <= MEMO
+            used[:] = False
+        else:
+            used[len(self.names):] = False
         self.names = pa.concat_arrays([self.names, new]).filter(pa.array(keep))
-        self.ids, self.size = ids[np.repeat(keep, size)], size[keep]
+        self.ids, self.size, self.used = ids[np.repeat(keep, size)], size[keep], used[keep]
         return ids, start[at], size[at]
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
@@ -179,8 +183,9 @@ class Encoder:
         row[np.repeat(at[plain] - bounds[:-1], per[plain]) + np.arange(len(codes))] = codes
         row[at[others]] = len(coded.dictionary) + len(plain) + np.arange(len(others))
         n = size[row]
-        out = ids[np.repeat(start[row] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-        return out, np.add.reduceat(n, at) if len(at) else per
+        place = np.repeat((start[row] - (np.cumsum(n) - n)).astype(np.int32), n)
+        place += np.arange(len(place), dtype=np.int32)
+        return ids[place], np.add.reduceat(n, at) if len(at) else per
 
 
 @lru_cache(2)
@@ -198,17 +203,18 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterat
             yield pa.RecordBatch.from_arrays(
                 [b.column(0).slice(start, length), pa.array(n), pa.array([zlib.crc32(x) for x in each], pa.int64()),
                  pa.array(each, pa.binary())], names=["doc_id", "n_tokens", "tie", "ids"])
+        pa.default_memory_pool().release_unused()
 
 
 def _histogram(batches: Iterator[pa.RecordBatch], kind: str, vocabulary: int) -> Iterator[pa.RecordBatch]:
     total = np.zeros(vocabulary, dtype=np.int64)
     for b in batches:
-        # parts of some 2 M ids, so that a count costs more than the table it is added to
+        # parts of some 500,000 ids, so that a count costs more than the table it is added to
         held, n = [], 0
         for x in b.column(0):
             held.append(np.frombuffer(x.as_buffer(), dtype=kind))
             n += len(held[-1])
-            if n > 1 << 21:
+            if n > 1 << 19:
                 total += np.bincount(np.concatenate(held), minlength=vocabulary)
                 held, n = [], 0
         if held:
