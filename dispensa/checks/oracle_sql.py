@@ -124,6 +124,16 @@ ORDER BY lower(nama), kode LIMIT 200 OFFSET 0""", "obat")
 ORACLE["drug_page"] = with_views(f"""
 SELECT {_OBAT_ALL} FROM obat ORDER BY lower(nama), kode LIMIT 200 OFFSET 400""", "obat")
 
+ORACLE["purchase_detail"] = with_views(f"""
+SELECT p.id, p.no_faktur, CASE WHEN i.id IS NOT NULL THEN
+         CAST(row_number() OVER (PARTITION BY p.id ORDER BY i.id) - 1 AS INTEGER) END AS pos,
+       i.obat_kode, i.batch_no, i.expired_date, i.qty, {_money('i.harga_beli')} AS harga_beli
+FROM pembelian p LEFT JOIN pembelian_item i ON i.pembelian_id = p.id""", "pembelian", "pembelian_item")
+
+ORACLE["supplier_page"] = with_views("""
+SELECT kode, nama, CAST(NULL AS VARCHAR) AS sertifikasi, CAST(NULL AS VARCHAR) AS alamat, CAST(NULL AS VARCHAR) AS kontak
+FROM supp ORDER BY lower(nama), kode LIMIT 50 OFFSET 50""", "supp")
+
 ORACLE["customer_page"] = with_views("""
 SELECT kode, nama, tgl_lahir, jenis_kelamin, no_hp, alamat FROM pelanggan
 ORDER BY lower(nama), kode LIMIT 200 OFFSET 200""", "pelanggan")
@@ -263,6 +273,39 @@ SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY fo, ro) - 1 AS INTEG
      AND golongan NOT IN ('NONE', 'OTC', 'OBT', 'OK', 'Psikotropika', 'Narkotika')
 )""", "drug_requests")
 
+ORACLE["validate_masters"] = f"""
+WITH c AS (SELECT CAST(c_custkey AS BIGINT) AS id, c_custkey AS k, c_name AS nama, c_mktsegment AS seg,
+                  {AS_OF} - CAST(c_custkey * 41 % 20000 AS INTEGER) AS born FROM customer),
+cr AS (SELECT id, CASE WHEN k % 17 = 0 THEN '' ELSE nama END AS nama,
+              CASE WHEN k % 13 = 0 THEN strftime(born, '%Y-%-m-%-d') ELSE strftime(born, '%Y-%m-%d') END AS tgl_lahir,
+              CASE WHEN k % 7 = 0 THEN 'X' WHEN k % 2 = 0 THEN 'L' ELSE 'P' END AS jk,
+              CASE WHEN k % 11 = 0 THEN repeat(CAST(k AS VARCHAR), 31) END AS no_hp FROM c),
+st AS (SELECT id, CASE WHEN k % 5 = 0 THEN '' ELSE seg END AS jabatan,
+              CASE WHEN k % 3 = 0 THEN seg ELSE 'kasir' END AS akses FROM c),
+s AS (SELECT CAST(s_suppkey AS BIGINT) AS id, s_suppkey AS k, s_name AS nama FROM supplier),
+e AS (
+  SELECT 'pelanggan' AS entity, id, 1 AS o, 'nama' AS field, 'nama wajib diisi' AS msg FROM cr WHERE nama = ''
+  UNION ALL SELECT 'pelanggan', id, 2, 'nama', 'nama maksimal 150 karakter' FROM cr WHERE length(nama) > 150
+  UNION ALL SELECT 'pelanggan', id, 3, 'tgl_lahir', 'tgl_lahir harus tanggal (YYYY-MM-DD)' FROM cr
+   WHERE coalesce(strftime(try_strptime(tgl_lahir, '%Y-%m-%d'), '%Y-%m-%d') <> tgl_lahir, true)
+  UNION ALL SELECT 'pelanggan', id, 4, 'jenis_kelamin', 'jenis_kelamin harus salah satu dari: L,P' FROM cr
+   WHERE jk NOT IN ('L', 'P')
+  UNION ALL SELECT 'pelanggan', id, 5, 'no_hp', 'no_hp maksimal 30 karakter' FROM cr WHERE length(no_hp) > 30
+  UNION ALL SELECT 'karyawan', id, 1, 'jabatan', 'jabatan wajib diisi' FROM st WHERE jabatan = ''
+  UNION ALL SELECT 'karyawan', id, 2, 'level_akses', 'level_akses harus salah satu dari: farmasi,kasir,gudang,admin'
+   FROM st WHERE akses NOT IN ('farmasi', 'kasir', 'gudang', 'admin')
+  UNION ALL SELECT 'supplier', id, 1, 'nama', 'nama maksimal 200 karakter' FROM s
+   WHERE k % 5 = 0 AND length(nama) * 20 > 200
+  UNION ALL SELECT 'supplier', id, 2, 'kontak', 'kontak maksimal 100 karakter' FROM s
+   WHERE k % 7 = 0 AND length(nama) * 8 > 100
+  UNION ALL SELECT 'dokter', id, 1, 'sip', 'sip maksimal 100 karakter' FROM s WHERE k % 3 = 0 AND length(nama) * 8 > 100
+  UNION ALL SELECT 'dokter', id, 2, 'nama', 'nama wajib diisi' FROM s WHERE k % 4 = 0
+  UNION ALL SELECT 'formula', CAST(p_partkey AS BIGINT), 1, 'nama', 'nama maksimal 150 karakter' FROM part
+   WHERE length(p_name) * CASE WHEN p_partkey % 6 = 0 THEN 40 ELSE 1 END > 150
+  UNION ALL SELECT 'formula', CAST(p_partkey AS BIGINT), 2, 'dokter_sip', 'dokter_sip maksimal 100 karakter' FROM part
+   WHERE p_partkey % 9 = 0 AND length(p_name) * 30 > 100)
+SELECT entity, id, CAST(row_number() OVER (PARTITION BY entity, id ORDER BY o) - 1 AS INTEGER) AS pos, field, msg FROM e"""
+
 ORACLE["admit_interactions"] = with_views("""
 SELECT id, p1, p2, tingkat, err IS NULL AS accepted, coalesce(err, '') AS error FROM (
   SELECT id, p1, p2, tingkat,
@@ -288,6 +331,23 @@ def _orphan(name: str, child: str, fk: str, parent: str, key: str) -> str:
             f"WHERE {fk} IS NOT NULL AND {fk} NOT IN (SELECT {key} FROM {parent})")
 
 
+
+
+def _unique(name: str, table: str, keys: str) -> str:
+    some = " AND ".join(f"{k} IS NOT NULL" for k in keys.split(", "))
+    return (f"SELECT '{name}' AS unique_key, CAST(count(*) AS BIGINT) AS n_duplicates FROM "
+            f"(SELECT 1 FROM {table} WHERE {some} GROUP BY {keys} HAVING count(*) > 1)")
+
+
+ORACLE["duplicate_keys"] = with_views("\nUNION ALL\n".join([
+    _unique("m_obat.kode", "obat", "kode"), _unique("m_pelanggan.kode", "pelanggan", "kode"),
+    _unique("m_supplier.kode", "supp", "kode"),
+    _unique("m_formula_racik.kode", "(SELECT DISTINCT l_orderkey AS kode FROM lineitem)", "kode"),
+    _unique("interaksi_obat.obat1_kode,obat2_kode", "interaksi", "obat1_kode, obat2_kode"),
+    _unique("pembelian.no_faktur", "pembelian", "no_faktur"), _unique("penjualan.no_nota", "penjualan", "no_nota"),
+    _unique("request.kode", "drug_requests", "kode"), _unique("request.nama", "drug_requests", "nama"),
+]), "obat", "pelanggan", "supp", "interaksi", "pembelian", "penjualan", "drug_requests")
+
 ORACLE["orphans"] = with_views("\nUNION ALL\n".join([
     _orphan("penjualan_item.obat_kode", "penjualan_item", "obat_kode", "obat", "kode"),
     _orphan("penjualan_item.penjualan_id", "penjualan_item", "penjualan_id", "penjualan", "id"),
@@ -298,6 +358,8 @@ ORACLE["orphans"] = with_views("\nUNION ALL\n".join([
     _orphan("interaksi_obat.obat1_kode", "interaksi", "obat1_kode", "obat", "kode"),
     _orphan("interaksi_obat.obat2_kode", "interaksi", "obat2_kode", "obat", "kode"),
     _orphan("stok_kartu.obat_kode", "ledger", "obat_kode", "obat", "kode"),
+    _orphan("hutang_supplier.supplier_kode", "hutang", "supplier_kode", "supp", "kode"),
+    _orphan("hutang_supplier.pembelian_id", "hutang", "pembelian_id", "pembelian", "id"),
     _orphan("hutang_supplier_bayar.hutang_id", "bayar", "hutang_id", "hutang", "id"),
 ]), "penjualan_item", "obat", "penjualan", "pelanggan", "pembelian_item", "pembelian", "supp", "interaksi",
     "ledger", "bayar", "hutang")
@@ -410,6 +472,15 @@ SELECT b.id, b.hutang_id, {_money('b.nominal')}, false,
        CASE WHEN NOT (b.nominal > 0) THEN 'Harus > 0' ELSE 'Not found' END, NULL
 FROM bayar b WHERE b.hutang_id NOT IN (SELECT id FROM hutang)""", "hutang", "bayar")
 
+ORACLE["payable_detail"] = _with_recursive(f"""
+SELECT h.id, h.supplier_kode, {_money('r.saldo_after')} AS saldo,
+       CASE WHEN b.id IS NOT NULL THEN row_number() OVER (PARTITION BY h.id ORDER BY b.id) - 1 END AS pos,
+       b.id AS bayar_id, b.tgl, {_money('b.nominal')} AS nominal
+FROM hutang h JOIN (SELECT hutang_id, arg_max(saldo_after, k) AS saldo_after FROM run GROUP BY 1) r
+  ON r.hutang_id = h.id
+LEFT JOIN (SELECT * FROM bayar WHERE id IN (SELECT id FROM run WHERE k > 0 AND accepted)) b
+  ON b.hutang_id = h.id""", "hutang", "bayar")
+
 ORACLE["payable_balances"] = _with_recursive(f"""
 SELECT h.id, h.pembelian_id, {_money('r.saldo_after')} AS saldo
 FROM hutang h JOIN (SELECT hutang_id, arg_max(saldo_after, k) AS saldo_after FROM run GROUP BY 1) r

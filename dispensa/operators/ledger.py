@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dispensa import model
+from dispensa.functions.scalars import clamp, page_offset
 from dispensa.plans.prefix import number_rows, running_sums
 
 LEDGER_COLS = ["id", "tgl", "obat_kode", "batch_no", "ref_type", "ref_id", "qty_in", "qty_out", "saldo",
@@ -103,11 +104,12 @@ def stock_cards(drugs: DataFrame, ledger: DataFrame, codes: DataFrame | None = N
     """Per requested drug, its header (code, name, stock, expiry) with
     one page of its ledger rows in id order.  Rows are numbered per drug with
     the skew-safe numbering, then the page is a range filter on the number."""
+    limit = clamp(limit, *model.LIMIT_STOCK_CARD)
     led = ledger
     if codes is not None:
         led = led.join(codes.select(F.col("kode").alias("obat_kode")), "obat_kode", "left_semi")
     numbered = number_rows(led, ["id"], name="row_no", keys=["obat_kode"])
-    lo = (max(1, int(page)) - 1) * limit
+    lo = page_offset(limit, page)
     rows = numbered.filter((F.col("row_no") > lo) & (F.col("row_no") <= lo + limit))
     head = drugs.select(F.col("kode").alias("obat_kode"), "nama", F.col("stok").alias("stok_obat"),
                         F.col("expired_date").alias("obat_expired_date"))

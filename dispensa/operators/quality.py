@@ -25,6 +25,22 @@ RULES_DRUG = {
     "expired_date": "nullable|date",
     "golongan": "required|in:NONE,OTC,OBT,OK,Psikotropika,Narkotika",
 }
+RULES_CUSTOMER = {
+    "kode": "nullable|max:50",
+    "nama": "required|max:150",
+    "tgl_lahir": "nullable|date",
+    "jenis_kelamin": "nullable|in:L,P",
+    "no_hp": "nullable|max:30",
+    "alamat": "nullable|max:255",
+}
+RULES_DOCTOR = {"sip": "nullable|max:100", "nama": "required|max:150", "spesialisasi": "nullable|max:150",
+                "fasilitas_kesehatan": "nullable|max:150"}
+RULES_SUPPLIER = {"kode": "nullable|max:50", "nama": "required|max:200", "sertifikasi": "nullable|max:200",
+                  "alamat": "nullable", "kontak": "nullable|max:100"}
+RULES_STAFF = {"kode": "nullable|max:50", "nama": "required|max:150", "jabatan": "required|max:100",
+               "level_akses": "required|in:farmasi,kasir,gudang,admin"}
+RULES_FORMULA = {"kode": "nullable|max:50", "nama": "required|max:150", "dokter_sip": "nullable|max:100",
+                 "komposisi": "nullable", "petunjuk": "nullable", "standar": "nullable"}
 RULES_INTERACTION = {
     "obat1_kode": "required",
     "obat2_kode": "required",
@@ -139,6 +155,19 @@ def duplicates(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
 
 
+def duplicate_report(checks: dict[str, tuple[DataFrame, Sequence[str]]]) -> DataFrame:
+    """I6 summary: one row per declared unique key with the number of its
+    values that more than one row holds (a key with a null part is free)."""
+    parts = []
+    for name, (df, keys) in checks.items():
+        parts.append(duplicates(df.select(*keys).dropna(), keys)
+                     .agg(F.count(F.lit(1)).alias("n_duplicates")).withColumn("unique_key", F.lit(name)))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.select("unique_key", "n_duplicates")
+
+
 def orphans(child: DataFrame, fk: str, parent: DataFrame, key: str) -> DataFrame:
     """Child rows whose non-null foreign key has no parent row."""
     p = parent.select(F.col(key).alias("__pk"))

@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dispensa import model
-from dispensa.functions.scalars import enum_position, money_out, page_offset
+from dispensa.functions.scalars import clamp, enum_position, money_out, page_offset
+from dispensa.plans.prefix import number_rows
 
 Day = str | dt.date
 
@@ -120,7 +121,7 @@ def sales_by_type(sales: DataFrame, d_from: Day | None, d_to: Day | None, as_of:
 def top_sellers(sales: DataFrame, items: DataFrame, drugs: DataFrame, d_from: Day | None,
                 d_to: Day | None, as_of: Day, n: int = 10) -> DataFrame:
     """D6 + C1: per drug, quantity and revenue of sale lines whose sale falls
-    in the period; top ``n`` by quantity (code breaks ties).
+    in the period; top ``n`` by quantity (code breaks ties; ``n`` is clamped).
 
     Plan: sale ids of the period semi-join the lines; lines are aggregated
     per drug *before* meeting the drug table (partial aggregation map-side),
@@ -135,7 +136,7 @@ def top_sellers(sales: DataFrame, items: DataFrame, drugs: DataFrame, d_from: Da
         F.sum(F.col("qty") * F.col("harga_jual")).alias("omzet"))
     named = per_drug.join(drugs.select(F.col("kode").alias("obat_kode"), "nama"), "obat_kode")
     return (named.select("obat_kode", "nama", "qty", money_out("omzet").alias("omzet"))
-            .orderBy(F.desc("qty"), "obat_kode").limit(n))
+            .orderBy(F.desc("qty"), "obat_kode").limit(clamp(n, *model.LIMIT_TOP)))
 
 
 def top_sellers_7d(sales: DataFrame, items: DataFrame, drugs: DataFrame, as_of: Day,
@@ -173,6 +174,7 @@ def payable_status(saldo: str | Column) -> Column:
 def purchase_list(purchases: DataFrame, payables: DataFrame, limit: int, page) -> DataFrame:
     """Purchases with their payable balance (left join; several payables
     of one purchase repeat it), newest first, one page."""
+    limit = clamp(limit, *model.LIMIT_LIST)
     h = payables.select(F.col("pembelian_id"), F.col("saldo").alias("h_saldo"))
     # every purchase gives a row at least: only the newest ones can be on the page
     purchases = purchases.orderBy(F.desc("id")).limit(page_offset(limit, page) + limit)
@@ -260,6 +262,24 @@ def sale_detail(sales: DataFrame, items: DataFrame, drugs: DataFrame) -> DataFra
                 ["item_id", "obat_kode", "obat_nama", "batch_no", "qty", "harga_jual", "dosis", "etiket"])
 
 
+def purchase_detail(purchases: DataFrame, items: DataFrame) -> DataFrame:
+    """Each purchase with its lines, in id order (none: an empty array)."""
+    li = items.select(F.col("id").alias("item_id"), "pembelian_id", "obat_kode", "batch_no", "expired_date",
+                      "qty", "harga_beli")
+    return nest(purchases, li, "pembelian_id", "item_id",
+                ["obat_kode", "batch_no", "expired_date", "qty", "harga_beli"])
+
+
+def payable_detail(payables: DataFrame, paid: DataFrame) -> DataFrame:
+    """Each payable with its posted payments as numbered rows (``pos``
+    from 0, in id order; without payments one row with a null ``pos``).  A
+    payable may hold any share of all payments, so they are not gathered into
+    an array."""
+    rows = number_rows(paid.select(F.col("id").alias("bayar_id"), "hutang_id", "tgl", "nominal", "metode", "keterangan"),
+                       ["bayar_id"], name="pos", keys=["hutang_id"], start=0)
+    return payables.join(rows, payables["id"] == rows["hutang_id"], "left").drop("hutang_id")
+
+
 # ---------------------------------------------------------------- C6, B11
 def expiry_status(days_left: str | Column, days: int) -> Column:
     """Expired (< 0), near (<= days) or safe."""
@@ -271,7 +291,7 @@ def expiry_status(days_left: str | Column, days: int) -> Column:
 def expiry_watch(batches: DataFrame, drugs: DataFrame, as_of: Day, days: int = 30) -> DataFrame:
     """Purchased batches expiring by ``as_of + days`` (already expired and
     sold-out batches included), with days left and status, by expiry date."""
-    today = _d(as_of)
+    today, days = _d(as_of), clamp(days, *model.EXPIRY_DAYS)
     b = batches.filter(F.col("expired_date") <= F.lit(today + dt.timedelta(days=days)))
     d = drugs.select(F.col("kode").alias("obat_kode"), "nama")
     j = b.join(d, "obat_kode")

@@ -145,6 +145,23 @@ def q_drug_page(spark: SparkSession, d: str) -> DataFrame:
     return r.withColumn("harga", money_out("harga"))
 
 
+@register("purchase_detail")
+def q_purchase_detail(spark: SparkSession, d: str) -> DataFrame:
+    """Every purchase with its nested lines, read back as one row per line
+    (a purchase without lines: one row without a line)."""
+    pd = reports.purchase_detail(td.pembelian(spark, d), td.pembelian_item(spark, d))
+    x = pd.select("id", "no_faktur", F.posexplode_outer("items").alias("pos", "it"))
+    return x.select("id", "no_faktur", "pos", F.col("it.obat_kode").alias("obat_kode"),
+                    F.col("it.batch_no").alias("batch_no"), F.col("it.expired_date").alias("expired_date"),
+                    F.col("it.qty").alias("qty"), money_out("it.harga_beli").alias("harga_beli"))
+
+
+@register("supplier_page")
+def q_supplier_page(spark: SparkSession, d: str) -> DataFrame:
+    return search.list_page(td.supplier(spark, d), ["kode", "nama", "sertifikasi", "alamat", "kontak"],
+                            search.name_order(), limit=50, page=2)
+
+
 @register("customer_page")
 def q_customer_page(spark: SparkSession, d: str) -> DataFrame:
     return search.list_page(td.pelanggan(spark, d),
@@ -274,6 +291,21 @@ def q_validate_rows(spark: SparkSession, d: str) -> DataFrame:
     return x.select("id", "pos", F.col("e.field").alias("field"), F.col("e.msg").alias("msg"))
 
 
+@register("validate_masters")
+def q_validate_masters(spark: SparkSession, d: str) -> DataFrame:
+    """Customer, staff, supplier, doctor and formula insert requests checked
+    with their rule sets, one row per error."""
+    rules = {"pelanggan": quality.RULES_CUSTOMER, "karyawan": quality.RULES_STAFF,
+             "supplier": quality.RULES_SUPPLIER, "dokter": quality.RULES_DOCTOR, "formula": quality.RULES_FORMULA}
+    out = None
+    for entity, req in td.master_requests(spark, d).items():
+        v = quality.validate(req, rules[entity]).select("id", F.posexplode("errors").alias("pos", "e"))
+        x = v.select(F.lit(entity).alias("entity"), "id", "pos", F.col("e.field").alias("field"),
+                     F.col("e.msg").alias("msg"))
+        out = x if out is None else out.unionByName(x)
+    return out
+
+
 @register("admit_interactions")
 def q_admit_interactions(spark: SparkSession, d: str) -> DataFrame:
     a = quality.admit_interactions(td.interaction_requests(spark, d))
@@ -287,6 +319,23 @@ def q_duplicates(spark: SparkSession, d: str) -> DataFrame:
     return quality.duplicates(td.pembelian_item(spark, d), ["pembelian_id", "batch_no"])
 
 
+@register("duplicate_keys")
+def q_duplicate_keys(spark: SparkSession, d: str) -> DataFrame:
+    """Values of each declared unique key that several rows hold (codes
+    and names of drug requests included)."""
+    return quality.duplicate_report({
+        "m_obat.kode": (td.obat(spark, d), ["kode"]),
+        "m_pelanggan.kode": (td.pelanggan(spark, d), ["kode"]),
+        "m_supplier.kode": (td.supplier(spark, d), ["kode"]),
+        "m_formula_racik.kode": (td.formula(spark, d), ["kode"]),
+        "interaksi_obat.obat1_kode,obat2_kode": (td.interaksi(spark, d), ["obat1_kode", "obat2_kode"]),
+        "pembelian.no_faktur": (td.pembelian(spark, d), ["no_faktur"]),
+        "penjualan.no_nota": (td.penjualan(spark, d), ["no_nota"]),
+        "request.kode": (td.drug_requests(spark, d), ["kode"]),
+        "request.nama": (td.drug_requests(spark, d), ["nama"]),
+    })
+
+
 @register("orphans")
 def q_orphans(spark: SparkSession, d: str) -> DataFrame:
     drugs, sales, buys = td.obat(spark, d), td.penjualan(spark, d), td.pembelian(spark, d)
@@ -301,6 +350,8 @@ def q_orphans(spark: SparkSession, d: str) -> DataFrame:
         "interaksi_obat.obat1_kode": (td.interaksi(spark, d), "obat1_kode", drugs, "kode"),
         "interaksi_obat.obat2_kode": (td.interaksi(spark, d), "obat2_kode", drugs, "kode"),
         "stok_kartu.obat_kode": (td.ledger_movements(spark, d), "obat_kode", drugs, "kode"),
+        "hutang_supplier.supplier_kode": (pay, "supplier_kode", td.supplier(spark, d), "kode"),
+        "hutang_supplier.pembelian_id": (pay, "pembelian_id", buys, "id"),
         "hutang_supplier_bayar.hutang_id": (td.hutang_bayar(spark, d, pay), "hutang_id", pay, "id"),
     })
 
@@ -409,6 +460,15 @@ def q_payable_balances(spark: SparkSession, d: str) -> DataFrame:
     return h.select("id", "pembelian_id", money_out("saldo").alias("saldo"))
 
 
+@register("payable_detail")
+def q_payable_detail(spark: SparkSession, d: str) -> DataFrame:
+    """Every payable with its accepted payments, numbered in id order."""
+    out, h = _payments(spark, d)
+    x = reports.payable_detail(h, out.filter("accepted"))
+    return x.select("id", "supplier_kode", money_out("saldo").alias("saldo"), F.col("pos").cast("long").alias("pos"),
+                    "bayar_id", "tgl", money_out("nominal").alias("nominal"))
+
+
 # ------------------------------------------------------------------ posting
 def _posted_purchases(spark: SparkSession, d: str) -> posting.Tables:
     hdr, lines = td.purchase_requests(spark, d)

@@ -275,6 +275,45 @@ def drug_requests(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def master_requests(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """Insert requests of the other master tables as raw text fields, with an
+    ``id`` each: customers and staff from ``customer``, suppliers and doctors
+    from ``supplier``, formulas from ``part``.  Some fields are written in
+    shapes the rules refuse (blank or long names, unpadded dates, values
+    outside a list, long phone numbers)."""
+    c, s, p = (raw(spark, d, t) for t in ("customer", "supplier", "part"))
+
+    def every(key: str, n: int, bad: Column, good: Column) -> Column:
+        return F.when(F.pmod(F.col(key), F.lit(n)) == 0, bad).otherwise(good)
+
+    born = F.date_add(F.lit(AS_OF), (-F.pmod(F.col("c_custkey") * 41, F.lit(20000))).cast("int"))
+    return {
+        "pelanggan": c.select(
+            F.col("c_custkey").cast("long").alias("id"), F.col("c_custkey").cast("string").alias("kode"),
+            every("c_custkey", 17, F.lit(""), F.col("c_name")).alias("nama"),
+            every("c_custkey", 13, F.date_format(born, "yyyy-M-d"), F.date_format(born, "yyyy-MM-dd")).alias("tgl_lahir"),
+            every("c_custkey", 7, F.lit("X"), every("c_custkey", 2, F.lit("L"), F.lit("P"))).alias("jenis_kelamin"),
+            every("c_custkey", 11, F.repeat(F.col("c_custkey").cast("string"), 31), F.lit(None).cast("string")).alias("no_hp"),
+            F.col("c_mktsegment").alias("alamat")),
+        "karyawan": c.select(
+            F.col("c_custkey").cast("long").alias("id"), F.col("c_custkey").cast("string").alias("kode"),
+            F.col("c_name").alias("nama"), every("c_custkey", 5, F.lit(""), F.col("c_mktsegment")).alias("jabatan"),
+            every("c_custkey", 3, F.col("c_mktsegment"), F.lit("kasir")).alias("level_akses")),
+        "supplier": s.select(
+            F.col("s_suppkey").cast("long").alias("id"), F.col("s_suppkey").cast("string").alias("kode"),
+            every("s_suppkey", 5, F.repeat("s_name", 20), F.col("s_name")).alias("nama"),
+            every("s_suppkey", 7, F.repeat("s_name", 8), F.lit(None).cast("string")).alias("kontak")),
+        "dokter": s.select(
+            F.col("s_suppkey").cast("long").alias("id"),
+            every("s_suppkey", 3, F.repeat("s_name", 8), F.col("s_suppkey").cast("string")).alias("sip"),
+            every("s_suppkey", 4, F.lit(None).cast("string"), F.col("s_name")).alias("nama")),
+        "formula": p.select(
+            F.col("p_partkey").cast("long").alias("id"),
+            every("p_partkey", 6, F.repeat(F.col("p_name"), 40), F.col("p_name")).alias("nama"),
+            every("p_partkey", 9, F.repeat(F.col("p_name"), 30), F.lit(None).cast("string")).alias("dokter_sip")),
+    }
+
+
 def interaction_requests(spark: SparkSession, d: str) -> DataFrame:
     """Interaction insert requests: part × five offsets, unsorted, self
     pairs and repeated pairs included."""
