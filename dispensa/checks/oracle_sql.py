@@ -439,6 +439,34 @@ LEFT JOIN (
   WHERE x.tingkat IN ('major', 'contraindicated') GROUP BY 1) pi ON pi.req_id = h.req_id""",
     "penjualan", "penjualan_item", "pelanggan", "obat", "interaksi")
 
+ORACLE["sale_errors"] = with_views(f"""
+SELECT req_id, field, nth, msg, CAST(count(*) AS BIGINT) AS n FROM (
+  SELECT id AS req_id, 'items' AS field, 0 AS nth, 'items wajib diisi' AS msg FROM h WHERE no_items
+  UNION ALL SELECT id, 'dokter_sip', 0, 'Wajib untuk resep/racik' FROM h WHERE NOT no_items AND no_doctor
+  UNION ALL SELECT req_id, 'items.' || pos, 0, CASE WHEN bad THEN 'obat_kode/qty tidak valid' ELSE 'Obat tidak ditemukan' END
+   FROM li WHERE bad OR missing
+  UNION ALL SELECT req_id, 'items.' || pos, 0, 'Stok tidak cukup' FROM li WHERE NOT bad AND NOT missing AND short
+  UNION ALL SELECT req_id, 'items.' || pos, CAST(short AS INTEGER), 'Obat kadaluarsa'
+   FROM li WHERE NOT bad AND NOT missing AND old
+  UNION ALL SELECT req_id, 'items.' || pos, CAST(short AS INTEGER) + CAST(old AS INTEGER), 'Alergi pasien terdeteksi'
+   FROM li WHERE NOT bad AND NOT missing AND allergic
+  UNION ALL SELECT a.req_id, 'interaksi', NULL, 'Interaksi ' || a.obat_kode || '-' || b.obat_kode || ': ' || x.tingkat
+   FROM li a JOIN li b ON a.req_id = b.req_id AND a.pos < b.pos
+   JOIN interaksi x ON x.obat1_kode = least(a.obat_kode, b.obat_kode) AND x.obat2_kode = greatest(a.obat_kode, b.obat_kode)
+   WHERE x.tingkat IN ('major', 'contraindicated'))
+GROUP BY 1, 2, 3, 4""", "penjualan", "penjualan_item", "pelanggan", "obat", "interaksi", extra={
+    "h": """SELECT p.*, NOT EXISTS (SELECT 1 FROM penjualan_item i WHERE i.penjualan_id = p.id) AS no_items,
+             coalesce(p.jenis IN ('Resep', 'Racik') AND (p.dokter_sip IS NULL OR p.dokter_sip IN ('', '0')), false)
+               AS no_doctor FROM penjualan p""",
+    "li": f"""SELECT i.penjualan_id AS req_id, row_number() OVER (PARTITION BY i.penjualan_id ORDER BY i.id) - 1 AS pos,
+             i.obat_kode, i.obat_kode IS NULL OR i.obat_kode IN ('', '0') OR i.qty <= 0 AS bad, o.kode IS NULL AS missing,
+             o.stok < i.qty AS short, coalesce(o.expired_date < {AS_OF}, false) AS old,
+             coalesce(c.alergi NOT IN ('', '0') AND (contains(lower(c.alergi), lower(i.obat_kode))
+                      OR contains(lower(c.alergi), lower(o.nama))), false) AS allergic
+             FROM penjualan_item i JOIN h ON h.id = i.penjualan_id AND NOT no_items AND NOT no_doctor
+             LEFT JOIN pelanggan c ON c.kode = h.pelanggan_kode AND c.kode <> '0'
+             LEFT JOIN obat o ON o.kode = i.obat_kode"""})
+
 _PAY_CTES = {
     "pay": """SELECT b.id, b.hutang_id, b.nominal,
                row_number() OVER (PARTITION BY b.hutang_id ORDER BY b.id) AS k
@@ -520,18 +548,31 @@ SELECT 'CREATE' AS action, 'pembelian' AS entity, CAST(id AS VARCHAR) AS entity_
                         'pajak', CAST(pajak AS VARCHAR)) AS VARCHAR) AS detail
 FROM okp""", "pembelian", "pembelian_item", "supp", "obat", extra={"okp": _OK_PURCHASES})
 
-ORACLE["reverse_purchases"] = with_views("""
+# One step per purchase, by id: rows 'd:<drug>' hold the stock left, rows 'p:<id>' the verdicts.
+ORACLE["reverse_purchases"] = "WITH RECURSIVE " + with_views("""
 SELECT p.id AS pembelian_id, CAST(coalesce(c.n_lines, 0) AS BIGINT) AS n_lines,
-       CAST(coalesce(c.n_short, 0) AS BIGINT) AS n_short, c.first_short_drug,
-       coalesce(c.n_lines, 0) > 0 AND coalesce(c.n_short, 0) = 0 AS accepted,
+       CAST(coalesce(r.n_short, 0) AS BIGINT) AS n_short, r.first_short AS first_short_drug,
+       coalesce(r.val = 1, false) AS accepted,
        CASE WHEN coalesce(c.n_lines, 0) = 0 THEN 'Not found'
-            WHEN c.n_short > 0 THEN 'Tidak bisa hapus: stok sudah terpakai' ELSE '' END AS error
-FROM pembelian p LEFT JOIN (
-  SELECT i.pembelian_id, count(*) AS n_lines,
-         sum(CASE WHEN coalesce(o.stok, 0) < i.qty THEN 1 ELSE 0 END) AS n_short,
-         arg_min(i.obat_kode, i.id) FILTER (WHERE coalesce(o.stok, 0) < i.qty) AS first_short_drug
-  FROM pembelian_item i LEFT JOIN obat o ON o.kode = i.obat_kode GROUP BY 1) c ON c.pembelian_id = p.id""",
-    "pembelian", "pembelian_item", "obat")
+            WHEN r.n_short > 0 THEN 'Tidak bisa hapus: stok sudah terpakai' ELSE '' END AS error
+FROM pembelian p LEFT JOIN (SELECT pembelian_id, count(*) AS n_lines FROM pembelian_item GROUP BY 1) c
+     ON c.pembelian_id = p.id
+LEFT JOIN run r ON r.key = 'p:' || p.id""", "pembelian", "pembelian_item", "obat", extra={
+    "pl": """SELECT dense_rank() OVER (ORDER BY pembelian_id) AS step, pembelian_id, id, obat_kode, qty
+             FROM pembelian_item""",
+    "run(key, step, val, n_short, first_short) USING KEY (key)": """
+  SELECT 'd:' || kode, CAST(0 AS BIGINT), CAST(stok AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR) FROM obat
+  UNION
+  SELECT * FROM (
+    WITH l AS (SELECT pl.*, coalesce(d.val, 0) AS stok, d.key AS key
+               FROM pl LEFT JOIN recurring.run d ON d.key = 'd:' || pl.obat_kode
+               WHERE pl.step = (SELECT max(step) + 1 FROM run)),
+    v AS (SELECT step, pembelian_id, count(*) FILTER (WHERE stok < qty) AS n_short,
+                 arg_min(obat_kode, id) FILTER (WHERE stok < qty) AS first_short FROM l GROUP BY 1, 2)
+    SELECT 'p:' || pembelian_id, step, CAST(n_short = 0 AS BIGINT), n_short, first_short FROM v
+    UNION ALL
+    SELECT l.key, l.step, CAST(min(l.stok) - sum(l.qty) AS BIGINT), NULL, NULL FROM l, v
+    WHERE v.n_short = 0 AND l.key IS NOT NULL GROUP BY 1, 2)"""})[len("WITH "):]
 
 ORACLE["assign_codes"] = with_views("""
 SELECT c.id AS req_id, g.code AS kode FROM pelanggan c LEFT JOIN got g ON g.req_id = c.id""", "pelanggan", extra={

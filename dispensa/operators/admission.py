@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 from dispensa import model
 from dispensa.functions.scalars import plus_one_year
 from dispensa.operators.quality import ERROR_TYPE, RULES_PURCHASE, RULES_SALE, validate
-from dispensa.plans.prefix import max_key_rows, running_mins, running_sums
+from dispensa.operators.screening import interaction_hits
+from dispensa.plans.prefix import max_key_rows, number_rows, running_mins, running_sums
 from dispensa.plans.lineage import materialize, materialize_observed
 from dispensa.session import ensure_checkpoint_dir
 
@@ -123,23 +124,21 @@ def admit_purchases(headers: DataFrame, lines: DataFrame, suppliers: DataFrame,
 
 
 # ---------------------------------------------------------------------- I3
-def _sale_static(headers: DataFrame, lines: DataFrame, drugs: DataFrame, customers: DataFrame,
-                 inter: DataFrame, as_of: dt.date,
-                 earlier_expiry: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Order-free part of sale admission.
-
-    Returns (header verdict table, line table with ``__line_errs`` and the
-    drug's opening stock ``__stok``).  Header-stage failures (rules, no item,
-    missing doctor) refuse outright; line-stage errors other than stock are
-    final too.
-    """
+def _sale_headers(headers: DataFrame, lines: DataFrame) -> DataFrame:
+    """Headers with ``__stage1``: the failures that refuse outright (rules, no
+    item, missing doctor), null if none."""
     h = validate(_with_item_count(headers, lines), RULES_SALE, out="__hdr_err")
     needs_doc = F.col("jenis").isin("Resep", "Racik") & _empty(F.col("dokter_sip"))
     stage1 = (F.when(F.size("__hdr_err") > 0, F.col("__hdr_err"))
                .when(F.col("__n_items") == 0, F.array(_err("items", model.MSG_MIN_ITEM)))
                .when(needs_doc, F.array(_err("dokter_sip", model.MSG_DOCTOR))))
-    h = h.withColumn("__stage1", stage1.cast(ERROR_TYPE))
+    return h.withColumn("__stage1", stage1.cast(ERROR_TYPE))
 
+
+def _sale_lines(h: DataFrame, lines: DataFrame, drugs: DataFrame, customers: DataFrame, as_of: dt.date,
+                earlier_expiry: DataFrame | None = None) -> DataFrame:
+    """Lines with ``__line_errs`` (all but stock), ``__checkable`` (the drug is
+    known) and the drug's opening stock ``__stok``."""
     d = drugs.select(F.col("kode").alias("obat_kode"), F.col("nama").alias("__nama"),
                      F.col("stok").alias("__stok"), F.col("expired_date").alias("__exp"),
                      F.col("golongan").isin(*model.CONTROLLED).alias("__ctl"))
@@ -164,9 +163,17 @@ def _sale_static(headers: DataFrame, lines: DataFrame, drugs: DataFrame, custome
               .otherwise(F.filter(F.array(F.when(expired, _err(field, model.MSG_EXPIRED)),
                                           F.when(allergic, _err(field, model.MSG_ALLERGY))),
                                   lambda x: x.isNotNull()))
-    li = li.withColumn("__line_errs", static.cast(ERROR_TYPE)) \
-           .withColumn("__checkable", ~invalid & ~missing)
+    return li.withColumn("__line_errs", static.cast(ERROR_TYPE)) \
+             .withColumn("__checkable", ~invalid & ~missing)
+
 
+def _sale_static(headers: DataFrame, lines: DataFrame, drugs: DataFrame, customers: DataFrame,
+                 inter: DataFrame, as_of: dt.date,
+                 earlier_expiry: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Order-free part of sale admission: (header table with error counts,
+    line table); the errors of both stages are final."""
+    h = _sale_headers(headers, lines)
+    li = _sale_lines(h, lines, drugs, customers, as_of, earlier_expiry)
     # interaction errors: one per pair of lines (i < j) whose drugs form a
     # reported pair = count(a) × count(b) per basket; no pair emission
     cnt = lines.groupBy("req_id", "obat_kode").agg(F.count(F.lit(1)).alias("__c"))
@@ -205,6 +212,55 @@ def admit_sales(headers: DataFrame, lines: DataFrame, drugs: DataFrame, customer
     return admit_batch(headers, lines, drugs, customers, inter, as_of, mode, stock_rule, purchases)["sales"]
 
 
+def sale_errors(headers: DataFrame, lines: DataFrame, drugs: DataFrame, customers: DataFrame,
+                inter: DataFrame, as_of: dt.date) -> DataFrame:
+    """The error list of every refused sale, judged against opening stock:
+    ``req_id, field, nth, msg, n``.
+
+    A header failure ends the check.  Otherwise each line gives its errors
+    (``nth`` counts them within the line: stock, expiry, allergy), and each two
+    lines with a reported interaction give one message that names their drugs
+    in line order.  Equal interaction messages are one row with their number
+    ``n``: the lines of a pair's drugs are ranked together, and the ranks of
+    one drug give how many lines of the other stand before it (no pairs of
+    lines are made).
+    """
+    h = _sale_headers(headers, lines)
+    one = F.lit(1).cast("long").alias("n")
+    first = h.filter(F.col("__stage1").isNotNull()) \
+             .select("req_id", F.posexplode("__stage1").alias("nth", "e"), one)
+    lines = lines.join(h.filter(F.col("__stage1").isNull()).select("req_id"), "req_id", "left_semi")
+    li = _sale_lines(h, lines, drugs, customers, as_of)
+    field = F.concat(F.lit("items."), F.col("pos").cast("string"))
+    short = F.col("__checkable") & (F.col("__stok").cast("long") < _whole(F.col("qty")).cast("long"))
+    stock = F.when(short, F.array(_err(field, model.MSG_NO_STOCK))).otherwise(F.array().cast(ERROR_TYPE))
+    of_lines = li.select("req_id", F.posexplode(F.concat(stock.cast(ERROR_TYPE), F.col("__line_errs"))).alias("nth", "e"), one)
+    plain = first.unionByName(of_lines).select("req_id", F.col("e.field").alias("field"), "nth",
+                                               F.col("e.msg").alias("msg"), "n")
+
+    sides = F.array(*[F.struct(F.col(c).alias("obat_kode"), F.lit(c == "obat2_kode").alias("second"))
+                      for c in ("obat1_kode", "obat2_kode")])
+    members = interaction_hits(lines, inter, doc="req_id") \
+        .select("req_id", "obat1_kode", "obat2_kode", "tingkat", F.explode(sides).alias("s")) \
+        .select("req_id", "obat1_kode", "obat2_kode", "tingkat", "s.obat_kode", "s.second") \
+        .join(lines.select("req_id", "obat_kode", "pos"), ["req_id", "obat_kode"])
+    pair = ["req_id", "obat1_kode", "obat2_kode", "tingkat"]
+    ranked = number_rows(members, ["pos"], name="__rank", keys=pair)
+    n1, n2 = F.count(F.when(~F.col("second"), 1)), F.count(F.when(F.col("second"), 1))
+    per = ranked.groupBy(*pair).agg((n1 * n2).alias("all"), F.call_function(
+        "div", n2 * (n2 + 1), F.lit(2)).alias("own"), F.sum(F.when(F.col("second"), F.col("__rank"))).alias("ranks"))
+    before = F.col("ranks") - F.col("own")
+
+    def row(a: str, b: str, n: Column) -> Column:
+        msg = F.concat(F.lit("Interaksi "), F.col(a), F.lit("-"), F.col(b), F.lit(": "), F.col("tingkat"))
+        return F.struct(msg.alias("msg"), n.cast("long").alias("n"))
+
+    both = F.array(row("obat1_kode", "obat2_kode", before), row("obat2_kode", "obat1_kode", F.col("all") - before))
+    inter_rows = per.select("req_id", F.explode(F.filter(both, lambda x: x["n"] > 0)).alias("r")) \
+        .select("req_id", F.lit("interaksi").alias("field"), F.lit(None).cast("int").alias("nth"), "r.msg", "r.n")
+    return plain.unionByName(inter_rows)
+
+
 # position of a document in the interleaved order: purchase k, sale k, reversal k
 SLOT_PURCHASE, SLOT_SALE, SLOT_REVERSAL = 0, 1, 2
 
@@ -279,6 +335,18 @@ def admit_batch(headers: DataFrame, lines: DataFrame, drugs: DataFrame, customer
     return {"sales": sales, "reversals": rev}
 
 
+def admit_reversals(reversals: DataFrame, drugs: DataFrame) -> DataFrame:
+    """Purchase reversals one after another in ``req_id`` order; lines
+    ``(req_id, line_id, obat_kode, qty)``.  Each is judged against the stock
+    that the accepted ones before it left (all lines or none), so stock never
+    falls below zero.  Returns ``req_id, accepted, n_short, first_short_drug``."""
+    spark = reversals.sparkSession
+    no_sales = spark.createDataFrame([], "req_id bigint, __static_ok boolean")
+    no_lines = spark.createDataFrame([], "req_id bigint, obat_kode string, qty int, __need bigint, __stok int, "
+                                         "__checkable boolean")
+    return _sequential(no_sales, no_lines, None, reversals, drugs)[1]
+
+
 def _earlier_purchase_expiry(lines: DataFrame, purchases: DataFrame) -> DataFrame:
     """Per (sale, drug): the earliest expiry among purchases of the drug that
     arrive before the sale (a running minimum over the interleaved order)."""
@@ -312,8 +380,9 @@ def _sequential(h: DataFrame, li: DataFrame, purchases: DataFrame | None = None,
                          F.when(~F.col("__static_ok"), F.lit(0)).alias("st"))]
     rev_lines = None
     if reversals is not None:
-        rev_lines = materialize(reversals.select("req_id", "obat_kode", F.col("qty").cast("long").alias("qty")),
-                                "admission-reversal-lines")
+        line = F.col("line_id") if "line_id" in reversals.columns else F.lit(None)
+        rev_lines = materialize(reversals.select("req_id", "obat_kode", F.col("qty").cast("long").alias("qty"),
+                                                 line.cast("long").alias("line_id")), "admission-reversal-lines")
         stok = drugs.select(F.col("kode").alias("obat_kode"), F.col("stok").cast("long").alias("__open"))
         parts.append(rev_lines.groupBy("obat_kode", "req_id").agg(
             F.sum("qty").alias("__take"), F.max("qty").alias("__need_max"))
@@ -386,8 +455,10 @@ def _sequential(h: DataFrame, li: DataFrame, purchases: DataFrame | None = None,
     if rev_lines is not None:
         rev_avail = avail.filter(F.col("__seq") % 3 == SLOT_REVERSAL) \
                          .select(_req_of(F.col("__seq"), SLOT_REVERSAL).alias("req_id"), "obat_kode", "__avail")
-        short = rev_lines.join(rev_avail, ["req_id", "obat_kode"]) \
-                         .groupBy("req_id").agg(F.sum((F.col("__avail") < F.col("qty")).cast("long")).alias("n_short"))
+        lacks = F.col("__avail") < F.col("qty")
+        short = rev_lines.join(rev_avail, ["req_id", "obat_kode"]).groupBy("req_id").agg(
+            F.sum(lacks.cast("long")).alias("n_short"),
+            F.min_by("obat_kode", F.when(lacks, F.col("line_id"))).alias("first_short_drug"))
         verdict = status.filter(F.col("__seq") % 3 == SLOT_REVERSAL).select(
             _req_of(F.col("__seq"), SLOT_REVERSAL).alias("req_id"), (F.col("st") == 1).alias("accepted"))
         rev = verdict.join(short, "req_id", "left").withColumn("n_short", F.coalesce("n_short", F.lit(0)))

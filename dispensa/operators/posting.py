@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from dispensa import model
 from dispensa.operators import ledger as L
+from dispensa.operators.admission import admit_reversals
 from dispensa.plans.prefix import number_rows
 from dispensa.plans.lineage import materialize, materialize_observed
 from dispensa.session import ensure_checkpoint_dir
@@ -239,26 +240,24 @@ def post_sales(verdicts: DataFrame, headers: DataFrame, lines: DataFrame, drugs:
 # ---------------------------------------------------------------------- J3
 def reverse_purchases(requests: DataFrame, purchases: DataFrame, lines: DataFrame, drugs: DataFrame,
                       ledger_rows: DataFrame, payables: DataFrame, pays: DataFrame, as_of) -> Tables:
-    """Reverse whole purchases.  A purchase without lines is not found;
-    one whose any line's drug has less stock than the line's quantity is
-    refused (all or nothing).  Otherwise: stock down, BATAL_BELI ledger rows,
-    and its lines, payables (all of them), their payments and the header go.
-    Drug expiry is not restored (as the reference)."""
+    """Reverse whole purchases, one after another by purchase id.  A
+    purchase without lines is not found; one whose any line's drug has less
+    stock left by the earlier ones than the line's quantity is refused (all or
+    nothing).  Otherwise: stock down, BATAL_BELI ledger rows, and its lines,
+    payables (all of them), their payments and the header go.  Drug expiry is
+    not restored (as the reference)."""
+    ensure_checkpoint_dir(requests.sparkSession)
     req = requests.select(F.col("pembelian_id")).distinct()
     li = lines.join(req, "pembelian_id", "left_semi")
-    stock = drugs.select(F.col("kode").alias("obat_kode"), F.col("stok").alias("__stok"))
-    chk = li.join(stock, "obat_kode", "left")
-    short = F.coalesce(F.col("__stok"), F.lit(0)) < F.col("qty")
-    per = chk.groupBy("pembelian_id").agg(
-        F.count(F.lit(1)).alias("n_lines"), F.sum(short.cast("int")).cast("long").alias("n_short"),
-        F.min_by("obat_kode", F.when(short, F.col("id"))).alias("first_short_drug"))
-    verdict = req.join(per, "pembelian_id", "left").select(
+    judged = admit_reversals(li.select(F.col("pembelian_id").alias("req_id"), F.col("id").alias("line_id"),
+                                       "obat_kode", "qty"), drugs).withColumnRenamed("req_id", "pembelian_id")
+    per = li.groupBy("pembelian_id").agg(F.count(F.lit(1)).alias("n_lines"))
+    verdict = req.join(per, "pembelian_id", "left").join(judged, "pembelian_id", "left").select(
         "pembelian_id", F.coalesce("n_lines", F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce("n_short", F.lit(0)).cast("long").alias("n_short"), "first_short_drug") \
-        .withColumn("accepted", (F.col("n_lines") > 0) & (F.col("n_short") == 0)) \
+        F.coalesce("n_short", F.lit(0)).cast("long").alias("n_short"), "first_short_drug",
+        F.coalesce("accepted", F.lit(False)).alias("accepted")) \
         .withColumn("error", F.when(F.col("n_lines") == 0, F.lit("Not found"))
                     .when(F.col("n_short") > 0, F.lit(model.MSG_REVERSAL_STOCK)))
-    ensure_checkpoint_dir(requests.sparkSession)
     verdict = materialize(verdict, "reversal-verdicts")
     ok = verdict.filter("accepted").select("pembelian_id")
     gone = li.join(ok, "pembelian_id", "left_semi")

@@ -399,6 +399,13 @@ def q_admit_sales_snapshot(spark: SparkSession, d: str) -> DataFrame:
     return _sales_verdicts(spark, d, "snapshot").drop("rounds")
 
 
+@register("sale_errors")
+def q_sale_errors(spark: SparkSession, d: str) -> DataFrame:
+    """The error list of every refused sale, judged against opening stock."""
+    hdr, lines = td.sale_requests(spark, d)
+    return admission.sale_errors(hdr, lines, td.obat(spark, d), td.pelanggan(spark, d), td.interaksi(spark, d), AS_OF)
+
+
 def _admitted_purchase_lines(spark: SparkSession, d: str) -> DataFrame:
     hdr, lines = td.purchase_requests(spark, d)
     v, lines2 = admission.admit_purchases(hdr, lines, td.supplier(spark, d), td.obat(spark, d), AS_OF)

@@ -154,3 +154,46 @@ def test_null_keys_are_a_key(spark):
     df = spark.createDataFrame([(None, 1, 5), (None, 2, 6), ("a", 1, 7)], "k string, o long, v long")
     got = {(r.k, r.o): r.s for r in running_sums(df, ["k"], ["o"], {"s": F.col("v")}, blocks=3).collect()}
     assert got == {(None, 1): 5, (None, 2): 11, ("a", 1): 7}
+
+
+def test_joint_reversals_never_oversell(spark):
+    """Reversals are judged in order: against what the accepted ones left."""
+    import random
+    rng = random.Random(5)
+    stock = {str(k): rng.randrange(0, 25) for k in range(6)}
+    lines = [(i, r, str(rng.randrange(7)), rng.randrange(1, 9)) for i, r in enumerate(
+        sorted(rng.randrange(40) for _ in range(90)))]
+    drugs = spark.createDataFrame([(k, v) for k, v in stock.items()], "kode string, stok int")
+    got = admission.admit_reversals(
+        spark.createDataFrame([(r, i, k, q) for i, r, k, q in lines], "req_id long, line_id long, obat_kode string, qty int"),
+        drugs).collect()
+    left, want = dict(stock), {}
+    for r in sorted({x[1] for x in lines}):
+        mine = [(k, q) for _, rr, k, q in lines if rr == r]
+        short = [k for k, q in mine if left.get(k, 0) < q]
+        want[r] = (not short, len(short), short[0] if short else None)
+        if not short:
+            for k, q in mine:
+                left[k] -= q
+    assert {x["req_id"]: (x["accepted"], x["n_short"], x["first_short_drug"]) for x in got} == want
+
+
+def test_sale_error_list(spark):
+    """Messages in line order, with the number of line pairs of each."""
+    h = spark.sql("SELECT * FROM VALUES (1L, 'OTC', 'P', NULL), (2L, 'Resep', NULL, '0'), (3L, 'OTC', NULL, NULL) "
+                  "AS t(req_id, jenis, pelanggan_kode, dokter_sip)").selectExpr("*", "'n' AS no_nota", "'2024-01-01' AS tgl")
+    li = spark.createDataFrame([(1, 0, "b", 1), (1, 1, "a", 1), (1, 2, "b", 99), (1, 3, "0", 1), (1, 4, "x", 1), (1, 5, "a", 0),
+                                (2, 0, "a", 1)], "req_id long, pos int, obat_kode string, qty int")
+    drugs = spark.sql("SELECT * FROM VALUES ('a', 'Aspirin', 5, date'2020-01-01', 'OTC'), ('b', 'Beta', 5, date'2030-01-01', 'OTC') "
+                      "AS t(kode, nama, stok, expired_date, golongan)")
+    cust = spark.sql("SELECT 'P' AS kode, 'BETA blockers' AS alergi")
+    inter = spark.sql("SELECT 'a' AS obat1_kode, 'b' AS obat2_kode, 'major' AS tingkat")
+    got = [tuple(r) for r in admission.sale_errors(h, li, drugs, cust, inter, dt.date(2024, 1, 1)).collect()]
+    # lines 0, 2 are b and 1, 5 are a: b-a three times, a-b once
+    assert sorted(got, key=str) == sorted([
+        (1, "items.0", 0, "Alergi pasien terdeteksi", 1), (1, "items.2", 0, "Stok tidak cukup", 1),
+        (1, "items.2", 1, "Alergi pasien terdeteksi", 1), (1, "items.1", 0, "Obat kadaluarsa", 1),
+        (1, "items.1", 1, "Alergi pasien terdeteksi", 1), (1, "items.3", 0, "obat_kode/qty tidak valid", 1),
+        (1, "items.4", 0, "Obat tidak ditemukan", 1), (1, "items.5", 0, "obat_kode/qty tidak valid", 1),
+        (1, "interaksi", None, "Interaksi b-a: major", 3), (1, "interaksi", None, "Interaksi a-b: major", 1),
+        (2, "dokter_sip", 0, "Wajib untuk resep/racik", 1), (3, "items", 0, "items wajib diisi", 1)], key=str)
