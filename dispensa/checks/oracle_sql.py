@@ -439,6 +439,68 @@ LEFT JOIN (
   WHERE x.tingkat IN ('major', 'contraindicated') GROUP BY 1) pi ON pi.req_id = h.req_id""",
     "penjualan", "penjualan_item", "pelanggan", "obat", "interaksi")
 
+# Sales one by one, by id: rows 'd:<drug>' hold the stock left, rows 's:<id>' the short lines of a sale.
+_SALE_CTES = {
+    "li": f"""SELECT i.penjualan_id, i.id, i.obat_kode, i.qty,
+               NOT (i.obat_kode IS NULL OR i.obat_kode IN ('', '0') OR i.qty <= 0) AND o.kode IS NOT NULL AS checkable,
+               coalesce(o.golongan IN ('Psikotropika', 'Narkotika'), false) AS narko,
+               CASE WHEN i.obat_kode IS NULL OR i.obat_kode IN ('', '0') OR i.qty <= 0 OR o.kode IS NULL THEN 1
+                    ELSE CAST(coalesce(o.expired_date < {AS_OF}, false) AS INTEGER)
+                       + CAST(coalesce(c.alergi NOT IN ('', '0') AND (contains(lower(c.alergi), lower(i.obat_kode))
+                              OR contains(lower(c.alergi), lower(o.nama))), false) AS INTEGER) END AS n_static
+               FROM penjualan_item i JOIN penjualan p ON p.id = i.penjualan_id
+               LEFT JOIN pelanggan c ON c.kode = p.pelanggan_kode AND c.kode <> '0'
+               LEFT JOIN obat o ON o.kode = i.obat_kode""",
+    "pairs": """SELECT a.penjualan_id, count(*) AS n FROM penjualan_item a
+               JOIN penjualan_item b ON a.penjualan_id = b.penjualan_id AND a.id < b.id
+               JOIN interaksi x ON x.obat1_kode = least(a.obat_kode, b.obat_kode)
+                    AND x.obat2_kode = greatest(a.obat_kode, b.obat_kode)
+               WHERE x.tingkat IN ('major', 'contraindicated') GROUP BY 1""",
+    "h": """SELECT p.id, l.n IS NULL OR coalesce(p.jenis IN ('Resep', 'Racik')
+                     AND (p.dokter_sip IS NULL OR p.dokter_sip IN ('', '0')), false) AS stage1,
+               coalesce(l.n_static, 0) AS n_static, coalesce(x.n, 0) AS n_inter, coalesce(l.narko, false) AS narko
+               FROM penjualan p LEFT JOIN (SELECT penjualan_id, count(*) AS n, sum(n_static) AS n_static,
+                                                  bool_or(narko) AS narko FROM li GROUP BY 1) l ON l.penjualan_id = p.id
+               LEFT JOIN pairs x ON x.penjualan_id = p.id""",
+    "sl": """SELECT dense_rank() OVER (ORDER BY h.id) AS step, h.id, li.obat_kode, li.qty,
+               h.n_static = 0 AND h.n_inter = 0 AS ok
+               FROM li JOIN h ON h.id = li.penjualan_id AND NOT h.stage1 WHERE li.checkable""",
+    "run(key, step, val) USING KEY (key)": """
+  SELECT 'd:' || kode, CAST(0 AS BIGINT), CAST(stok AS BIGINT) FROM obat
+  UNION
+  SELECT * FROM (
+    WITH l AS (SELECT sl.*, d.val AS stok, d.key AS key FROM sl JOIN recurring.run d ON d.key = 'd:' || sl.obat_kode
+               WHERE sl.step = (SELECT max(step) + 1 FROM run)),
+    v AS (SELECT step, id, count(*) FILTER (WHERE stok < qty) AS n_short FROM l GROUP BY 1, 2)
+    SELECT 's:' || id, step, n_short FROM v
+    UNION ALL
+    SELECT l.key, l.step, CAST(min(l.stok) - sum(l.qty) AS BIGINT) FROM l, v WHERE l.ok AND v.n_short = 0 GROUP BY 1, 2)"""}
+
+
+def _sales_in_order(body: str) -> str:
+    sql = with_views(body, "penjualan", "penjualan_item", "pelanggan", "obat", "interaksi", extra=_SALE_CTES)
+    # the steps read sl again and again: computed once
+    return "WITH RECURSIVE " + sql[len("WITH "):].replace("\nsl AS (", "\nsl AS MATERIALIZED (")
+
+
+ORACLE["admit_sales_sequential"] = _sales_in_order("""
+SELECT h.id AS req_id, NOT stage1 AND n_static = 0 AND n_inter = 0 AND coalesce(r.val, 0) = 0 AS accepted,
+       stage1 AS stage1_refused, CAST(CASE WHEN stage1 THEN 0 ELSE n_static END AS BIGINT) AS n_line_errors,
+       CAST(CASE WHEN stage1 THEN 0 ELSE n_inter END AS BIGINT) AS n_interaction_errors,
+       CAST(CASE WHEN stage1 THEN 0 ELSE coalesce(r.val, 0) END AS BIGINT) AS n_stock_errors,
+       narko AS narkotika_psikotropika
+FROM h LEFT JOIN run r ON r.key = 's:' || h.id""")
+
+ORACLE["post_sales"] = _sales_in_order("""
+SELECT o.kode, CAST(r.val AS INTEGER) AS stok FROM obat o JOIN run r ON r.key = 'd:' || o.kode""")
+
+ORACLE["post_sales_headers"] = _sales_in_order(f"""
+SELECT h.id, p.no_nota, p.jenis, h.narko AS narkotika_psikotropika, t.n_lines, {_money('t.total')} AS total
+FROM h JOIN penjualan p ON p.id = h.id LEFT JOIN run r ON r.key = 's:' || h.id
+JOIN (SELECT penjualan_id, CAST(count(*) AS BIGINT) AS n_lines, sum(qty * coalesce(harga_jual, 0)) AS total
+      FROM penjualan_item GROUP BY 1) t ON t.penjualan_id = h.id
+WHERE NOT stage1 AND n_static = 0 AND n_inter = 0 AND coalesce(r.val, 0) = 0""")
+
 ORACLE["sale_errors"] = with_views(f"""
 SELECT req_id, field, nth, msg, CAST(count(*) AS BIGINT) AS n FROM (
   SELECT id AS req_id, 'items' AS field, 0 AS nth, 'items wajib diisi' AS msg FROM h WHERE no_items
@@ -572,7 +634,7 @@ LEFT JOIN run r ON r.key = 'p:' || p.id""", "pembelian", "pembelian_item", "obat
     SELECT 'p:' || pembelian_id, step, CAST(n_short = 0 AS BIGINT), n_short, first_short FROM v
     UNION ALL
     SELECT l.key, l.step, CAST(min(l.stok) - sum(l.qty) AS BIGINT), NULL, NULL FROM l, v
-    WHERE v.n_short = 0 AND l.key IS NOT NULL GROUP BY 1, 2)"""})[len("WITH "):]
+    WHERE v.n_short = 0 AND l.key IS NOT NULL GROUP BY 1, 2)"""})[len("WITH "):].replace("\npl AS (", "\npl AS MATERIALIZED (")
 
 ORACLE["assign_codes"] = with_views("""
 SELECT c.id AS req_id, g.code AS kode FROM pelanggan c LEFT JOIN got g ON g.req_id = c.id""", "pelanggan", extra={

@@ -504,15 +504,27 @@ def q_audit_rows(spark: SparkSession, d: str) -> DataFrame:
     return a.select("action", "entity", "entity_id", "detail")
 
 
-@register("post_sales")
-def q_post_sales(spark: SparkSession, d: str) -> DataFrame:
-    """Sales admitted one after another, posted: drug stock afterwards."""
+def _posted_sales(spark: SparkSession, d: str) -> posting.Tables:
     hdr, lines = td.sale_requests(spark, d)
     drugs = td.obat(spark, d)
     v = admission.admit_sales(hdr, lines, drugs, td.pelanggan(spark, d), td.interaksi(spark, d), AS_OF,
                               mode="sequential")
-    out = posting.post_sales(v, hdr, lines, drugs, _ledger(spark, d), AS_OF)
-    return out["m_obat"].select("kode", "stok")
+    return posting.post_sales(v, hdr, lines, drugs, _ledger(spark, d), AS_OF)
+
+
+@register("post_sales")
+def q_post_sales(spark: SparkSession, d: str) -> DataFrame:
+    """Sales admitted one after another, posted: drug stock afterwards."""
+    return _posted_sales(spark, d)["m_obat"].select("kode", "stok")
+
+
+@register("post_sales_headers")
+def q_post_sales_headers(spark: SparkSession, d: str) -> DataFrame:
+    """Headers of the posted sales with total, controlled flag and number of lines."""
+    out = _posted_sales(spark, d)
+    n = out["penjualan_item"].groupBy(F.col("penjualan_id").alias("id")).agg(F.count("*").alias("n_lines"))
+    return out["penjualan"].join(n, "id").select("id", "no_nota", "jenis", "narkotika_psikotropika", "n_lines",
+                                                 money_out("total").alias("total"))
 
 
 @register("reverse_purchases")
