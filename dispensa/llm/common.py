@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 # character class and as the characters themselves.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
+# Copies of one row that a task makes at a time.
+BLOCK = 1024
+# Most rows of a counted table (16 bytes a row) that is broadcast.
+MAX_BROADCAST_KEYS = 200_000
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +50,27 @@ def word_count(text: Column) -> Column:
     return F.when(t == "", F.lit(0)).otherwise(F.size(F.split(t, SPACE_CLASS + "+", -1))).cast("long")
 
 
+def row_hash(docs: DataFrame, seed: int) -> Column:
+    """xxhash64 of the seed and all columns (one that holds a map: its JSON)."""
+    return F.xxhash64(F.lit(seed), *[F.to_json(F.struct(col(f.name))) if "map<" in f.dataType.simpleString()
+                                     else col(f.name) for f in docs.schema.fields])
+
+
+def repeat_rows(grouped: DataFrame, n: str, index: str) -> DataFrame:
+    """Each row ``n`` times, numbered 1 to n in ``index`` (in place of ``n``).
+    A row of more than ``BLOCK`` copies is dealt over the tasks in blocks, so
+    no task makes all copies of one row and no array holds all their numbers."""
+    rest = [col(c) for c in grouped.columns if c != n]
+    one = F.lit(1).cast("long")
+    few = grouped.filter(col(n) <= BLOCK).select(*rest, F.explode(F.sequence(one, col(n))).alias(index))
+    start = fresh(grouped.columns, "_start")
+    parts = int(grouped.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = grouped.filter(col(n) > BLOCK) \
+        .withColumn(start, F.explode(F.sequence(one, col(n), F.lit(BLOCK).cast("long")))).repartition(parts)
+    last = F.least(col(n), col(start) + (BLOCK - 1))
+    return few.unionByName(blocks.select(*rest, F.explode(F.sequence(col(start), last)).alias(index)))
+
+
 def remainder(doc_id: Column, parts: int = 5) -> Column:
     """crc32 of the id as text, modulo ``parts``; null id: null."""
     return F.pmod(F.crc32(doc_id.cast("string")), F.lit(parts))

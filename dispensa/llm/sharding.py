@@ -1,7 +1,8 @@
 """Sharding by a two-pass external shuffle.
 
 Pass 1 scatters the records into buckets that fit in memory, by a seeded hash
-of the row; the number of buckets follows the total size.  Pass 2 puts
+of the row and its copy number (1 to n among n identical rows); the number of
+buckets follows the total size of all columns.  Pass 2 puts
 each bucket in a fixed order, shuffles it with a seeded Fisher-Yates pass and
 writes it with its positions.  A record's place in the whole shuffle is its
 bucket's offset plus its position there, and the shards cut that order.
@@ -15,8 +16,15 @@ its unfinished buckets; the shuffle is repeatable for the same rows, seed and
 bucket size, whatever the partitions were.  Only one count per bucket is
 gathered (total size / bucket size rows).
 
+Copy numbers come from counts, not from a window: rows are grouped by all
+columns, counted and made again n times, so the numbers are the same however
+the rows arrive.  Row hashes are counted first, and where at most 200,000 of
+them repeat, only the rows that have these are grouped (the rest has number 1
+in either case).
+
 Defined results: a null text has size 1; null ids scatter by the rest of the row; rows
-that repeat are interchangeable and all kept; fewer rows than shards leave the
+that repeat are interchangeable, all kept and scattered one by one (a -0.0 in
+them may come back as 0.0, its equal); fewer rows than shards leave the
 last shards empty; an empty table gives no rows.  Extra columns are carried
 along; a column of ``docs`` that is called shard or slot is kept out of the
 way by naming the new ones (see ``shuffle_documents``).  A single text larger
@@ -27,13 +35,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dispensa.plans.lineage import materialize
 
-from .common import col, fresh
+from .common import MAX_BROADCAST_KEYS, col, fresh, repeat_rows, row_hash
 
 LAW = "rows"
 
@@ -61,6 +69,38 @@ def _shuffler(bucket: str, tie: str, position: str, seed: int):
     return run
 
 
+def _row_bytes(schema: T.StructType) -> Column:
+    """About the bytes of a row in memory, all columns counted."""
+    size = F.lit(64).cast("long")
+    for f in schema.fields:
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            size = size + F.coalesce(F.octet_length(col(f.name)), F.lit(0))
+        elif isinstance(f.dataType, (T.ArrayType, T.StructType, T.MapType)):
+            size = size + F.coalesce(F.octet_length(F.to_json(F.struct(col(f.name)))), F.lit(0))
+        else:
+            size = size + 8
+    return size
+
+
+def number_copies(docs: DataFrame, seed: int, index: str) -> DataFrame:
+    """Adds ``index``, 1 to n among n identical rows."""
+    h, n = (fresh([*docs.columns, index], x) for x in ("_hash", "_n"))
+    hashed = docs.withColumn(h, row_hash(docs, seed))
+    repeats = materialize(hashed.groupBy(h).agg(F.count("*").alias(n)).filter(col(n) > 1).select(h), "shard-repeats")
+    found = repeats.count()
+    if not found:
+        return docs.withColumn(index, F.lit(1).cast("long"))
+    several = docs
+    if found <= MAX_BROADCAST_KEYS:
+        several = hashed.join(F.broadcast(repeats), h, "left_semi").drop(h)
+    several = several.groupBy(*[col(c) for c in docs.columns]).agg(F.count("*").alias(n))
+    numbered = repeat_rows(several, n, index)
+    if found <= MAX_BROADCAST_KEYS:
+        single = hashed.join(F.broadcast(repeats), h, "left_anti").drop(h)
+        numbered = numbered.unionByName(single.withColumn(index, F.lit(1).cast("long")))
+    return numbered
+
+
 def shuffle_documents(docs: DataFrame, shards: int = 16, seed: int = 11, bucket_bytes: int = 16 << 20,
                       shard: str = "shard", slot: str = "slot") -> DataFrame:
     """All columns of ``docs`` plus the shard (0..shards-1) and slot of each
@@ -69,12 +109,12 @@ def shuffle_documents(docs: DataFrame, shards: int = 16, seed: int = 11, bucket_
     spark = docs.sparkSession
     shard, slot = fresh(docs.columns, shard), fresh(docs.columns, slot)
     bucket, tie, position = (fresh(docs.columns, x) for x in ("_bucket", "_tie", "_position"))
-    total = docs.select(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 64)).first()[0] or 0
+    total = docs.select(F.sum(_row_bytes(docs.schema))).first()[0] or 0
     buckets = max(1, -(-int(total) // bucket_bytes))
-    plain = [f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
-    row_hash = F.xxhash64(F.lit(seed), *[col(c) for c in plain])
+    copy = fresh(docs.columns, "_copy")
+    numbered = number_copies(docs, seed, copy)
     # the scatter uses the hash's low part, the fixed order inside a bucket all of it
-    scattered = docs.withColumn(tie, row_hash) \
+    scattered = numbered.withColumn(tie, F.xxhash64(row_hash(docs, seed), col(copy))).drop(copy) \
         .withColumn(bucket, F.pmod(F.xxhash64(F.lit(seed + 1), col(tie)), F.lit(buckets)).cast("long")) \
         .withColumn(position, F.lit(0).cast("long"))
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in scattered.schema.fields])

@@ -3,6 +3,7 @@
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from dispensa.llm import sharding
 from dispensa.llm.queries import op7_shards
@@ -60,3 +61,48 @@ def test_awkward_rows(spark):
     assert sharding.shuffle_documents(docs.limit(0)).count() == 0
     few = sharding.shuffle_documents(docs.limit(2)).collect()
     check([(r["shard_"], r["slot_"]) for r in few])
+
+
+def test_a_row_on_a_third_of_the_table_is_spread(spark, monkeypatch):
+    """Identical rows go to buckets one by one: no bucket holds more than
+    memory-sized ones may, reruns agree and no row is lost."""
+    def watched(*names):
+        run = shuffler(*names)
+
+        def counted(table):
+            out = run(table)
+            return out.set_column(out.schema.get_field_index("lang"), "lang", pa.array([str(out.num_rows)] * out.num_rows))
+        return counted
+
+    shuffler = sharding._shuffler
+    same = [row(7, "the same row " * 5)] * 3000
+    rows = same + [row(i, f"text {i} " + "word " * 12, source="b") for i in range(6000)]
+    docs = documents(spark, rows)
+    first = sharding.shuffle_documents(docs, bucket_bytes=40_000).collect()
+    check([(r["shard_"], r["slot_"]) for r in first])
+    assert Counter(tuple(r)[:-2] for r in first) == Counter(rows)
+    again = sharding.shuffle_documents(documents(spark, rows[::-1]).repartition(7), bucket_bytes=40_000).collect()
+    assert Counter(map(tuple, first)) == Counter(map(tuple, again))
+    copies = Counter(r["shard_"] for r in first if r["doc_id"] == 7 and r["source"] == "a")
+    assert len(copies) == 16 and max(copies.values()) < 1.5 * min(copies.values())
+    monkeypatch.setattr(sharding, "_shuffler", watched)
+    seen = [int(r["lang"]) for r in sharding.shuffle_documents(docs, bucket_bytes=40_000).collect()]
+    assert max(seen) < 700, max(seen)
+
+
+def test_paths_of_copy_numbers_agree(spark, monkeypatch):
+    """Whether all rows are grouped or only those that repeat, and in blocks
+    or not, each row has the same numbers."""
+    rows = [row(i % 40, f"t {i % 40}") for i in range(200)] + [row(1000 + i, "x") for i in range(50)] + [row(5000, "h")] * 2500
+    docs = documents(spark, rows)
+    one = Counter(map(tuple, sharding.number_copies(docs, 11, "n_").collect()))
+    monkeypatch.setattr(sharding, "MAX_BROADCAST_KEYS", 0)
+    assert one == Counter(map(tuple, sharding.number_copies(docs, 11, "n_").collect()))
+    left = Counter(rows)
+    assert one == Counter(r + (i,) for r, n in left.items() for i in range(1, n + 1))
+
+
+def test_all_columns_count_in_the_bucket_size(spark):
+    docs = spark.createDataFrame([(1, "ab", "x" * 100, [1, 2], {"k": "v"})], "doc_id long, text string, note string, a array<int>, m map<string,string>")
+    assert docs.select(sharding._row_bytes(docs.schema)).first()[0] >= 64 + 2 + 100 + 8
+    assert sharding.shuffle_documents(docs.union(docs)).count() == 2
