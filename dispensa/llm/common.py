@@ -16,7 +16,7 @@ SPACE_CLASS = r"[\x20\x09-\x0D]"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 # Copies of one row that a task makes at a time.
 BLOCK = 1024
-# Most rows of a counted table (16 bytes a row) that is broadcast.
+# Most rows of a counted table of hashes or keys (8 or 16 bytes) that is broadcast.
 MAX_BROADCAST_KEYS = 200_000
 
 

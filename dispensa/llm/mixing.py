@@ -12,7 +12,11 @@ Pareto order sample: with u uniform per document and inclusion probability p,
 documents rank by (u / (1 - u)) / (p / (1 - p)) and the first ones are taken
 until the words are reached, cut where it is nearest; then the one document
 whose addition or removal comes nearest to what is still missing is switched.
-u is made of an md5 of the seed and doc_id, so reruns agree.
+u is made of an md5 of the seed and doc_id, so reruns agree.  Where that md5
+occurs more than once (an id, or a text without id, on several rows), each of
+these rows has one of its own instead, made of it, of a hash of all columns
+and of the row's copy number among identical rows (from counts), so every row
+draws, is cut and is switched alone.
 
 No source meets in one task: the rank cut is found from a histogram of ranks
 (2^16 bins per source, partial sums before the shuffle), and only the bin that
@@ -21,8 +25,8 @@ source; that table is broadcast only after counting its rows.
 
 Defined results: null or blank text has size 0 and takes 0 words; a source
 without words has target 0; a null source is a source of its own (last); a
-null doc_id draws by its text; repeated rows draw alike, each is a document of
-its own.  Extra columns stay as they are.  Empty table: no rows.
+null doc_id draws by its text; repeated rows draw one by one, each is a
+document of its own (a -0.0 in one may come back as 0.0, its equal).  Extra columns stay as they are.  Empty table: no rows.
 """
 
 from __future__ import annotations
@@ -32,7 +36,7 @@ from pyspark.sql import functions as F
 
 from dispensa.plans.lineage import materialize
 
-from .common import col, fresh, word_count
+from .common import MAX_BROADCAST_KEYS, col, fresh, repeat_rows, row_hash, word_count
 
 WEIGHTS = (5, 2, 1)
 BINS = 1 << 16
@@ -85,12 +89,39 @@ def targets(per_source: DataFrame, budget: float = 1.5, cap: float = 2.0,
 
 def thin(docs: DataFrame, seed: int) -> DataFrame:
     return docs.select("doc_id", "source", word_count(F.col("text")).alias("size"),
-                       draw_key(seed, F.col("doc_id"), F.col("text")).alias("key"))
+                       draw_key(seed, F.col("doc_id"), F.col("text")).alias("key"), row_hash(docs, 0).alias("same"))
+
+
+def repeated_keys(rows: DataFrame) -> DataFrame:
+    """The keys (16 bytes each) that more than one row of ``thin`` has."""
+    return materialize(rows.groupBy(F.unhex("key").alias("_key")).agg(F.count("*").alias("_n"))
+                       .filter("_n > 1").select("_key"), "mix-repeats")
+
+
+def own_keys(rows: DataFrame, repeats: DataFrame) -> DataFrame:
+    """``rows`` (key, same and others) with a key for each row alone instead of
+    key and same; a key that one row has stays.  ``repeats``: repeated_keys."""
+    found = repeats.count()
+    if not found:
+        return rows.drop("same")
+    side = F.broadcast(repeats) if found <= MAX_BROADCAST_KEYS else repeats
+    met = F.unhex(rows["key"]) == side["_key"]
+    several = rows.join(side, met, "left_semi").groupBy(*rows.columns).agg(F.count("*").alias("_n"))
+    several = repeat_rows(several, "_n", "_copy").withColumn(
+        "key", F.md5(F.concat_ws(":", "key", F.col("same").cast("string"), F.col("_copy").cast("string")).cast("binary")))
+    return rows.join(side, met, "left_anti").drop("same").unionByName(several.drop("same", "_copy"))
+
+
+def _keyed(docs: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
+    """The rows to plan with, and the keys that were repeated."""
+    rows = materialize(thin(docs, seed), "mix-rows")
+    repeats = repeated_keys(rows)
+    return (materialize(own_keys(rows, repeats), "mix-keys") if repeats.count() else rows.drop("same")), repeats
 
 
 def plan(rows: DataFrame, budget: float = 1.5, cap: float = 2.0) -> DataFrame:
     """One row per source: how many whole copies all documents get, and which
-    documents get one more.  ``rows``: source, size, key (see ``thin``)."""
+    documents get one more.  ``rows``: source, size, key (see ``own_keys``)."""
     per_source = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     shares = targets(per_source, budget, cap)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
@@ -156,7 +187,7 @@ def _attach(rows: DataFrame, per_source: DataFrame, columns: list[str], how: str
 
 
 def mix(rows: DataFrame, plan_rows: DataFrame) -> DataFrame:
-    """Adds source_size, target and copies (0, 1, 2...) to each row of ``thin``."""
+    """Adds source_size, target and copies (0, 1, 2...) to each row."""
     base = plan_rows.withColumnRenamed("copies", "_whole")
     j = _attach(rows, base, ["source_size", "target", "_whole", "p", "cut_bin", "cut_q", "cut_key", "switch_key"], "inner")
     j = j.withColumn("q", F.when(F.col("p") > 0, _rank(_uniform(F.col("key")), F.col("p")))) \
@@ -168,7 +199,7 @@ def mix(rows: DataFrame, plan_rows: DataFrame) -> DataFrame:
 
 def mix_sizes(docs: DataFrame, seed: int = 7, budget: float = 1.5, cap: float = 2.0) -> DataFrame:
     """Per document: doc_id, source, size, source_size, target, copies, taken."""
-    rows = materialize(thin(docs, seed), "mix-rows")
+    rows, _ = _keyed(docs, seed)
     out = mix(rows, plan(rows, budget, cap))
     return out.select("doc_id", "source", "size", "source_size", "target", "copies",
                       (F.col("size") * F.col("copies")).alias("taken"))
@@ -177,11 +208,11 @@ def mix_sizes(docs: DataFrame, seed: int = 7, budget: float = 1.5, cap: float =
 def mix_documents(docs: DataFrame, seed: int = 7, budget: float = 1.5, cap: float = 2.0) -> DataFrame:
     """The documents of the mix, each row as often as the mix takes it, with
     the columns of ``docs``."""
-    rows = materialize(thin(docs, seed), "mix-rows")
+    rows, repeats = _keyed(docs, seed)
     chosen = plan(rows, budget, cap)
     boxed, columns = fresh([], "row"), docs.columns
     packed = docs.select(F.struct(*[col(c) for c in columns]).alias(boxed), F.col("source").alias("source"),
-                         draw_key(seed, F.col("doc_id"), F.col("text")).alias("key"))
-    out = mix(packed, chosen).filter(F.col("copies") > 0)
+                         draw_key(seed, F.col("doc_id"), F.col("text")).alias("key"), row_hash(docs, 0).alias("same"))
+    out = mix(own_keys(packed, repeats), chosen).filter(F.col("copies") > 0)
     out = out.select(boxed, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
     return out.select(*[F.col(boxed).getField(c).alias(c) for c in columns])
