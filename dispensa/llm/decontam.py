@@ -6,7 +6,8 @@ test items occurs.  A second pass finds the items' n-grams in each document;
 hits of one item that lie on nearby diagonals form a window, which is aligned
 if it holds a rare n-gram or at least ``MANY`` hits of any kind (so a passage
 that the corpus repeats thousands of times, whose n-grams are all frequent, is
-aligned too).  The local alignment (match 2, mismatch -1, gap -1) gives the
+aligned too); of a short item, as few hits as an edited copy of it can have
+left (``hits_needed``).  The local alignment (match 2, mismatch -1, gap -1) gives the
 span and the number of equal words; it is a leak if they are at least
 ``similarity`` of the longer of item and span (0.8).
 
@@ -160,6 +161,17 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int, int]:
     return score, equal, int(j), end
 
 
+def hits_needed(lengths: np.ndarray, similarity: float) -> np.ndarray:
+    """Hits at which a window without a rare n-gram is aligned: those that a
+    copy keeps at least, with as many words replaced (N n-grams each) or as
+    many put in between (N - 1 each) as ``similarity`` leaves room for; 1 to
+    MANY."""
+    replaced = np.floor(lengths * (1 - similarity) + 1e-9).astype(np.int64)
+    added = np.floor(lengths / similarity - lengths + 1e-9).astype(np.int64)
+    kept = lengths - (N - 1) - np.maximum(N * replaced, (N - 1) * added)
+    return np.clip(kept, 1, MANY)
+
+
 def leaks_in(index: Index, texts: pa.Array, similarity: float) -> list[list[dict]]:
     """For each text the leaked items, best alignment each, in item order."""
     flat, bounds = index.numbers(texts)
@@ -182,7 +194,7 @@ def leaks_in(index: Index, texts: pa.Array, similarity: float) -> list[list[dict
     last = np.append(first[1:], len(k))
     rare = np.add.reduceat(index.rare[place[k]].astype(np.int64), first)
     best: dict[tuple[int, int], dict] = {}
-    for w in np.flatnonzero((rare > 0) | (last - first >= MANY)):
+    for w in np.flatnonzero((rare > 0) | (last - first >= hits_needed(lengths, similarity)[item[first]])):
         i, x = int(item[first[w]]), int(d[first[w]])
         m = int(lengths[i])
         lo = max(int(bounds[x]), int(begin[first[w]]) - m // 2)

@@ -99,3 +99,26 @@ def test_awkward_rows(spark):
     assert decontam.find_leaks(documents(spark, []), bench).count() == 0
     assert decontam.find_leaks(docs, bench.limit(0)).count() == 0
     assert decontam.drop_leaks(docs, bench.limit(0)).count() == len(AWKWARD)
+
+
+def test_short_items_in_many_documents(spark):
+    """Copies of items of 3 to 14 words are found however many documents hold
+    them, exact or with as many edits as the similarity allows."""
+    assert decontam.hits_needed(np.array([3, 4, 5, 8, 10, 11, 15, 59]), 0.8).tolist() == [1, 1, 1, 2, 2, 3, 3, 3]
+    benchmark = spark.createDataFrame([(n, " ".join(f"i{n}w{k}" for k in range(n))) for n in (3, 4, 8, 10, 14)],
+                                      "item_id long, text string")
+    rows, want = [], set()
+    for d in range(400):
+        n = (3, 4, 8, 10, 14)[d % 5]
+        copy = [f"i{n}w{k}" for k in range(n)]
+        if n == 10 and d % 2:
+            copy[2] = copy[6] = "zzz"  # 2 of 8 n-grams stay
+        if n == 8 and d % 2:
+            copy[2] += " zzz"
+            copy[4] += " zzz"  # 2 of 6 stay
+        rows.append(row(d, "some words " + " ".join(copy) + " after it"))
+        want.add((d, n))
+    docs = documents(spark, rows + [row(900, "i3w0 i3w1 other words"), row(901, "i14w0 i14w1 i14w2 alone here")])
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.find_leaks(docs, benchmark).collect()}
+    assert got == want
+    assert {r["doc_id"] for r in decontam.drop_leaks(docs, benchmark).collect()} == {900, 901}
