@@ -2,7 +2,7 @@
 
 Each query applies its operator to its whole table and derives the digest
 columns of its contract from the operator's output.  SQL exists where it can
-state the result (3, 9); the others are tested against brute force.
+state the result (3, 9, 11, 12); the others are tested against brute force.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, langid, mixing, puquality, rules, sharding, simhash, tokenbin, tokencount
+from . import chat, decontam, langid, lexical, mixing, negatives, puquality, rules, sharding, simhash, tokenbin, tokencount
 from .common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,9 +80,24 @@ def op10_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenbin.read_segments(segments, ranks).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = negatives.prepare(vectors.withColumn("label", moved), scale=256)
+    return negatives.mine(rows, F.col("vec_id") % 50 == 0, positives=5, negatives=3, low=50, high=95)
+
+
+def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), k=50)
+
+
 REGISTRY: dict[str, Query] = {f.__name__: f for f in (
     op1_decontaminate, op2_language, op3_mix, op4_simhash, op5_quality, op6_token_counts, op7_shards, op8_rules,
-    op9_chat, op10_token_binary)}
+    op9_chat, op10_token_binary, op11_negatives, op12_lexical)}
+
+# fixed values of the lexical contract: a term, and the letters that are lowered
+TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+CAPITAL, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 ORACLE: dict[str, str] = {
     "op3_mix": r"""
@@ -141,5 +156,34 @@ SELECT conv_id, count(*) AS n_turns,
        sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
        (sum(upto) FILTER (WHERE ends))::BIGINT AS formatted_chars, count(*) FILTER (WHERE ends) AS n_examples
 FROM e GROUP BY conv_id
+""",
+    "op11_negatives": r"""
+WITH r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+              list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS c
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+u AS (SELECT vec_id, label, unnest(c) AS x, unnest(range(len(c))) AS i FROM r),
+s AS (SELECT a.vec_id AS anchor_id, any_value(a.label) AS la, b.vec_id AS other, any_value(b.label) AS lb, sum(a.x * b.x)::BIGINT AS score
+  FROM u a JOIN u b USING (i) WHERE a.vec_id % 50 = 0 GROUP BY a.vec_id, b.vec_id),
+p AS (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) AS k FROM s WHERE la = lb AND other <> anchor_id),
+n AS (SELECT p.anchor_id, p.other AS positive_id, s.other AS negative_id, p.score AS positive_score, s.score AS negative_score,
+   (row_number() OVER (PARTITION BY p.anchor_id, p.other ORDER BY s.score DESC, s.other))::INT AS rank
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND s.la <> s.lb AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score
+  WHERE p.k <= 5)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3
+""",
+    "op12_lexical": rf"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(text, '{CAPITAL}', '{SMALL}'), '{TERM}') AS t FROM documents WHERE text IS NOT NULL),
+d2 AS (SELECT row, doc_id, t, len(t)::BIGINT AS n FROM d WHERE len(t) > 0),
+g AS (SELECT count(*)::BIGINT AS big_n, sum(n)::BIGINT AS l FROM d2),
+i AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, '{CAPITAL}', '{SMALL}'), '{TERM}')) AS term FROM benchmark),
+p AS (SELECT row, term, count(*)::BIGINT AS tf FROM (SELECT row, unnest(t) AS term FROM d2) WHERE term IN (SELECT term FROM i) GROUP BY row, term),
+f AS (SELECT term, count(*)::BIGINT AS df FROM p GROUP BY term),
+w AS (SELECT term, floor(1000 * ln((2 * big_n + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w FROM f, g),
+m AS (SELECT row, doc_id, 100 - 50 + ((50 * n * big_n) // l) AS m FROM d2, g),
+s AS (SELECT i.item_id, m.row, any_value(m.doc_id) AS doc_id, sum(w.w * ((1000000000 * p.tf) // (1000 * p.tf + 20 * m.m)))::BIGINT AS score
+      FROM i JOIN w USING (term) JOIN p USING (term) JOIN m USING (row) GROUP BY i.item_id, m.row),
+r AS (SELECT item_id, doc_id, score, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INT AS rank FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 50
 """,
 }
