@@ -95,6 +95,31 @@ def bounded_sample(rows: DataFrame, doc_id: Column, bound: int, total: int, seed
     return rows.filter(F.pmod(F.xxhash64(F.lit(seed), doc_id), F.lit(1 << 32)) < cut)
 
 
+def bounded_rows(rows: DataFrame, marks: DataFrame, class_col: str, bound: int, seed: int) -> DataFrame:
+    """At most ``bound`` different (doc_id, text) rows of each class: ``rows``
+    (doc_id, text) whose id ``marks`` (_id, class_col) gives a class; the
+    columns are text, class_col and _n (rows that repeat it).  A seeded hash of
+    id and text picks them, so an id on a third of all rows adds its different
+    texts, not its rows, and the bound holds whatever repeats."""
+    # copies are counted by hash first: texts are only read again for what is chosen
+    keyed = rows.select("doc_id", F.xxhash64("text").alias("_h"))
+    counted = keyed.groupBy("doc_id", "_h").agg(F.count("*").alias("_n")) \
+        .join(marks.distinct(), F.col("doc_id") == F.col("_id")).drop("_id")
+    draw = F.xxhash64(F.lit(seed), "doc_id", "_h")
+    classes = [r[0] for r in counted.select(class_col).distinct().collect()]  # a row per class
+    chosen = None
+    for x in sorted(classes):
+        some = counted.filter(F.col(class_col) == x).orderBy(draw, "doc_id", "_h").limit(bound)
+        chosen = some if chosen is None else chosen.unionByName(some)
+    if chosen is None:
+        return rows.limit(0).select("text", F.lit(None).cast(marks.schema[class_col].dataType).alias(class_col),
+                                    F.lit(0).cast("long").alias("_n"))
+    chosen = chosen.select(F.col("doc_id").alias("_d"), F.col("_h").alias("_c"), class_col, "_n")
+    # the chosen keys are few, a proven bound (classes * bound); one text of each key
+    near = rows.join(F.broadcast(chosen), (F.col("doc_id") == F.col("_d")) & (F.xxhash64("text") == F.col("_c")))
+    return near.groupBy("_d", "_c", class_col, "_n").agg(F.first("text").alias("text")).select("text", class_col, "_n")
+
+
 class Memo(dict):
     """Results remembered in two generations, at most ``size`` keys each: when
     one is full, the older one goes.  Keys over 40 characters are not kept."""
