@@ -1,5 +1,5 @@
 """Operators for preparing large text corpora (training data).
 
-Ten operators, one module each; ``queries.py`` registers them.  Nothing else
+Thirteen operators, one module each; ``queries.py`` registers them.  Nothing else
 in the library imports this subpackage.
 """

@@ -12,7 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, langid, lexical, mixing, negatives, puquality, rules, sharding, simhash, tokenbin, tokencount
+from . import (
+    chat, decontam, langid, lexical, mixing, negatives, puquality, rules, sharding, simhash, tokenbin, tokencount, toxicity)
 from .common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -91,9 +92,14 @@ def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.rank_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), k=50)
 
 
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return toxicity.score_documents(docs, toxicity.fit(docs, read_table(spark, sf_dir, "labels")))
+
+
 REGISTRY: dict[str, Query] = {f.__name__: f for f in (
     op1_decontaminate, op2_language, op3_mix, op4_simhash, op5_quality, op6_token_counts, op7_shards, op8_rules,
-    op9_chat, op10_token_binary, op11_negatives, op12_lexical)}
+    op9_chat, op10_token_binary, op11_negatives, op12_lexical, op13_toxicity)}
 
 # fixed values of the lexical contract: a term, and the letters that are lowered
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
