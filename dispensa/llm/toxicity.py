@@ -7,15 +7,19 @@ unseen and disguised words are read by their characters.  Windows of ``WINDOW``
 words, each overlapping the next by ``WINDOW - STRIDE``, cover the whole text
 (the last one ends with it).  Two gated recurrent units read a window from both
 sides, attention pools their states, a logistic unit scores it.  A document's
-score comes from its highest window, calibrated on whole documents that were
-not learned from, each class weighing as among all labels.
+score comes from its highest windows (``document_inputs``), calibrated on whole
+documents that were not learned from, each class weighing as among all labels.
 
 Training (numpy, on the driver) takes a bounded sample: at most ``max_rows``
 labelled texts of each class (``common.bounded_rows``) and at most
 ``max_windows`` windows of each, spread evenly over the whole text.  A label
-belongs to a document, not to a window: a first network learns from all windows
-with their documents' labels; the windows of toxic documents that it finds
-toxic, and all windows that it finds harmless, teach the final one.  Scoring takes all windows of all documents.
+belongs to a document, not to a window: each word and n-gram starts with the
+log odds of its training documents being toxic, in standard errors
+(``evidence``), as one component of its vector; a first network learns from the
+windows of toxic documents that hold the strongest word, against all windows of
+the others.  The windows of toxic documents that it finds toxic, and all windows
+that it finds harmless, teach the final one.  Scoring takes all windows of all
+documents.
 
 The input projections of a word are computed once per distinct word of a batch;
 n-gram means are remembered in a bounded table.  Labels, lang, source and doc_id
@@ -45,10 +49,13 @@ from .common import Memo, bounded_rows, remainder, slices
 NO_WORD = r"[^\pL\pN]+"
 WINDOW, STRIDE = 24, 16
 HIDDEN, INPUT = 8, 12
-ORDERS = (2, 3, 4)
-GRAMS, WORDS, LEAST = 16_384, 8_192, 3   # vocabulary sizes, least documents of an entry
+ORDERS = (3, 4, 5)
+GRAMS, WORDS, LEAST = 32_768, 8_192, 3   # vocabulary sizes, least documents of an entry
 CHUNK = 2048                             # windows that are scored at a time
 MEMO = 200_000
+RANKS = (0, 2, 4)                        # the windows of a text, from the highest, that make its score
+DOUBT = 1.0                              # standard errors that count as chance
+STEPS = 400                              # least steps of a network, however few its windows
 THRESHOLD = 0.3  # fixed value of the contract
 FOLDS, HELD = 4, 2  # fixed values of the contract: crc32(id) mod 4 = 2 is held out
 
@@ -92,7 +99,7 @@ class Network:
     words: dict[str, int]
     grams: dict[str, int]
     p: dict[str, np.ndarray]
-    slope: float = 1.0
+    slope: np.ndarray = field(default_factory=lambda: np.eye(len(RANKS))[0])   # of a text's highest windows
     offset: float = 0.0
     base: float | None = None   # the score of every text, where nothing was learned
     memo: Memo = field(default_factory=lambda: Memo(MEMO), repr=False)
@@ -105,9 +112,13 @@ class Network:
         self.memo = Memo(MEMO)
 
     @classmethod
-    def start(cls, words: dict[str, int], gram_numbers: dict[str, int], rng) -> Network:
+    def start(cls, words: dict[str, int], gram_numbers: dict[str, int], rng,
+              odds: tuple[np.ndarray, np.ndarray] | None = None) -> Network:
+        """Random weights; ``odds`` (of words and n-grams) fill the first two components."""
         draw = lambda *shape, by=0.1: (rng.standard_normal(shape) * by).astype(np.float32)
         p = {"word": draw(len(words) + 1, INPUT), "gram": draw(len(gram_numbers) + 1, INPUT)}
+        if odds is not None:
+            p["word"][:, 0], p["gram"][:, 1] = odds
         p["gram"][0] = 0
         for side in "fb":
             p["in_" + side], p["bias_" + side] = draw(INPUT, 3 * HIDDEN, by=0.4), np.zeros(3 * HIDDEN, np.float32)
@@ -174,12 +185,13 @@ class Network:
         codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int32)
         x = self.inputs(coded.dictionary.to_pylist())
         start, length, doc = window_starts(bounds)
-        top = np.full(len(texts), -np.inf)
+        z = np.empty(len(start), dtype=np.float32)
         for a in range(0, len(start), 16 * CHUNK):
-            s, n, d = start[a:a + 16 * CHUNK], length[a:a + 16 * CHUNK], doc[a:a + 16 * CHUNK]
+            s, n = start[a:a + 16 * CHUNK], length[a:a + 16 * CHUNK]
             at = np.minimum(s[:, None] + np.arange(WINDOW), len(codes) - 1)
-            np.maximum.at(top, d, self.logits(x, codes[at], n))
-        out[some] = _sigmoid(self.slope * top[some] + self.offset)
+            z[a:a + 16 * CHUNK] = self.logits(x, codes[at], n)
+        top = document_inputs(z, doc, len(texts))
+        out[some] = _sigmoid(top[some] @ self.slope + self.offset)
         return out
 
 
@@ -297,6 +309,21 @@ def vocabulary(docs: list[set[str]], keys_of, most: int, least: int) -> dict[str
     return {k: i + 1 for i, k in enumerate(found)}
 
 
+def evidence(docs: list[set[str]], keys_of, numbers: dict[str, int], toxic: np.ndarray) -> np.ndarray:
+    """Log odds of each entry's documents being toxic, in standard errors, the
+    first ``DOUBT`` of them taken off; 0 for entry 0."""
+    n = np.zeros((2, len(numbers) + 1))
+    for words, y in zip(docs, toxic):
+        found = {numbers[k] for w in words for k in keys_of(w) if k in numbers}
+        n[int(y), list(found)] += 1
+    total = np.array([[max(1, (toxic == 0).sum())], [max(1, (toxic == 1).sum())]])
+    prior = total / total.sum()  # one document in all, dealt as the classes are
+    z = (np.log((n + prior) / (total + 1))[1] - np.log((n + prior) / (total + 1))[0]) / np.sqrt((1 / (n + prior)).sum(axis=0))
+    z = np.sign(z) * np.maximum(0, np.abs(z) - DOUBT)
+    z[0] = 0
+    return np.clip(z, -4, 4).astype(np.float32)
+
+
 def train(windows: list[list[str]], doc: np.ndarray, toxic: np.ndarray, share: float | None = None, seed: int = 13,
           epochs: tuple[int, int] = (3, 3), batch: int = 256, rate: float = 0.01) -> Network:
     """Learn from windows (lists of words); ``doc`` is the text of each window,
@@ -315,7 +342,11 @@ def train(windows: list[list[str]], doc: np.ndarray, toxic: np.ndarray, share: f
         sets[d].update(w)
     least = LEAST if len(toxic) > 50 else 1
     known = (vocabulary(sets, lambda w: (w,), WORDS, least), vocabulary(sets, lambda w: set(grams(w)), GRAMS, least))
-    net = Network.start(*known, rng)
+    learned = [(w, y) for w, y, b in zip(sets, toxic, back) if not b]
+    marks = np.array([y for _, y in learned])
+    odds = tuple(evidence([w for w, _ in learned], keys, numbers, marks)
+                 for keys, numbers in ((lambda w: (w,), known[0]), (grams, known[1])))
+    net = Network.start(*known, rng, odds)
     distinct = sorted(set().union(*sets))
     at = {w: i for i, w in enumerate(distinct)}
     words = Words(net, distinct)
@@ -323,8 +354,12 @@ def train(windows: list[list[str]], doc: np.ndarray, toxic: np.ndarray, share: f
     length = np.array([len(w) for w in windows])
     for i, w in enumerate(windows):
         codes[i, :len(w)] = [at[x] for x in w]
+    # the first examples: of a toxic text, the windows of its strongest word
+    strong = np.array([max(odds[0][known[0].get(x, 0)] for x in w) for w in windows])
+    most = np.full(len(toxic), -np.inf)
+    np.maximum.at(most, doc, strong)
     y = toxic[doc].astype(np.float32)
-    rows = np.flatnonzero(~back[doc])
+    rows = np.flatnonzero(~back[doc] & ((y == 0) | (strong >= most[doc])))
     for phase, rounds in enumerate(epochs):
         if phase:
             # a toxic text's windows that look toxic are examples, the highest one always; those that look
@@ -335,7 +370,7 @@ def train(windows: list[list[str]], doc: np.ndarray, toxic: np.ndarray, share: f
             good = z >= np.minimum(top[doc], np.maximum(0.0, 0.5 * top[doc]))
             y = np.where((z < 0) & ~good, 0, y).astype(np.float32)
             rows = np.flatnonzero(~back[doc] & ((y == 0) | good))
-            net = Network.start(*known, rng)
+            net = Network.start(*known, rng, odds)
         m = {k: np.zeros_like(x) for k, x in net.p.items()}
         v = {k: np.zeros_like(x) for k, x in net.p.items()}
         step = 0
@@ -343,7 +378,7 @@ def train(windows: list[list[str]], doc: np.ndarray, toxic: np.ndarray, share: f
         n_toxic = y[rows].sum()
         if n_toxic:  # both classes weigh alike, toxic windows at most 20 times as much
             weight[y > 0] = min(20.0, max(1.0, (len(rows) - n_toxic) / n_toxic))
-        for _ in range(rounds):
+        for _ in range(max(rounds, -(-STEPS * batch // max(1, len(rows))))):
             order = rng.permutation(rows)
             for s in range(0, len(order), batch):
                 b = order[s:s + batch]
@@ -356,18 +391,30 @@ def train(windows: list[list[str]], doc: np.ndarray, toxic: np.ndarray, share: f
                     v[key] += 0.001 * (d * d - v[key])
                     net.p[key] -= (lr * m[key] / (np.sqrt(v[key]) + 1e-8)).astype(np.float32)
         net.memo = Memo(MEMO)
-    # calibration: the highest window of each text against its label
-    z = net.logits(net.inputs(distinct), codes, length)
-    top = np.full(len(toxic), -np.inf)
-    np.maximum.at(top, doc, z)
-    seen = np.isfinite(top) & (back if enough else True)
+    # calibration: the highest windows of each text against its label
+    top = document_inputs(net.logits(net.inputs(distinct), codes, length), doc, len(toxic))
+    seen = (np.bincount(doc, minlength=len(toxic)) > 0) & (back if enough else True)
     net.slope, net.offset = calibrate(top[seen], toxic[seen], share)
     net.memo = Memo(MEMO)
     return net
 
 
-def calibrate(z: np.ndarray, y: np.ndarray, share: float | None = None, steps: int = 50) -> tuple[float, float]:
-    """Slope and offset of a logistic curve, by Newton steps on softened
+def document_inputs(z: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
+    """Per text the scores of its highest, third and fifth highest window (the
+    lowest, where it has fewer): one word of a clean text may look toxic, and
+    lies in two windows at most.  Texts without a window: zeros."""
+    order = np.lexsort((-z, doc))
+    count = np.bincount(doc, minlength=n)
+    start = np.cumsum(count) - count
+    out = np.zeros((n, len(RANKS)))
+    some = np.flatnonzero(count)
+    for j, r in enumerate(RANKS):
+        out[some, j] = z[order[start[some] + np.minimum(r, count[some] - 1)]]
+    return out
+
+
+def calibrate(x: np.ndarray, y: np.ndarray, share: float | None = None, steps: int = 50) -> tuple[np.ndarray, float]:
+    """Weights and offset of a logistic curve, by Newton steps on softened
     labels and a small penalty, so it stays finite where classes part.  The
     classes weigh as they do among all labels (``share`` of them toxic)."""
     n_pos, n_neg = (y == 1).sum(), (y == 0).sum()
@@ -375,15 +422,15 @@ def calibrate(z: np.ndarray, y: np.ndarray, share: float | None = None, steps: i
     if share is not None and n_pos and n_neg:
         weight = np.where(y == 1, share / n_pos, (1 - share) / n_neg) * len(y)
     goal = np.where(y == 1, (n_pos + 1) / (n_pos + 2), 1 / (n_neg + 2))
-    scale = max(float(np.abs(z).max(initial=0)), 1e-6)
-    x = np.c_[z / scale, np.ones(len(z))]
-    w = np.zeros(2)
+    scale = max(float(np.abs(x).max(initial=0)), 1e-6)
+    x = np.c_[x / scale, np.ones(len(x))]
+    small = 1e-2 * np.eye(x.shape[1])
+    w = np.zeros(x.shape[1])
     for _ in range(steps):
         s = _sigmoid(x @ w)
-        hessian = (x * (weight * s * (1 - s))[:, None]).T @ x + 1e-3 * np.eye(2)
-        step = np.linalg.solve(hessian, x.T @ (weight * (s - goal)) + 1e-3 * w)
+        step = np.linalg.solve((x * (weight * s * (1 - s))[:, None]).T @ x + small, x.T @ (weight * (s - goal)) + small @ w)
         w -= step * min(1.0, 4 / max(1e-9, float(np.abs(step).max())))
-    return float(max(w[0], 1e-6) / scale), float(w[1])
+    return w[:-1] / scale, float(w[-1])
 
 
 # -- Spark ------------------------------------------------------------------
