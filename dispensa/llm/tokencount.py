@@ -24,6 +24,7 @@ count alike; extra columns are ignored; empty table: no rows.
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
 from functools import lru_cache, partial
 
@@ -40,7 +41,9 @@ SPACE = "▁"
 UNKNOWN_PENALTY = 10.0  # fixed value
 # cut in front of U+2581, and behind letters too
 RUN = re.compile(f"{SPACE}*[^{SPACE}]*")
-PART = re.compile(rf"{SPACE}*(?:[\W\d_](?<!{SPACE}))*[^\W\d_]*")
+# word characters that are neither letters (isalpha) nor decimal digits, as superscripts and fractions
+OTHER = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+PART = re.compile(rf"{SPACE}*(?:[\W\d_{OTHER}](?<!{SPACE}))*[^\W\d_{OTHER}]*")
 MEMO = 300_000
 
 

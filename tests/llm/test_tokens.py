@@ -161,3 +161,19 @@ def test_awkward_files(spark, library, monkeypatch):
         segments, ranks = tokenbin.write_segments(documents(spark, rows), tokenizer_path(BYTES), slices=3)
         got = tokenbin.read_segments(segments, ranks).withColumn("ids_crc32", F.crc32("ids")).collect()
         check_rows(got, [(r[0], r[1]) for r in rows], library)
+
+
+def test_cut_agrees_with_uncut_on_other_numerals():
+    """Superscripts and fractions are word characters but no letters."""
+    from dispensa.llm import tokencount
+    from dispensa.llm.queries import tokenizer_path
+    cutting = tokencount.Counter(tokencount.read_vocabulary(tokenizer_path("piece_bpe_32k.model")))
+    assert cutting.cut is tokencount.PART
+    rng = np.random.default_rng(6)
+    texts = ["x².", "m². y", "².", "a ². b", "½.x", "x½,5"]
+    texts += ["".join(rng.choice(list("abm²³½.,5- _é"), 12)) for _ in range(300)]
+    for text in texts:
+        whole = tokencount.SPACE + text.replace(" ", tokencount.SPACE)
+        parts = [p for p in cutting.cut.findall(whole) if p]
+        assert "".join(parts) == whole
+        assert sum(cutting.viterbi(p)[0] for p in parts) == cutting.viterbi(whole)[0], text
