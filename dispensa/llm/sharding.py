@@ -121,17 +121,18 @@ def shuffle_documents(docs: DataFrame, shards: int = 16, seed: int = 11, bucket_
     shuffled = scattered.groupBy(col(bucket)).applyInArrow(_shuffler(bucket, tie, position, seed), schema)
     written = materialize(shuffled, "shard-buckets")
 
-    sizes = written.groupBy(col(bucket).alias("_b")).agg(F.count("*").alias("n"))
-    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    b, offset, everything = (fresh(docs.columns, x) for x in ("_b", "_offset", "_all"))
+    sizes = written.groupBy(col(bucket).alias(b)).agg(F.count("*").alias("n"))
+    before = Window.orderBy(col(b)).rowsBetween(Window.unboundedPreceding, -1)
     every = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    offsets = sizes.select("_b", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_offset"),
-                           F.sum("n").over(every).alias("_all"))
+    offsets = sizes.select(col(b), F.coalesce(F.sum("n").over(before), F.lit(0)).alias(offset),
+                           F.sum("n").over(every).alias(everything))
     if buckets <= 100_000:  # one row of 3 numbers per bucket; beyond, a plain join
         offsets = F.broadcast(offsets)
-    placed = written.join(offsets, col(bucket) == F.col("_b"))
+    placed = written.join(offsets, col(bucket) == col(b))
     # the first `extra` shards hold one row more than the others
-    place = F.col("_offset") + col(position)
-    least, extra = F.floor(F.col("_all") / shards).cast("long"), F.pmod(F.col("_all"), F.lit(shards))
+    place = col(offset) + col(position)
+    least, extra = F.floor(col(everything) / shards).cast("long"), F.pmod(col(everything), F.lit(shards))
     in_long = place < extra * (least + 1)
     rest = place - extra * (least + 1)
     per = F.greatest(least, F.lit(1))

@@ -309,18 +309,18 @@ def drop_duplicates(docs: DataFrame, shingle: int = 3, threshold: int = THRESHOL
     rows = near_duplicates(docs, shingle, threshold)
     per = rows.groupBy("component", "doc_id", "text_hash").agg(F.count("*").alias("n"))
     kept = per.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "n")).alias("k"))
-    kept = materialize(kept.select(F.col("k.doc_id").alias("_id"), F.col("k.text_hash").alias("_hash"), F.col("k.n").alias("_n")),
-                       "simhash-kept")
-    key = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
-    out = docs.join(kept.filter("_n = 1"), key, "left_semi")
-    several = kept.filter("_n > 1")
+    i, h, n = (fresh(docs.columns, x) for x in ("_id", "_hash", "_n"))
+    kept = materialize(kept.select(F.col("k.doc_id").alias(i), F.col("k.text_hash").alias(h), F.col("k.n").alias(n)), "simhash-kept")
+    key = F.col("doc_id").eqNullSafe(col(i)) & (F.xxhash64("text") == col(h))
+    out = docs.join(kept.filter(col(n) == 1), key, "left_semi")
+    several = kept.filter(col(n) > 1)
     if several.isEmpty():
         return out
     # rows that repeat both id and text: the smallest of them by all columns
-    boxed, h = fresh(docs.columns, "_row"), fresh(docs.columns, "_hash")
+    boxed = fresh(docs.columns, "_row")
     plain = [f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
     rest = docs.join(several, key, "left_semi") \
-        .groupBy(F.col("doc_id").alias("_id"), F.xxhash64("text").alias(h)) \
+        .groupBy(F.col("doc_id").alias(i), F.xxhash64("text").alias(h)) \
         .agg(F.min_by(F.struct(*[col(c) for c in docs.columns]), F.struct(*[col(c) for c in plain])).alias(boxed)) \
         .select(*[F.col(boxed).getField(c).alias(c) for c in docs.columns])
     return out.unionByName(rest)

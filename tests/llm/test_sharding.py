@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from dispensa.llm import sharding
 from dispensa.llm.queries import op7_shards
@@ -106,3 +107,15 @@ def test_all_columns_count_in_the_bucket_size(spark):
     docs = spark.createDataFrame([(1, "ab", "x" * 100, [1, 2], {"k": "v"})], "doc_id long, text string, note string, a array<int>, m map<string,string>")
     assert docs.select(sharding._row_bytes(docs.schema)).first()[0] >= 64 + 2 + 100 + 8
     assert sharding.shuffle_documents(docs.union(docs)).count() == 2
+
+
+def test_columns_named_like_the_operators_own(spark):
+    from dispensa.llm import simhash
+    docs = spark.range(40).select(
+        "id", F.col("id").alias("doc_id"), F.concat(F.lit("some words of text "), (F.col("id") % 9).cast("string")).alias("text"),
+        *[F.col("id").alias(c) for c in ("_b", "_offset", "_all", "_bucket", "_tie", "_position", "_copy", "_id", "_hash", "_n", "_row", "n")])
+    got = sharding.shuffle_documents(docs, shards=3, bucket_bytes=400)
+    assert got.columns == [*docs.columns, "shard", "slot"] and got.count() == 40
+    assert {r["n"] for r in got.groupBy("shard").agg(F.count("*").alias("n")).collect()} == {13, 14}
+    kept = simhash.drop_duplicates(docs.unionByName(docs))
+    assert kept.columns == docs.columns and kept.select("text").distinct().count() == kept.count()
