@@ -17,8 +17,8 @@ lines, repetition); labels, lang, source and doc_id are never among them.
 
 Defined results: empty and null texts get a score like any other (all shares
 zero); without positives or unlabelled rows the score is 0.5 throughout;
-an id with conflicting labels counts once per label; repeated rows are scored
-alike; extra columns are ignored; empty table: no rows.
+an id with conflicting labels is a positive; repeated rows are scored alike and
+count once (``max_rows`` bounds rows, whatever ids repeat); extra columns are ignored; empty table: no rows.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, held_out, trainable
+from .common import bounded_rows, held_out, trainable
 
 STATS = 12
 WIDTH = 256 + STATS
@@ -145,21 +145,19 @@ def fit_arrays(p: np.ndarray, u: np.ndarray, steps: int = 500, rate: float = 0.0
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 6_000, seed: int = 5) -> Model:
-    """Learn from trainable rows; ``max_rows`` bounds each of the two samples."""
+    """Learn from trainable rows; ``max_rows`` bounds the rows of each of the two samples."""
     marks = labels.filter(F.col("quality").isNotNull()).select(F.col("doc_id").alias("_id"), "quality")
     rows = docs.select("doc_id", "text").filter(trainable(F.col("doc_id")))
-    ids = rows.select("doc_id")
+    ids = rows.select("doc_id").distinct()
     marked = ids.join(marks, F.col("doc_id") == F.col("_id"), "left") \
         .groupBy("doc_id").agg(F.max(F.col("quality") == 1).alias("positive"), F.count("quality").alias("n"))
-    got = marked.agg(F.sum(F.coalesce(F.col("positive"), F.lit(False)).cast("long")),
-                     F.sum((F.col("n") == 0).cast("long")), F.count("*")).first()
-    n_p, n_u, n = (int(x or 0) for x in got)
-    positives = bounded_sample(marked.filter("positive"), F.col("doc_id"), max_rows, n_p, seed)
-    unlabelled = bounded_sample(marked.filter("n = 0") if n_u else marked, F.col("doc_id"), max_rows, n_u or n, seed + 1)
-    wanted = positives.select(F.col("doc_id").alias("_d"), F.lit(True).alias("positive")).unionByName(
-        unlabelled.select(F.col("doc_id").alias("_d"), F.lit(False).alias("positive")))
-    # at most about 2 * max_rows ids, a proven bound
-    sample = rows.join(F.broadcast(wanted), F.col("doc_id") == F.col("_d")).select("positive", "text")
+    every = marked.filter("n = 0").isEmpty()
+    kind = F.when(F.col("n") == 0, F.array(F.lit(False)))
+    kind = kind.when(F.col("positive"), F.array(F.lit(True), F.lit(False)) if every else F.array(F.lit(True)))
+    if every:
+        kind = kind.otherwise(F.array(F.lit(False)))
+    chosen = marked.select(F.col("doc_id").alias("_id"), F.explode(kind).alias("positive"))
+    sample = bounded_rows(rows, chosen, "positive", max_rows, seed).select("positive", "text")
     vectors = sample.mapInArrow(_feature_batches, "positive boolean, x binary").collect()
     rows_of = lambda flag: np.array([np.frombuffer(r["x"], dtype=np.float32) for r in sorted(
         (r for r in vectors if r["positive"] == flag), key=lambda r: bytes(r["x"]))], dtype=np.float32).reshape(-1, WIDTH)

@@ -378,7 +378,7 @@ def train(windows: list[list[str]], doc: np.ndarray, toxic: np.ndarray, share: f
         n_toxic = y[rows].sum()
         if n_toxic:  # both classes weigh alike, toxic windows at most 20 times as much
             weight[y > 0] = min(20.0, max(1.0, (len(rows) - n_toxic) / n_toxic))
-        for _ in range(max(rounds, -(-STEPS * batch // max(1, len(rows))))):
+        for _ in range(max(rounds, -(-STEPS // max(1, -(-len(rows) // batch))))):
             order = rng.permutation(rows)
             for s in range(0, len(order), batch):
                 b = order[s:s + batch]

@@ -81,3 +81,17 @@ def test_lang_and_labels_are_no_inputs(spark):
     other = docs.withColumn("lang", F.lit("zz")).withColumn("source", F.lit("q"))
     m = langid.fit(docs)
     assert sorted(map(str, langid.identify(docs, m).collect())) == sorted(map(str, langid.identify(other, m).collect()))
+
+
+def test_quality_sample_is_bounded_in_rows(spark, monkeypatch):
+    """An id with many different texts brings no more than ``max_rows`` vectors."""
+    docs = spark.range(600).select(F.when(F.col("id") < 400, 1).otherwise(F.col("id")).alias("doc_id"),
+                                   F.concat(F.lit("text number "), F.col("id").cast("string")).alias("text"))
+    labels = spark.createDataFrame([(i, 1, 0) for i in [1, *range(400, 500)]], "doc_id bigint, quality int, toxic int")
+    seen = []
+    monkeypatch.setattr(puquality, "fit_arrays", lambda p, u: seen.append((len(p), len(u))))
+    puquality.fit(docs, labels, max_rows=30)
+    assert seen == [(30, 30)]
+    every = labels.unionByName(docs.selectExpr("doc_id", "0 as quality", "0 as toxic").distinct())
+    puquality.fit(docs, every, max_rows=30)
+    assert seen[1] == (30, 30)
