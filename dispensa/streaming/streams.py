@@ -25,7 +25,8 @@ from dispensa.session import scratch_dir
 def ledger_stream(spark: SparkSession, source: str, schema: T.StructType, to_movements,
                   out_dir: str | None = None, max_files_per_trigger: int = 1):
     """Continuous ledger balance.  Each micro-batch of movements gets
-    balances continuing from the per-drug balance state; the new state is
+    balances continuing from the per-drug balance state (by arrival: a
+    lower id that comes late adds to the balance reached, earlier rows stay); the new state is
     written as a new version per batch.  Returns (query, out_dir)."""
     out = out_dir or scratch_dir(spark, f"ledger-stream-{uuid.uuid4().hex}")
     rows_path, state_root = f"{out}/rows", f"{out}/state"
@@ -40,8 +41,9 @@ def ledger_stream(spark: SparkSession, source: str, schema: T.StructType, to_mov
         rows.write.mode("overwrite").parquet(f"{rows_path}/epoch={epoch}")
         written = sess.read.parquet(f"{rows_path}/epoch={epoch}")
         last = L.latest_balance(written).select("obat_kode", F.col("saldo").alias("opening"), "last_id")
-        state = prev.unionByName(last).groupBy("obat_kode").agg(
-            F.max_by("opening", "last_id").alias("opening"), F.max("last_id").alias("last_id"))
+        # the balance after the batch that came last, also where its ids are lower than those seen before
+        state = prev.withColumn("turn", F.lit(0)).unionByName(last.withColumn("turn", F.lit(1))).groupBy("obat_kode").agg(
+            F.max_by("opening", "turn").alias("opening"), F.max("last_id").alias("last_id"))
         state.write.mode("overwrite").parquet(f"{state_root}/v{epoch}")
 
     q = (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger).parquet(source)

@@ -33,3 +33,19 @@ def test_ledger_stream_carries_state_across_batches(spark):
     got = {r.id: r.saldo for r in streams.ledger_stream_rows(spark, out).collect()}
     want = {r.id: r.saldo for r in ledger.ledger_balance(td.ledger_movements(spark, SF_SMALL), ["id"]).collect()}
     assert got == want
+
+
+def test_ledger_stream_counts_lower_ids_that_come_late(spark, tmp_path):
+    """Balances go on from the batch that came last, whatever its ids."""
+    schema = spark.createDataFrame([], "id long, obat_kode string, qty_in int, qty_out int").schema
+    source = str(tmp_path / "in")
+    out = str(tmp_path / "out")
+    want = {}
+    for k, (i, amount, balance) in enumerate([(100, 10, 10), (50, 5, 15), (200, 1, 16)]):
+        spark.createDataFrame([(i, "A", amount, 0)], schema).coalesce(1).write.mode("append").parquet(source)
+        q, _ = streams.ledger_stream(spark, source, schema, lambda b: b, out_dir=out)  # a restart each time
+        q.awaitTermination()
+        assert q.exception() is None
+        want[i] = balance
+        got = {r["id"]: r["saldo"] for r in streams.ledger_stream_rows(spark, out).collect()}
+        assert got == want
