@@ -772,3 +772,104 @@ FROM pelanggan c LEFT JOIN (
       for f in ("nama", "alergi", "alamat")) + """
   FROM customer_changes WHERE op = 'update' GROUP BY kode) u ON u.kode = c.kode""",
     "pelanggan", "customer_changes")
+
+# Verdicts: the state before a change of a code is the last accepted insert or
+# delete before it (a refused insert leaves an existing row); a stored pair is
+# taken until its id is first deleted, then from the first valid insert on.
+_VERDICTS = {
+    "body": """SELECT *, CASE WHEN json_valid(payload) THEN CAST(payload AS JSON) ELSE CAST('{}' AS JSON) END AS b,
+                      trim(key) AS code FROM master_changes""",
+    "checked": """SELECT *, CASE
+        WHEN op <> 'insert' THEN NULL
+        WHEN entity = 'interaksi_obat' THEN CASE
+          WHEN b->>'$.tingkat' NOT IN ('minor', 'moderate', 'major', 'contraindicated')
+            THEN 'tingkat harus salah satu dari: minor,moderate,major,contraindicated'
+          WHEN b->>'$.obat1_kode' = b->>'$.obat2_kode' THEN 'Obat tidak boleh sama' END
+        WHEN coalesce(b->>'$.nama', '') = '' THEN 'nama wajib diisi'
+        WHEN entity = 'm_obat' AND b->>'$.golongan' NOT IN ('NONE', 'OTC', 'OBT', 'OK', 'Psikotropika', 'Narkotika')
+          THEN 'golongan harus salah satu dari: NONE,OTC,OBT,OK,Psikotropika,Narkotika'
+        WHEN entity = 'm_karyawan' AND b->>'$.level_akses' NOT IN ('farmasi', 'kasir', 'gudang', 'admin')
+          THEN 'level_akses harus salah satu dari: farmasi,kasir,gudang,admin' END AS bad,
+      CASE entity WHEN 'm_obat' THEN list_has_any(json_keys(b), ['nama', 'produsen', 'harga', 'stok', 'expired_date', 'golongan'])
+        WHEN 'm_pelanggan' THEN list_has_any(json_keys(b), ['nama', 'tgl_lahir', 'jenis_kelamin', 'alergi', 'kondisi_medis', 'no_hp', 'alamat'])
+        WHEN 'm_dokter' THEN list_has_any(json_keys(b), ['nama', 'spesialisasi', 'fasilitas_kesehatan'])
+        WHEN 'm_supplier' THEN list_has_any(json_keys(b), ['nama', 'sertifikasi', 'alamat', 'kontak'])
+        WHEN 'm_karyawan' THEN list_has_any(json_keys(b), ['nama', 'jabatan', 'level_akses'])
+        WHEN 'm_formula_racik' THEN list_has_any(json_keys(b), ['nama', 'dokter_sip', 'petunjuk', 'standar', 'komposisi'])
+        ELSE b->>'$.tingkat' IS NOT NULL OR list_contains(json_keys(b), 'keterangan') END AS given
+      FROM body""",
+    "stored": """SELECT 'm_obat' AS entity, CAST(p_partkey AS VARCHAR) AS code FROM part
+      UNION ALL SELECT 'm_pelanggan', CAST(c_custkey AS VARCHAR) FROM customer
+      UNION ALL SELECT 'm_karyawan', CAST(c_custkey AS VARCHAR) FROM customer
+      UNION ALL SELECT 'm_dokter', CAST(s_suppkey AS VARCHAR) FROM supplier
+      UNION ALL SELECT 'm_supplier', CAST(s_suppkey AS VARCHAR) FROM supplier
+      UNION ALL SELECT 'm_formula_racik', 'FR' || o_orderkey FROM orders""",
+    "codes": """SELECT c.*, coalesce(last_value(CASE WHEN c.op = 'delete' THEN 0
+                      WHEN c.op = 'insert' AND c.bad IS NULL THEN 1 END IGNORE NULLS)
+                      OVER (PARTITION BY c.entity, c.code ORDER BY c.seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+                    CASE WHEN s.code IS NOT NULL THEN 1 ELSE 0 END) = 1 AND c.code <> '' AS here
+      FROM checked c LEFT JOIN stored s ON s.entity = c.entity AND s.code = c.code
+      WHERE c.entity <> 'interaksi_obat'""",
+    "freed": """SELECT CAST(code AS BIGINT) AS id, min(seq) AS at FROM checked
+                WHERE entity = 'interaksi_obat' AND op = 'delete' GROUP BY 1""",
+    "pairs": """SELECT c.*, least(b->>'$.obat1_kode', b->>'$.obat2_kode') AS p1,
+                       greatest(b->>'$.obat1_kode', b->>'$.obat2_kode') AS p2
+                FROM checked c WHERE entity = 'interaksi_obat' AND op = 'insert'""",
+    "open": """SELECT p.*, i.id IS NULL OR f.at < p.seq AS is_open
+               FROM pairs p LEFT JOIN interaksi i ON i.obat1_kode = p.p1 AND i.obat2_kode = p.p2
+               LEFT JOIN freed f ON f.id = i.id""",
+    "verdicts": """SELECT entity, key, op, seq, payload, b, err,
+        CASE WHEN err = '' THEN 'accepted' WHEN err = 'No changes' THEN 'no_changes'
+             WHEN err = 'Not found' THEN 'not_found' ELSE 'refused' END AS verdict,
+        op = 'insert' AND entity <> 'interaksi_obat' AND trim(key) = '' AS needs_code
+      FROM (
+        SELECT entity, key, op, seq, payload, b, CASE
+          WHEN op = 'insert' THEN CASE WHEN bad IS NOT NULL THEN bad WHEN here THEN 'Kode sudah ada' ELSE '' END
+          WHEN op = 'update' AND NOT given THEN 'No changes'
+          WHEN NOT here THEN 'Not found'
+          WHEN op = 'update' AND list_contains(json_keys(b), 'nama') AND b->>'$.nama' IS NULL
+            THEN 'nama tidak boleh kosong' ELSE '' END AS err
+        FROM codes
+        UNION ALL
+        SELECT entity, key, op, seq, payload, b, CASE WHEN bad IS NOT NULL THEN bad
+          WHEN coalesce(is_open, false) AND seq = min(CASE WHEN is_open AND bad IS NULL THEN seq END) OVER (PARTITION BY p1, p2)
+            THEN '' ELSE 'Pasangan sudah ada' END FROM open
+        UNION ALL
+        SELECT c.entity, c.key, c.op, c.seq, c.payload, c.b, CASE
+          WHEN c.op = 'update' AND NOT c.given THEN 'No changes'
+          WHEN i.id IS NULL OR f.at < c.seq THEN 'Not found' ELSE '' END
+        FROM checked c LEFT JOIN interaksi i ON i.id = CAST(c.code AS BIGINT) LEFT JOIN freed f ON f.id = i.id
+        WHERE c.entity = 'interaksi_obat' AND c.op <> 'insert')""",
+}
+
+ORACLE["change_verdicts"] = with_views(
+    "SELECT entity, key, op, seq, verdict, err AS error, needs_code FROM verdicts",
+    "master_changes", "interaksi", extra=_VERDICTS)
+
+ORACLE["masters_after_changes"] = with_views("""
+SELECT a.entity, a.code AS key, a.field,
+       CASE WHEN u.code IS NOT NULL THEN u.v WHEN l.seq IS NOT NULL THEN l.b->>('$.' || a.field) ELSE t.value END AS value
+FROM (SELECT x.entity, x.code, f.field
+      FROM (SELECT DISTINCT entity, code FROM (SELECT entity, code FROM base UNION ALL SELECT entity, code FROM done)) x
+      JOIN (SELECT DISTINCT entity, field FROM base) f ON f.entity = x.entity) a
+LEFT JOIN last l ON l.entity = a.entity AND l.code = a.code
+LEFT JOIN base t ON t.entity = a.entity AND t.code = a.code AND t.field = a.field
+LEFT JOIN upd u ON u.entity = a.entity AND u.code = a.code AND u.field = a.field
+WHERE CASE WHEN l.seq IS NULL THEN t.code IS NOT NULL ELSE l.op = 'insert' END""",
+    "master_changes", "interaksi", extra={**_VERDICTS,
+    "base": """SELECT entity, code, field, value FROM (
+        SELECT 'm_dokter' AS entity, CAST(s_suppkey AS VARCHAR) AS code,
+               unnest(['nama', 'spesialisasi', 'fasilitas_kesehatan']) AS field, unnest([s_name, NULL, 'RS']) AS value FROM supplier
+        UNION ALL SELECT 'm_supplier', CAST(s_suppkey AS VARCHAR),
+               unnest(['nama', 'sertifikasi', 'alamat', 'kontak']), unnest([s_name, NULL, NULL, NULL]) FROM supplier
+        UNION ALL SELECT 'm_karyawan', CAST(c_custkey AS VARCHAR),
+               unnest(['nama', 'jabatan', 'level_akses']), unnest([c_name, c_mktsegment, 'kasir']) FROM customer)""",
+    "done": "SELECT *, trim(key) AS code FROM verdicts WHERE verdict = 'accepted' AND trim(key) <> ''"
+            " AND entity IN ('m_dokter', 'm_supplier', 'm_karyawan')",
+    "last": """SELECT entity, code, max(seq) AS seq, arg_max(op, seq) AS op, arg_max(b, seq) AS b FROM done
+               WHERE op <> 'update' GROUP BY 1, 2""",
+    "upd": """SELECT d.entity, d.code, f.field, arg_max(struct_pack(v := d.b->>('$.' || f.field)), d.seq).v AS v
+              FROM done d JOIN (SELECT DISTINCT entity, field FROM base) f ON f.entity = d.entity
+              LEFT JOIN last l ON l.entity = d.entity AND l.code = d.code
+              WHERE d.op = 'update' AND (l.seq IS NULL OR d.seq > l.seq) AND list_contains(json_keys(d.b), f.field)
+              GROUP BY 1, 2, 3"""})

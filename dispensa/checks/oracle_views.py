@@ -128,6 +128,35 @@ VIEWS: dict[str, tuple[list[str], str]] = {
                CASE c_custkey % 4 WHEN 0 THEN '{"alergi":"PARACETAMOL"}' WHEN 1 THEN '{"alergi":null}'
                     ELSE json_object('nama', upper(c_name))::VARCHAR END AS payload
         FROM customer WHERE c_custkey % 4 <> 3"""),
+    "master_changes": ([], """
+        SELECT entity, seq, op,
+               CASE WHEN o <= 1 AND q % 17 = 0 THEN ' '
+                    WHEN entity = 'interaksi_obat' AND o > 1 THEN CAST(k * 5 + (q // 5) % 5 AS VARCHAR)
+                    WHEN entity = 'm_formula_racik' THEN 'FR' || k ELSE CAST(k AS VARCHAR) END AS key,
+               CASE WHEN o <= 1 AND entity = 'interaksi_obat' THEN
+                      '{"obat1_kode":"' || k || '","obat2_kode":"'
+                      || CASE WHEN v = 3 THEN k ELSE (k * 7 + (q % 7) * 13 + 1) % (SELECT count(*) FROM part) END
+                      || '","tingkat":"' || CASE WHEN v = 4 THEN 'X' ELSE 'major' END || '"}'
+                    WHEN o <= 1 THEN
+                      '{"nama":"' || CASE WHEN v = 3 THEN '' ELSE 'N' || seq END || '","harga":"' || k
+                      || '.50","stok":"5","golongan":"' || CASE WHEN v = 4 THEN 'X' ELSE 'OTC' END
+                      || '","jenis_kelamin":"L","jabatan":"staf","level_akses":"'
+                      || CASE WHEN v = 4 THEN 'X' ELSE 'kasir' END || '"}'
+                    WHEN o = 4 THEN '{}'
+                    WHEN v = 0 THEN '{"nama":"U' || seq || '","keterangan":"baru"}'
+                    WHEN v = 1 THEN '{"nama":null,"tingkat":null}'
+                    WHEN v = 2 THEN '{"lain":"x"}'
+                    WHEN v = 3 THEN '{"nama":'
+                    ELSE '{"produsen":null,"alergi":null,"alamat":null,"spesialisasi":null,'
+                         || '"jabatan":"kepala","petunjuk":null,"tingkat":"minor"}' END AS payload
+        FROM (SELECT CAST(event_id AS BIGINT) AS seq, event_id // 7 AS q, (event_id // 7) % 5 AS o,
+                     (event_id // 7 // 15) % 5 AS v,
+                     CASE WHEN (event_id // 7) % 3 = 0 THEN 7 ELSE user_id END AS k,
+                     CASE (event_id // 7) % 5 WHEN 0 THEN 'insert' WHEN 1 THEN 'insert' WHEN 4 THEN 'delete'
+                          ELSE 'update' END AS op,
+                     ['m_obat', 'm_pelanggan', 'm_dokter', 'm_supplier', 'm_karyawan', 'm_formula_racik',
+                      'interaksi_obat'][event_id % 7 + 1] AS entity
+              FROM events)"""),
     "drug_changes": ([], f"""
         SELECT CASE WHEN p_partkey % 5 = 3 THEN CAST(p_partkey + (SELECT count(*) FROM part) AS VARCHAR)
                     ELSE CAST(p_partkey AS VARCHAR) END AS kode,

@@ -126,6 +126,20 @@ def validate(df: DataFrame, rules: dict[str, str], out: str = "errors") -> DataF
     return df.withColumn(out, F.filter(F.array(*checks), lambda x: x.isNotNull()).cast(ERROR_TYPE))
 
 
+def body_errors(body: Column, rules: dict[str, str], given: dict[str, Column] | None = None) -> Column:
+    """I1 on a body read as ``map<string,string>``: the same checks as
+    ``validate``, as one expression; ``given`` replaces single fields."""
+    checks: list[Column] = []
+    for field, spec in rules.items():
+        v = (given or {}).get(field, F.try_element_at(body, F.lit(field)))
+        for rule in spec.split("|"):
+            name, _, param = rule.partition(":")
+            c = _rule(field, name, param or None, v, T.StringType())
+            if c is not None:
+                checks.append(c)
+    return F.filter(F.array(*checks), lambda x: x.isNotNull()).cast(ERROR_TYPE)
+
+
 def admit_interactions(req: DataFrame, existing: DataFrame | None = None, order: str = "id") -> DataFrame:
     """I4: interaction requests — rules, the two drugs must differ, the pair
     is stored sorted (byte order); a pair already stored, or requested

@@ -137,3 +137,35 @@ def running_mins(df: DataFrame, keys: Sequence[str], order: Sequence[str], value
     for n in values:
         out = out.withColumn(n, F.least(F.col(f"__o_{n}"), F.min(tmp[n]).over(w_rows)))
     return out.drop(blk, *tmp.values(), *[f"__o_{n}" for n in values])
+
+
+def running_last(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: dict[str, Column], *,
+                 inclusive: bool = True, blocks: int | None = None) -> DataFrame:
+    """Running last non-null value per key in ``order`` (null when there is no
+    earlier one), with the same block plan as ``running_sums``.
+
+    A value is a state function: null leaves the state as it is, any other
+    value sets it.  Such functions compose to their last non-null one, so a
+    block is summed up by one value, carried over the blocks of its key, and
+    a key with a third of all rows is never gathered.
+    """
+    keys = list(keys)
+    order = list(order)
+    blk = "__blk"
+    tmp = {name: f"__v_{name}" for name in values}
+    base = df
+    for name, expr in values.items():
+        base = base.withColumn(tmp[name], expr)
+    base = _blocked(base, keys, order, blocks, blk)
+    place = F.struct(*[F.col(c) for c in order])
+    composed = base.groupBy(*keys, blk).agg(
+        *[F.max_by(tmp[n], F.when(F.col(tmp[n]).isNotNull(), place)).alias(f"__t_{n}") for n in values])
+    w_blocks = Window.partitionBy(*keys).orderBy(blk).rowsBetween(Window.unboundedPreceding, -1)
+    carried = composed.select(
+        *keys, blk, *[F.last(f"__t_{n}", ignorenulls=True).over(w_blocks).alias(f"__o_{n}") for n in values])
+    out = _join_blocks(base, carried, [*keys, blk])
+    upper = 0 if inclusive else -1
+    w_rows = Window.partitionBy(*keys, blk).orderBy(*order).rowsBetween(Window.unboundedPreceding, upper)
+    for n in values:
+        out = out.withColumn(n, F.coalesce(F.last(tmp[n], ignorenulls=True).over(w_rows), F.col(f"__o_{n}")))
+    return out.drop(blk, *tmp.values(), *[f"__o_{n}" for n in values])

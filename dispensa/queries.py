@@ -564,6 +564,26 @@ def q_customer_change_feed(spark: SparkSession, d: str) -> DataFrame:
     return out.select("kode", "nama", "alergi", "alamat")
 
 
+@register("change_verdicts")
+def q_change_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    """Verdict of every change of a feed over all seven master tables, a third of it on one key."""
+    out = changes.change_verdicts(td.master_changes(spark, d), td.master_tables(spark, d))
+    return out.select("entity", "key", "op", "seq", "verdict", "error", "needs_code")
+
+
+@register("masters_after_changes")
+def q_masters_after_changes(spark: SparkSession, d: str) -> DataFrame:
+    """Doctors, suppliers and staff after the accepted changes of that feed, one row a field."""
+    out = changes.post_changes(td.master_changes(spark, d), td.master_tables(spark, d))
+    rows = None
+    for entity in ("m_dokter", "m_supplier", "m_karyawan"):
+        key = changes.KEY[entity]
+        x = out[entity].unpivot(key, changes.ALLOWED_UPDATE[entity], "field", "value") \
+                       .select(F.lit(entity).alias("entity"), F.col(key).alias("key"), "field", "value")
+        rows = x if rows is None else rows.unionByName(x)
+    return rows
+
+
 @register("cascade_delete")
 def q_cascade_delete(spark: SparkSession, d: str) -> DataFrame:
     """Deletes of the change feed's drugs: refused while referenced, else interactions go too."""

@@ -423,3 +423,68 @@ def customer_changes(spark: SparkSession, d: str) -> DataFrame:
         F.when(r == 0, F.lit('{"alergi":"PARACETAMOL"}'))
          .when(r == 1, F.lit('{"alergi":null}'))
          .otherwise(F.to_json(F.struct(F.upper("c_name").alias("nama")))).alias("payload"))
+
+
+def dokter(spark: SparkSession, d: str) -> DataFrame:
+    s = raw(spark, d, "supplier")
+    return s.select(F.col("s_suppkey").cast("string").alias("sip"), F.col("s_name").alias("nama"),
+                    F.lit(None).cast("string").alias("spesialisasi"),
+                    F.lit("RS").alias("fasilitas_kesehatan"))
+
+
+def karyawan(spark: SparkSession, d: str) -> DataFrame:
+    c = raw(spark, d, "customer")
+    return c.select(F.col("c_custkey").cast("string").alias("kode"), F.col("c_name").alias("nama"),
+                    F.col("c_mktsegment").alias("jabatan"), F.lit("kasir").alias("level_akses"))
+
+
+def formula_keys(spark: SparkSession, d: str) -> DataFrame:
+    o = raw(spark, d, "orders")
+    return o.select(F.concat(F.lit("FR"), F.col("o_orderkey").cast("string")).alias("kode"))
+
+
+MASTERS = ["m_obat", "m_pelanggan", "m_dokter", "m_supplier", "m_karyawan", "m_formula_racik", "interaksi_obat"]
+
+
+def master_tables(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """The stored tables that ``master_changes`` changes."""
+    return {"m_obat": obat(spark, d), "m_pelanggan": pelanggan(spark, d), "m_dokter": dokter(spark, d),
+            "m_supplier": supplier(spark, d), "m_karyawan": karyawan(spark, d),
+            "m_formula_racik": formula_keys(spark, d), "interaksi_obat": interaksi(spark, d)}
+
+
+def master_changes(spark: SparkSession, d: str) -> DataFrame:
+    """One change per event over all seven master tables, in event order; a
+    third of them on one key, the rest by user.  Bodies vary: whole, without a
+    name, outside a list, explicit null, unknown field only, broken JSON."""
+    n = raw(spark, d, "part").agg(F.count(F.lit(1))).scalar()
+    e, u = F.col("event_id"), F.col("user_id")
+    q = F.floor(e / 7).cast("long")
+    ev = raw(spark, d, "events").select(
+        e.cast("long").alias("seq"),
+        F.element_at(F.array(*[F.lit(x) for x in MASTERS]), (F.pmod(e, F.lit(7)) + 1).cast("int")).alias("entity"),
+        q.alias("q"), F.pmod(F.floor(q / 15), F.lit(5)).alias("v"),
+        F.when(F.pmod(q, F.lit(3)) == 0, F.lit(7)).otherwise(u).cast("long").alias("k"))
+    pair, v, k, o = F.col("entity") == "interaksi_obat", F.col("v"), F.col("k"), F.pmod(F.col("q"), F.lit(5))
+    op = F.when(o <= 1, F.lit("insert")).when(o <= 3, F.lit("update")).otherwise(F.lit("delete"))
+    text, seq = k.cast("string"), F.col("seq").cast("string")
+    whole = F.concat(F.lit('{"nama":"'), F.when(v == 3, F.lit("")).otherwise(F.concat(F.lit("N"), seq)),
+                     F.lit('","harga":"'), text, F.lit('.50","stok":"5","golongan":"'),
+                     F.when(v == 4, F.lit("X")).otherwise(F.lit("OTC")),
+                     F.lit('","jenis_kelamin":"L","jabatan":"staf","level_akses":"'),
+                     F.when(v == 4, F.lit("X")).otherwise(F.lit("kasir")), F.lit('"}'))
+    both = F.concat(F.lit('{"obat1_kode":"'), text, F.lit('","obat2_kode":"'),
+                    F.when(v == 3, k).otherwise(F.pmod(k * 7 + F.pmod(F.col("q"), F.lit(7)) * 13 + 1, n)).cast("string"),
+                    F.lit('","tingkat":"'), F.when(v == 4, F.lit("X")).otherwise(F.lit("major")), F.lit('"}'))
+    some = F.when(v == 0, F.concat(F.lit('{"nama":"U'), seq, F.lit('","keterangan":"baru"}'))) \
+            .when(v == 1, F.lit('{"nama":null,"tingkat":null}')).when(v == 2, F.lit('{"lain":"x"}')) \
+            .when(v == 3, F.lit('{"nama":')) \
+            .otherwise(F.lit('{"produsen":null,"alergi":null,"alamat":null,"spesialisasi":null,'
+                             '"jabatan":"kepala","petunjuk":null,"tingkat":"minor"}'))
+    return ev.select(
+        "entity",
+        F.when((o <= 1) & (F.pmod(F.col("q"), F.lit(17)) == 0), F.lit(" "))
+         .when(pair & (o > 1), (k * 5 + F.pmod(F.floor(F.col("q") / 5), F.lit(5))).cast("string"))
+         .when(F.col("entity") == "m_formula_racik", F.concat(F.lit("FR"), text)).otherwise(text).alias("key"),
+        op.alias("op"), "seq",
+        F.when((o <= 1) & pair, both).when(o <= 1, whole).when(o <= 3, some).otherwise(F.lit("{}")).alias("payload"))
