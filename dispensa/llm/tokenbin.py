@@ -17,7 +17,7 @@ segment), its range partition and its place there.
 Encoding: the byte-level tokenizer splits a text before a space that stands
 alone, and encodes what lies between such places alone.  So the different
 units between spaces are found for a batch of texts at a time; those not yet
-known are encoded by the tokenizers library, thousands in one text, which is
+known are encoded by the tokenizers library, some dozens in one text, which is
 cut again at the ids that begin with a space.  Known units are held in a
 bounded Arrow table and looked up as columns; the ids are those of the whole
 text.  Texts with other white space beside a space, or with characters that
@@ -53,8 +53,8 @@ MAGIC = b"DTK1"
 SEGMENT_IDS = 1 << 18
 END_ID = 2
 # known units held at most between batches, and the longest of them
-MEMO, LONGEST = 200_000, 40
-UNITS_AT_ONCE = 4096
+MEMO, LONGEST = 600_000, 40
+UNITS_AT_ONCE = 64
 SPACE = "\u0120"  # fixed value: a space in the byte-level vocabulary
 WHITE = r"[\s\pZ\x{0b}\x{85}]"
 ODD = rf"^ | $|{WHITE} | {WHITE}|[\x{{1c}}-\x{{1f}}\x{{10000}}-\x{{10ffff}}\p{{Nl}}\p{{No}}]|^$"
