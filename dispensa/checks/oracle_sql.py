@@ -43,6 +43,13 @@ SELECT {_SALE_DAY} AS tgl, CAST(count(*) AS BIGINT) AS trx, {_money('sum(total)'
 FROM penjualan WHERE {_SALE_DAY} BETWEEN {PERIOD_FROM} AND {PERIOD_TO}
 GROUP BY 1 ORDER BY 1""", "penjualan")
 
+ORACLE["sales_this_month"] = with_views(f"""
+SELECT {_SALE_DAY} AS tgl, CAST(count(*) AS BIGINT) AS trx, {_money('sum(total)')} AS total
+FROM penjualan WHERE {_SALE_DAY} BETWEEN date_trunc('month', {AS_OF}) AND {AS_OF}
+GROUP BY 1 ORDER BY 1""", "penjualan")
+
+ORACLE["top_sellers_clamped"] = ORACLE["top_sellers"].removesuffix("LIMIT 10") + "LIMIT 100"
+
 ORACLE["sales_by_type"] = with_views(f"""
 SELECT jenis, CAST(count(*) AS BIGINT) AS trx, {_money('sum(total)')} AS total
 FROM penjualan WHERE {_SALE_DAY} BETWEEN {PERIOD_FROM} AND {PERIOD_TO}

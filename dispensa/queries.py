@@ -61,6 +61,19 @@ def q_sales_by_day(spark: SparkSession, d: str) -> DataFrame:
     return reports.sales_by_day(td.penjualan(spark, d), PERIOD[0], PERIOD[1], AS_OF)
 
 
+@register("sales_this_month")
+def q_sales_this_month(spark: SparkSession, d: str) -> DataFrame:
+    """Daily sales without a period: from the first of the month to as_of (H5)."""
+    return reports.sales_by_day(td.penjualan(spark, d), None, None, AS_OF)
+
+
+@register("top_sellers_clamped")
+def q_top_sellers_clamped(spark: SparkSession, d: str) -> DataFrame:
+    """Best sellers with a limit beyond the largest one, which is 100."""
+    return reports.top_sellers(td.penjualan(spark, d), td.penjualan_item(spark, d), td.obat(spark, d),
+                               PERIOD[0], PERIOD[1], AS_OF, n=1000)
+
+
 @register("sales_by_type")
 def q_sales_by_type(spark: SparkSession, d: str) -> DataFrame:
     return reports.sales_by_type(td.penjualan(spark, d), PERIOD[0], PERIOD[1], AS_OF)
