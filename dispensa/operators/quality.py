@@ -153,7 +153,9 @@ def admit_interactions(req: DataFrame, existing: DataFrame | None = None, order:
     ok = F.size("errors") == 0
     # first valid request of each pair wins (aggregate, not a per-pair window)
     first = v.filter(ok).groupBy("p1", "p2").agg(F.min(order).alias("__first"))
-    v = v.join(first, ["p1", "p2"], "left")
+    # merged, not broadcast: the table of pairs grows with the requests, and its
+    # size is guessed too low where the requests are made from fewer rows
+    v = v.join(first.hint("merge"), ["p1", "p2"], "left")
     dup = ok & (F.col(order) != F.col("__first"))
     if existing is not None:
         ex = existing.select(F.col("obat1_kode").alias("p1"), F.col("obat2_kode").alias("p2")) \

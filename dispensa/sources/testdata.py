@@ -164,10 +164,16 @@ def pembelian_item(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows dealt over all shuffle partitions: a few small files that are made
+    into many rows would otherwise be one task's work."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def interaksi(spark: SparkSession, d: str) -> DataFrame:
     p = raw(spark, d, "part").select("p_partkey")
     n = p.agg(F.count(F.lit(1))).scalar()               # scalar subquery: number of parts
-    x = p.select("p_partkey", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("k"))
+    x = _spread(p, "p_partkey").select("p_partkey", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("k"))
     x = x.withColumn("other", F.pmod(F.col("p_partkey") * 7 + F.col("k") * 13 + 1, n))
     x = x.filter(F.col("other") != F.col("p_partkey"))
     a = F.col("p_partkey").cast("string")
@@ -319,7 +325,7 @@ def interaction_requests(spark: SparkSession, d: str) -> DataFrame:
     pairs and repeated pairs included."""
     p = raw(spark, d, "part").select("p_partkey")
     n = p.agg(F.count(F.lit(1))).scalar()
-    x = p.select("p_partkey", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("k"))
+    x = _spread(p, "p_partkey").select("p_partkey", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("k"))
     other = F.pmod(F.col("p_partkey") * 7 + F.col("k") * 13 + 1, n)
     lvl = F.element_at(F.array(*[F.lit(t) for t in ("contraindicated", "major", "moderate", "minor")]),
                        (F.pmod(F.col("p_partkey") + F.col("k"), F.lit(4)) + 1).cast("int"))
