@@ -126,14 +126,15 @@ def audit_rows(changes: DataFrame, action: str, entity: str, entity_id: Column,
 
 
 # ------------------------------------------------------------------ ledger
-def _append_ledger(existing: DataFrame, mov: DataFrame, order: list[str]) -> DataFrame:
+def _append_ledger(existing: DataFrame, mov: DataFrame, order: list[str], number: Column | None = None) -> DataFrame:
     """New ledger rows: ids after the current maximum in ``order``; balances
-    continue from each drug's last balance."""
+    continue from each drug's last balance.  ``number``: the rows' dense 1-based
+    number in that order, where they already have one."""
     # the current ledger reduced to one opening balance per drug, materialised
     opening = materialize(L.latest_balance(existing).select("obat_kode", F.col("saldo").alias("opening")),
                           "ledger-opening")
     max_id = existing.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
-    numbered = number_rows(mov, order, name="__n")
+    numbered = number_rows(mov, order, name="__n") if number is None else mov.withColumn("__n", number)
     numbered = numbered.withColumn("id", (F.col("__n") + max_id).cast("long")).drop("__n")
     bal = L.ledger_balance(numbered, order=["id"], opening=opening)
     return bal
@@ -184,8 +185,9 @@ def post_purchases(verdicts: DataFrame, headers: DataFrame, lines: DataFrame, dr
                              "supplier_kode", F.coalesce(F.col("pajak").try_cast(model.MONEY), F.lit(0))
                              .cast(model.MONEY).alias("pajak"), "total", "bayar")
 
+    last = 0 if purchase_lines is None else purchase_lines.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+
     def new_lines() -> DataFrame:
-        last = 0 if purchase_lines is None else purchase_lines.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
         numbered = number_rows(li, ["req_id", "pos"], name="__n")
         return numbered.select((F.col("__n") + F.lit(last)).cast("long").alias("id"),
                                F.col("req_id").alias("pembelian_id"), "obat_kode", "batch_no", "expired_date",
@@ -200,7 +202,8 @@ def post_purchases(verdicts: DataFrame, headers: DataFrame, lines: DataFrame, dr
     out = Tables(
         pembelian=lambda: new_headers.drop("bayar"), pembelian_item=new_lines,
         m_obat=lambda: L.apply_stock(drugs, movements(unnumbered), li.select("obat_kode", "expired_date")),
-        stok_kartu=lambda: _append_ledger(ledger_rows, movements(out["pembelian_item"]), ["line_id"]),
+        stok_kartu=lambda: _append_ledger(ledger_rows, movements(out["pembelian_item"]), ["line_id"],
+                                          F.col("line_id") - F.lit(last)),
         hutang_supplier=lambda: payables_for(new_headers, payables),
         audit_log=lambda: audit_rows(hdr, "CREATE", "pembelian", F.col("req_id"),
                                      ["no_faktur", "tgl", "supplier_kode", "pajak"], F.lit(str(as_of))),

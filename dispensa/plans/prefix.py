@@ -9,7 +9,8 @@ is the rows of a key in one range partition, so that
    and hot keys are cut alike, by sampled ranks;
 2. per (key, block) totals are a partial/final aggregate (map-side combined);
 3. the offset of each block is a window over block totals only (at most as
-   many rows per key as there are range partitions); and
+   many rows per key as there are range partitions), kept where the key began
+   in an earlier block: fewer rows than there are blocks, sent to all tasks; and
 4. the running value inside a block is a window over at most one range
    partition, plus the block offset.
 
@@ -52,10 +53,14 @@ def max_key_rows(df: DataFrame, keys: Sequence[str]) -> int:
 
 
 def _join_blocks(base: DataFrame, offsets: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Block offsets onto the rows; a null key is a key like any other."""
-    side = offsets.select(*[F.col(c).alias(f"__j_{c}") for c in on], *[c for c in offsets.columns if c not in on])
+    """Block offsets onto the rows (null in a key's first block); a null key is
+    a key like any other.  The blocks are ranges, so a block but the last holds
+    one key at most that goes on in the next: the later blocks of all keys are
+    fewer than the blocks, whatever the number of keys."""
+    later = offsets.filter(F.col("__before") > 0).drop("__before")
+    side = later.select(*[F.col(c).alias(f"__j_{c}") for c in on], *[c for c in later.columns if c not in on])
     same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__j_{c}")) for c in on])
-    return base.join(side, same).drop(*[f"__j_{c}" for c in on])
+    return base.join(F.broadcast(side), same, "left").drop(*[f"__j_{c}" for c in on])
 
 
 def running_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str],
@@ -90,14 +95,15 @@ def running_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     totals = base.groupBy(*keys, blk).agg(*[F.sum(tmp[n]).alias(f"__t_{n}") for n in values])
     w_blocks = Window.partitionBy(*keys).orderBy(blk).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
-        *keys, blk,
+        *keys, blk, F.count(F.lit(1)).over(w_blocks).alias("__before"),
         *[F.coalesce(F.sum(f"__t_{n}").over(w_blocks), F.lit(0)).alias(f"__o_{n}") for n in values])
 
     joined = _join_blocks(base, offsets, [*keys, blk])
     w_rows = Window.partitionBy(*keys, blk).orderBy(*order).rowsBetween(Window.unboundedPreceding, upper)
     out = joined
     for n in values:
-        out = out.withColumn(n, F.col(f"__o_{n}") + F.coalesce(F.sum(tmp[n]).over(w_rows), F.lit(0)))
+        out = out.withColumn(n, F.coalesce(F.col(f"__o_{n}"), F.lit(0))
+                             + F.coalesce(F.sum(tmp[n]).over(w_rows), F.lit(0)))
     drop = [blk, *tmp.values(), *[f"__o_{n}" for n in values]]
     return out.drop(*drop)
 
@@ -129,7 +135,8 @@ def running_mins(df: DataFrame, keys: Sequence[str], order: Sequence[str], value
     base = _blocked(base, keys, order, blocks, blk)
     mins = base.groupBy(*keys, blk).agg(*[F.min(tmp[n]).alias(f"__t_{n}") for n in values])
     w_blocks = Window.partitionBy(*keys).orderBy(blk).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = mins.select(*keys, blk, *[F.min(f"__t_{n}").over(w_blocks).alias(f"__o_{n}") for n in values])
+    offsets = mins.select(*keys, blk, F.count(F.lit(1)).over(w_blocks).alias("__before"),
+                          *[F.min(f"__t_{n}").over(w_blocks).alias(f"__o_{n}") for n in values])
     joined = _join_blocks(base, offsets, [*keys, blk])
     upper = 0 if inclusive else -1
     w_rows = Window.partitionBy(*keys, blk).orderBy(*order).rowsBetween(Window.unboundedPreceding, upper)
@@ -162,7 +169,7 @@ def running_last(df: DataFrame, keys: Sequence[str], order: Sequence[str], value
         *[F.max_by(tmp[n], F.when(F.col(tmp[n]).isNotNull(), place)).alias(f"__t_{n}") for n in values])
     w_blocks = Window.partitionBy(*keys).orderBy(blk).rowsBetween(Window.unboundedPreceding, -1)
     carried = composed.select(
-        *keys, blk, *[F.last(f"__t_{n}", ignorenulls=True).over(w_blocks).alias(f"__o_{n}") for n in values])
+        *keys, blk, F.count(F.lit(1)).over(w_blocks).alias("__before"), *[F.last(f"__t_{n}", ignorenulls=True).over(w_blocks).alias(f"__o_{n}") for n in values])
     out = _join_blocks(base, carried, [*keys, blk])
     upper = 0 if inclusive else -1
     w_rows = Window.partitionBy(*keys, blk).orderBy(*order).rowsBetween(Window.unboundedPreceding, upper)
