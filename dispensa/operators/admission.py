@@ -32,7 +32,7 @@ from dispensa import model
 from dispensa.functions.scalars import plus_one_year
 from dispensa.operators.quality import ERROR_TYPE, RULES_PURCHASE, RULES_SALE, validate
 from dispensa.operators.screening import interaction_hits
-from dispensa.plans.prefix import WINDOW_ROWS, max_key_rows, number_rows, running_mins, running_sums
+from dispensa.plans.prefix import WINDOW_ROWS, number_rows, running_mins, running_sums
 from dispensa.plans.lineage import materialize, materialize_observed
 from dispensa.session import ensure_checkpoint_dir
 
@@ -368,6 +368,76 @@ def _earlier_purchase_expiry(lines: DataFrame, purchases: DataFrame) -> DataFram
         _req_of(F.col("__seq"), SLOT_SALE).alias("req_id"), "obat_kode", "__pexp")
 
 
+# a span of documents has at least this many rows; the place of what came before
+SPAN_ROWS, MAX_SPANS = 1 << 18, 16
+_BEFORE_ALL = -(1 << 63)
+
+
+def _spans(use: DataFrame, stock_comes_in: bool) -> tuple[int, list[int]]:
+    """Largest number of rows of one drug, and the positions that cut the
+    documents into spans decided one after another (none: one span).
+
+    Where drugs are asked for many times their stock, almost every row waits for
+    those before it; decided in one go, each round would read them all.  A first
+    span asks for about half the stock; the next ones find it known.  Spans double,
+    as stock once used up decides at once; where purchases bring stock in they
+    are equal.  Every cut gives the same verdicts."""
+    asked = F.sum(F.when(F.col("st").isNull(), F.greatest(F.col("__take"), F.lit(0))))
+    per = use.groupBy("obat_kode").agg(F.count(F.lit(1)).alias("n"), F.coalesce(asked, F.lit(0)).alias("asked"),
+                                       F.coalesce(F.max("__avail"), F.lit(0)).alias("stock"))
+    m = per.agg(F.max("n").alias("bound"), F.sum("n").alias("rows"), F.sum(F.col("asked").cast("double")).alias("asked"),
+                F.sum(F.greatest(F.least("asked", "stock"), F.lit(0)).cast("double")).alias("met")).first()
+    times = (m["asked"] or 0.0) / max(m["met"] or 0.0, 1.0)
+    n = min((m["rows"] or 0) / SPAN_ROWS, 2 * times)
+    if times < 2 or n < 2:
+        return int(m["bound"] or 0), []
+    if stock_comes_in:
+        n = min(int(n), MAX_SPANS)
+        shares = [i / n for i in range(1, n)]
+    else:
+        shares = [x for x in ((2 ** i - 1) / n for i in range(1, 64)) if x < 0.75]
+    cuts = use.agg(F.percentile_approx("__seq", F.array(*[F.lit(x) for x in shares]), F.lit(10000))).first()[0]
+    return int(m["bound"]), sorted(set(cuts))
+
+
+def _decide(active: DataFrame, cols: list[str], bound: int) -> tuple[int, list[DataFrame]]:
+    """Rounds over one span until every document is decided: their number, and
+    the rows of refused documents that are short of stock, with what was left."""
+    open_, taken = F.col("st").isNull(), F.col("__take")
+    of_doc = Window.partitionBy("__seq")
+    rounds, short, undecided = 0, [], True
+    while True:
+        # __ahead 0: every earlier row that takes stock is decided, __avail is exact
+        sums = running_sums(active, ["obat_kode"], ["__seq"],
+                            {"__acc": F.when(F.col("st") == 1, taken), "__und": F.when(open_, taken),
+                             "__ahead": F.when(open_, F.abs(taken))}, inclusive=False, key_rows_bound=bound)
+        doubt = (open_ | (F.col("st") == 0)) & (F.col("__avail") - F.col("__acc") - F.col("__und") < F.col("__need_max"))
+        rows = sums.withColumn("__doubt", F.coalesce(doubt, F.lit(False)))
+        if bound <= WINDOW_ROWS:
+            # behind the drug's last row in doubt no row can change anything
+            last = F.max(F.when(F.col("__doubt"), F.col("__seq"))).over(Window.partitionBy("obat_kode"))
+            rows = rows.withColumn("__last", last).filter(F.col("__seq") <= F.col("__last"))
+        rows = rows.filter(open_ | ((F.col("st") == 0) & F.col("__doubt"))).withColumn(
+            "__avail", F.col("__avail") - F.col("__acc"))
+        fails = F.bool_or(F.when(open_, F.col("__avail") < F.col("__need_max"))).over(of_doc)
+        safe = F.bool_and(F.when(open_, F.col("__avail") - F.col("__und") >= F.col("__need_max"))).over(of_doc)
+        rows = rows.withColumn("__fails", fails).withColumn("__safe", safe).withColumn(
+            "st", F.when(~open_, F.col("st")).when(F.col("__fails"), F.lit(0))
+            .when(F.coalesce(F.col("__safe"), F.lit(True)), F.lit(1)))
+        # a refused document's row stays until its stock is exact, then only if short
+        refused = F.coalesce(F.col("st") == 0, F.lit(False))
+        rows = rows.filter(~refused | F.col("__doubt")).withColumn("__exact", refused & (F.col("__ahead") == 0))
+        rows, m = materialize_observed(rows.select(*cols, "__exact"), "admission-round", {
+            "undecided": F.count(F.when(open_, 1)), "waiting": F.count(F.when(refused & ~F.col("__exact"), 1))})
+        rounds += undecided
+        undecided = m["undecided"] > 0
+        short.append(rows.filter(F.col("__exact")))
+        active = rows.filter(~F.col("__exact")).drop("__exact")
+        if not undecided and not m["waiting"]:
+            break
+    return rounds, short
+
+
 def _sequential(h: DataFrame | None, li: DataFrame | None, purchases: DataFrame | None = None,
                 reversals: DataFrame | None = None,
                 drugs: DataFrame | None = None) -> tuple[DataFrame | None, DataFrame | None]:
@@ -409,42 +479,29 @@ def _sequential(h: DataFrame | None, li: DataFrame | None, purchases: DataFrame
                      .select("obat_kode", _pos(F.col("req_id"), SLOT_PURCHASE).alias("__seq"), "__take",
                              none.alias("__need_max"), none.alias("__need_min"), none.alias("__n"),
                              none.alias("__avail"), F.lit(1).alias("st")))
-    active = materialize(reduce(DataFrame.unionByName, parts), "admission-use")
+    use = materialize(reduce(DataFrame.unionByName, parts), "admission-use")
     # rows per drug: proven once, it picks the running-sum plan of every round
-    bound = max_key_rows(active, ["obat_kode"])
-
-    open_, taken = F.col("st").isNull(), F.col("__take")
-    of_doc = Window.partitionBy("__seq")
-    rounds, short, undecided = 0, [], True
-    while True:
-        # __ahead 0: every earlier row that takes stock is decided, __avail is exact
-        sums = running_sums(active, ["obat_kode"], ["__seq"],
-                            {"__acc": F.when(F.col("st") == 1, taken), "__und": F.when(open_, taken),
-                             "__ahead": F.when(open_, F.abs(taken))}, inclusive=False, key_rows_bound=bound)
-        doubt = (open_ | (F.col("st") == 0)) & (F.col("__avail") - F.col("__acc") - F.col("__und") < F.col("__need_max"))
-        rows = sums.withColumn("__doubt", F.coalesce(doubt, F.lit(False)))
-        if bound <= WINDOW_ROWS:
-            # behind the drug's last row in doubt no row can change anything
-            last = F.max(F.when(F.col("__doubt"), F.col("__seq"))).over(Window.partitionBy("obat_kode"))
-            rows = rows.withColumn("__last", last).filter(F.col("__seq") <= F.col("__last"))
-        rows = rows.filter(open_ | ((F.col("st") == 0) & F.col("__doubt"))).withColumn(
-            "__avail", F.col("__avail") - F.col("__acc"))
-        fails = F.bool_or(F.when(open_, F.col("__avail") < F.col("__need_max"))).over(of_doc)
-        safe = F.bool_and(F.when(open_, F.col("__avail") - F.col("__und") >= F.col("__need_max"))).over(of_doc)
-        rows = rows.withColumn("__fails", fails).withColumn("__safe", safe).withColumn(
-            "st", F.when(~open_, F.col("st")).when(F.col("__fails"), F.lit(0))
-            .when(F.coalesce(F.col("__safe"), F.lit(True)), F.lit(1)))
-        # a refused document's row stays until its stock is exact, then only if short
-        refused = F.coalesce(F.col("st") == 0, F.lit(False))
-        rows = rows.filter(~refused | F.col("__doubt")).withColumn("__exact", refused & (F.col("__ahead") == 0))
-        rows, m = materialize_observed(rows.select(*cols, "__exact"), "admission-round", {
-            "undecided": F.count(F.when(open_, 1)), "waiting": F.count(F.when(refused & ~F.col("__exact"), 1))})
-        rounds += undecided
-        undecided = m["undecided"] > 0
-        short.append(rows.filter(F.col("__exact")))
-        active = rows.filter(~F.col("__exact")).drop("__exact")
-        if not undecided and not m["waiting"]:
-            break
+    bound, cuts = _spans(use, purchases is not None)
+    rounds, short, carry = 0, [], None
+    for lo, hi in zip([None, *cuts], [*cuts, None]):
+        span = use
+        if hi is not None:
+            span = span.filter(F.col("__seq").isNull() | (F.col("__seq") <= hi))
+        if lo is not None:
+            span = span.filter(F.col("__seq") > lo).unionByName(carry)
+        n, lacking = _decide(span, cols, bound)
+        rounds += n
+        short += lacking
+        if hi is not None:
+            # what the documents so far took from each drug stands before the next span
+            refused = reduce(DataFrame.unionByName, lacking).select("__seq").distinct()
+            none = F.lit(None).cast("long")
+            carry = materialize(
+                span.filter(F.coalesce(F.col("st"), F.lit(1)) == 1).join(refused, "__seq", "left_anti")
+                .groupBy("obat_kode").agg(F.sum("__take").alias("__take")).filter(F.col("__take") != 0)
+                .select("obat_kode", F.lit(_BEFORE_ALL).alias("__seq"), "__take", none.alias("__need_max"),
+                        none.alias("__need_min"), none.alias("__n"), none.alias("__avail"), F.lit(1).alias("st")),
+                "admission-carry")
 
     # rows of refused documents that are short of stock, with what was left
     lack = reduce(DataFrame.unionByName, short)

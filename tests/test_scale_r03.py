@@ -155,3 +155,56 @@ def test_numbered_movements_are_not_numbered_again(spark, monkeypatch):
     got = sorted((r.id, r.line_id, r.obat_kode, r.saldo) for r in out["stok_kartu"].collect())
     assert got == [(8, 41, "a", 13), (9, 42, "b", 2), (10, 43, "a", 17)]
     assert len(calls) == 1
+
+
+def _short_stock(spark, n: int, n_drugs: int, stock: int):
+    """``n`` sales of two lines that ask for many times the stock, and their replay."""
+    import random
+    rnd = random.Random(7)
+    base = [(r, p, f"d{rnd.randrange(n_drugs)}", rnd.randint(1, 9)) for r in range(1, n + 1) for p in (0, 1)]
+    _, _, _, cust, inter = _sales(spark, 1, 0)
+    lines = spark.createDataFrame(base, "req_id long, pos int, obat_kode string, qty int")
+    headers = lines.select("req_id").distinct().selectExpr(
+        "req_id", "concat('N', req_id) AS no_nota", "'2024-05-01 00:00:00' AS tgl", "'OTC' AS jenis",
+        "'c' AS pelanggan_kode", "'s' AS dokter_sip")
+    drugs = spark.createDataFrame([(f"d{i}", f"D{i}", stock, None, "OTC") for i in range(n_drugs)],
+                                  "kode string, nama string, stok int, expired_date date, golongan string")
+
+    def replay(buys=()):
+        left, out = {f"d{i}": stock for i in range(n_drugs)}, {}
+        for r in range(1, n + 1):
+            for b in (b for b in buys if b[0] == r):
+                left[b[1]] += b[2]
+            mine = [x for x in base if x[0] == r]
+            short = sum(left[x[2]] < x[3] for x in mine)
+            out[r] = (short == 0, short)
+            if not short:
+                for x in mine:
+                    left[x[2]] -= x[3]
+        return out
+    return (headers, lines, drugs, cust, inter), replay
+
+
+def test_scarce_stock_does_not_read_waiting_rows_each_round(spark, monkeypatch, round_rows):
+    """Drugs asked for many times their stock: rows far behind wait outside the rounds."""
+    monkeypatch.setattr(admission, "SPAN_ROWS", 100, raising=False)
+    wrote = round_rows(admission)
+    args, replay = _short_stock(spark, 400, 6, 60)
+    got = admission.admit_sales(*args, AS_OF, mode="sequential").collect()
+    assert {r.req_id: (r.accepted, r.n_stock_errors) for r in got} == replay()
+    assert sum(wrote) < 3 * 800
+
+
+def test_spans_with_purchases_and_reversals(spark, monkeypatch):
+    args, replay = _short_stock(spark, 20, 3, 12)
+    buys = [(r, f"d{r % 3}", 5) for r in range(1, 21, 4)]
+    p = spark.createDataFrame([(*b, None) for b in buys], "req_id long, obat_kode string, qty int, expired_date date")
+
+    def run(span_rows, **more):
+        monkeypatch.setattr(admission, "SPAN_ROWS", span_rows, raising=False)
+        out = admission.admit_batch(*args, AS_OF, mode="sequential", purchases=p, **more)
+        return [sorted(map(tuple, out[k].drop("rounds").collect())) for k in out if out[k] is not None]
+    got = {r[0]: (r[1], r[5]) for r in run(10)[0]}
+    assert got == replay(buys)
+    revs = p.selectExpr("req_id + 7 AS req_id", "obat_kode", "qty")
+    assert run(10, reversals=revs) == run(10**9, reversals=revs)
